@@ -8,8 +8,8 @@ Where a part begins in the whole stream is the prefix sum of the sizes of the pa
 before it; only one count a part reaches the driver.
 
 Encoding cuts a text at each space before a non-space character. The byte-level
-pre-tokenizer never joins across such a place, so the library encodes each distinct
-piece once per task and the ids of a text are those of its pieces, joined.
+pre-tokenizer never joins across such a place, so a Python worker has the library encode
+each distinct piece once and the ids of a text are those of its pieces, joined.
 
 Defined cases: a null or empty text has the end id alone; a null doc_id comes first;
 rows with one doc_id follow each other in an order fixed by their ids; an empty table
@@ -18,6 +18,7 @@ gives an empty dataset; other columns play no part.
 
 from __future__ import annotations
 
+import os
 import re
 import struct
 import zlib
@@ -34,65 +35,65 @@ from . import cluster
 MAGIC = b"LDSTOK1\0"
 _CUT = re.compile(r" (?=[^\s])")
 _ODD = re.compile(r" \s")
-_CACHE = 600_000  # pieces kept a task, about 100 MB
+_CACHE = 1_000_000  # pieces kept in a Python worker, about 200 MB
 
 
-@lru_cache(maxsize=2)
-def _tokenizer(path: str):
-    import os
+class _Pieces(dict):
+    """Packed ids of the pieces after a space; a missing one is encoded, and kept while there is room."""
 
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
+    def __init__(self, encoder: Encoder):
+        self.encoder = encoder
 
-    t = Tokenizer.from_file(path)
-    special = [a.content for a in t.get_added_tokens_decoder().values()]
-    return t, special
+    def __missing__(self, piece: str) -> bytes:
+        ids = self.encoder.whole(" " + piece)
+        if len(self) < _CACHE:
+            self[piece] = ids
+        return ids
 
 
 class Encoder:
     """Ids of whole texts, as bytes of little-endian integers of ``width`` bytes."""
 
     def __init__(self, path: str):
-        self.library, self.special = _tokenizer(path)
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        self.library = Tokenizer.from_file(path)
+        self.special = [a.content for a in self.library.get_added_tokens_decoder().values()]
         self.width = 2 if self.library.get_vocab_size() <= 1 << 16 else 4
         self.kind = np.dtype("<u2" if self.width == 2 else "<u4")
-        self.known: dict[str, bytes] = {}
+        self.known = _Pieces(self)
 
     def pack(self, ids: list[int]) -> bytes:
         return np.array(ids, self.kind).tobytes()
 
+    def whole(self, text: str) -> bytes:
+        return self.pack(self.library.encode(text, add_special_tokens=False).ids)
+
     def __call__(self, texts: list[str | None]) -> list[bytes]:
-        pieces: list[list[str] | None] = []
-        new: set[str] = set()
+        out, get = [], self.known.__getitem__
         for text in texts:
             if not text:
-                pieces.append([])
+                out.append(b"")
             elif any(s in text for s in self.special):
-                pieces.append(None)
+                out.append(self.whole(text))
             else:
-                cut = _CUT.split(text) if _ODD.search(text) else text.split(" ")
-                head = cut[0]
-                out = [" " + x for x in cut[1:]]
-                if head:
-                    out.insert(0, head)
-                pieces.append(out)
-                new.update(out)
-        if len(self.known) > _CACHE:
-            self.known.clear()
-        new = [x for x in new if x not in self.known]
-        for lo in range(0, len(new), 20_000):
-            part = new[lo : lo + 20_000]
-            for x, e in zip(part, self.library.encode_batch_fast(part, add_special_tokens=False)):
-                self.known[x] = self.pack(e.ids)
-        get = self.known.__getitem__
-        return [self.pack(self.library.encode(t, add_special_tokens=False).ids) if p is None else b"".join(map(get, p)) for t, p in zip(texts, pieces)]
+                head, *rest = _CUT.split(text) if _ODD.search(text) else text.split(" ")
+                out.append((self.whole(head) if head else b"") + b"".join(map(get, rest)))
+        return out
+
+
+@lru_cache(maxsize=2)
+def encoder_of(path: str) -> Encoder:
+    """One encoder, with its pieces, for all tasks of a Python worker."""
+    return Encoder(path)
 
 
 def encode(docs: DataFrame, tokenizer: str, end_id: int | None = None, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(doc_id, ids): the ids of each whole text as packed little-endian integers."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tokenizer)
+        encoder = encoder_of(tokenizer)
         end = b"" if end_id is None else encoder.pack([end_id])
         for batch in cluster.batches(it, 1000):
             ids = [x + end for x in encoder(batch.column(1).to_pylist())]
@@ -201,7 +202,7 @@ def token_files(docs: DataFrame, tokenizer: str, end_id: int | None = None, fold
     """Encode and write a table of documents; returns the parts, the documents read back and the folder."""
     spark = docs.sparkSession
     folder = folder or cluster.scratch(spark, "tokens")
-    width = Encoder(tokenizer).width
+    width = encoder_of(tokenizer).width
     bounds = part_bounds(docs, parts or cluster.partitions(spark))
     written = write(encode(docs, tokenizer, end_id), folder, width, bounds)
     return written, read(written, folder), folder
