@@ -3,8 +3,8 @@
 Encoding normalises each text by longest-prefix matches through the model's compiled
 character map (a double-array trie) and records, for each normalised byte, the source
 byte it came from. The normalised text is cut where a space mark follows another
-character; no piece of a whitespace-splitting BPE model spans such a place, so each
-distinct cut is segmented once a task by the library and every piece is projected to
+character; no piece of a whitespace-splitting BPE model spans such a place, so a Python
+worker has the library segment each distinct cut once, and every piece is projected to
 its byte span in the original text through the recorded alignment.
 
 Defined cases: a null or empty text has no pieces (with an end id: that id alone) and
@@ -28,7 +28,7 @@ from . import cluster
 
 MARK = "▁"
 _CUT = re.compile(f"(?<=[^{MARK}])(?={MARK})")
-_CACHE = 600_000
+_CACHE = 1_000_000  # cuts kept in a Python worker, about 200 MB
 
 
 def _varint(data: bytes, at: int) -> tuple[int, int]:
@@ -88,6 +88,19 @@ class CharMap:
         return self.pool[start : self.pool.index(b"\0", start)], size
 
 
+class _Cuts(dict):
+    """Packed ids of the cuts, without their first mark; a missing one is segmented, and kept while there is room."""
+
+    def __init__(self, model: Model):
+        self.model = model
+
+    def __missing__(self, cut: str) -> bytes:
+        ids = self.model.cut_ids(cut)
+        if len(self) < _CACHE:
+            self[cut] = ids
+        return ids
+
+
 class Model:
     """What encoding and decoding need of a model file."""
 
@@ -119,9 +132,8 @@ class Model:
             self.size[unknown] = -1
         inner = any(MARK in t.lstrip(MARK) for t in text)
         self.cuttable = self.escape and not inner and not self.library.is_unknown(self.library.piece_to_id(MARK))
-        #: ids and text of each cut; a lone mark can't be given to the library, which drops it as an empty text
-        self.lone = {MARK: (np.array([self.library.piece_to_id(MARK)], "<i4").tobytes(), b" ")}
-        self.known: dict[str, tuple[bytes, bytes]] = dict(self.lone)
+        self.known = _Cuts(self)
+        self.odd: dict[str, bytes] = {}  # cuts that don't decode to their own text
 
     def normalise(self, text: str) -> tuple[bytes, np.ndarray]:
         """Normalised bytes and, for each of them and the end, the source byte offset."""
@@ -170,40 +182,39 @@ class Model:
                 del back[len(out) :]
         return bytes(out), np.array([*back, end], np.int64)
 
-    def _segment(self, new: list[str]) -> None:
-        texts = [x[1:] if x[:1] == MARK else x for x in new]
-        for x, ids in zip(new, self.library.encode(texts, num_threads=1)):
-            back = self.library.decode(ids).encode()
-            self.known[x] = np.array(ids, "<i4").tobytes(), (b" " + back if x[:1] == MARK else back)
+    def cut_ids(self, cut: str) -> bytes:
+        """Packed ids of a mark and what follows it up to the next place to cut."""
+        if not cut:  # the library drops a lone mark as an empty text
+            return np.array([self.library.piece_to_id(MARK)], "<i4").tobytes()
+        ids = self.library.encode(cut)
+        back = self.library.decode(ids)
+        if back != cut.replace(MARK, " "):
+            self.odd[cut] = back.encode()
+        return np.array(ids, "<i4").tobytes()
 
     def encode(self, texts: list[str | None]) -> Iterator[tuple[bytes, np.ndarray, bytes]]:
         """Packed 32-bit ids, source spans (n, 2) and decoded bytes of each text."""
-        normal = [self.normalise(t) if t else (b"", np.zeros(1, np.int64)) for t in texts]
         whole = self.map.units or self.squeeze or not self.dummy or not self.cuttable
-        cuts: list[list[str]] = []
-        for n, _ in normal:
-            x = n.decode()
-            if not x or whole:
-                cuts.append([])
-            elif MARK + MARK in x:
-                cuts.append(_CUT.split(x))
-            else:
-                cuts.append([MARK + y for y in x.split(MARK)[1:]])
-        if len(self.known) > _CACHE:
-            self.known = dict(self.lone)
-        new = list({c for x in cuts for c in x if c not in self.known})
-        for lo in range(0, len(new), 20_000):
-            self._segment(new[lo : lo + 20_000])
-        for t, (n, back), cut in zip(texts, normal, cuts):
-            if whole and t:
+        get = self.known.__getitem__
+        for t in texts:
+            if not t:
+                yield b"", np.zeros((0, 2), np.int64), b""
+                continue
+            n, back = self.normalise(t)
+            if whole:
                 ids = self.library.encode(t)
                 packed, plain = np.array(ids, "<i4").tobytes(), self.library.decode(ids).encode()
             else:
-                got = [self.known[c] for c in cut]
-                packed, plain = b"".join([g[0] for g in got]), b"".join([g[1] for g in got])[1 if cut and self.dummy else 0 :]
+                x = n.decode()
+                cuts = [c[1:] for c in _CUT.split(x)] if MARK + MARK in x else x.split(MARK)[1:]
+                packed = b"".join(map(get, cuts))
+                if self.odd and not self.odd.keys().isdisjoint(cuts):
+                    plain = b"".join([b" " + self.odd.get(c, c.replace(MARK, " ").encode()) for c in cuts])[1:]
+                else:
+                    plain = n.replace(MARK.encode(), b" ")[1:]
             ids = np.frombuffer(packed, "<i4")
             size = self.size[ids]
-            if (size < 0).any():
+            if size.min(initial=0) < 0:
                 size = self._unknown(n, ids, size)
             stop = np.cumsum(size)
             yield packed, np.stack([back[stop - size], back[stop]], 1), plain
@@ -225,7 +236,23 @@ def model(path: str) -> Model:
     return Model(path)
 
 
-SCHEMA = "doc_id long, ids binary, spans binary, decoded binary"
+def _encoded(it: Iterator[pa.RecordBatch], model_path: str, add_end: bool) -> Iterator[tuple[pa.Array, list[tuple[bytes, np.ndarray, bytes]]]]:
+    """Document ids and encodings of batches of (doc_id, text)."""
+    m = model(model_path)
+    end = np.array([m.library.eos_id()], "<i4").tobytes() if add_end else b""
+    for batch in cluster.batches(it, 200):
+        texts = batch.column(1).to_pylist()
+        out = []
+        for t, (packed, span, plain) in zip(texts, m.encode(texts)):
+            if add_end:
+                n = len(t.encode()) if t else 0
+                span = np.concatenate([span, [[n, n]]])
+            out.append((packed + end, span, plain))
+        yield batch.column(0), out
+
+
+def _texts(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
+    return docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text"))
 
 
 def encode(docs: DataFrame, model_path: str, add_end: bool = False, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -237,38 +264,24 @@ def encode(docs: DataFrame, model_path: str, add_end: bool = False, id_column: s
     """
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = model(model_path)
-        end = np.array([m.library.eos_id()], "<i4").tobytes() if add_end else b""
-        for batch in cluster.batches(it, 500):
-            texts = batch.column(1).to_pylist()
-            ids, spans, plain = [], [], []
-            for t, (packed, span, back) in zip(texts, m.encode(texts)):
-                if add_end:
-                    n = len(t.encode()) if t else 0
-                    span = np.concatenate([span, [[n, n]]])
-                ids.append(packed + end)
-                spans.append(span.astype("<i4").tobytes())
-                plain.append(back)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, pa.binary()) for x in (ids, spans, plain))], ["doc_id", "ids", "spans", "decoded"])
-
-    return docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text")).mapInArrow(run, SCHEMA)
-
-
-def digests(encoded: DataFrame) -> DataFrame:
-    """Counts and digests of an encoded table; the span column is checked to cover each text in order."""
+        for ids, rows in _encoded(it, model_path, add_end):
+            yield pa.RecordBatch.from_arrays([ids, pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1].astype("<i4").tobytes() for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], ["doc_id", "ids", "spans", "decoded"])
+
+    return _texts(docs, id_column, text_column).mapInArrow(run, "doc_id long, ids binary, spans binary, decoded binary")
+
+
+def digests(docs: DataFrame, model_path: str, add_end: bool = False, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256, span_end) of what encode() gives, in one pass."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from hashlib import sha256
 
-        for batch in it:
-            n, a, b, last = [], [], [], []
-            for ids, spans, plain in zip(*(batch.column(i) for i in (1, 2, 3))):
-                x = np.frombuffer(ids.as_buffer(), "<i4")
-                s = np.frombuffer(spans.as_buffer(), "<i4")
-                n.append(len(x))
-                a.append(sha256(" ".join(map(str, x.tolist())).encode()).hexdigest())
-                b.append(sha256(plain.as_buffer()).hexdigest())
-                last.append(int(s[-1]) if len(s) else 0)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string()), pa.array(last, pa.int64())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "span_end"])
-
-    return encoded.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, span_end long")
+        names = [str(i) for i in range(model(model_path).library.get_piece_size())]
+        for ids, rows in _encoded(it, model_path, add_end):
+            listed = [sha256(" ".join([names[i] for i in np.frombuffer(r[0], "<i4").tolist()]).encode()).hexdigest() for r in rows]
+            yield pa.RecordBatch.from_arrays(
+                [ids, pa.array([len(r[0]) // 4 for r in rows], pa.int64()), pa.array(listed, pa.string()), pa.array([sha256(r[2]).hexdigest() for r in rows], pa.string()), pa.array([int(r[1][-1, 1]) if len(r[1]) else 0 for r in rows], pa.int64())],
+                ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "span_end"],
+            )
+
+    return _texts(docs, id_column, text_column).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, span_end long")

@@ -34,9 +34,9 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    from .pieces import digests, encode
+    from .pieces import digests
 
-    return digests(encode(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), add_end=True))
+    return digests(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), add_end=True)
 
 
 @query

@@ -48,7 +48,7 @@ def test_pieces_match_library(spark):
         for (_, ids, spans, plain), (_, _, text) in zip(got, want):
             assert plain.decode() == s.decode(ids)
             assert b"".join(text.encode()[a:b] for a, b in spans) == text.encode()
-        d = {(r.doc_id or -1, r.ids_sha256) for r in digests(rows).collect()}
+        d = {(r.doc_id or -1, r.ids_sha256) for r in digests(docs, P.path("piece_bpe_32k.model"), add_end=True).collect()}
         assert d == {(w[0], hashlib.sha256(" ".join(map(str, w[1])).encode()).hexdigest()) for w in want}
 
 
