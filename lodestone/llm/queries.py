@@ -96,3 +96,59 @@ def op9_pivot_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
     return near_duplicates(rows).select(F.col("id").alias("vec_id"), "n_links", "component_id", "kept")
+
+
+@query
+def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .jaccard import similar
+
+    return similar(table(spark, sf_dir, "documents"), shingle=3, num=9, den=10).select("doc_id", "n_shingles", "component_id")
+
+
+ORACLE_SQL["op1_jaccard_join"] = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS t FROM documents),
+s AS (
+  SELECT doc_id, CASE WHEN len(t) = 0 THEN [] WHEN len(t) < 3 THEN [array_to_string(t, ' ')]
+    ELSE list_distinct(list_transform(generate_series(1, len(t) - 2), lambda i: t[i] || ' ' || t[i + 1] || ' ' || t[i + 2])) END AS g FROM w),
+x AS (SELECT doc_id, len(g) AS n, unnest(g) AS g FROM s),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b FROM x a JOIN x b ON a.g = b.g AND a.doc_id < b.doc_id
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 90 * (a.n + b.n - count(*))),
+e AS (SELECT a, b FROM p UNION ALL SELECT b, a FROM p),
+r AS (SELECT doc_id, doc_id AS c FROM documents UNION SELECT r.doc_id, e.b FROM r JOIN e ON e.a = r.c)
+SELECT s.doc_id, CAST(len(g) AS BIGINT) AS n_shingles, m.c AS component_id FROM s JOIN (SELECT doc_id, min(c) AS c FROM r GROUP BY doc_id) m USING (doc_id)
+"""
+
+
+@query
+def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .packing import pack_documents
+
+    return pack_documents(table(spark, sf_dir, "documents"))
+
+
+@query
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import held_out, scores, train
+
+    docs = table(spark, sf_dir, "documents")
+    scored = scores(docs, train(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@query
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substrings import repeats
+
+    return repeats(table(spark, sf_dir, "documents"), window=35)
+
+
+ORACLE_SQL["op10_substring_dedup"] = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS t FROM documents),
+g AS (SELECT doc_id, i, md5(array_to_string(t[i:i + 34], ' ')) AS h FROM (SELECT doc_id, t, unnest(generate_series(1, len(t) - 34)) AS i FROM w WHERE len(t) >= 35)),
+d AS (SELECT h FROM g GROUP BY h HAVING count(*) > 1),
+c AS (SELECT doc_id, list(i) AS s FROM g JOIN d USING (h) GROUP BY doc_id),
+k AS (SELECT w.doc_id, t, list_distinct(flatten(list_transform(coalesce(s, []), lambda i: generate_series(i, i + 34)))) AS gone FROM w LEFT JOIN c USING (doc_id)),
+m AS (SELECT doc_id, t, gone, list_transform(list_filter(list_transform(t, lambda x, j: {'x': x, 'j': j}), lambda e: NOT list_contains(gone, e.j)), lambda e: e.x) AS kept FROM k)
+SELECT doc_id, CAST(len(t) AS BIGINT) AS n_words, CAST(len(gone) AS BIGINT) AS n_removed, sha256(array_to_string(kept, ' ')) AS kept_sha256 FROM m
+"""
