@@ -1 +1,6 @@
+"""Registered queries by subject."""
 
+from lodestone.plans import code, corpus, graphs  # noqa: F401  they register themselves
+from lodestone.plans.registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
