@@ -10,8 +10,8 @@ Sequences are dealt by hash to shards of a bounded number of sequences, and each
 is packed in one task; only ids and lengths are exchanged. A sequence longer than the
 largest length is split into pieces of that length and a rest.
 
-Defined cases: null, empty and blank texts have no tokens and get no bin (null bin and
-capacity, length 0); equal lengths go by id; repeated rows are packed each for
+Defined cases: null, empty and blank texts and null lengths have no tokens and get no
+bin (null bin and capacity, length 0); equal lengths go by id; repeated rows are packed each for
 themselves; an empty table gives an empty result; other columns play no part.
 """
 
@@ -104,7 +104,7 @@ def pack(sequences: DataFrame, lengths: tuple[int, ...] = LENGTHS, overhead: flo
         names = [f.split()[0] for f in OUTPUT.split(", ")]
         return pa.table({n: pa.array(x, pa.int32() if n == "piece" else pa.int64()) for n, x in zip(names, out)})
 
-    dealt = sequences.select("doc_id", "length", F.pmod(F.xxhash64("doc_id", "length"), F.lit(shards)).alias("shard"))
+    dealt = sequences.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("length").cast("long"), F.lit(0)).alias("length")).withColumn("shard", F.pmod(F.xxhash64("doc_id", "length"), F.lit(shards)))
     return dealt.groupBy("shard").applyInArrow(run, OUTPUT)
 
 
