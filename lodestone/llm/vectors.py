@@ -179,15 +179,26 @@ def forest(n: int, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return at, low[at]
 
 
+APART = 0.8  # cosine of two reference points at most, so that a group of near copies has one of them
+
+
 def pivot_table(vectors: DataFrame, n: int) -> dict[int, np.ndarray]:
-    """Reference points by vector length: at most PIVOTS rows, those of smallest id hash."""
+    """Reference points by vector length: at most PIVOTS rows, those of smallest id hash, less those near one before."""
     count = max(16, min(PIVOTS, math.ceil(4 * math.sqrt(max(n, 1)))))
     rows = vectors.orderBy(F.xxhash64("id"), "id").limit(count).collect()
     out: dict[int, list] = {}
     for r in rows:
         x = np.array(r.vector, np.float64)
         out.setdefault(len(x), []).append(x / np.linalg.norm(x))
-    return {k: np.stack(v) for k, v in out.items()}
+    for k, v in out.items():
+        x = np.stack(v)
+        free, chosen = np.ones(len(x), bool), []
+        for i in range(len(x)):
+            if free[i]:
+                chosen.append(i)
+                free &= x @ x[i] < APART
+        out[k] = x[chosen]
+    return out
 
 
 def _lists(classes: DataFrame, pivots: dict[int, np.ndarray], nearest: int) -> DataFrame:
