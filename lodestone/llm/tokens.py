@@ -1,8 +1,8 @@
 """Token-ID files: flat unsigned integers plus 64-bit document offsets, memory-mapped.
 
-A dataset is a folder of part files in ascending document order. Each part has
-``NNNNNN.bin`` (little-endian ids, 2 bytes each where the vocabulary fits, else 4) and
-``NNNNNN.idx`` (magic, id width, 64-bit counts, then the 64-bit start of each document
+A dataset is a folder of part files in ascending document order and their list. Each
+part has ``NAME.bin`` (little-endian ids, 2 bytes each where the vocabulary fits, else 4) and
+``NAME.idx`` (magic, id width, 64-bit counts, then the 64-bit start of each document
 inside the part and one end, then the 64-bit document ids with a null flag each).
 Where a part begins in the whole stream is the prefix sum of the sizes of the parts
 before it; only one count a part reaches the driver.
@@ -110,10 +110,10 @@ def part_bounds(docs: DataFrame, parts: int, id_column: str = "doc_id") -> list[
 
 
 def write(encoded: DataFrame, folder: str, width: int, bounds: list[int]) -> DataFrame:
-    """Write (doc_id, ids) in ascending doc_id order; returns (part, n_docs, n_tokens, base_token, base_doc).
+    """Write (doc_id, ids) in ascending doc_id order; returns (part, name, n_docs, n_tokens, base_token, base_doc).
 
-    Parts are the doc_id ranges between the bounds. A part is written by one task to a
-    name of its own attempt and renamed, so a repeated task is harmless.
+    Parts are the doc_id ranges between the bounds. A part is written by one task under a
+    name of its own attempt, so what a lost or repeated task has written is never read.
     """
     spark = encoded.sparkSession
     part = F.when(F.col("doc_id").isNull(), F.lit(0)).otherwise(F.size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: b < F.col("doc_id"))) if bounds else F.lit(0))
@@ -131,11 +131,9 @@ def write(encoded: DataFrame, folder: str, width: int, bounds: list[int]) -> Dat
             out.close()
             head = MAGIC + struct.pack("<qqq", width, len(docs), starts[-1])
             body = np.array(starts, "<i8").tobytes() + np.array([d or 0 for d in docs], "<i8").tobytes() + bytes(d is None for d in docs)
-            with store.open_output_stream(f"{path}/{part:06d}.idx.{tag}") as f:
+            with store.open_output_stream(f"{path}/{part:06d}-{tag}.idx") as f:
                 f.write(head + body)
-            for kind in ("bin", "idx"):
-                store.move(f"{path}/{part:06d}.{kind}.{tag}", f"{path}/{part:06d}.{kind}")
-            return pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "n_docs": [len(docs)], "n_tokens": [starts[-1]]})
+            return pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "name": [f"{part:06d}-{tag}"], "n_docs": [len(docs)], "n_tokens": [starts[-1]]})
 
         for batch in cluster.batches(it, 1000):
             for p, d, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
@@ -143,20 +141,20 @@ def write(encoded: DataFrame, folder: str, width: int, bounds: list[int]) -> Dat
                     if state:
                         yield close(state)
                     store.create_dir(path, recursive=True)
-                    state = (p, store.open_output_stream(f"{path}/{p:06d}.bin.{tag}"), [0], [])
+                    state = (p, store.open_output_stream(f"{path}/{p:06d}-{tag}.bin"), [0], [])
                 state[1].write(ids.as_buffer())
                 state[2].append(state[2][-1] + len(ids.as_buffer()) // width)
                 state[3].append(d)
         if state:
             yield close(state)
 
-    sizes = placed.repartition(len(bounds) + 1, "part").sortWithinPartitions("part", F.asc_nulls_first("doc_id"), "ids").select("part", "doc_id", "ids").mapInArrow(run, "part int, n_docs long, n_tokens long")
-    rows = sorted((r.part, r.n_docs, r.n_tokens) for r in sizes.collect())  # one row a part
+    sizes = placed.repartition(len(bounds) + 1, "part").sortWithinPartitions("part", F.asc_nulls_first("doc_id"), "ids").select("part", "doc_id", "ids").mapInArrow(run, "part int, name string, n_docs long, n_tokens long")
+    rows = sorted(tuple(r) for r in sizes.collect())  # one row a part
     out, token, doc = [], 0, 0
-    for p, d, t in rows:
-        out.append((p, d, t, token, doc))
+    for p, name, d, t in rows:
+        out.append((p, name, d, t, token, doc))
         token, doc = token + t, doc + d
-    return spark.createDataFrame(out, "part int, n_docs long, n_tokens long, base_token long, base_doc long")
+    return spark.createDataFrame(out, "part int, name string, n_docs long, n_tokens long, base_token long, base_doc long")
 
 
 def _mapped(store, path: str) -> np.ndarray:
@@ -175,14 +173,14 @@ def read(parts: DataFrame, folder: str) -> DataFrame:
         store, path = cluster.open_folder(folder)
         for batch in it:
             for part, base in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                index = _mapped(store, f"{path}/{part:06d}.idx")
+                index = _mapped(store, f"{path}/{part}.idx")
                 if index[:8].tobytes() != MAGIC:
                     raise ValueError(f"part {part} is not a token file")
                 width, n, _ = struct.unpack("<qqq", index[8:32].tobytes())
                 starts = np.frombuffer(index[32 : 32 + 8 * (n + 1)].tobytes(), "<i8")
                 docs = np.frombuffer(index[32 + 8 * (n + 1) : 32 + 8 * (2 * n + 1)].tobytes(), "<i8")
                 null = index[32 + 8 * (2 * n + 1) :].astype(bool)
-                ids = _mapped(store, f"{path}/{part:06d}.bin").view("<u2" if width == 2 else "<u4")
+                ids = _mapped(store, f"{path}/{part}.bin").view("<u2" if width == 2 else "<u4")
                 for lo in range(0, n, 500):
                     hi = min(n, lo + 500)
                     yield pa.RecordBatch.from_arrays(
@@ -191,7 +189,7 @@ def read(parts: DataFrame, folder: str) -> DataFrame:
                     )
 
     n = max(1, parts.count())
-    return parts.select("part", "base_token").repartitionByRange(n, "part").mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")
+    return parts.repartitionByRange(n, "part").select("name", "base_token").mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")
 
 
 def crc32(ids: bytes) -> int:
