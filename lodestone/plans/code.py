@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import char_similarity
-from lodestone.operators import catalog, extract, params, report, rules, signatures
+from lodestone.operators import catalog, extract, params, report, rules, signatures, validate
 from lodestone.plans.registry import query, table
 from lodestone.sources import fixtures as X
 
@@ -368,3 +368,48 @@ def python_extract(spark, d):
 @query()
 def tsx_extract(spark, d):
     return extract.extract_tsx(X.files(spark))
+
+
+ARITY_SQL = X.values("hooks", "name, least, most", signatures.HOOK_SIGNATURES) + """,
+n AS (SELECT path, line, name, len(list_filter(list_transform(string_split(args, ','), lambda x: trim(x)), lambda x: x <> '')) AS n_args FROM calls),
+o AS (SELECT path, name, len(list_filter(ps, lambda p: NOT contains(p, '?') AND NOT contains(p, '=') AND NOT starts_with(p, '...'))) AS least, len(ps) AS most FROM funs),
+b AS (SELECT n.*, coalesce(h.least, o.least) AS least, coalesce(h.most, o.most) AS most FROM n LEFT JOIN hooks h ON h.name = n.name LEFT JOIN o ON o.name = n.name AND o.path = n.path)"""
+
+
+@query(LINES_SQL + ARITY_SQL + f""",
+hits AS (""" + " UNION ALL ".join(f"SELECT path, '{r.severity}' AS severity, unnest(regexp_extract_all(content, {Q('(?ms)' + r.pattern)}, 0)) AS m FROM files" for r in SAFE) + f"""),
+f AS (SELECT path, severity FROM hits UNION ALL SELECT path, CASE WHEN n_args < least THEN 'HIGH' ELSE 'MEDIUM' END FROM b WHERE n_args < least OR n_args > most
+  UNION ALL SELECT path, 'HIGH' FROM (SELECT DISTINCT path, name FROM uses WHERE name NOT IN ({', '.join(map(Q, signatures.BUILTIN_TYPES))}) AND (path, name) NOT IN (SELECT (path, name) FROM types))
+  UNION ALL SELECT path, 'LOW' FROM types WHERE (path, name) NOT IN (SELECT (path, name) FROM uses)
+  UNION ALL SELECT path, 'LOW' FROM funs WHERE (path, name) NOT IN (SELECT (path, name) FROM calls))
+SELECT files.path, count(severity) AS total, count(*) FILTER (severity = 'CRITICAL') AS critical, count(*) FILTER (severity = 'HIGH') AS high, count(*) FILTER (severity = 'MEDIUM') AS medium,
+  count(*) FILTER (severity = 'LOW') AS low, round(CASE WHEN count(severity) = 0 THEN 1.0 ELSE 1 - sum(0.8 * CASE severity WHEN 'CRITICAL' THEN 1.0 WHEN 'HIGH' THEN 0.8 WHEN 'MEDIUM' THEN 0.6 ELSE 0.4 END) / (2 * count(severity)) END, 6) AS confidence
+FROM files LEFT JOIN f ON f.path = files.path GROUP BY files.path""")
+def validation_report(spark, d):
+    files = X.files(spark).select("path", "content")
+    out = validate.summary(files, validate.findings(files, SAFE, context=False))
+    return out.select("path", "total", "critical", "high", "medium", "low", F.round("confidence", 6).alias("confidence"))
+
+
+@query(f"WITH {X.values('m', 'id, module', MODULES)}, {X.values('lib', 'name, c', signatures.LIBRARIES)} " + """
+SELECT count(*) AS n, round(avg(CASE WHEN name IS NULL THEN 0.0 ELSE 1.0 END), 6) AS valid, 0.0 AS invalid, round(avg(CASE WHEN name IS NULL THEN 1.0 ELSE 0.0 END), 6) AS uncertain FROM m LEFT JOIN lib ON name = module""")
+def verdict_rates(spark, d):
+    rows = spark.createDataFrame(MODULES, "id long, module string").select(signatures.import_verdict(F.col("module")).alias("v")).select("v.*")
+    return report.verdict_rates(rows)
+
+
+@query()
+def python_graph_explore(spark, d):
+    return validate.python_graph(spark.createDataFrame(X.PYTHON, "path string, content string"), "shop").command("explore shop")
+
+
+@query()
+def python_import_check(spark, d):
+    files = spark.createDataFrame(X.PYTHON, "path string, content string")
+    return validate.check_python(files, validate.python_graph(files, "shop"))
+
+
+@query()
+def call_arguments(spark, d):
+    code = "db.rpc('report_usage', { account: user.id, period: 'week', detailed: true });\ndb.rpc('ping');\n"
+    return extract.extract_calls(spark.createDataFrame([("a.ts", code)], "path string, content string"))

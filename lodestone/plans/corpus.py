@@ -282,3 +282,41 @@ def events_daily(spark, d):
     return table(spark, d, "events").groupBy(F.date_trunc("day", "ts").alias("day"), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
 
 
+
+
+PAGES_SQL = chunk_sql(1000).replace("WITH RECURSIVE c AS", "WITH RECURSIVE documents AS (SELECT page_id AS doc_id, html AS text, url AS source FROM pages), c AS")
+HOST = "regexp_extract(source, '^[a-z]+://([^/?#]*)', 1)"
+
+
+def crawled(spark, d):
+    """Pages as they come from a crawl, their HTML standing for Markdown."""
+    return ingest.crawled_pages(table(spark, d, "pages").select("url", F.col("html").alias("markdown")), 1000)
+
+
+@query(PAGES_SQL + f" SELECT source AS url, chunk_number, md5(content) AS digest, {HOST} AS source_id, CAST(length(content) AS BIGINT) AS chunk_size FROM chunked")
+def crawl_chunks(spark, d):
+    return crawled(spark, d).select("url", "chunk_number", F.md5("content").alias("digest"), "source_id", "metadata.chunk_size")
+
+
+@query(PAGES_SQL + f" SELECT {HOST} AS source_id, 'Content from ' || {HOST} AS summary, CAST(sum(len(regexp_extract_all(content, '[^\\s]+'))) AS BIGINT) AS total_word_count FROM chunked GROUP BY 1, 2")
+def crawl_sources(spark, d):
+    return ingest.source_table(crawled(spark, d))
+
+
+@query(PAGES_SQL + f" SELECT count(DISTINCT source) AS pages, count(*) AS chunks, count(DISTINCT {HOST}) AS sources FROM chunked")
+def crawl_report(spark, d):
+    return ingest.crawl_summary(crawled(spark, d)).select("pages", "chunks", "sources")
+
+
+@query("""
+WITH q AS (SELECT embedding AS e FROM embeddings WHERE vec_id = 0),
+v AS (SELECT vec_id AS id, list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST(e AS DOUBLE[])) AS s, text, row_number() OVER (ORDER BY s DESC, vec_id) AS rank
+  FROM embeddings JOIN documents ON doc_id = vec_id, q QUALIFY rank <= 8),
+r AS (SELECT *, round(len(list_intersect(['the', 'and', 'erth'], list_distinct(string_split_regex(lower(text), '[^a-zA-Z0-9_]+')))) / 3.0, 6) AS score FROM v)
+SELECT rank, id AS doc_id, round(s, 6) AS similarity, score AS rerank_score FROM r""")
+def rag_reranked(spark, d):
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content"), "source")
+    chunks = docs.join(table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding"), "id")
+    vector = chunks.filter("id = 0").select("embedding").first()
+    out = retrieve.rag_query(chunks, "the and erth", list(vector.embedding), 8, hybrid=False, reranking=True)
+    return out.select("rank", F.col("id").alias("doc_id"), F.round("similarity", 6).alias("similarity"), F.round("rerank_score", 6).alias("rerank_score"))
