@@ -9,11 +9,18 @@ a compressed FM-index; backward search over its wavelet matrix computes the matc
 statistics of the segments streamed through it, and windows whose match reaches the
 threshold elsewhere are reported as word intervals, which go back to the documents.
 
+0. frequent sequences: counters of all k-word sequences in a table of fixed size
 1. anchors: documents -> (anchor, segment, row) by shard -> repeated ones (saved table)
 2. words: one row of each distinct segment sends its words to the shard
 3. index: each shard's FM-index -> repeated windows of each segment (saved table)
 4. answer: shard -> rows; documents with repeats meet their intervals
 
+Frequent sequences are anchors only of windows that have no other, so a window across
+the edge of a passage that a third of all documents share is anchored outside it, and
+those inside it make few distinct segments, however many documents have them. The rows
+of such anchors are dealt out once more by a salt, and each part is answered for itself.
+Which sequences count as frequent changes shards, never the result.
+
 Rows that need no words or intervals skip the exchanges of texts: bit sets of row keys
 (of bounded size, so at worst all rows take part) say which. Words are compared as
 48-bit hashes of their bytes, anchors and segments as 64-bit ones.
@@ -41,9 +48,10 @@ from .fm_index import FMIndex
 ANCHOR = 8
 SHARD_WORDS = 600_000  # expected words of the segments of a shard
 BOX_BYTES = 8 << 20  # expected text of the rows that meet in one group
+SALTS = 64  # parts of the rows of a frequent anchor
 _BATCH = 2000
 _ENTRY = np.dtype([("anchor", "<u8"), ("segment", "<u8"), ("row", "<u8")])
-_OWNED = np.dtype([("row", "<u8"), ("anchor", "<u8"), ("segment", "<u8"), ("weight", "u1")])
+_OWNED = np.dtype([("row", "<u8"), ("anchor", "<u8"), ("segment", "<u8"), ("reply", "<u4"), ("weight", "u1")])
 _MARK = np.dtype([("row", "<u8"), ("segment", "<u8"), ("mask", "<u8")])
 _SEEN = np.dtype([("segment", "<u8"), ("row", "<u8")])
 
@@ -57,19 +65,21 @@ class Segments:
     anchor: np.ndarray
     content: np.ndarray
     doc: np.ndarray
+    frequent: np.ndarray
 
 
-def segments(w: text.Words, window: int, k: int = ANCHOR) -> Segments:
+def segments(w: text.Words, window: int, frequent: np.ndarray, k: int = ANCHOR) -> Segments:
     n = len(w.hash)
     none = np.zeros(0, np.int64)
     at, h = text.ngrams(w, k)
     i = np.flatnonzero(w.doc[: n - window + 1] == w.doc[window - 1 :]) if n >= window else none
     if not len(i):
-        return Segments(none, none, none.astype(np.uint64), none.astype(np.uint64), none)
+        return Segments(none, none, none.astype(np.uint64), none.astype(np.uint64), none, none > 0)
     bits = max(20, int(n).bit_length())
     low = np.uint64((1 << bits) - 1)
     key = np.full(n, ~np.uint64(0))
-    key[at] = (h & ~low) | at.astype(np.uint64)
+    last = _in(frequent, h).astype(np.uint64) << np.uint64(63)
+    key[at] = last | ((h >> np.uint64(1)) & ~low) | at.astype(np.uint64)
     whole = np.zeros(n, np.uint64)
     whole[at] = h
     width, m, s = window - k + 1, key, 1
@@ -78,7 +88,8 @@ def segments(w: text.Words, window: int, k: int = ANCHOR) -> Segments:
         s *= 2
     if s < width:
         m = np.minimum(m[: len(m) - (width - s)], m[width - s :])
-    place = (m[i] & low).astype(np.int64)
+    m = m[i]
+    place = (m & low).astype(np.int64)
     new = np.ones(len(i), bool)
     new[1:] = (place[1:] != place[:-1]) | (i[1:] != i[:-1] + 1)
     begin = np.flatnonzero(new)
@@ -88,7 +99,7 @@ def segments(w: text.Words, window: int, k: int = ANCHOR) -> Segments:
     np.cumsum(w.hash * power[:n], out=total[1:])
     stop = last + window
     content = text.mix((total[stop] - total[first]) * inverse[first] + (stop - first).astype(np.uint64))
-    return Segments(first, last, whole[place[begin]], content, w.doc[first])
+    return Segments(first, last, whole[place[begin]], content, w.doc[first], m[begin] >> np.uint64(63) > 0)
 
 
 def _shard(h: np.ndarray, shards: int) -> np.ndarray:
@@ -108,27 +119,67 @@ def _joined(column: pa.ChunkedArray | pa.Array, kind: np.dtype) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), kind)
 
 
+# -- 0. frequent sequences --------------------------------------------------------
+
+
+def frequent_sequences(docs: DataFrame, size: int, k: int = ANCHOR) -> np.ndarray:
+    """A bit set of k-word sequence hashes that occur often; docs: (rid, text), ``size``: bytes of all texts.
+
+    Counters of a number fixed by the size, at most 2 ** 24, are added up slice by slice
+    over all texts; frequent is what reaches 8 times the mean counter and 1000.
+    """
+    slots = 1 << min(24, max(18, int(size // 4000).bit_length()))
+    limit = max(1000, 8 * size // (6 * slots))
+    slices = 16
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, held, n = np.zeros(slots, np.int64), [], 0
+        for batch in cluster.batches(it, _BATCH):
+            for w in text.blocks(batch.column(1)):
+                held.append(text.ngrams(w, k)[1] % np.uint64(slots))
+                n += len(held[-1])
+                if n > slots:
+                    total += np.bincount(np.concatenate(held).astype(np.int64), minlength=slots)
+                    held, n = [], 0
+        if n:
+            total += np.bincount(np.concatenate(held).astype(np.int64), minlength=slots)
+        parts = np.minimum(total, 2**31 - 1).astype("<u4").reshape(slices, -1)
+        yield pa.RecordBatch.from_arrays([pa.array(range(slices), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], ["slice", "bits"])
+
+    def add(table: pa.Table) -> pa.Table:
+        n = sum(np.frombuffer(x.as_buffer(), "<u4").astype(np.int64) for x in table.column("bits"))
+        return pa.table({"slice": table.column("slice")[:1], "bits": pa.array([np.packbits(n >= limit).tobytes()], pa.binary())})
+
+    out = np.zeros((slices, slots // slices // 8), np.uint8)
+    for r in docs.mapInArrow(run, "slice int, bits binary").groupBy("slice").applyInArrow(add, "slice int, bits binary").collect():
+        out[r["slice"]] = np.frombuffer(r["bits"], np.uint8)  # 16 rows of together ``slots`` bits
+    return out.reshape(-1)
+
+
 # -- 1. anchors -------------------------------------------------------------------
 
 
-def repeated_anchors(docs: DataFrame, window: int, shards: int, boxes: int) -> DataFrame:
+def repeated_anchors(docs: DataFrame, window: int, shards: int, boxes: int, frequent) -> DataFrame:
     """(kind, key, rows) of anchors that occur twice or more; docs: (rid, text).
 
-    kind 0: by shard, (segment, row) of every occurrence; kind 1: by box of rows, the
-    anchor, segment and weight that a row has to send words for.
+    kind 0: by shard or its salted part, (segment, row) of every occurrence; kind 1: by
+    box of rows, the anchor, segment and weight that a row has to send words for, and
+    which part is to be answered. Parts of frequent anchors count what they have alone,
+    so they send all their segments.
     """
 
     def deal(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in cluster.batches(it, _BATCH):
             rid = batch.column(0).to_numpy().view(np.uint64)
-            parts = []
+            parts, keys = [], []
             for w in text.blocks(batch.column(1)):
-                s = segments(w, window)
+                s = segments(w, window, frequent.value)
                 e = np.empty(len(s.first), _ENTRY)
                 e["anchor"], e["segment"], e["row"] = s.anchor, s.content, rid[w.rows][s.doc]
                 parts.append(e)
-            e = np.concatenate(parts)
-            yield _dealt(_shard(e["anchor"], shards), e, ("key", "rows"))
+                salted = text.mix(s.anchor + text.mix(e["row"]) % np.uint64(SALTS))
+                keys.append(np.where(s.frequent, np.uint64(shards) + _shard(salted, shards), _shard(s.anchor, shards)))
+            yield _dealt(np.concatenate(keys), np.concatenate(parts), ("key", "rows"))
 
     def meet(shard: int, held: list[bytes]) -> Iterator[pa.RecordBatch]:
         e = np.frombuffer(b"".join(held), _ENTRY)
@@ -136,7 +187,8 @@ def repeated_anchors(docs: DataFrame, window: int, shards: int, boxes: int) -> D
         new = np.ones(len(e) + 1, bool)
         new[1:-1] = e["anchor"][1:] != e["anchor"][:-1]
         edge = np.flatnonzero(new)
-        e = e[np.repeat(np.diff(edge) > 1, np.diff(edge))]
+        if shard < shards:
+            e = e[np.repeat(np.diff(edge) > 1, np.diff(edge))]
         if not len(e):
             return
         new = np.ones(len(e) + 1, bool)
@@ -145,7 +197,7 @@ def repeated_anchors(docs: DataFrame, window: int, shards: int, boxes: int) -> D
         owned = np.empty(len(edge) - 1, _OWNED)
         for name in ("row", "anchor", "segment"):
             owned[name] = e[name][edge[:-1]]
-        owned["weight"] = np.minimum(np.diff(edge), 2)
+        owned["weight"], owned["reply"] = np.minimum(np.diff(edge), 2), shard
         twice = np.ones(len(e), bool)
         twice[1:] = (e["segment"][1:] != e["segment"][:-1]) | (e["row"][1:] != e["row"][:-1])
         seen = np.empty(int(twice.sum()), _SEEN)
@@ -166,7 +218,7 @@ def repeated_anchors(docs: DataFrame, window: int, shards: int, boxes: int) -> D
         if held:
             yield from meet(now, held)
 
-    dealt = docs.mapInArrow(deal, "key int, rows binary").repartition(_tasks(docs, shards), "key").sortWithinPartitions("key")
+    dealt = docs.mapInArrow(deal, "key int, rows binary").repartition(_tasks(docs, 2 * shards), "key").sortWithinPartitions("key")
     return dealt.mapInArrow(find, "kind int, key int, rows binary")
 
 
@@ -214,8 +266,8 @@ def _in(packed: np.ndarray, row: np.ndarray) -> np.ndarray:
 # -- 2. and 3. words, index -------------------------------------------------------
 
 
-def send_words(docs: DataFrame, owned: DataFrame, window: int, shards: int, boxes: int, wanted: np.ndarray) -> DataFrame:
-    """(shard, segment, weight, length, words): words of the owned segments, by shard."""
+def send_words(docs: DataFrame, owned: DataFrame, window: int, shards: int, boxes: int, wanted: np.ndarray, frequent) -> DataFrame:
+    """(shard, segment, reply, weight, length, words): words of the owned segments, by shard."""
     shared = docs.sparkSession.sparkContext.broadcast(wanted)  # bounded by _bits
 
     def choose(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -226,7 +278,7 @@ def send_words(docs: DataFrame, owned: DataFrame, window: int, shards: int, boxe
                 yield pa.RecordBatch.from_arrays([pa.array(_shard(text.mix(rid[at]), boxes).astype(np.int32)), *(c.take(pa.array(at)) for c in batch.columns)], ["box", "rid", "text"])
 
     def send(left: pa.Table, right: pa.Table) -> pa.Table:
-        names = ["shard", "segment", "weight", "length", "words"]
+        names = ["shard", "segment", "reply", "weight", "length", "words"]
         out: list[list] = [[] for _ in names]
         own = _joined(right.column("rows"), _OWNED) if right.num_rows else np.zeros(0, _OWNED)
         if len(own) and left.num_rows:
@@ -238,7 +290,7 @@ def send_words(docs: DataFrame, owned: DataFrame, window: int, shards: int, boxe
             sent = np.zeros(len(own), bool)
             column = left.column("text")
             for w in text.blocks(column.chunk(0) if isinstance(column, pa.ChunkedArray) else column):
-                s = segments(w, window)
+                s = segments(w, window, frequent.value)
                 mine = text.mix(rid[w.rows][s.doc] + s.content * np.uint64(3) + s.anchor)
                 at = np.minimum(np.searchsorted(key, mine), len(key) - 1)
                 hit = np.flatnonzero(key[at] == mine)
@@ -256,20 +308,21 @@ def send_words(docs: DataFrame, owned: DataFrame, window: int, shards: int, boxe
                 words = np.ascontiguousarray(w.hash[index].view(np.uint8).reshape(-1, 8)[:, :6])
                 keys, edge = np.unique(shard, return_index=True)
                 for k, a, b in zip(keys, edge, np.append(edge[1:], len(shard))):
-                    for column_, x in zip(out, (int(k), s.content[hit[a:b]].tobytes(), own["weight"][at[a:b]].tobytes(), size[a:b].astype("<u2").tobytes(), words[start[a] : start[b]].tobytes())):
+                    for column_, x in zip(out, (int(k), s.content[hit[a:b]].tobytes(), own["reply"][at[a:b]].tobytes(), own["weight"][at[a:b]].tobytes(), size[a:b].astype("<u2").tobytes(), words[start[a] : start[b]].tobytes())):
                         column_.append(x)
-        kinds = [pa.int32()] + [pa.binary()] * 4
+        kinds = [pa.int32()] + [pa.binary()] * 5
         return pa.table({n: pa.array(x, k) for n, x, k in zip(names, out, kinds)})
 
     rows = docs.mapInArrow(choose, "box int, rid long, text string")
-    return rows.groupBy("box").cogroup(owned.select(F.col("key").alias("box"), "rows").groupBy("box")).applyInArrow(send, "shard int, segment binary, weight binary, length binary, words binary")
+    return rows.groupBy("box").cogroup(owned.select(F.col("key").alias("box"), "rows").groupBy("box")).applyInArrow(send, "shard int, segment binary, reply binary, weight binary, length binary, words binary")
 
 
 def index_shards(words: DataFrame, window: int, shards: int) -> DataFrame:
-    """(key, rows): by shard, segments with repeated windows and the mask of those, from the shard's FM-index."""
+    """(key, rows): by part to answer, segments with repeated windows and the mask of those, from each shard's FM-index."""
 
-    def index(shard: int, held: list[tuple]) -> pa.RecordBatch:
-        segment, weight, length, raw = (b"".join(x) for x in zip(*held))
+    def index(held: list[tuple]) -> pa.RecordBatch:
+        segment, reply, weight, length, raw = (b"".join(x) for x in zip(*held))
+        reply = np.frombuffer(reply, "<u4")
         segment, weight, length = np.frombuffer(segment, "<u8"), np.frombuffer(weight, "u1").astype(np.int64), np.frombuffer(length, "<u2").astype(np.int64)
         wide = np.zeros((len(raw) // 6, 8), np.uint8)
         wide[:, :6] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
@@ -281,19 +334,19 @@ def index_shards(words: DataFrame, window: int, shards: int) -> DataFrame:
             has = np.flatnonzero(length - window >= j)
             mask[has] |= found[start[has] + j].astype(np.uint64) << np.uint64(j)
         hit = np.flatnonzero(mask)
-        return pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([np.stack([segment[hit], mask[hit]], 1).tobytes()], pa.binary())], ["key", "rows"])
+        return _dealt(reply[hit], np.stack([segment[hit], mask[hit]], 1), ("key", "rows"))
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, []
         for batch in it:
-            for row in zip(batch.column(0).to_pylist(), *(batch.column(i) for i in range(1, 5))):
+            for row in zip(batch.column(0).to_pylist(), *(batch.column(i) for i in range(1, 6))):
                 if row[0] != now and held:
-                    yield index(now, held)
+                    yield index(held)
                     held = []
                 now = row[0]
                 held.append(tuple(x.as_py() for x in row[1:]))
         if held:
-            yield index(now, held)
+            yield index(held)
 
     return words.repartition(_tasks(words, shards), "shard").sortWithinPartitions("shard").mapInArrow(run, "key int, rows binary")
 
@@ -322,9 +375,9 @@ def row_masks(seen: DataFrame, masks: DataFrame, boxes: int) -> DataFrame:
     return seen.groupBy("key").cogroup(masks.groupBy("key")).applyInArrow(join, "key int, rows binary")
 
 
-def covered(w: text.Words, rid: np.ndarray, marks: np.ndarray, window: int) -> np.ndarray:
+def covered(w: text.Words, rid: np.ndarray, marks: np.ndarray, window: int, frequent: np.ndarray) -> np.ndarray:
     """Which words of a block lie in a repeated window; marks sorted by mix(row + 3 * segment)."""
-    s = segments(w, window)
+    s = segments(w, window, frequent)
     mine = text.mix(rid[s.doc] + s.content * np.uint64(3))
     key = text.mix(marks["row"] + marks["segment"] * np.uint64(3))
     change = np.zeros(len(w.hash) + 1, np.int64)
@@ -350,10 +403,11 @@ class Plan:
         self.shards = max(least, -(-size // SHARD_WORDS))
         self.boxes = max(least, -(-size // BOX_BYTES))
         self.rows = docs.select("rid", "text")
-        anchors = cluster.saved(repeated_anchors(self.rows, window, self.shards, self.boxes), "anchors")
+        self.frequent = spark.sparkContext.broadcast(frequent_sequences(self.rows, size))  # at most 2 MB
+        anchors = cluster.saved(repeated_anchors(self.rows, window, self.shards, self.boxes, self.frequent), "anchors")
         owned, seen = anchors.filter("kind = 1"), anchors.filter("kind = 0")
         wanted = row_set(owned, _OWNED, _bits(n))
-        words = send_words(self.rows, owned, window, self.shards, self.boxes, wanted)
+        words = send_words(self.rows, owned, window, self.shards, self.boxes, wanted, self.frequent)
         masks = cluster.saved(index_shards(words, window, self.shards), "masks")
         self.marks = cluster.saved(row_masks(seen.select("key", "rows"), masks, self.boxes), "marks")
         self.marked = row_set(self.marks, _MARK, _bits(n))
@@ -367,7 +421,7 @@ class Plan:
         shared = docs.sparkSession.sparkContext.broadcast(self.marked)  # bounded by _bits
         names = [f"c{i}" for i in range(len(docs.columns))]  # the rows' own names may clash with each other's or ours
         docs = docs.toDF(*names)
-        boxes, window = self.boxes, self.window
+        boxes, window, frequent = self.boxes, self.window, self.frequent
 
         def split(marked: bool):
             def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -392,7 +446,7 @@ class Plan:
                 rid = batch.column(0).to_numpy().view(np.uint64)
                 removed = []
                 for w in text.blocks(batch.column(1)):
-                    gone = covered(w, rid[w.rows], marks, window)
+                    gone = covered(w, rid[w.rows], marks, window, frequent.value)
                     removed += [gone[a:b] for a, b in zip(w.first[:-1], w.first[1:])]
                 out.append(changed(batch, removed))
             return pa.Table.from_batches(out) if out else pa.Table.from_batches([plain(pa.RecordBatch.from_pylist([], left.select(names).schema))])

@@ -154,6 +154,12 @@ def test_substrings_against_brute_force(spark, window):
     docs = spark.createDataFrame([(i, b, "x", 1) for i, b in rows], "doc_id long, text string, rid string, box int").repartition(3)
     got = sorted((tuple(r) for r in substrings.repeats(docs, window).collect()), key=str)
     assert got == sorted(brute_repeats(rows, window), key=str)
+    usual = substrings.frequent_sequences
+    try:  # the same where most sequences count as frequent
+        substrings.frequent_sequences = lambda docs, size, k=8: np.full(1 << 12, 0x7D, np.uint8)
+        assert sorted((tuple(r) for r in substrings.repeats(docs, window).collect()), key=str) == got
+    finally:
+        substrings.frequent_sequences = usual
     cut = substrings.without_repeats(docs, window)
     assert cut.schema.names == docs.schema.names
     want = brute_repeats(rows, window)
@@ -165,6 +171,18 @@ def test_substrings_against_brute_force(spark, window):
     assert substrings.repeats(docs.limit(0), window).count() == 0
 
 
+def test_frequent_sequences(spark):
+    from lodestone.llm import substrings, text
+
+    docs = spark.createDataFrame([(i, "one two three four five six seven eight") for i in range(1500)] + [(9, f"other words {' '.join(f'z{i}' for i in range(5000))}")], "rid long, body string").select("rid", "body").repartition(3)
+    bits = substrings.frequent_sequences(docs, 100_000)
+    import pyarrow as pa
+
+    (w,) = text.blocks(pa.array(["one two three four five six seven eight nine"]))
+    assert substrings._in(bits, text.ngrams(w, 8)[1]).tolist() == [True, False]
+    assert 1 <= np.unpackbits(bits).sum() <= 2
+
+
 def test_matching_statistics_against_brute_force():
     from lodestone.llm.fm_index import FMIndex
 
