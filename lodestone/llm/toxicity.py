@@ -253,31 +253,36 @@ def fit(sample: list[tuple[str | None, int]], total: tuple[int, int], counts: np
     if not len(y) or y.min() == y.max():
         return Scorer(counts, constant=float(y[0]) if len(y) else 0.0)
     model = CharModel(counts)
-    sums: dict[str, list[float]] = {}
-    rows = [_rates(body, model) for body, _ in sample]
     least = max(3, int(0.01 * y.sum()))
-    frequent = {b for b, n in Counter(b for r, t in zip(rows, y) if t for b in r).items() if n >= least}
-    for r, t in zip(rows, y):
-        at = 0 if t else 2
-        for b, x in r.items():
-            if b in frequent:
-                s = sums.setdefault(b, [0.0] * 4)
-                s[at] += x
-                s[at + 1] += x * x
+    seen: Counter = Counter()
+    for body, label in sample:
+        if label:
+            seen.update(_rates(body, model).keys())
+    names = sorted(b for b, n in seen.items() if n >= least)
+    place = {b: i for i, b in enumerate(names)}
+    del seen
+    # Only frequent beginnings are kept of a document: a few arrays, not a table of all its words.
+    rows = []
+    for body, _ in sample:
+        r = [(place[b], x) for b, x in _rates(body, model).items() if b in place]
+        rows.append((np.array([i for i, _ in r], np.int32), np.array([x for _, x in r])))
     n1, n0 = y.sum(), len(y) - y.sum()
-
-    def separation(s: list[float]) -> float:
-        m1, m0 = s[0] / n1, s[2] / n0
-        spread = max(s[1] / n1 - m1 * m1, 0) / n1 + max(s[3] / n0 - m0 * m0, 0) / n0
-        return (m1 - m0) / math.sqrt(spread + 1e-6)
-
-    best = sorted(sums, key=lambda b: (-separation(sums[b]), b))[:FEATURES]
-    features = {b: i for i, b in enumerate(best)}
-    x = np.zeros((len(y), len(best) + 1))
+    sums = np.zeros((4, len(names)))
+    for (at, x), label in zip(rows, y):
+        k = 0 if label else 2
+        sums[k, at] += x
+        sums[k + 1, at] += x * x
+    m1, m0 = sums[0] / n1, sums[2] / n0
+    spread = np.maximum(sums[1] / n1 - m1 * m1, 0) / n1 + np.maximum(sums[3] / n0 - m0 * m0, 0) / n0
+    chosen = np.argsort(-(m1 - m0) / np.sqrt(spread + 1e-6), kind="stable")[:FEATURES]
+    features = {names[i]: k for k, i in enumerate(chosen)}
+    column = np.full(len(names), -1)
+    column[chosen] = np.arange(len(chosen))
+    x = np.zeros((len(y), len(chosen) + 1))
     x[:, -1] = 1
-    for i, r in enumerate(rows):
-        for b in r.keys() & features.keys():
-            x[i, features[b]] = r[b]
+    for i, (at, value) in enumerate(rows):
+        use = column[at] >= 0
+        x[i, column[at[use]]] = value[use]
     weight = np.where(y > 0, total[1] / n1, total[0] / n0)
     weight /= weight.mean()
     w = np.zeros(x.shape[1])
