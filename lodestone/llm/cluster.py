@@ -14,6 +14,8 @@ import uuid
 from collections.abc import Iterator
 from contextlib import suppress
 
+import numpy as np
+import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -108,3 +110,47 @@ def batches(arrays: Iterator, size: int) -> Iterator:
     for batch in arrays:
         for lo in range(0, batch.num_rows, size):
             yield batch.slice(lo, size)
+
+
+def key_set(keys: DataFrame, n: int) -> np.ndarray:
+    """A bit set of a table of one long column: 16 bits a key of the ``n`` expected, at most 2 ** 26 bits.
+
+    Tasks' sets are combined slice by slice. Membership may be wrong for keys that are
+    not there, so it only spares rows an exchange; a join decides.
+    """
+    bits, slices = 1 << min(26, max(16, int(16 * max(n, 1)).bit_length())), 16
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        have = np.zeros(bits, bool)
+        for batch in it:
+            have[batch.column(0).to_numpy().view(np.uint64) % np.uint64(bits)] = True
+        if have.any():
+            yield pa.RecordBatch.from_arrays([pa.array(range(slices), pa.int32()), pa.array([p.tobytes() for p in np.packbits(have).reshape(slices, -1)], pa.binary())], ["slice", "bits"])
+
+    def merge(table: pa.Table) -> pa.Table:
+        parts = [np.frombuffer(x, np.uint8) for x in table.column("bits").to_pylist()]
+        return pa.table({"slice": table.column("slice")[:1], "bits": pa.array([np.bitwise_or.reduce(parts).tobytes()], pa.binary())})
+
+    out = np.zeros((slices, bits // slices // 8), np.uint8)
+    for r in keys.mapInArrow(run, "slice int, bits binary").groupBy("slice").applyInArrow(merge, "slice int, bits binary").collect():
+        out[r["slice"]] = np.frombuffer(r["bits"], np.uint8)  # 16 rows of together ``bits`` bits
+    return out.reshape(-1)
+
+
+def in_set(packed: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    i = keys.view(np.uint64) % np.uint64(len(packed) * 8)
+    return (packed[i >> np.uint64(3)] >> (np.uint64(7) - (i & np.uint64(7))).astype(np.uint8)) & 1 > 0
+
+
+def select_rows(df: DataFrame, packed, member: bool) -> DataFrame:
+    """Rows whose first column, a long key, is (or is not) in a broadcast bit set."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            at = np.flatnonzero(in_set(packed.value, batch.column(0).to_numpy()) == member)
+            if len(at) == batch.num_rows:
+                yield batch
+            elif len(at):
+                yield batch.take(pa.array(at))
+
+    return df.mapInArrow(run, df.schema)

@@ -4,6 +4,9 @@ Sharding, without loss: the hash space is cut into d + 1 ranges, where d is how
 shingles two linked sets of a size class can differ in at most, so linked sets agree on
 the whole content of at least one range. Documents that share the content of a range
 are connected; the connected components are the shards. Equal sets are one before that.
+Below a similarity of 8/9 ranges hold so few shingles that unlike sets agree on empty
+ones; there, sets that agree on one of 44 bands of 5 minimum hashes are connected. A
+pair at 0.8 is missed by all bands with a probability of 3e-8, a closer one less.
 
 In a shard, sets are ordered by similarity and cut into small groups. The token-group
 matrix holds each group's token union; a query's overlap with the union bounds its
@@ -88,6 +91,27 @@ def range_contents(h: np.ndarray, first: np.ndarray, num: int, den: int) -> tupl
     return np.concatenate(sets), np.concatenate(keys)
 
 
+ROWS, BANDS = 5, 44
+_rng = np.random.default_rng(7)
+_TURN = _rng.integers(0, 2**32, (2, ROWS * BANDS), dtype=np.uint64).astype(np.uint32)
+
+
+def band_contents(h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(set, band hash) of each band of minimum hashes of each set that isn't empty."""
+    full = np.flatnonzero(np.diff(first))
+    if not len(full):
+        return full, np.zeros(0, np.uint64)
+    x, starts = (h >> np.uint64(32)).astype(np.uint32), first[full]
+    keys = []
+    for band in range(BANDS):
+        key = np.full(len(full), band + 1, np.uint64)
+        for turn in range(band * ROWS, (band + 1) * ROWS):
+            least = np.minimum.reduceat((x ^ _TURN[0, turn]) * (_TURN[1, turn] | np.uint32(1)), starts)
+            key = text.mix(key * np.uint64(0x9E3779B97F4A7C15) + least.astype(np.uint64))
+        keys.append(key)
+    return np.tile(full, BANDS), np.concatenate(keys)
+
+
 def forest(n: int, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(node, smallest node of its component) where they differ, for edges among n nodes."""
     low = np.arange(n)
@@ -177,8 +201,9 @@ def document_sets(docs: DataFrame, n: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, rid long, n_shingles long, sig long")
 
 
-def _range_edges(docs: DataFrame, n: int, num: int, den: int, buckets: int) -> DataFrame:
-    """(a, b): set signatures connected by the content of a range, as few edges as connect them."""
+def _shard_edges(docs: DataFrame, n: int, num: int, den: int, buckets: int) -> DataFrame:
+    """(a, b): set signatures connected by the content of a range or band, as few edges as connect them."""
+    ranges = num >= 8 * (den - num)
 
     def deal(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in cluster.batches(it, _BATCH):
@@ -186,7 +211,7 @@ def _range_edges(docs: DataFrame, n: int, num: int, den: int, buckets: int) -> D
             for _, h, first in _sets_of(batch.column(2), n):
                 sig = signatures(h, first)
                 _, one = np.unique(sig, return_index=True)  # equal sets of a block count once
-                of, key = range_contents(h, first, num, den)
+                of, key = range_contents(h, first, num, den) if ranges else band_contents(h, first)
                 once = np.zeros(len(sig), bool)
                 once[one] = True
                 keep = once[of]
@@ -273,16 +298,19 @@ def similar(docs: DataFrame, shingle: int = 5, num: int = 4, den: int = 5, id_co
     src = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text")).select("doc_id", F.xxhash64(F.col("doc_id").isNull(), "doc_id", F.col("text").isNull(), "text").alias("rid"), "text")
     rows = cluster.saved(document_sets(src, shingle), "sets")
     total = rows.agg(F.sum("n_shingles")).first()[0] or 0
-    buckets = max(cluster.partitions(spark), -(-(total * 5 * (den - num)) // (2 * num * BUCKET_ENTRIES)))
+    entries = total * 5 * (den - num) // (2 * num) if num >= 8 * (den - num) else BANDS * rows.count()
+    buckets = max(cluster.partitions(spark), -(-entries // BUCKET_ENTRIES))
     classes = rows.filter("n_shingles > 0").groupBy("sig").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "rid")).alias("first"), F.max("n_shingles").alias("n"), F.count("*").alias("weight"))
-    shards = cluster.components(_range_edges(src, shingle, num, den, int(buckets)))
+    shards = cluster.components(_shard_edges(src, shingle, num, den, int(buckets)))
     classes = cluster.cut(classes.join(shards, classes.sig == shards.node, "left").select("sig", "first", "n", "weight", F.col("component").alias("shard")))
     inside = classes.filter("shard is not null")
     volume = inside.groupBy("shard").agg(F.sum("n").alias("tokens")).withColumn("chunks", F.ceil(F.col("tokens") / CHUNK_TOKENS).cast("int"))
-    boxes = max(1, -(-total // (4 * CHUNK_TOKENS)))
+    boxes = max(4 * cluster.partitions(spark), -(-total // (4 * CHUNK_TOKENS)))
     volume = volume.select("shard", "chunks", F.when(F.col("chunks") > 1, F.col("shard")).otherwise(F.pmod(F.xxhash64("shard"), F.lit(boxes))).alias("box"))
     wanted = inside.join(volume, "shard").select(F.col("first.rid").alias("rid"), "sig", "shard", "chunks", "box")
-    members = src.select("rid", "text").join(wanted, "rid").select("shard", "chunks", "box", "sig", "text")
+    wanted = cluster.cut(wanted)
+    some = spark.sparkContext.broadcast(cluster.key_set(wanted.select("rid"), wanted.count()))  # other texts stay where they are
+    members = cluster.select_rows(src.select("rid", "text"), some, True).join(wanted, "rid").select("shard", "chunks", "box", "sig", "text")
     comps = cluster.components(_open_shards(members, shingle, num, den))
     joined = classes.join(comps, classes.sig == comps.node, "left").select("sig", "first", "weight", F.coalesce("component", "sig").alias("component"), F.col("component").isNotNull().alias("linked"))
     linked = joined.filter("linked")
@@ -297,13 +325,18 @@ def one_of_each(docs: DataFrame, shingle: int = 5, num: int = 4, den: int = 5, i
 
     One row of each component stays, that of the smallest doc_id; rows without words all stay.
     """
-    marks = similar(docs, shingle, num, den, id_column, text_column)
-    gone = marks.filter("keeper <> rid").select(F.col("rid").alias("_gone")).distinct()
-    twins = marks.filter("keeper = rid and n_shingles > 0").groupBy(F.col("rid").alias("_twin")).count().filter("count > 1").select("_twin")
+    marks = cluster.saved(similar(docs, shingle, num, den, id_column, text_column), "marks")
+    gone = marks.filter("keeper <> rid").select("rid").distinct()
+    twins = marks.filter("keeper = rid and n_shingles > 0").groupBy("rid").count().filter("count > 1").select("rid")
+    fate = cluster.cut(gone.withColumn("gone", F.lit(True)).unionByName(twins.withColumn("gone", F.lit(False))))
+    some = docs.sparkSession.sparkContext.broadcast(cluster.key_set(fate.select("rid"), fate.count()))
+    names = [f"c{i}" for i in range(len(docs.columns))]  # a column of the rows may be named as ours
     key = F.xxhash64(F.col(id_column).cast("long").isNull(), F.col(id_column).cast("long"), F.col(text_column).isNull(), F.col(text_column))
-    kept = docs.withColumn("_rid", key)
-    kept = kept.join(gone, kept["_rid"] == gone["_gone"], "left_anti")
+    rows = docs.select(key, *docs.columns).toDF("rid", *names)
+    # Rows that stay for certain are not moved; the others meet their fate.
+    sure = cluster.select_rows(rows, some, False)
+    asked = cluster.select_rows(rows, some, True).join(fate, "rid", "left").filter("gone is null or not gone")
     # Of a kept row that is there several times, one stays.
-    single = kept.join(twins, kept["_rid"] == twins["_twin"], "left_anti")
-    double = kept.join(twins, kept["_rid"] == twins["_twin"], "left_semi").dropDuplicates(["_rid"])
-    return single.unionByName(double).drop("_rid")
+    once = asked.filter("gone is not null").drop("gone").dropDuplicates(["rid"])
+    kept = sure.unionByName(asked.filter("gone is null").drop("gone")).unionByName(once)
+    return kept.select(*names).toDF(*docs.columns)
