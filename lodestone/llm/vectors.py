@@ -131,7 +131,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int, scale: float | None =
     asked = good(queries).dropDuplicates(["id", "vector"])
     n = asked.count()
     slabs = max(1, math.ceil(n / QUERY_SLAB))
-    slab = cluster.cut(_packed(asked.repartition(slabs, "id"), QUERY_SLAB, scale).withColumn("slab", F.monotonically_increasing_id()))
+    slab = cluster.cut(_packed(asked.repartition(slabs), QUERY_SLAB, scale).withColumn("slab", F.monotonically_increasing_id()))
     data = _packed(good(vectors), DATA_BLOCK, scale).select(F.col("width").alias("w"), F.col("ids").alias("row_ids"), F.col("data").alias("rows"))
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
