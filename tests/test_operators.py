@@ -191,3 +191,14 @@ def test_signature_facts(spark):
     assert {r.issue for r in signatures.hook_issues(spark.createDataFrame([("p", "useState", 2, 1), ("p", "usecase", 0, 2), ("p", "useMine", 3, 3)], "path string, name string, n_args long, line long")).collect()} == {"INCORRECT_SIGNATURE", "BAD_PRACTICE"}
     got = spark.createDataFrame([("react", "shop"), ("./x", "shop"), ("shop.cart", "shop.api"), ("utils", "shop"), ("mock_x", "shop"), ("ab", "shop")], "m string, p string").select("m", signatures.is_internal_module(F.col("m"), F.col("p")).alias("x"))
     assert {r.m: r.x for r in got.collect()} == {"react": False, "./x": True, "shop.cart": True, "utils": True, "mock_x": False, "ab": False}
+
+
+def test_frontier_over_all_lineitem_rows(spark, tmp_path):
+    from lodestone import plans
+
+    rows = [(1, 1, 10), (2, 2, 10), (1, 2, 11), (3, 3, 11), (2, 3, 12), (4, 1, 12), (None, 2, 10), (1, 3, None)]
+    spark.createDataFrame(rows, "l_suppkey long, l_linenumber int, l_partkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    near = {f"s{s}" for s, _, p in rows if s and (1, p) in {(a, b) for a, _, b in rows}}
+    want = {("s1", 0), ("p10", 1), ("p11", 1)} | {(x, 2) for x in near - {"s1"}}
+    got = {(r.node, r.depth) for r in plans.QUERIES["frontier_bfs_all"](spark, str(tmp_path)).collect()}
+    assert got == want == {("s1", 0), ("p10", 1), ("p11", 1), ("s2", 2), ("s3", 2)}
