@@ -10,8 +10,8 @@ Queries go over all rows in slabs of a fixed number of queries, whatever their c
 Near-duplicates (pivot permutation index): reference points are rows of smallest id
 hash; a vector is described by its nearest ones in order, goes into the inverted list
 of each, and is compared with what shares a list. A pair counts in the first of its
-shared lists alone, when it shares enough pivots and its cosine in double precision
-reaches the threshold. Equal vectors are one class before that; lists of any length
+shared lists alone, when its cosine in double precision reaches the threshold and it
+shares ``least_shared`` pivots (one, so that no verified pair is dropped). Equal vectors are one class before that; lists of any length
 are compared block by block.
 
 Defined cases: vectors that are null or hold null or non-finite components take no part
@@ -247,7 +247,7 @@ def _owner(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return first, count
 
 
-def near_duplicates(vectors: DataFrame, threshold: float = 0.9, nearest: int = NEAREST, least_shared: int = 2) -> DataFrame:
+def near_duplicates(vectors: DataFrame, threshold: float = 0.9, nearest: int = NEAREST, least_shared: int = 1) -> DataFrame:
     """(id, n_links, component_id, kept) of each row of ``vectors`` (id, vector)."""
     src = vectors.select(F.col("id").cast("long").alias("id"), F.col("vector").cast("array<double>").alias("vector"))
     zero = F.forall("vector", lambda x: x == 0)

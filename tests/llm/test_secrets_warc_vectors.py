@@ -184,3 +184,18 @@ def test_near_duplicates_against_brute_force(spark):
         assert got[5003].component_id == 5002 and got[5003].kept is False and got[None].n_links == 0
     vectors.CHUNK = 2048
     assert vectors.near_duplicates(v.limit(0)).count() == 0
+
+
+def test_near_duplicates_keep_pairs_that_share_one_pivot(spark):
+    from lodestone.llm.vectors import near_duplicates
+
+    rng = np.random.default_rng(9)
+    a = rng.normal(size=(300, 64))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    b = rng.normal(size=a.shape)
+    b -= (a * b).sum(1, keepdims=True) * a
+    b = 0.91 * a + np.sqrt(1 - 0.91**2) * b / np.linalg.norm(b, axis=1, keepdims=True)
+    x = np.concatenate([a, b])
+    v = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "id long, vector array<double>")
+    found = [sum(r.n_links for r in near_duplicates(v, nearest=4, **k).collect()) / 600 for k in ({}, {"least_shared": 2})]
+    assert found[0] > 0.95 and found[0] > found[1]
