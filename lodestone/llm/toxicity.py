@@ -41,13 +41,16 @@ LEET = {
     "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l", "¡": "i",
 }
 SUBSTITUTED, DROPPED, DOUBLED, COLLAPSED, JOINED = 2.0, 9.0, 1.5, 0.5, 0.5  # channel costs, in nats
+NUMBER, PUNCTUATION = 4.0, 0.0  # cost of dropping a digit or a mark that ends a word, which mostly is just that
 
 _SYMBOLS = re.escape("".join(LEET))
 _WORD = re.compile(r"[^\W\d_]+")
-_TAIL = re.compile(r"[^\w$@]+$|[$@]{3,}[^\w]*$")
+_TAIL = re.compile(rf"(?:(?![{_SYMBOLS}])\W)\W*$|(?:(?!\d)[{_SYMBOLS}]){{3,}}\W*$")
 #: What makes a token suspect: symbols among or before letters, a letter run out, marks between letters.
-_SUSPECT = re.compile(rf"[^\W\d_][{_SYMBOLS}]+[^\W\d_]|^[{_SYMBOLS}]+[^\W\d_]|([^\W\d_])\1\1|[^\W\d_][*_~][^\W\d_]|^[^\W\d_](?:[.-][^\W\d_]){{2,}}$|[^\W\d_][$@]+$")
-_SPACED = re.compile(r"(?<!\S)[^\W\d_](?: [^\W\d_]){2,}(?!\S)")
+_SUSPECT = re.compile(rf"[^\W\d_][{_SYMBOLS}]+[^\W\d_]|^[{_SYMBOLS}]+[^\W\d_]|([^\W\d_])\1\1|[^\W\d_][*_~][^\W\d_]|^[^\W\d_](?:[.-][^\W\d_]){{2,}}$|[^\W\d_][{_SYMBOLS}]+$")
+_SINGLE = rf"(?:[^\W\d_]|[{_SYMBOLS}])"
+_SPACED = re.compile(rf"(?<!\S){_SINGLE}(?:\s+{_SINGLE}){{2,}}(?!\S)")
+_APART = re.compile(rf"[^\W\d_][ .*_~-][^\W\d_](?:[ .*_~-][^\W\d_])+$|{_SINGLE} {{1,2}}{_SINGLE}(?: {{1,2}}{_SINGLE})+$")
 
 
 def _code_table() -> np.ndarray:
@@ -110,25 +113,28 @@ def _code(c: str) -> int:
 def lattice(piece: str) -> list[list[tuple[str, float]]]:
     """For each place of a lower-case piece: the letters it may stand for, with their costs."""
     places: list[list[tuple[str, float]]] = []
-    i, spaced = 0, bool(re.match(r"[^\W\d_][ .*_~-][^\W\d_](?:[ .*_~-][^\W\d_])+$", piece))
+    i, spaced = 0, bool(_APART.match(piece))
+    ends = len(piece) if spaced else len(piece.rstrip("".join(LEET)))  # where the symbols that end a word begin
+    plain = ends < len(piece) and not ({"$", "@"} & set(piece[ends:]) or _SUSPECT.search(piece[:ends]))  # nothing but its end is suspect
     while i < len(piece):
         c = piece[i]
         n = 1
         while i + n < len(piece) and piece[i + n] == c:
             n += 1
         if c in LEET:
-            one = [(x, SUBSTITUTED) for x in LEET[c]] + [("", DROPPED)]
+            drop = DROPPED if i < ends or c in "$@" else NUMBER if c.isdigit() else PUNCTUATION
+            one = [(x, SUBSTITUTED) for x in LEET[c]] + [("", drop)]
             places += [one] * (1 if n == 1 else 2)
             if n > 1:
                 places[-1] = [*one[:-1], ("", COLLAPSED)]
         elif c in " .*_~-":
-            places.append([("", JOINED if spaced else SUBSTITUTED), (" ", 0.0 if not spaced else DROPPED)])
+            places.append([("", JOINED if spaced else SUBSTITUTED), (" ", DROPPED if spaced and n == 1 else 0.0)])
         elif not c.isalpha():
             places.append([("", DROPPED)])
         elif n == 1:
             places.append([(c, 0.0)])
         elif n == 2:
-            places.append([(c + c, 0.0), (c, DOUBLED)])
+            places.append([(c + c, 0.0)] if plain else [(c + c, 0.0), (c, DOUBLED)])
         else:
             places.append([(c, COLLAPSED), (c + c, DOUBLED)])
         i += n
@@ -167,14 +173,23 @@ def restored_words(token: str, model: CharModel) -> list[str]:
 
 
 def tokens_of(body: str, model: CharModel) -> list[str]:
-    """Lower-case tokens; letters set apart by single spaces are one, as they are decoded."""
+    """Lower-case tokens; letters and their symbols set apart by white space are decoded together."""
     body = body.lower()
     tokens = body.split()
     if sum(map(_single, tokens)) >= 3:
-        tokens = _SPACED.sub(lambda m: decode(m[0], model), body).split()
+        tokens = _SPACED.sub(lambda m: _together(m[0], model), body).split()
     return tokens
 
 
+def _together(run: str, model: CharModel) -> str:
+    """A run of single characters, decoded if it has letters; gaps wider than its least may part words."""
+    if not any(map(str.isalpha, run)):
+        return run
+    gaps = re.findall(r"\s+", run)
+    least = min(map(len, gaps))
+    return decode("".join(c + (" " if len(g) == least else "  ") for c, g in zip(run.split(), gaps)) + run[-1], model)
+
+
 def _single(token: str) -> bool:
     return len(token) == 1
 

@@ -36,6 +36,17 @@ def test_deobfuscation(scorer, disguised, word):
     assert scorer.score(f"{body} {disguised} {body}") == scorer.score(f"{body} {word} {body}")
 
 
+@pytest.mark.parametrize(
+    "disguised,words",
+    [("vil3", "vile"), ("idi07", "idiot"), ('"idi07",', "idiot"), ("i d 1 o t", "idiot"), ("l 0 5 3 r", "loser"), ("i  d  i  o  t", "idiot"), ("i\td\n1\to\tt", "idiot"), ("y o u   i d i o t", "you idiot"),
+     ("page2", "page"), ("kill!", "kill"), ("great!?!", "great"), ("1 2 3 4", "")],
+)
+def test_symbols_at_the_end_and_wide_spacing(scorer, disguised, words):
+    from lodestone.llm.toxicity import restored_words, tokens_of
+
+    assert [w for t in tokens_of(f"the {disguised} of", scorer.model) for w in restored_words(t, scorer.model)] == ["the", *words.split(), "of"]
+
+
 def test_toxicity_odd_rows(spark, scorer):
     from lodestone.llm.toxicity import scores, train, without_toxic
 
