@@ -4,7 +4,7 @@ Three base patterns find assignments, access ids and long hexadecimal runs. Besi
 them, every base64 or hexadecimal candidate is decoded and parsed before it is
 reported: DER key encodings must have nested lengths that fill their parents exactly
 (RSA, EC, PKCS#8, SubjectPublicKeyInfo), OpenSSH keys length-prefixed fields, signed
-tokens a header that is a JSON object with an algorithm. What does not parse is not
+tokens a header that is a JSON object with an algorithm (the payload may be any). What does not parse is not
 reported.
 
 Defined cases: a null or empty text has no spans; rows are independent, so repeated
@@ -37,8 +37,12 @@ _HEX = re.compile(r"[0-9a-f]+")
 _LONG_HEX = re.compile(r"[0-9a-f]{32,}")
 _KEYWORD = re.compile(r"passw|secret|token|api_?key", re.ASCII | re.IGNORECASE)
 
-_JWT = re.compile(r"[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{2,}\.[A-Za-z0-9_-]*")
-_PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*(?:PRIVATE KEY|PUBLIC KEY|CERTIFICATE))-----([A-Za-z0-9+/=\s]+)-----END \1-----")
+#: The part before the payload; what follows is looked at alone, as it may be the header itself.
+_HEAD = re.compile(r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{10,}+(?=\.([A-Za-z0-9_-]{2,}+)\.([A-Za-z0-9_-]*+))")
+_PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*(?:PRIVATE KEY|PUBLIC KEY|CERTIFICATE))-----((?:[A-Za-z0-9+/=\s]++|\\++[nr])++)-----END \1-----")
+#: An opening brace with the white space before it, in decoded bytes.
+_OBJECT = re.compile(rb"[ \t\r\n]*+\{")
+_BREAK = re.compile(r"\\+[nr]|\s+")
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{40,}={0,2}")
 _ANY_HEX = re.compile(r"[0-9A-Fa-f]{64,}")
 
@@ -138,14 +142,38 @@ def ssh_key(data: bytes) -> str | None:
     return None
 
 
-def signed_token(text: str) -> bool:
-    """Whether the first two parts are base64 of JSON objects, the first naming an algorithm."""
-    head, body, *_ = text.split(".")
-    try:
-        h, b = json.loads(_b64(head) or b""), json.loads(_b64(body) or b"")
-    except (ValueError, RecursionError):
-        return False
-    return isinstance(h, dict) and isinstance(b, dict) and isinstance(h.get("alg"), str) and h["alg"].isascii()
+def signed_header(part: str) -> int | None:
+    """Where in ``part`` base64 begins that is, to its end, a JSON object naming an algorithm, or None.
+
+    Such text may follow others without a break, so all four ways to cut into quads are decoded.
+    """
+    found = []
+    for skip in range(4):
+        data = _b64(part[skip:])
+        if not data or not data.rstrip().endswith(b"}"):
+            continue
+        for m in _OBJECT.finditer(data):
+            at = m.start() + -m.start() % 3  # characters go with bytes by quads
+            if at > m.end() - 1:
+                continue
+            try:
+                h = json.loads(data[at:])
+            except (ValueError, RecursionError):
+                continue
+            if isinstance(h, dict) and isinstance(h.get("alg"), str) and h["alg"].isascii():
+                found.append(skip + at // 3 * 4)
+                break
+    return min(found, default=None)
+
+
+def signed_tokens(text: str) -> list[tuple[int, int]]:
+    """(start, end) of tokens whose header names an algorithm; any base64 may be the payload."""
+    out, last = [], 0
+    for m in _HEAD.finditer(text):
+        if m.start() >= last and _b64(m[1]) is not None and (at := signed_header(m[0])) is not None:
+            last = m.end(2)
+            out.append((m.start() + at, last))
+    return out
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
@@ -163,10 +191,10 @@ def confirmed_spans(text: str) -> list[tuple[int, int, str]]:
     """Spans whose decoded content parses as a key or a signed token."""
     out = []
     if "." in text:
-        out += [(m.start(), m.end(), "jwt") for m in _JWT.finditer(text) if "eyJ" == m[0][:3] and signed_token(m[0])]
+        out += [(a, b, "jwt") for a, b in signed_tokens(text)]
     if "-----BEGIN " in text:
         for m in _PEM.finditer(text):
-            data = _b64("".join(m[2].split()))
+            data = _b64(_BREAK.sub("", m[2]))
             if data and (der_key(data) or ssh_key(data)):
                 out.append((m.start(), m.end(), "pem"))
     inside = [(a, b) for a, b, k in out if k in ("pem", "jwt")]
@@ -176,7 +204,7 @@ def confirmed_spans(text: str) -> list[tuple[int, int, str]]:
                 continue
             if data[0] == 0x30 and der_key(data):
                 out.append((m.start(), m.end(), "der"))
-            elif data[:4] == b"\0\0\0\x07" or data[:4] == b"\0\0\0\x0b" or data[:4] == b"\0\0\0\x13" or data[:15] == b"openssh-key-v1\0":
+            elif data[:3] == b"\0\0\0" or data[:15] == b"openssh-key-v1\0":
                 if ssh_key(data):
                     out.append((m.start(), m.end(), "ssh"))
     return out

@@ -199,3 +199,28 @@ def test_near_duplicates_keep_pairs_that_share_one_pivot(spark):
     v = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "id long, vector array<double>")
     found = [sum(r.n_links for r in near_duplicates(v, nearest=4, **k).collect()) / 600 for k in ({}, {"least_shared": 2})]
     assert found[0] > 0.95 and found[0] > found[1]
+
+
+def test_secrets_in_unusual_forms(spark):
+    from lodestone.llm.secrets import find, redacted
+
+    b64 = lambda b: base64.b64encode(b).decode()
+    url = lambda b: base64.urlsafe_b64encode(b).decode().rstrip("=")
+    field = lambda *x: b"".join(len(f).to_bytes(4, "big") + f for f in x)
+    head = b'{"alg":"HS256"}'
+    tokens = [f"{url(h)}.{url(body)}.{url(b's' * 32)}" for h in (head, b'{ "alg" : "none" }', b'{\n  "alg": "RS256"\n}', b'\r\n {"alg":"ES256"}') for body in (b"{}", b"[1]", b"plain text", b"\xff\xfe\x00")]
+    for token in tokens:
+        assert [s for s in find(f"é {token} x") if s[2] == "jwt"] == [(2, 2 + len(token), "jwt")], token
+    for before in ("x", "ab", "abc", "abcd", "id_abc-1", "www.example-host.org.", "aaaaaaaaaaaa.bb."):
+        assert [s for s in find(f"{before}{tokens[0]}") if s[2] == "jwt"] == [(len(before), len(before + tokens[0]), "jwt")], before
+    assert not find(f"{url(b'[1, 2, 3, 4]')}.{url(b'{}')}.x") and not find(f"{url(head)}.abcde.x") and not find(f"{url(head[:-1])}.{url(b'{}')}.x")
+    for name in (b"sk-ssh-ed25519@openssh.com", b"sk-ecdsa-sha2-nistp256@openssh.com", b"ssh-ed25519", b"ssh-dss"):
+        key = b64(field(name, b"e" * 32, b"ssh:"))
+        assert find(f"a {key} b") == [(2, 2 + len(key), "ssh")], name
+    assert not find(b64(field(b"other-kind-of-name", b"e" * 32)))
+    pkcs8 = b64(der(0x30, num(0), der(0x30, der(6, bytes.fromhex("2b6570"))), der(4, der(4, b"k" * 32))))
+    for gap in ("\\n", "\\r\\n", "\\\\n", "\n", "\r\n"):
+        pem = f"-----BEGIN PRIVATE KEY-----{gap}{pkcs8[:30]}{gap}{pkcs8[30:]}{gap}-----END PRIVATE KEY-----"
+        assert find(f'"{pem}"') == [(1, 1 + len(pem), "pem")], gap
+    df = spark.createDataFrame([(1, f"a x{tokens[4]} b")], "doc_id long, text string")
+    assert [r.text for r in redacted(df).collect()] == ["a x[SECRET] b"]
