@@ -202,3 +202,12 @@ def test_frontier_over_all_lineitem_rows(spark, tmp_path):
     want = {("s1", 0), ("p10", 1), ("p11", 1)} | {(x, 2) for x in near - {"s1"}}
     got = {(r.node, r.depth) for r in plans.QUERIES["frontier_bfs_all"](spark, str(tmp_path)).collect()}
     assert got == want == {("s1", 0), ("p10", 1), ("p11", 1), ("s2", 2), ("s3", 2)}
+
+
+def test_all_text_rules_run_over_documents(spark, tmp_path):
+    from lodestone import plans
+
+    rows = [(1, 'It is so. We go. token = "0af" no!!'), (2, "Sentences everywhere. Yes!! No!!!"), (3, "grün für. ärzte ist."), (4, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {tuple(r) for r in plans.QUERIES["rule_scan_documents_all"](spark, str(tmp_path)).collect()}
+    assert got == {(1, "sentence_short", 2), (1, "token_value", 1), (1, "shouting", 1), (2, "shouting", 2), (3, "sentence_short", 2)}
