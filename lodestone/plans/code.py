@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions.text import char_similarity
 from lodestone.operators import catalog, extract, params, report, rules, signatures, validate
-from lodestone.plans.registry import query, table
+from lodestone.plans.registry import ORACLES, query, table
 from lodestone.sources import fixtures as X
 
 Q = X.quoted
@@ -245,47 +245,68 @@ FINDINGS_SQL = """WITH findings AS (SELECT 'f' || doc_id % 50 AS path, doc_id AS
 
 
 def findings(spark, d):
-    rows = table(spark, d, "labels").filter("quality = 1")
+    return _findings(table(spark, d, "labels").filter("quality = 1"))
+
+
+def label_findings(spark, d):
+    return _findings(table(spark, d, "labels"))
+
+
+def _findings(rows):
     pick = lambda names, n: F.element_at(F.array(*[F.lit(x) for x in names]), (1 + F.col("doc_id") % n).cast("int"))
     return rows.select(F.concat(F.lit("f"), (F.col("doc_id") % 50).cast("string")).alias("path"), F.col("doc_id").alias("seq"), pick(["CRITICAL", "HIGH", "MEDIUM", "LOW", "INFO"], 5).alias("severity"), ((1 + F.col("doc_id") % 9) / 10.0).alias("confidence"), pick(["BAD_PRACTICE", "INCORRECT_SIGNATURE", "TABLE_NOT_FOUND", "COMPONENT_NOT_FOUND", "INVALID_TYPE", "OTHER", "OTHER"], 7).alias("type"))
 
 
 @query(FINDINGS_SQL + """ SELECT path, count(*) AS total, count(*) FILTER (severity = 'CRITICAL') AS critical, count(*) FILTER (severity = 'HIGH') AS high,
   count(*) FILTER (severity = 'MEDIUM') AS medium, count(*) FILTER (severity = 'LOW') AS low FROM findings GROUP BY path""")
-def severity_stats(spark, d):
-    return report.statistics(findings(spark, d), "path")
+def severity_stats(spark, d, found=findings):
+    return report.statistics(found(spark, d), "path")
 
 
 @query(FINDINGS_SQL + """ SELECT path, round(greatest(0.0, 1 - sum(CASE severity WHEN 'CRITICAL' THEN 1.0 WHEN 'HIGH' THEN 0.8 WHEN 'MEDIUM' THEN 0.6 WHEN 'LOW' THEN 0.4 ELSE 0.2 END * confidence) / (2 * count(*))), 6) AS confidence FROM findings GROUP BY path
 UNION ALL SELECT 'none', 1.0""")
-def confidence_score(spark, d):
-    f = findings(spark, d)
+def confidence_score(spark, d, found=findings):
+    f = found(spark, d)
     files = f.select("path").unionByName(spark.createDataFrame([("none",)], "path string"))
     return report.confidence(f, files).select("path", F.round("confidence", 6).alias("confidence"))
 
 
 @query(FINDINGS_SQL + """ SELECT seq, severity, CAST(confidence AS DOUBLE) AS confidence FROM findings ORDER BY list_position(['CRITICAL', 'HIGH', 'MEDIUM', 'LOW', 'INFO'], severity), findings.confidence DESC, seq LIMIT 10""")
-def top_detections(spark, d):
-    return report.top(findings(spark, d)).select("seq", "severity", "confidence")
+def top_detections(spark, d, found=findings):
+    return report.top(found(spark, d)).select("seq", "severity", "confidence")
 
 
 @query(FINDINGS_SQL + """, c AS (SELECT path, count(*) FILTER (type = 'COMPONENT_NOT_FOUND') AS a, count(*) FILTER (type = 'TABLE_NOT_FOUND') AS b, count(*) FILTER (type = 'INCORRECT_SIGNATURE') AS e, count(*) FILTER (type = 'BAD_PRACTICE') AS g FROM findings GROUP BY path)
 SELECT path, a || ' unknown components: check their imports' AS recommendation FROM c WHERE a > 0 UNION ALL SELECT path, b || ' unknown tables: check their names against the schema' FROM c WHERE b > 0
 UNION ALL SELECT path, e || ' calls with wrong arguments: check the signatures' FROM c WHERE e > 0 UNION ALL SELECT path, g || ' findings on practice: follow the framework''s guides' FROM c WHERE g > 0
 UNION ALL SELECT path, 'turn strict mode on' FROM c""")
-def recommendations(spark, d):
-    f = findings(spark, d)
+def recommendations(spark, d, found=findings):
+    f = found(spark, d)
     files = f.select("path", F.lit("typescript").alias("language"), F.array().cast("array<string>").alias("frameworks")).distinct()
     return report.recommendations(f, files)
 
 
 @query(FINDINGS_SQL + " SELECT severity, round(avg(confidence), 6) AS mean_confidence, round(count(*) / greatest(count(DISTINCT path), 1), 6) AS density FROM findings GROUP BY severity")
-def mean_confidence(spark, d):
-    f = findings(spark, d)
+def mean_confidence(spark, d, found=findings):
+    f = found(spark, d)
     n = f.groupBy("severity").agg(F.round(report.density(F.count("*"), F.count_distinct("path")), 6).alias("density"))
     return report.mean_confidence(f, "severity").join(n, "severity").select("severity", F.round("mean_confidence", 6).alias("mean_confidence"), "density")
 
 
+def _of_all_labels(plan, sql):
+    """The plan once more, over findings made from every row of labels."""
+
+    def whole(spark, d):
+        return plan(spark, d, label_findings)
+
+    whole.__name__ = f"{plan.__name__}_all"
+    query(sql.replace(" FROM labels WHERE quality = 1)", " FROM labels)"))(whole)
+
+
+for _plan in (severity_stats, confidence_score, top_detections, recommendations, mean_confidence):
+    _of_all_labels(_plan, ORACLES[_plan.__name__])
+
+
 @query(f"WITH {X.FILES_SQL}, m AS (SELECT path, lower(unnest(regexp_extract_all(content, 'from\\s+[''\"]([^''\"]+)[''\"]', 1))) AS m FROM files) SELECT DISTINCT path, CASE WHEN contains(m, 'react') THEN 'react' WHEN contains(m, 'next') THEN 'next' WHEN contains(m, 'vue') THEN 'vue' END AS framework FROM m WHERE regexp_matches(m, 'react|next|vue')")
 def frameworks_detected(spark, d):
     imports = extract.extract_tsx(X.files(spark)).filter("kind = 'import'").select("path", F.col("name").alias("module"))

@@ -211,3 +211,16 @@ def test_all_text_rules_run_over_documents(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {tuple(r) for r in plans.QUERIES["rule_scan_documents_all"](spark, str(tmp_path)).collect()}
     assert got == {(1, "sentence_short", 2), (1, "token_value", 1), (1, "shouting", 1), (2, "shouting", 2), (3, "sentence_short", 2)}
+
+
+def test_findings_of_all_labels(spark, tmp_path):
+    from lodestone import plans
+
+    rows = [(i, i % 2) for i in range(1, 41)] + [(41, None)]
+    spark.createDataFrame(rows, "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    run = lambda name: plans.QUERIES[name](spark, str(tmp_path)).collect()
+    assert sum(r.total for r in run("severity_stats_all")) == 41
+    assert {r.path for r in run("confidence_score_all")} == {f"f{i}" for i in range(1, 42)} | {"none"}
+    assert [r.seq for r in run("top_detections_all")][:3] == [35, 25, 15]
+    assert sum(r.recommendation == "turn strict mode on" for r in run("recommendations_all")) == 41
+    assert {r.severity: round(r.mean_confidence, 6) for r in run("mean_confidence_all")}["CRITICAL"] == round(sum((1 + i % 9) / 10 for i in range(5, 41, 5)) / 8, 6)
