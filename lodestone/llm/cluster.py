@@ -22,12 +22,14 @@ from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``; only where that is unset, a local folder of our own."""
+    """The cluster's ``spark.checkpoint.dir``; only where that is unset and all runs on one machine, a local folder of our own."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
         known = spark.sparkContext._jsc.sc().getCheckpointDir()
         where = known.get() if known.isDefined() else None
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir is unset: driver and executors need a folder that all of them see")
         where = "file://" + tempfile.mkdtemp(prefix="lodestone-")
         spark.sparkContext.setCheckpointDir(where)
     elif not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
@@ -42,17 +44,39 @@ def open_folder(uri: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(uri)
 
 
+_made: list[str] = []  # scratch folders that are still there
+
+
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder for one run of an operator, removed when the driver's Python ends."""
+    """A new folder for one run of an operator, removed by ``released`` or when the driver's Python ends."""
     uri = f"{shared_folder(spark)}/lodestone/{name}-{uuid.uuid4().hex[:12]}"
+    _made.append(uri)
+    return uri
 
-    def remove() -> None:
+
+def _remove(uris: list[str]) -> None:
+    for uri in uris:
+        _made.remove(uri)
         with suppress(OSError):
             store, path = open_folder(uri)
             store.delete_dir(path)
 
-    atexit.register(remove)
-    return uri
+
+@atexit.register
+def _remove_all() -> None:
+    _remove(list(_made))
+
+
+def released(df: DataFrame, name: str, since: int) -> DataFrame:
+    """``df`` saved; the scratch folders made after the first ``since`` that it was made from are removed."""
+    out = saved(df, name)
+    _remove(_made[since:-1])
+    return out
+
+
+def made() -> int:
+    """How many scratch folders there are, for ``released``."""
+    return len(_made)
 
 
 def saved(df: DataFrame, name: str) -> DataFrame:
@@ -77,10 +101,11 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """Smallest node of each node's connected component.
 
     edges: (a, b) of one comparable type; loops and repeats are allowed. Returns
-    (node, component) for each node of an edge with another node. Alternates the
-    large-star and small-star steps until no edge changes; each step is one
-    aggregation with partial sums and one join, and no node's neighbours meet in
-    one task.
+    (node, component) for each node of an edge with another node; edges with a null end
+    are left out. Alternates the large-star and small-star steps until no edge changes;
+    each step is one aggregation with partial minima and one join with its result. The
+    neighbours of a node meet in no group; where a hub has a large part of all edges,
+    adaptive execution splits its side of the join.
     """
     e = cut(edges.filter("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     state = None
@@ -100,9 +125,38 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     return e.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(e.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
 
 
-def row_key(*columns: str) -> Column:
-    """A 64-bit key of a row's own columns (nulls included); repeated rows share it."""
-    return F.xxhash64(*[x for c in columns for x in (F.col(c).isNull(), F.col(c))])
+def by_position(df: DataFrame) -> DataFrame:
+    """The rows with columns c0, c1, ...: names that clash, differ in case or hold dots play no part."""
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+
+
+def at(df: DataFrame, name: str) -> Column:
+    """A column of ``df`` as ``by_position`` names it: that of this very name, else of this name in any case."""
+    if name not in df.columns:
+        name = {c.lower(): c for c in reversed(df.columns)}[name.lower()]
+    return F.col(f"c{df.columns.index(name)}")
+
+
+def seats(spark: SparkSession, n: int) -> list[int]:
+    """n keys that hash partitioning into n partitions deals to one partition each."""
+    rows = spark.range(32 * n + 64).select("id", F.pmod(F.hash("id"), F.lit(n)).alias("p")).groupBy("p").agg(F.min("id").alias("id")).collect()  # n rows
+    free = {r["p"]: r["id"] for r in rows}
+    return [free.get(p, p) for p in range(n)]
+
+
+def forest(n: int, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(node, smallest node of its component) where they differ, for edges among n nodes."""
+    low = np.arange(n)
+    while len(a):
+        before = low.copy()
+        m = np.minimum(low[a], low[b])
+        np.minimum.at(low, a, m)
+        np.minimum.at(low, b, m)
+        low = low[low]
+        if np.array_equal(low, before):
+            break
+    out = np.flatnonzero(low != np.arange(n))
+    return out, low[out]
 
 
 def batches(arrays: Iterator, size: int) -> Iterator:

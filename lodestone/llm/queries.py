@@ -122,9 +122,11 @@ SELECT s.doc_id, CAST(len(g) AS BIGINT) AS n_shingles, m.c AS component_id FROM
 
 @query
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
     from .packing import pack_documents
 
-    return pack_documents(table(spark, sf_dir, "documents"))
+    return pack_documents(table(spark, sf_dir, "documents"), tokenizer=public_tokenizers.path("byte_bpe_50k.json"))
 
 
 @query

@@ -5,15 +5,17 @@ part has ``NAME.bin`` (little-endian ids, 2 bytes each where the vocabulary fits
 ``NAME.idx`` (magic, id width, 64-bit counts, then the 64-bit start of each document
 inside the part and one end, then the 64-bit document ids with a null flag each).
 Where a part begins in the whole stream is the prefix sum of the sizes of the parts
-before it; only one count a part reaches the driver.
+before it; only one count a part reaches the driver. How many parts there are follows
+from the bytes of text, so a part has a bounded size whatever the table's.
 
 Encoding cuts a text at each space before a non-space character. The byte-level
 pre-tokenizer never joins across such a place, so a Python worker has the library encode
 each distinct piece once and the ids of a text are those of its pieces, joined.
 
-Defined cases: a null or empty text has the end id alone; a null doc_id comes first;
-rows with one doc_id follow each other in an order fixed by their ids; an empty table
-gives an empty dataset; other columns play no part.
+Defined cases: a null or empty text has the end id alone; rows without doc_id come
+first, in as many parts as their share of the rows asks for; rows with one doc_id follow
+each other in an order fixed by their ids and are in one part; an empty table gives an
+empty dataset; other columns play no part.
 """
 
 from __future__ import annotations
@@ -22,7 +24,9 @@ import os
 import re
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
@@ -36,6 +40,7 @@ MAGIC = b"LDSTOK1\0"
 _CUT = re.compile(r" (?=[^\s])")
 _ODD = re.compile(r" \s")
 _CACHE = 1_000_000  # pieces kept in a Python worker, about 200 MB
+PART_BYTES = 32 << 20  # expected text of a part
 
 
 class _Pieces(dict):
@@ -51,6 +56,19 @@ class _Pieces(dict):
         return ids
 
 
+class _Counts(dict):
+    """How many ids the pieces after a space have."""
+
+    def __init__(self, encoder: Encoder):
+        self.encoder = encoder
+
+    def __missing__(self, piece: str) -> int:
+        n = len(self.encoder.ids(" " + piece))
+        if len(self) < _CACHE:
+            self[piece] = n
+        return n
+
+
 class Encoder:
     """Ids of whole texts, as bytes of little-endian integers of ``width`` bytes."""
 
@@ -63,23 +81,36 @@ class Encoder:
         self.width = 2 if self.library.get_vocab_size() <= 1 << 16 else 4
         self.kind = np.dtype("<u2" if self.width == 2 else "<u4")
         self.known = _Pieces(self)
+        self.sizes = _Counts(self)
 
     def pack(self, ids: list[int]) -> bytes:
         return np.array(ids, self.kind).tobytes()
 
+    def ids(self, text: str) -> list[int]:
+        return self.library.encode(text, add_special_tokens=False).ids
+
     def whole(self, text: str) -> bytes:
-        return self.pack(self.library.encode(text, add_special_tokens=False).ids)
+        return self.pack(self.ids(text))
+
+    def cut(self, text: str) -> list[str]:
+        """What stands before the first cut, and the pieces after each without their space."""
+        if any(s in text for s in self.special):
+            return [text]
+        return _CUT.split(text) if _ODD.search(text) else text.split(" ")
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
         out, get = [], self.known.__getitem__
         for text in texts:
-            if not text:
-                out.append(b"")
-            elif any(s in text for s in self.special):
-                out.append(self.whole(text))
-            else:
-                head, *rest = _CUT.split(text) if _ODD.search(text) else text.split(" ")
-                out.append((self.whole(head) if head else b"") + b"".join(map(get, rest)))
+            head, *rest = self.cut(text) if text else [""]
+            out.append((self.whole(head) if head else b"") + b"".join(map(get, rest)))
+        return out
+
+    def counts(self, texts: list[str | None]) -> list[int]:
+        """How many ids each text has."""
+        out, get = [], self.sizes.__getitem__
+        for text in texts:
+            head, *rest = self.cut(text) if text else [""]
+            out.append((len(self.ids(head)) if head else 0) + sum(map(get, rest)))
         return out
 
 
@@ -89,35 +120,61 @@ def encoder_of(path: str) -> Encoder:
     return Encoder(path)
 
 
-def encode(docs: DataFrame, tokenizer: str, end_id: int | None = None, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """(doc_id, ids): the ids of each whole text as packed little-endian integers."""
+@dataclass(frozen=True)
+class Parts:
+    """How documents are dealt to parts: ``bare`` parts of rows without id, then one a range between the bounds."""
+
+    bare: int
+    bounds: tuple[int, ...]
+
+    def __len__(self) -> int:
+        return self.bare + len(self.bounds) + 1
+
+    def of(self, doc_ids: pa.Array, ids: list[bytes]) -> np.ndarray:
+        null = doc_ids.is_null().to_numpy(zero_copy_only=False)
+        out = self.bare + np.searchsorted(np.array(self.bounds, np.int64), doc_ids.fill_null(0).to_numpy())
+        for i in np.flatnonzero(null):
+            out[i] = zlib.crc32(ids[i]) % max(1, self.bare)
+        return out
+
+
+def plan_parts(docs: DataFrame, parts: int | None = None) -> Parts:
+    """Parts of about equal numbers of documents; docs: (doc_id, text). ``parts``: how many, by size where not given."""
+    n, bare, size = docs.agg(F.count("*"), F.count_if(F.col("doc_id").isNull()), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    parts = max(1, parts or -(-size // PART_BYTES))
+    null = min(max(1, parts - 1), -(-parts * bare // n)) if bare else 0
+    cuts = [x / max(1, parts - null) for x in range(1, parts - null)]
+    ids = docs.select("doc_id").filter("doc_id is not null")
+    return Parts(null, tuple(sorted({int(x) for x in ids.approxQuantile("doc_id", cuts, 0.1 / parts)})) if cuts else ())
+
+
+def documents_of(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    rows = cluster.by_position(docs)
+    return rows.select(cluster.at(docs, id_column).cast("long").alias("doc_id"), cluster.at(docs, text_column).cast("string").alias("text"))
+
+
+def encode(docs: DataFrame, tokenizer: str, end_id: int | None = None, parts: Parts | None = None) -> DataFrame:
+    """(part, doc_id, ids): the ids of each whole text as packed little-endian integers; docs: (doc_id, text)."""
+    parts = parts or Parts(0, ())
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoder_of(tokenizer)
         end = b"" if end_id is None else encoder.pack([end_id])
         for batch in cluster.batches(it, 1000):
             ids = [x + end for x in encoder(batch.column(1).to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], ["doc_id", "ids"])
-
-    return docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text")).mapInArrow(run, "doc_id long, ids binary")
+            yield pa.RecordBatch.from_arrays([pa.array(parts.of(batch.column(0), ids).astype(np.int32)), batch.column(0), pa.array(ids, pa.binary())], ["part", "doc_id", "ids"])
 
+    return docs.mapInArrow(run, "part int, doc_id long, ids binary")
 
-def part_bounds(docs: DataFrame, parts: int, id_column: str = "doc_id") -> list[int]:
-    """Quantiles of the ids, at most parts - 1; reads that column only."""
-    cuts = [x / parts for x in range(1, parts)]
-    ids = docs.select(F.col(id_column).cast("long").alias("doc_id")).filter("doc_id is not null")
-    return sorted({int(x) for x in ids.approxQuantile("doc_id", cuts, 0.1 / parts)}) if cuts else []
 
+def write(encoded: DataFrame, folder: str, width: int, parts: int) -> DataFrame:
+    """Write (part, doc_id, ids) in ascending order; returns (part, name, n_docs, n_tokens, base_token, base_doc).
 
-def write(encoded: DataFrame, folder: str, width: int, bounds: list[int]) -> DataFrame:
-    """Write (doc_id, ids) in ascending doc_id order; returns (part, name, n_docs, n_tokens, base_token, base_doc).
-
-    Parts are the doc_id ranges between the bounds. A part is written by one task under a
-    name of its own attempt, so what a lost or repeated task has written is never read.
+    A part is written by one task under a name of its own attempt, so what a lost or
+    repeated task has written is never read.
     """
     spark = encoded.sparkSession
-    part = F.when(F.col("doc_id").isNull(), F.lit(0)).otherwise(F.size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: b < F.col("doc_id"))) if bounds else F.lit(0))
-    placed = encoded.withColumn("part", part)
+    seats = cluster.seats(spark, parts)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -127,12 +184,13 @@ def write(encoded: DataFrame, folder: str, width: int, bounds: list[int]) -> Dat
         state = None
 
         def close(state) -> pa.RecordBatch:
-            part, out, starts, docs = state
+            part, out, starts, docs, null = state
             out.close()
-            head = MAGIC + struct.pack("<qqq", width, len(docs), starts[-1])
-            body = np.array(starts, "<i8").tobytes() + np.array([d or 0 for d in docs], "<i8").tobytes() + bytes(d is None for d in docs)
             with store.open_output_stream(f"{path}/{part:06d}-{tag}.idx") as f:
-                f.write(head + body)
+                f.write(MAGIC + struct.pack("<qqq", width, len(docs), starts[-1]))
+                for x in (starts, docs):
+                    f.write(np.frombuffer(x, np.int64).astype("<i8").tobytes())
+                f.write(bytes(null))
             return pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "name": [f"{part:06d}-{tag}"], "n_docs": [len(docs)], "n_tokens": [starts[-1]]})
 
         for batch in cluster.batches(it, 1000):
@@ -141,15 +199,18 @@ def write(encoded: DataFrame, folder: str, width: int, bounds: list[int]) -> Dat
                     if state:
                         yield close(state)
                     store.create_dir(path, recursive=True)
-                    state = (p, store.open_output_stream(f"{path}/{p:06d}-{tag}.bin"), [0], [])
-                state[1].write(ids.as_buffer())
-                state[2].append(state[2][-1] + len(ids.as_buffer()) // width)
-                state[3].append(d)
+                    state = (p, store.open_output_stream(f"{path}/{p:06d}-{tag}.bin"), array("q", [0]), array("q"), bytearray())
+                raw = ids.as_buffer()
+                state[1].write(raw)
+                state[2].append(state[2][-1] + len(raw) // width)
+                state[3].append(d or 0)
+                state[4].append(d is None)
         if state:
             yield close(state)
 
-    sizes = placed.repartition(len(bounds) + 1, "part").sortWithinPartitions("part", F.asc_nulls_first("doc_id"), "ids").select("part", "doc_id", "ids").mapInArrow(run, "part int, name string, n_docs long, n_tokens long")
-    rows = sorted(tuple(r) for r in sizes.collect())  # one row a part
+    seat = F.element_at(F.array(*map(F.lit, seats)), F.col("part") + 1) if parts <= 256 else F.col("part")  # one part a task
+    dealt = encoded.repartition(parts, seat).sortWithinPartitions("part", F.asc_nulls_first("doc_id"), "ids")
+    rows = sorted(tuple(r) for r in dealt.mapInArrow(run, "part int, name string, n_docs long, n_tokens long").collect())  # one row a part
     out, token, doc = [], 0, 0
     for p, name, d, t in rows:
         out.append((p, name, d, t, token, doc))
@@ -192,15 +253,10 @@ def read(parts: DataFrame, folder: str) -> DataFrame:
     return parts.repartitionByRange(n, "part").select("name", "base_token").mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")
 
 
-def crc32(ids: bytes) -> int:
-    return zlib.crc32(ids)
-
-
-def token_files(docs: DataFrame, tokenizer: str, end_id: int | None = None, folder: str | None = None, parts: int | None = None) -> tuple[DataFrame, DataFrame, str]:
+def token_files(docs: DataFrame, tokenizer: str, end_id: int | None = None, folder: str | None = None, parts: int | None = None, id_column: str = "doc_id", text_column: str = "text") -> tuple[DataFrame, DataFrame, str]:
     """Encode and write a table of documents; returns the parts, the documents read back and the folder."""
-    spark = docs.sparkSession
-    folder = folder or cluster.scratch(spark, "tokens")
-    width = encoder_of(tokenizer).width
-    bounds = part_bounds(docs, parts or cluster.partitions(spark))
-    written = write(encode(docs, tokenizer, end_id), folder, width, bounds)
+    folder = folder or cluster.scratch(docs.sparkSession, "tokens")
+    rows = documents_of(docs, id_column, text_column)
+    plan = plan_parts(rows, parts)
+    written = write(encode(rows, tokenizer, end_id, plan), folder, encoder_of(tokenizer).width, len(plan))
     return written, read(written, folder), folder

@@ -102,7 +102,41 @@ def test_character_map_longest_prefix_and_alignment():
     assert len(back) == len(out) + 1 and back[0] == 2
 
 
-def test_crc():
-    from lodestone.llm.tokens import crc32
+def test_query_digests(spark):
+    from tokenizers import Tokenizer
+
+    from lodestone.llm.queries import QUERIES
+
+    t = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    start, want = 0, {}
+    for d in sorted(texts):
+        ids = t.encode(texts[d], add_special_tokens=False).ids + [2]
+        want[d] = (start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        start += len(ids)
+    assert {r.doc_id: (r.start, r.n_tokens, r.ids_crc32) for r in QUERIES["op7_token_files"](spark, SF).collect()} == want
+    import sentencepiece
 
-    assert crc32(b"abc") == zlib.crc32(b"abc")
+    s = sentencepiece.SentencePieceProcessor(model_file=P.path("piece_bpe_32k.model"))
+    rows = {r.doc_id: (r.n_tokens, r.decoded_sha256) for r in QUERIES["op8_sentencepiece"](spark, SF).collect()}
+    assert rows == {d: (len(i), hashlib.sha256(s.decode(i).encode()).hexdigest()) for d, x in texts.items() for i in [s.encode(x) + [2]]}
+
+
+def test_parts_of_rows_without_id_and_wide_ids(spark):
+    from lodestone.llm import cluster, tokens
+
+    rows = [(None if i % 3 == 0 else i // 2, f"word {i} " * (i % 7)) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    plan = tokens.plan_parts(docs, 9)
+    assert plan.bare >= 2 and 6 <= len(plan) <= 9
+    written, back, _ = tokens.token_files(docs, P.path("byte_bpe_50k.json"), end_id=2, parts=9)
+    assert written.count() >= 6
+    got = sorted((r.start, r.doc_id, r.n_tokens) for r in back.collect())
+    assert len(got) == 400 and [g[1] is None for g in got] == sorted([r[0] is None for r in rows], reverse=True)
+    assert all(a[0] + a[2] == b[0] for a, b in zip(got, got[1:]))
+    ids = [(0, 5, [70000, 3]), (0, None, []), (1, 9, [2**31])]
+    wide = spark.createDataFrame([(p, d, bytearray(np.array(i, "<u4").tobytes())) for p, d, i in ids], "part int, doc_id long, ids binary")
+    folder = cluster.scratch(spark, "wide")
+    back = tokens.read(tokens.write(wide, folder, 4, 2), folder)
+    got = {(r.start, r.doc_id, *np.frombuffer(r.ids, "<u4").tolist()) for r in back.collect()}
+    assert got == {(0, None), (0, 5, 70000, 3), (2, 9, 2**31)}

@@ -61,14 +61,35 @@ def test_toxicity_odd_rows(spark, scorer):
     assert without_toxic(docs.limit(0), labels.limit(0)).count() == 0
 
 
+def least_cost(sizes, lengths, overhead, span):
+    """The cost of the best of all partitions of a few sequences into bins."""
+    from lodestone.llm.packing import bin_cost
+
+    def partitions(rest):
+        if not rest:
+            yield []
+            return
+        head, *tail = rest
+        for p in partitions(tail):
+            yield [[head], *p]
+            for i in range(len(p)):
+                yield [*p[:i], [head, *p[i]], *p[i + 1 :]]
+
+    best = float("inf")
+    for p in partitions(sizes):
+        if all(sum(b) <= lengths[-1] for b in p):
+            best = min(best, sum(bin_cost(min(c for c in lengths if c >= sum(b)), overhead, span) for b in p))
+    return best
+
+
 def test_best_fit():
-    from lodestone.llm.packing import best_fit
+    from lodestone.llm.packing import best_fit, total_cost
 
     rng = np.random.default_rng(0)
     lengths = (64, 128, 256)
     for _ in range(50):
         sizes = rng.integers(1, 257, int(rng.integers(1, 200))).tolist()
-        place, capacity = best_fit(sizes, lengths, 4.0)
+        place, capacity = best_fit(sizes, lengths, 4.0, 512.0)
         held = Counter()
         for n, (b, offset) in zip(sizes, place):
             held[b] += n
@@ -77,25 +98,55 @@ def test_best_fit():
             assert capacity[b] == min(c for c in lengths if c >= n)
         spans = sorted((b, o, o + n) for n, (b, o) in zip(sizes, place))
         assert all(x[0] != y[0] or x[2] <= y[1] for x, y in zip(spans, spans[1:]))
-    sizes = rng.integers(1, 257, 3000).tolist()
-    _, joint = best_fit(sizes, lengths, 4.0)
-    _, single = best_fit(sizes, lengths[-1:], 4.0)
-    cost = lambda c: sum(c) + 4 * len(c)
-    assert cost(joint) <= cost(single) and sum(joint) < 1.02 * sum(sizes)
+    assert best_fit([], lengths) == ([], [])
+
+
+@pytest.mark.parametrize("overhead,span", [(4.0, 512.0), (32.0, 16384.0), (400.0, 1e9), (0.0, 64.0)])
+def test_joint_lengths_cost_less_than_any_single_one(overhead, span):
+    from lodestone.llm.packing import LENGTHS, best_fit, total_cost
+
+    rng = np.random.default_rng(1)
+    sizes = np.minimum(rng.lognormal(6.4, 1.1, 3000).astype(int) + 1, LENGTHS[-1]).tolist()
+    _, joint = best_fit(sizes, LENGTHS, overhead, span)
+    _, single = best_fit(sizes, LENGTHS[-1:], overhead, span)
+    assert set(single) == {LENGTHS[-1]} and sum(joint) < 1.01 * sum(sizes)
+    assert total_cost(joint, overhead, span) <= total_cost(single, overhead, span)
+    if (overhead, span) == (32.0, 16384.0):
+        assert len(set(joint)) == len(LENGTHS) and total_cost(joint, overhead, span) < 0.9 * total_cost(single, overhead, span)
+
+
+def test_best_fit_against_all_partitions():
+    from lodestone.llm.packing import best_fit, total_cost
+
+    rng = np.random.default_rng(2)
+    ratio = []
+    for _ in range(60):
+        sizes = rng.integers(1, 33, int(rng.integers(1, 8))).tolist()
+        lengths, overhead, span = (8, 16, 32), float(rng.integers(0, 12)), float(rng.integers(16, 200))
+        least = least_cost(sizes, lengths, overhead, span)
+        ratio.append(total_cost(best_fit(sizes, lengths, overhead, span)[1], overhead, span) / least)
+    assert min(ratio) > 1 - 1e-9 and max(ratio) < 1.25 and np.mean(np.array(ratio) < 1 + 1e-9) > 0.7
 
 
 def test_packing_covers_every_token(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
     from lodestone.llm.packing import pack, pack_documents
 
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
-    rows = pack_documents(docs, lengths=(128, 256, 512)).collect()
-    want = {r.doc_id: len(r.text.split()) for r in docs.collect()}
-    got = Counter()
-    for r in rows:
-        got[r.doc_id] += r.length
-        assert r.length == 0 or r.offset + r.length <= r.capacity
-    assert got == Counter(want)
-    odd = spark.createDataFrame([(1, 0, "x"), (None, 3, "y"), (2, 3, "z"), (2, 3, "z"), (3, None, "z"), (4, 1300, None)], "doc_id long, length long, shard string")
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    library = Tokenizer.from_file(path)
+    counts = {d: len(e.ids) + 1 for d, e in zip(texts, library.encode_batch([t or "" for t in texts.values()], add_special_tokens=False))}
+    for tokenizer, want in ((None, {d: len(t.split()) for d, t in texts.items()}), (path, counts)):
+        rows = pack_documents(docs, (128, 256, 512), tokenizer).collect()
+        got = Counter()
+        for r in rows:
+            got[r.doc_id] += r.length
+            assert r.length == 0 or r.offset + r.length <= r.capacity
+        assert got == Counter(want)
+    odd = spark.createDataFrame([(1, 0, "x", 1), (None, 3, "y", 1), (2, 3, "z", 1), (2, 3, "z", 1), (3, None, "z", 1), (4, 1300, None, 1)], "doc_id long, length long, shard string, `a.b` int")
     rows = pack(odd, (128, 512)).collect()
     assert len(rows) == 8 and sorted(r.length for r in rows if r.doc_id == 4) == [276, 512, 512]
     assert all(r.bin_id is None for r in rows if not r.length)
