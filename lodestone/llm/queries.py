@@ -98,6 +98,17 @@ def op9_pivot_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(rows).select(F.col("id").alias("vec_id"), "n_links", "component_id", "kept")
 
 
+ORACLE_SQL["op9_pivot_near_duplicates"] = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND vec_id IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+p AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= 0.9),
+r AS (SELECT vec_id, vec_id AS c FROM embeddings UNION SELECT r.vec_id, p.b FROM r JOIN p ON p.a = r.c),
+n AS (SELECT a AS vec_id, count(*) AS n FROM p GROUP BY a)
+SELECT vec_id, coalesce(max(n.n), 0) AS n_links, min(c) AS component_id, vec_id = min(c) AS kept FROM r LEFT JOIN n USING (vec_id) GROUP BY vec_id
+"""
+
+
 @query
 def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .jaccard import similar

@@ -5,14 +5,17 @@ means and deviations of its segments, at several resolutions. For a segment of n
 components the inner product is at most n * (mean * mean + deviation * deviation), so
 the score is bounded (the distance from below, the inner product from above) coarse to
 fine; only vectors whose bound reaches the current k-th score are computed exactly.
-Queries go over all rows in slabs of a fixed number of queries, whatever their count.
+Queries are written as slabs of a fixed number of rows to the shared folder, and each
+task takes its own rows through all of them, slab by slab: one scan and one plan,
+however many queries there are.
 
 Near-duplicates (pivot permutation index): reference points are rows of smallest id
-hash; a vector is described by its nearest ones in order, goes into the inverted list
-of each, and is compared with what shares a list. A pair counts in the first of its
-shared lists alone, when its cosine in double precision reaches the threshold and it
-shares ``least_shared`` pivots (one, so that no verified pair is dropped). Equal vectors are one class before that; lists of any length
-are compared block by block.
+hash; a vector is described by its nearest ones in order and goes into the inverted list
+of each. Two vectors of a list are retrieved by how many pivots they share, counted
+through the lists that the members of this list are also in; only pairs that share
+``least_shared`` of them are verified, by their cosine in double precision, each in the
+first list that both are in. Equal vectors are one class before that; lists of any
+length are taken block by block.
 
 Defined cases: vectors that are null or hold null or non-finite components take no part
 in either operator (zero vectors: not in the second); vectors of unequal length are
@@ -36,6 +39,7 @@ from . import cluster
 
 RESOLUTIONS = (1, 4, 16)
 DATA_BLOCK, QUERY_SLAB = 8192, 4096
+HELD = 64 << 20  # bytes of rows that a task takes through all slabs at once
 
 
 def usable(vector: str) -> Column:
@@ -48,34 +52,29 @@ def matrix(column: pa.Array, width: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, width)
 
 
-def _packed(df: DataFrame, rows: int, scale: float | None) -> DataFrame:
-    """(width, ids, data) blocks of at most ``rows`` vectors of equal width; ``df`` has (id, vector)."""
-
-    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, tuple[list, list]] = {}
-
-        def block(width: int) -> pa.RecordBatch:
-            ids, data = held.pop(width)
-            x = np.concatenate(data)
-            if scale is not None:
-                x = np.floor(scale * x)
-            return pa.RecordBatch.from_pydict({"width": pa.array([width], pa.int32()), "ids": pa.array([np.concatenate(ids).astype("<i8").tobytes()], pa.binary()), "data": pa.array([x.astype("<f8").tobytes()], pa.binary())})
-
-        for batch in cluster.batches(it, rows):
-            ids, col = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1)
-            size = np.diff(np.asarray(col.offsets))
-            for width in np.unique(size):
-                at = np.flatnonzero(size == width)
-                part = col if len(at) == len(size) else col.take(pa.array(at))
+def blocks(it: Iterator[pa.RecordBatch], rows: int, scale: float | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(ids, vectors) of at most ``rows`` vectors of equal width, from batches of (id, vector)."""
+    held: dict[int, tuple[list, list]] = {}
+
+    def block(width: int) -> tuple[np.ndarray, np.ndarray]:
+        ids, data = held.pop(width)
+        x = np.concatenate(data)
+        return np.concatenate(ids), np.floor(scale * x) if scale is not None else x
+
+    for batch in cluster.batches(it, rows):
+        ids, col = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1)
+        size = np.diff(np.asarray(col.offsets))
+        for width in np.unique(size):
+            at = np.flatnonzero(size == width)
+            part = col if len(at) == len(size) else col.take(pa.array(at))
+            have = held.setdefault(int(width), ([], []))
+            if sum(map(len, have[0])) + len(at) > rows:
+                yield block(int(width))
                 have = held.setdefault(int(width), ([], []))
-                have[0].append(ids[at])
-                have[1].append(matrix(part, int(width)))
-                if sum(map(len, have[0])) >= rows:
-                    yield block(int(width))
-        for width in list(held):
-            yield block(width)
-
-    return df.mapInArrow(run, "width int, ids binary, data binary")
+            have[0].append(ids[at])
+            have[1].append(matrix(part, int(width)))
+    for width in list(held):
+        yield block(width)
 
 
 def _statistics(x: np.ndarray, segments: int) -> np.ndarray:
@@ -87,6 +86,15 @@ def _statistics(x: np.ndarray, segments: int) -> np.ndarray:
     return np.stack(out, 1)
 
 
+class _Rows:
+    """A block of rows with their statistics, made once for all slabs."""
+
+    def __init__(self, ids: np.ndarray, x: np.ndarray):
+        self.ids, self.x = ids, x
+        self.levels = [_statistics(x, s) for s in RESOLUTIONS]
+        self.slack = 1e-9 * (1 + float(np.linalg.norm(x, axis=1).max()))
+
+
 class _Best:
     """The k best scores of each query of a slab, ties to the smaller id."""
 
@@ -97,21 +105,19 @@ class _Best:
         self.score = np.full((len(q), k), -np.inf)
         self.found = np.full((len(q), k), -1, np.int64)
 
-    def add(self, ids: np.ndarray, x: np.ndarray) -> None:
-        slack = 1e-9 * (1 + float(np.linalg.norm(x, axis=1).max()))
-        levels = [_statistics(x, s) for s in RESOLUTIONS]
-        coarse = levels[0] @ self.levels[0].T
+    def add(self, rows: _Rows) -> None:
+        coarse = rows.levels[0] @ self.levels[0].T
         for j in range(len(self.q)):
-            least = self.score[j, -1] - slack * (1 + self.length[j])
+            least = self.score[j, -1] - rows.slack * (1 + self.length[j])
             at = np.flatnonzero(coarse[:, j] >= least)
-            for level, own in zip(levels[1:], self.levels[1:]):
+            for level, own in zip(rows.levels[1:], self.levels[1:]):
                 if len(at) > self.k:
                     at = at[level[at] @ own[j] >= least]
-            at = at[ids[at] != self.ids[j]]
+            at = at[rows.ids[at] != self.ids[j]]
             if not len(at):
                 continue
-            score = np.concatenate([self.score[j], x[at] @ self.q[j]])
-            found = np.concatenate([self.found[j], ids[at]])
+            score = np.concatenate([self.score[j], rows.x[at] @ self.q[j]])
+            found = np.concatenate([self.found[j], rows.ids[at]])
             if len(score) > 64:
                 floor = np.partition(score, len(score) - self.k)[len(score) - self.k]
                 keep = score >= floor
@@ -120,6 +126,25 @@ class _Best:
             self.score[j], self.found[j] = score[order], found[order]
 
 
+def _slabs(queries: DataFrame, folder: str, scale: float | None) -> list[tuple[str, int, int]]:
+    """Write the queries as slabs of one width; (path, width, rows) of each, under names of the task's attempt."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        store, path = cluster.open_folder(folder)
+        store.create_dir(path, recursive=True)
+        for i, (ids, x) in enumerate(blocks(it, QUERY_SLAB, scale)):
+            name = f"{path}/slab-{TaskContext.get().taskAttemptId()}-{i}"
+            with store.open_output_stream(name) as f:
+                f.write(ids.astype("<i8").tobytes())
+                f.write(x.astype("<f8").tobytes())
+            yield pa.RecordBatch.from_pydict({"path": [name], "width": pa.array([x.shape[1]], pa.int32()), "n": pa.array([len(x)], pa.int32())})
+
+    made = cluster.cut(queries.mapInArrow(run, "path string, width int, n int"))
+    return sorted(tuple(r) for r in made.collect())  # one row a slab
+
+
 def top_k(vectors: DataFrame, queries: DataFrame, k: int, scale: float | None = None) -> DataFrame:
     """The k rows of ``vectors`` of highest inner product for each row of ``queries``.
 
@@ -128,81 +153,80 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int, scale: float | None =
     """
     spark = vectors.sparkSession
     good = lambda d: d.select(F.col("id").cast("long").alias("id"), F.col("vector").cast("array<double>").alias("vector")).filter(usable("vector") & F.col("id").isNotNull())
-    asked = good(queries).dropDuplicates(["id", "vector"])
-    n = asked.count()
-    slabs = max(1, math.ceil(n / QUERY_SLAB))
-    slab = cluster.cut(_packed(asked.repartition(slabs), QUERY_SLAB, scale).withColumn("slab", F.monotonically_increasing_id()))
-    data = _packed(good(vectors), DATA_BLOCK, scale).select(F.col("width").alias("w"), F.col("ids").alias("row_ids"), F.col("data").alias("rows"))
+    asked = cluster.cut(good(queries).dropDuplicates(["id", "vector"]))
+    folder = cluster.scratch(spark, "slabs")
+    slabs = _slabs(asked.repartition(max(1, math.ceil(asked.count() / QUERY_SLAB))), folder, scale)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best: dict[tuple, _Best] = {}
-        for batch in it:
-            for i in range(batch.num_rows):
-                slab, width, ids, q, row_ids, rows = (batch.column(c)[i].as_py() for c in range(6))
-                if slab not in best:
-                    best[slab] = _Best(np.frombuffer(ids, "<i8"), np.frombuffer(q, "<f8").reshape(-1, width), k)
-                best[slab].add(np.frombuffer(row_ids, "<i8"), np.frombuffer(rows, "<f8").reshape(-1, width))
-        for slab, b in best.items():
-            at, col = np.nonzero(np.isfinite(b.score))
-            yield pa.RecordBatch.from_pydict({"slab": pa.array([slab] * len(at), pa.int64()), "at": pa.array(at, pa.int32()), "query_id": b.ids[at], "id": b.found[at, col], "score": b.score[at, col]})
-
-    keys = [r.slab for r in slab.select("slab").collect()]  # one a slab
-    found = None
-    for key in keys:  # each query slab has a fixed size, so this is what is broadcast at once
-        one = slab.filter(F.col("slab") == key)
-        pairs = data.join(F.broadcast(one), F.col("w") == F.col("width")).select("slab", "width", "ids", "data", "row_ids", "rows")
-        part = pairs.mapInArrow(run, "slab long, at int, query_id long, id long, score double")
-        found = part if found is None else found.unionByName(part)
-    if found is None:
-        return spark.createDataFrame([], "query_id long, rank int, id long, score double")
+        store, _ = cluster.open_folder(folder)
+
+        def through(held: list[_Rows]) -> Iterator[pa.RecordBatch]:
+            widths = {r.x.shape[1] for r in held}
+            for slab, (path, width, n) in enumerate(slabs):
+                if width not in widths:
+                    continue
+                with store.open_input_stream(path) as f:
+                    raw = f.read()
+                b = _Best(np.frombuffer(raw, "<i8", n), np.frombuffer(raw, "<f8", n * width, 8 * n).reshape(n, width), k)
+                for r in held:
+                    if r.x.shape[1] == width:
+                        b.add(r)
+                at, col = np.nonzero(np.isfinite(b.score))
+                yield pa.RecordBatch.from_pydict({"slab": pa.array([slab] * len(at), pa.int64()), "at": pa.array(at, pa.int32()), "query_id": b.ids[at], "id": b.found[at, col], "score": b.score[at, col]})
+
+        held: list[_Rows] = []
+        for ids, x in blocks(it, DATA_BLOCK, scale):
+            held.append(_Rows(ids, x))
+            if sum(r.x.nbytes for r in held) >= HELD:
+                yield from through(held)
+                held = []
+        if held:
+            yield from through(held)
+
+    found = good(vectors).mapInArrow(run, "slab long, at int, query_id long, id long, score double")
     order = Window.partitionBy("slab", "at").orderBy(F.desc("score"), F.asc("id"))
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "id", "score")
 
 
-PIVOTS = 4096  # at most; 4 * sqrt(rows) below that
-NEAREST = 8
+PIVOTS = 16384  # at most; 4 * sqrt(rows) below that
+PIVOT_CELLS = 1 << 20  # components of all reference points together, at most
+NEAREST = 12  # pivots that describe a vector
+SHARED = 2  # of them that two vectors must share to be verified
 CHUNK = 2048
-
-
-def forest(n: int, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(node, smallest node of its component) of the graph of n nodes, where they differ."""
-    low = np.arange(n)
-    while True:
-        before = low.copy()
-        m = np.minimum(low[a], low[b])
-        np.minimum.at(low, a, m)
-        np.minimum.at(low, b, m)
-        low = low[low]
-        if np.array_equal(low, before):
-            break
-    at = np.flatnonzero(low != np.arange(n))
-    return at, low[at]
+_PAIRS = 20_000  # pairs verified at a time
 
 
 APART = 0.8  # cosine of two reference points at most, so that a group of near copies has one of them
 
 
 def pivot_table(vectors: DataFrame, n: int) -> dict[int, np.ndarray]:
-    """Reference points by vector length: at most PIVOTS rows, those of smallest id hash, less those near one before."""
-    count = max(16, min(PIVOTS, math.ceil(4 * math.sqrt(max(n, 1)))))
-    rows = vectors.orderBy(F.xxhash64("id"), "id").limit(count).collect()
-    out: dict[int, list] = {}
-    for r in rows:
-        x = np.array(r.vector, np.float64)
-        out.setdefault(len(x), []).append(x / np.linalg.norm(x))
-    for k, v in out.items():
-        x = np.stack(v)
+    """Reference points by vector length: rows of smallest id hash, in number bounded by PIVOTS and PIVOT_CELLS, less those near one before."""
+    width = max(1, vectors.agg(F.max(F.size("vector"))).first()[0] or 1)
+    count = max(16, min(PIVOTS, PIVOT_CELLS // width, math.ceil(4 * math.sqrt(max(n, 1)))))
+    column = vectors.orderBy(F.xxhash64("id"), "id").limit(count).select("vector").toArrow().column(0).combine_chunks()
+    size = np.diff(np.asarray(column.offsets))
+    out: dict[int, np.ndarray] = {}
+    for k in np.unique(size):
+        x = unit_rows(matrix(column.take(pa.array(np.flatnonzero(size == k))), int(k)))
         free, chosen = np.ones(len(x), bool), []
         for i in range(len(x)):
             if free[i]:
                 chosen.append(i)
                 free &= x @ x[i] < APART
-        out[k] = x[chosen]
+        out[int(k)] = x[chosen]
     return out
 
 
+def unit_rows(x: np.ndarray) -> np.ndarray:
+    x = x / np.abs(x).max(1, keepdims=True)  # first, so that squares neither vanish nor overflow
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
 def _lists(classes: DataFrame, pivots: dict[int, np.ndarray], nearest: int) -> DataFrame:
-    """(pivot, id, weight, near, unit) rows, one for each of a vector's nearest pivots."""
+    """(pivot, id, weight, near, data, single) rows, one for each of a vector's nearest pivots.
+
+    data: the components, as 32-bit numbers where these are exact.
+    """
     shared = classes.sparkSession.sparkContext.broadcast(pivots)
     base = dict(zip(sorted(pivots), np.cumsum([0, *(len(pivots[k]) for k in sorted(pivots))])))
 
@@ -213,41 +237,78 @@ def _lists(classes: DataFrame, pivots: dict[int, np.ndarray], nearest: int) -> D
             for width in np.unique(size):
                 at = np.flatnonzero(size == width)
                 x = matrix(col.take(pa.array(at)), int(width))
-                top = np.abs(x).max(1, keepdims=True)  # first, so that squares neither vanish nor overflow
-                x = x / top
-                x /= np.linalg.norm(x, axis=1, keepdims=True)
                 p = shared.value.get(int(width))
                 if p is None:  # a width no pivot has: all its vectors share one list of their own
                     near = np.full((len(x), 1), -1 - int(width), np.int32)
                 else:
                     m = min(nearest, len(p))
-                    s = x @ p.T
+                    s = unit_rows(x) @ p.T
                     near = np.argpartition(-s, m - 1, axis=1)[:, :m]
                     near = np.take_along_axis(near, np.argsort(-np.take_along_axis(s, near, 1), axis=1, kind="stable"), 1)
                     near = (near + base[int(width)]).astype(np.int32)
                 m = near.shape[1]
-                raw = [r.tobytes() for r in x.astype("<f8")]
+                with np.errstate(over="ignore"):
+                    small = x.astype("<f4")
+                exact = (small == x).all()
+                raw = [r.tobytes() for r in (small if exact else x.astype("<f8"))]
                 order = [r.tobytes() for r in near.astype("<i4")]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(near.ravel()), pa.array(np.repeat(ids[at], m)), pa.array(np.repeat(weight[at], m)), pa.array([o for o in order for _ in range(m)], pa.binary()), pa.array([r for r in raw for _ in range(m)], pa.binary())],
-                    ["pivot", "id", "weight", "near", "unit"],
+                    [pa.array(near.ravel()), pa.array(np.repeat(ids[at], m)), pa.array(np.repeat(weight[at], m)), pa.array([o for o in order for _ in range(m)], pa.binary()), pa.array([r for r in raw for _ in range(m)], pa.binary()), pa.array(np.full(m * len(at), exact))],
+                    ["pivot", "id", "weight", "near", "data", "single"],
                 )
 
-    return classes.select("id", "weight", "vector").mapInArrow(run, "pivot int, id long, weight long, near binary, unit binary")
-
+    return classes.select("id", "weight", "vector").mapInArrow(run, "pivot int, id long, weight long, near binary, data binary, single boolean")
 
-def _owner(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """First pivot that two permutations share and how many they share, pair by pair."""
-    first = np.full(len(a), np.iinfo(np.int32).max, np.int32)
-    count = np.zeros(len(a), np.int32)
-    for i in range(a.shape[1]):
-        hit = (b == a[:, i : i + 1]).any(1)
-        count += hit
-        np.minimum(first, np.where(hit, a[:, i], first), out=first)
-    return first, count
 
+def sharing(a: np.ndarray, b: np.ndarray, pivot: int, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (row of a, row of b) of permutations in the list of ``pivot`` that share ``least`` pivots, this one being the first of them.
 
-def near_duplicates(vectors: DataFrame, threshold: float = 0.9, nearest: int = NEAREST, least_shared: int = 1) -> DataFrame:
+    The other pivots of a's rows are looked up in the inverted lists of b's rows, or,
+    where these are so long that most pairs come up, all counts are one product.
+    """
+    names, place, n = np.unique(np.concatenate([a, b]), return_inverse=True, return_counts=True)
+    place = place.reshape(-1, a.shape[1])
+    own = int(np.searchsorted(names, pivot))
+    left, right = place[: len(a)], place[len(a) :]
+    many = np.bincount(left.ravel(), minlength=len(names)) * np.bincount(right.ravel(), minlength=len(names))
+    many[own] = 0
+    if least > 1 and many.sum() * 40 < len(a) * len(b) * int((n > 1).sum()):
+        order = np.argsort(right, axis=None, kind="stable")
+        lists, member = right.ravel()[order], order // right.shape[1]
+        q, row = left.ravel(), np.repeat(np.arange(len(left)), left.shape[1])
+        use = q != own
+        q, row = q[use], row[use]
+        lo, hi = np.searchsorted(lists, q), np.searchsorted(lists, q, side="right")
+        size = hi - lo
+        stop = np.cumsum(size)
+        at = np.arange(int(size.sum())) - np.repeat(stop - size, size) + np.repeat(lo, size)
+        key = np.repeat(row, size) * len(b) + member[at]
+        pairs, count = np.unique(key, return_counts=True)
+        pairs = np.setdiff1d(pairs[count >= least - 1], key[np.repeat(q, size) < own], assume_unique=False)
+        return pairs // len(b), pairs % len(b)
+    kept = np.flatnonzero(n > 1)
+    column = np.full(len(names), -1)
+    column[kept] = np.arange(len(kept))
+
+    def marks(rows: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(rows), len(kept) + 1), np.float32)
+        np.put_along_axis(out, column[rows], 1, 1)
+        return out[:, :-1]
+
+    below = int(np.searchsorted(kept, own))
+    x, y = marks(left), marks(right)
+    hits = []
+    for lo in range(0, len(x), 512):
+        part = x[lo : lo + 512]
+        ok = part[:, below:] @ y[:, below:].T >= least
+        if below:
+            ok &= part[:, :below] @ y[:, :below].T == 0
+        i, j = np.nonzero(ok)
+        hits.append((i + lo, j))
+    return np.concatenate([h[0] for h in hits]), np.concatenate([h[1] for h in hits])
+
+
+def near_duplicates(vectors: DataFrame, threshold: float = 0.9, nearest: int = NEAREST, least_shared: int = SHARED) -> DataFrame:
     """(id, n_links, component_id, kept) of each row of ``vectors`` (id, vector)."""
     src = vectors.select(F.col("id").cast("long").alias("id"), F.col("vector").cast("array<double>").alias("vector"))
     zero = F.forall("vector", lambda x: x == 0)
@@ -256,41 +317,34 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, nearest: int = N
     classes = cluster.saved(classes, "classes")
     n = classes.count()
     pivots = pivot_table(classes.select("id", "vector"), n)
-    shared_least = least_shared
     listed = _lists(classes, pivots, nearest)
     # Long lists are cut into chunks; each pair of chunks is a task's group.
     sizes = listed.groupBy("pivot").count().withColumn("chunks", F.ceil(F.col("count") / CHUNK).cast("int")).select("pivot", "chunks")
     cutup = listed.join(F.broadcast(sizes), "pivot").withColumn("mine", F.pmod(F.xxhash64("id"), "chunks").cast("int"))  # one small row a pivot, of which there are at most PIVOTS and one a width
     other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
-    cutup = cutup.withColumn("other", other).select("pivot", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "id", "weight", "near", "unit")
+    cutup = cutup.withColumn("other", other).select("pivot", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "id", "weight", "near", "data", "single")
 
     def pairs(table: pa.Table) -> pa.Table:
         one = table.combine_chunks()
         pivot, i, j = (one.column(c)[0].as_py() for c in range(3))
         mine, ids, weight = (one.column(c).to_numpy() for c in (3, 4, 5))
         near = np.frombuffer(b"".join(one.column(6).to_pylist()), "<i4").reshape(len(ids), -1)
-        unit = np.frombuffer(b"".join(one.column(7).to_pylist()), "<f8").reshape(len(ids), -1)
+        unit = unit_rows(np.stack([np.frombuffer(r, "<f4" if s else "<f8") for r, s in zip(one.column(7).to_pylist(), one.column(8).to_pylist())]).astype(np.float64))
         left = np.flatnonzero(mine == i)
         right = left if i == j else np.flatnonzero(mine == j)
-        hits_a, hits_b = [], []
-        for lo in range(0, len(left), 512):
-            part = left[lo : lo + 512]
-            a, b = np.nonzero(unit[part] @ unit[right].T >= threshold)
-            a, b = part[a], right[b]
-            if i == j:
-                a, b = a[a < b], b[a < b]
-            first, count = _owner(near[a], near[b])
-            keep = (first == pivot) & (count >= min(shared_least, near.shape[1]))
-            hits_a.append(a[keep])
-            hits_b.append(b[keep])
-        a = np.concatenate(hits_a) if hits_a else np.zeros(0, np.int64)
-        b = np.concatenate(hits_b) if hits_b else a
+        a, b = sharing(near[left], near[right], pivot, min(least_shared, near.shape[1])) if len(left) and len(right) else (left[:0], right[:0])
+        a, b = left[a], right[b]
+        if i == j:
+            a, b = a[a < b], b[a < b]
+        close = [np.einsum("ij,ij->i", unit[a[k : k + _PAIRS]], unit[b[k : k + _PAIRS]]) >= threshold for k in range(0, len(a), _PAIRS)]
+        keep = np.concatenate(close) if close else np.zeros(0, bool)
+        a, b = a[keep], b[keep]
         links = np.bincount(a, weight[b], len(ids)) + np.bincount(b, weight[a], len(ids))
         at = np.flatnonzero(links)
         order = np.argsort(ids, kind="stable")
         place = np.empty(len(ids), np.int64)
         place[order] = np.arange(len(ids))
-        u, v = forest(len(ids), place[a], place[b])
+        u, v = cluster.forest(len(ids), place[a], place[b])
         u, v = ids[order][u], ids[order][v]
         return pa.table({"a": pa.array(np.concatenate([ids[at], u])), "b": pa.array([None] * len(at) + v.tolist(), pa.int64()), "n": pa.array(links[at].astype(np.int64).tolist() + [None] * len(u), pa.int64())})
 

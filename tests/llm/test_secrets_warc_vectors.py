@@ -122,8 +122,9 @@ def test_structural_confirmation(spark):
     assert {r.doc_id: r.text for r in redacted(df).collect()} == {1: "a [SECRET] b", 2: None, 3: "[SECRET]"}
 
 
-def test_top_k_matches_sql(spark):
-    same_as_sql(spark, "op6_segment_top_k")
+@pytest.mark.parametrize("name", ["op6_segment_top_k", "op9_pivot_near_duplicates"])
+def test_vector_queries_match_sql(spark, name):
+    same_as_sql(spark, name)
 
 
 def test_top_k_odd_rows(spark):
@@ -186,7 +187,7 @@ def test_near_duplicates_against_brute_force(spark):
     assert vectors.near_duplicates(v.limit(0)).count() == 0
 
 
-def test_near_duplicates_keep_pairs_that_share_one_pivot(spark):
+def test_near_duplicates_by_shared_pivots(spark):
     from lodestone.llm.vectors import near_duplicates
 
     rng = np.random.default_rng(9)
@@ -197,8 +198,40 @@ def test_near_duplicates_keep_pairs_that_share_one_pivot(spark):
     b = 0.91 * a + np.sqrt(1 - 0.91**2) * b / np.linalg.norm(b, axis=1, keepdims=True)
     x = np.concatenate([a, b])
     v = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "id long, vector array<double>")
-    found = [sum(r.n_links for r in near_duplicates(v, nearest=4, **k).collect()) / 600 for k in ({}, {"least_shared": 2})]
+    found = [sum(r.n_links for r in near_duplicates(v, nearest=4, least_shared=k).collect()) / 600 for k in (1, 2)]
     assert found[0] > 0.95 and found[0] > found[1]
+    assert sum(r.n_links for r in near_duplicates(v).collect()) == 600
+
+
+@pytest.mark.parametrize("pivots", [40, 1500])
+def test_counts_through_inverted_lists(pivots):
+    from lodestone.llm.vectors import sharing
+
+    rng = np.random.default_rng(pivots)
+    near = np.stack([np.concatenate([[pivots // 2], rng.permutation(np.delete(np.arange(pivots), pivots // 2))[:7]]) for _ in range(300)]).astype(np.int32)
+    a, b = near[:140], near[140:]
+    for least in (1, 2, 3):
+        want = {(i, j) for i, x in enumerate(a) for j, y in enumerate(b) for s in [set(x.tolist()) & set(y.tolist())] if len(s) >= least and min(s) == pivots // 2}
+        i, j = sharing(a, b, pivots // 2, least)
+        assert len(i) == len(want) and set(zip(i.tolist(), j.tolist())) == want
+
+
+def test_recall_on_vectors_with_links(spark):
+    """At least 0.9 of all links at 0.9 or more, measured against every pair, with as many pivots as rows ask for."""
+    from lodestone.llm.vectors import near_duplicates
+
+    rng = np.random.default_rng(11)
+    base = rng.normal(size=(2500, 64))
+    noise = rng.normal(size=(1500, 64))
+    near = base[:1500] + noise * rng.uniform(0.1, 0.49, (1500, 1))
+    x = np.concatenate([base, near]).astype(np.float32).astype(np.float64)
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    s = u @ u.T >= 0.9
+    np.fill_diagonal(s, False)
+    v = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "id long, vector array<double>")
+    got = {r.id: r.n_links for r in near_duplicates(v).collect()}
+    assert s.sum() > 2000 and all(got[i] <= s[i].sum() for i in got)
+    assert sum(got.values()) >= 0.99 * s.sum()
 
 
 def test_secrets_in_unusual_forms(spark):
