@@ -5,6 +5,9 @@ packed bit vectors with block ranks. Backward search narrows a suffix range by o
 to the left; where a word can't be added, the range goes to its parent, that of the
 longest proper prefix that occurs more often, found from the longest common prefixes
 by binary descent. All queries advance in step, so each step is a few array operations.
+
+Beside the packed bits, the index keeps 32-bit ranges and weights and 8- or 16-bit prefix
+lengths; an index without sequences matches nothing. Sequences and queries may be empty.
 """
 
 from __future__ import annotations
@@ -60,14 +63,14 @@ def suffix_ranks(text: np.ndarray, depth: int) -> list[np.ndarray]:
     """Dense ranks of the suffixes by their first 1, 2, 4, ... symbols, up to ``depth`` of them."""
     n = len(text)
     _, rank = np.unique(text, return_inverse=True)
-    ranks, h = [rank.astype(np.int64)], 1
+    ranks, h = [rank.astype(np.int32)], 1
     while h < depth and ranks[-1].max(initial=0) < n - 1:
-        key = ranks[-1] * (n + 1)
+        key = ranks[-1] * np.int64(n + 1)
         key[:-h] += ranks[-1][h:] + 1
         order = np.argsort(key)
-        new = np.zeros(n, np.int64)
-        k = key[order]
-        new[order[1:]] = np.cumsum(k[1:] != k[:-1])
+        key = key[order]
+        new = np.zeros(n, np.int32)
+        new[order[1:]] = np.cumsum(key[1:] != key[:-1], dtype=np.int32)
         ranks.append(new)
         h *= 2
     return ranks
@@ -85,14 +88,16 @@ class FMIndex:
         is_end[ends] = True
         text[~is_end] = symbol + count  # words rank after the separators, each of which is a symbol of its own
         text[ends] = np.arange(count)
-        ranks = suffix_ranks(text, int(lengths.max(initial=0)) + 1)
+        longest = int(lengths.max(initial=0)) + 1
+        ranks = suffix_ranks(text, longest)
         order = np.argsort(ranks[-1], kind="stable")
         self.size = total
-        self.common = self._common(ranks, order)
-        self.weight = np.concatenate([[0], np.cumsum(np.repeat(weights, lengths + 1)[order])])
-        plain = np.where(is_end, 0, text - count + 1)
-        self.plain = plain
-        self.starts = ends - lengths
+        self.common = self._common(ranks, order).astype(np.int8 if longest < 128 else np.int16 if longest < 1 << 15 else np.int32)
+        del ranks
+        self.weight = np.zeros(total + 1, np.int32)
+        np.cumsum(np.repeat(np.minimum(weights, 2), lengths + 1)[order], out=self.weight[1:])  # at most two a suffix
+        plain = np.where(is_end, 0, text - count + 1).astype(np.int32)
+        del text, is_end
         self.bwt = WaveletMatrix(plain[order - 1], len(self.alphabet) + 1)
         occurrences = np.bincount(plain, minlength=len(self.alphabet) + 1)
         self.before = np.concatenate([[0], np.cumsum(occurrences)[:-1]])
@@ -102,6 +107,8 @@ class FMIndex:
     def _common(ranks: list[np.ndarray], order: np.ndarray) -> np.ndarray:
         """Longest common prefix of each suffix with the one before it in order; 0 at both ends."""
         n = len(order)
+        if not n:
+            return np.zeros(1, np.int64)
         a, b = order[:-1], order[1:]
         size = np.zeros(n - 1, np.int64)
         for k in range(len(ranks) - 1, -1, -1):
@@ -109,7 +116,7 @@ class FMIndex:
             inside = np.maximum(x, y) < n
             x, y = np.where(inside, x, 0), np.where(inside, y, 0)
             size += np.where(inside & (ranks[k][x] == ranks[k][y]), 1 << k, 0)
-        return np.concatenate([[0], size, [0]]).astype(np.int16)
+        return np.concatenate([[0], size, [0]])
 
     def _minima(self) -> None:
         """Minima of 1, 2, 4, ... consecutive common prefixes."""

@@ -295,7 +295,7 @@ def similar(docs: DataFrame, shingle: int = 5, num: int = 4, den: int = 5, id_co
     links; keeper: rid of one row of the component, of its smallest doc_id.
     """
     spark = docs.sparkSession
-    src = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text")).select("doc_id", F.xxhash64(F.col("doc_id").isNull(), "doc_id", F.col("text").isNull(), "text").alias("rid"), "text")
+    src = cluster.by_position(docs).select(cluster.at(docs, id_column).cast("long").alias("doc_id"), cluster.at(docs, text_column).cast("string").alias("text")).select("doc_id", F.xxhash64(F.col("doc_id").isNull(), "doc_id", F.col("text").isNull(), "text").alias("rid"), "text")
     rows = cluster.saved(document_sets(src, shingle), "sets")
     total = rows.agg(F.sum("n_shingles")).first()[0] or 0
     entries = total * 5 * (den - num) // (2 * num) if num >= 8 * (den - num) else BANDS * rows.count()
@@ -330,9 +330,10 @@ def one_of_each(docs: DataFrame, shingle: int = 5, num: int = 4, den: int = 5, i
     twins = marks.filter("keeper = rid and n_shingles > 0").groupBy("rid").count().filter("count > 1").select("rid")
     fate = cluster.cut(gone.withColumn("gone", F.lit(True)).unionByName(twins.withColumn("gone", F.lit(False))))
     some = docs.sparkSession.sparkContext.broadcast(cluster.key_set(fate.select("rid"), fate.count()))
-    names = [f"c{i}" for i in range(len(docs.columns))]  # a column of the rows may be named as ours
-    key = F.xxhash64(F.col(id_column).cast("long").isNull(), F.col(id_column).cast("long"), F.col(text_column).isNull(), F.col(text_column))
-    rows = docs.select(key, *docs.columns).toDF("rid", *names)
+    key, body = cluster.at(docs, id_column).cast("long"), cluster.at(docs, text_column).cast("string")
+    rows = cluster.by_position(docs)  # a column of the rows may be named as ours
+    names = rows.columns
+    rows = rows.select(F.xxhash64(key.isNull(), key, body.isNull(), body).alias("rid"), *names)
     # Rows that stay for certain are not moved; the others meet their fate.
     sure = cluster.select_rows(rows, some, False)
     asked = cluster.select_rows(rows, some, True).join(fate, "rid", "left").filter("gone is null or not gone")

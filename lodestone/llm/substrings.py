@@ -1,9 +1,9 @@
 """Removal of repeated passages with FM-indexes of shards.
 
 A window is ``window`` consecutive words. Each window contains a least-hash k-word
-sequence, its anchor, so equal windows share an anchor at the same place: shards are
-sets of anchors. The windows of one anchor occurrence form a segment of at most
-2 * window - k words. Anchors that occur once in the table have no repeated window and
+sequence, its anchor (8 words, or the window where that is shorter), so equal windows
+share an anchor at the same place: shards are sets of anchors. The windows of one anchor occurrence form a segment of at most
+2 * window - k words, of which a bit mask says what windows repeat. Anchors that occur once in the table have no repeated window and
 are left out; equal segments are one, with a weight. Each shard indexes its segments in
 a compressed FM-index; backward search over its wavelet matrix computes the matching
 statistics of the segments streamed through it, and windows whose match reaches the
@@ -21,6 +21,10 @@ those inside it make few distinct segments, however many documents have them. Th
 of such anchors are dealt out once more by a salt, and each part is answered for itself.
 Which sequences count as frequent changes shards, never the result.
 
+A shard whose segments are too many words for one index is cut into chunks of them: each
+chunk is indexed by a task of its own, through which the segments of all the shard's
+chunks are streamed; a window repeats if its own chunk has it twice or another one has it.
+
 Rows that need no words or intervals skip the exchanges of texts: bit sets of row keys
 (of bounded size, so at worst all rows take part) say which. Words are compared as
 48-bit hashes of their bytes, anchors and segments as 64-bit ones.
@@ -41,21 +45,47 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from . import cluster, text
 from .fm_index import FMIndex
 
 ANCHOR = 8
 SHARD_WORDS = 600_000  # expected words of the segments of a shard
+INDEX_WORDS = 2_000_000  # expected words of an index at most
+HEAVY = 100_000  # shards that are cut into chunks at most, the largest first
 BOX_BYTES = 8 << 20  # expected text of the rows that meet in one group
 SALTS = 64  # parts of the rows of a frequent anchor
 _BATCH = 2000
 _ENTRY = np.dtype([("anchor", "<u8"), ("segment", "<u8"), ("row", "<u8")])
 _OWNED = np.dtype([("row", "<u8"), ("anchor", "<u8"), ("segment", "<u8"), ("reply", "<u4"), ("weight", "u1")])
-_MARK = np.dtype([("row", "<u8"), ("segment", "<u8"), ("mask", "<u8")])
 _SEEN = np.dtype([("segment", "<u8"), ("row", "<u8")])
 
 
+def anchor_length(window: int) -> int:
+    return min(ANCHOR, window)
+
+
+def mask_words(window: int) -> int:
+    """64-bit words of a mask of the windows of a segment."""
+    return (window - anchor_length(window)) // 64 + 1
+
+
+def _mark(window: int, row: bool = True) -> np.dtype:
+    """(row,) segment and mask of its windows."""
+    return np.dtype([("row", "<u8")] * row + [("segment", "<u8"), ("mask", "<u8", (mask_words(window),))])
+
+
+def merged(marks: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ascending keys and one mark of each, its mask all its marks' masks together."""
+    order = np.argsort(key, kind="stable")
+    key, first = np.unique(key[order], return_index=True)
+    out = marks[order][first]
+    if len(key):
+        out["mask"] = np.bitwise_or.reduceat(marks["mask"][order], first, axis=0)
+    return key, out
+
+
 @dataclass
 class Segments:
     """Segments of a block: first and last window start (words of the block), anchor and content hashes, text row."""
@@ -68,8 +98,8 @@ class Segments:
     frequent: np.ndarray
 
 
-def segments(w: text.Words, window: int, frequent: np.ndarray, k: int = ANCHOR) -> Segments:
-    n = len(w.hash)
+def segments(w: text.Words, window: int, frequent: np.ndarray) -> Segments:
+    n, k = len(w.hash), anchor_length(window)
     none = np.zeros(0, np.int64)
     at, h = text.ngrams(w, k)
     i = np.flatnonzero(w.doc[: n - window + 1] == w.doc[window - 1 :]) if n >= window else none
@@ -165,7 +195,7 @@ def repeated_anchors(docs: DataFrame, window: int, shards: int, boxes: int, freq
     kind 0: by shard or its salted part, (segment, row) of every occurrence; kind 1: by
     box of rows, the anchor, segment and weight that a row has to send words for, and
     which part is to be answered. Parts of frequent anchors count what they have alone,
-    so they send all their segments.
+    so they send all their segments. kind 2: by shard, how many segments are sent to it.
     """
 
     def deal(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -203,6 +233,8 @@ def repeated_anchors(docs: DataFrame, window: int, shards: int, boxes: int, freq
         seen = np.empty(int(twice.sum()), _SEEN)
         seen["segment"], seen["row"] = e["segment"][twice], e["row"][twice]
         yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([shard], pa.int32()), pa.array([seen.tobytes()], pa.binary())], ["kind", "key", "rows"])
+        to, n = np.unique(_shard(owned["anchor"], shards), return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(to), 2, np.int32)), pa.array(to.astype(np.int32)), pa.array([x.tobytes() for x in n.astype("<i8")], pa.binary())], ["kind", "key", "rows"])
         b = _dealt(_shard(text.mix(owned["row"]), boxes), owned, ("key", "rows"))
         yield pa.RecordBatch.from_arrays([pa.array(np.ones(b.num_rows, np.int32)), *b.columns], ["kind", "key", "rows"])
 
@@ -266,20 +298,35 @@ def _in(packed: np.ndarray, row: np.ndarray) -> np.ndarray:
 # -- 2. and 3. words, index -------------------------------------------------------
 
 
-def send_words(docs: DataFrame, owned: DataFrame, window: int, shards: int, boxes: int, wanted: np.ndarray, frequent) -> DataFrame:
-    """(shard, segment, reply, weight, length, words): words of the owned segments, by shard."""
-    shared = docs.sparkSession.sparkContext.broadcast(wanted)  # bounded by _bits
+def heavy_shards(sent: DataFrame, window: int) -> dict[int, int]:
+    """Into how many chunks to cut each shard that takes more than an index holds; at most HEAVY of them.
+
+    sent: (key, rows), the numbers of segments that are sent to each shard.
+    """
+    n = F.conv(F.hex(F.reverse("rows")), 16, 10).cast("long")
+    words = (F.sum(n) * (3 * window // 2)).alias("words")
+    top = sent.groupBy("key").agg(words).filter(F.col("words") > INDEX_WORDS).orderBy(F.desc("words"), "key").limit(HEAVY).collect()
+    return {r["key"]: -(-r["words"] // INDEX_WORDS) for r in top}
+
+
+def send_words(docs: DataFrame, owned: DataFrame, window: int, shards: int, boxes: int, wanted: np.ndarray, frequent, heavy: dict[int, int]) -> DataFrame:
+    """(shard, chunk, other, segment, reply, weight, length, words): words of the owned segments, by shard.
+
+    A heavy shard gets them once for each of its chunks; ``other`` marks those of other chunks.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast((wanted, heavy))  # bounded by _bits and HEAVY
 
     def choose(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
             rid = batch.column(0).to_numpy().view(np.uint64)
-            at = np.flatnonzero(_in(shared.value, rid))
+            at = np.flatnonzero(_in(shared.value[0], rid))
             if len(at):
                 yield pa.RecordBatch.from_arrays([pa.array(_shard(text.mix(rid[at]), boxes).astype(np.int32)), *(c.take(pa.array(at)) for c in batch.columns)], ["box", "rid", "text"])
 
     def send(left: pa.Table, right: pa.Table) -> pa.Table:
-        names = ["shard", "segment", "reply", "weight", "length", "words"]
+        names = ["shard", "chunk", "other", "segment", "reply", "weight", "length", "words"]
         out: list[list] = [[] for _ in names]
+        cut = shared.value[1]
         own = _joined(right.column("rows"), _OWNED) if right.num_rows else np.zeros(0, _OWNED)
         if len(own) and left.num_rows:
             key = text.mix(own["row"] + own["segment"] * np.uint64(3) + own["anchor"])
@@ -300,73 +347,99 @@ def send_words(docs: DataFrame, owned: DataFrame, window: int, shards: int, boxe
                 hit, at = hit[one], at[one]
                 sent[at] = True
                 size = (s.last - s.first)[hit] + window
-                shard = _shard(s.anchor[hit], shards)
-                order = np.argsort(shard, kind="stable")
-                hit, at, size, shard = hit[order], at[order], size[order], shard[order]
+                shard = _shard(s.anchor[hit], shards).astype(np.int64)
+                chunks = np.array([cut.get(k, 1) for k in shard.tolist()], np.uint64) if cut else np.ones(len(shard), np.uint64)
+                part = (text.mix(s.content[hit]) % chunks).astype(np.int64)
+                order = np.lexsort((part, shard))
+                hit, at, size, shard, part = hit[order], at[order], size[order], shard[order], part[order]
                 start = np.concatenate([[0], np.cumsum(size)])
                 index = np.repeat(s.first[hit] - start[:-1], size) + np.arange(start[-1])
                 words = np.ascontiguousarray(w.hash[index].view(np.uint8).reshape(-1, 8)[:, :6])
-                keys, edge = np.unique(shard, return_index=True)
-                for k, a, b in zip(keys, edge, np.append(edge[1:], len(shard))):
-                    for column_, x in zip(out, (int(k), s.content[hit[a:b]].tobytes(), own["reply"][at[a:b]].tobytes(), own["weight"][at[a:b]].tobytes(), size[a:b].astype("<u2").tobytes(), words[start[a] : start[b]].tobytes())):
-                        column_.append(x)
-        kinds = [pa.int32()] + [pa.binary()] * 5
+                edge = np.flatnonzero(np.concatenate([[True], (shard[1:] != shard[:-1]) | (part[1:] != part[:-1]), [True]])) if len(shard) else [0]
+                for a, b in zip(edge[:-1], edge[1:]):
+                    row = (s.content[hit[a:b]].tobytes(), own["reply"][at[a:b]].tobytes(), own["weight"][at[a:b]].tobytes(), size[a:b].astype("<u4").tobytes(), words[start[a] : start[b]].tobytes())
+                    for chunk in range(cut.get(int(shard[a]), 1)):
+                        for column_, x in zip(out, (int(shard[a]), chunk, int(chunk != part[a]), *row)):
+                            column_.append(x)
+        kinds = [pa.int32()] * 3 + [pa.binary()] * 5
         return pa.table({n: pa.array(x, k) for n, x, k in zip(names, out, kinds)})
 
     rows = docs.mapInArrow(choose, "box int, rid long, text string")
-    return rows.groupBy("box").cogroup(owned.select(F.col("key").alias("box"), "rows").groupBy("box")).applyInArrow(send, "shard int, segment binary, reply binary, weight binary, length binary, words binary")
+    return rows.groupBy("box").cogroup(owned.select(F.col("key").alias("box"), "rows").groupBy("box")).applyInArrow(send, "shard int, chunk int, other int, segment binary, reply binary, weight binary, length binary, words binary")
 
 
-def index_shards(words: DataFrame, window: int, shards: int) -> DataFrame:
-    """(key, rows): by part to answer, segments with repeated windows and the mask of those, from each shard's FM-index."""
+def index_shards(words: DataFrame, window: int, groups: int) -> DataFrame:
+    """(key, rows): by part to answer, segments with repeated windows and the mask of those, from the FM-index of each shard or chunk."""
+    kind = _mark(window, row=False)
 
-    def index(held: list[tuple]) -> pa.RecordBatch:
+    def unpacked(held: list[tuple]) -> tuple[np.ndarray, ...]:
         segment, reply, weight, length, raw = (b"".join(x) for x in zip(*held))
-        reply = np.frombuffer(reply, "<u4")
-        segment, weight, length = np.frombuffer(segment, "<u8"), np.frombuffer(weight, "u1").astype(np.int64), np.frombuffer(length, "<u2").astype(np.int64)
         wide = np.zeros((len(raw) // 6, 8), np.uint8)
         wide[:, :6] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
-        symbols = wide.view("<u8").ravel()
-        found = FMIndex(symbols, length, weight).matching_statistics(symbols, length) >= window
+        return np.frombuffer(segment, "<u8"), np.frombuffer(reply, "<u4"), np.frombuffer(weight, "u1").astype(np.int32), np.frombuffer(length, "<u4").astype(np.int64), wide.view("<u8").ravel()
+
+    def answer(index: FMIndex, held: tuple[np.ndarray, ...], least: int) -> pa.RecordBatch:
+        segment, reply, _, length, symbols = held
+        found = index.matching_statistics(symbols, length, least) >= window
         start = np.cumsum(length) - length
-        mask = np.zeros(len(segment), np.uint64)
+        out = np.zeros(len(segment), kind)
+        out["segment"] = segment
         for j in range(int(length.max()) - window + 1):
             has = np.flatnonzero(length - window >= j)
-            mask[has] |= found[start[has] + j].astype(np.uint64) << np.uint64(j)
-        hit = np.flatnonzero(mask)
-        return _dealt(reply[hit], np.stack([segment[hit], mask[hit]], 1), ("key", "rows"))
+            out["mask"][has, j >> 6] |= found[start[has] + j].astype(np.uint64) << np.uint64(j & 63)
+        hit = np.flatnonzero(out["mask"].any(1))
+        return _dealt(reply[hit], out[hit], ("key", "rows"))
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held = None, []
+        """Rows come by shard, chunk and other: what a chunk indexes is there before what is streamed through it."""
+        now, held, size, index = None, [], 0, None
+
+        def flush() -> pa.RecordBatch:
+            nonlocal held, size, index
+            rows = unpacked(held)
+            held, size = [], 0
+            if index is None:
+                index = FMIndex(rows[4], rows[3], rows[2])
+                return answer(index, rows, 2)
+            return answer(index, rows, 1)
+
         for batch in it:
-            for row in zip(batch.column(0).to_pylist(), *(batch.column(i) for i in range(1, 6))):
-                if row[0] != now and held:
-                    yield index(held)
-                    held = []
-                now = row[0]
-                held.append(tuple(x.as_py() for x in row[1:]))
+            for key, *row in zip(zip(*(batch.column(i).to_pylist() for i in range(3))), *(batch.column(i) for i in range(3, 8))):
+                if key != now and held:
+                    yield flush()
+                if now is None or key[:2] != now[:2]:
+                    index = None
+                elif key[2] and index is None:
+                    index = FMIndex(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32))  # a chunk without own segments
+                now = key
+                held.append(tuple(x.as_py() for x in row))
+                size += len(held[-1][4])
+                if key[2] and size > 6 * INDEX_WORDS:
+                    yield flush()
         if held:
-            yield index(held)
+            yield flush()
 
-    return words.repartition(_tasks(words, shards), "shard").sortWithinPartitions("shard").mapInArrow(run, "key int, rows binary")
+    dealt = words.repartition(_tasks(words, groups), "shard", "chunk").sortWithinPartitions("shard", "chunk", "other")
+    return dealt.mapInArrow(run, "key int, rows binary")
 
 
 # -- 4. answer --------------------------------------------------------------------
 
 
-def row_masks(seen: DataFrame, masks: DataFrame, boxes: int) -> DataFrame:
+def row_masks(seen: DataFrame, masks: DataFrame, window: int, boxes: int) -> DataFrame:
     """(key, rows): by box of rows, the segments of each row that have repeated windows."""
+    kind, mark = _mark(window, row=False), _mark(window)
 
     def join(left: pa.Table, right: pa.Table) -> pa.Table:
         out: list[tuple[int, bytes]] = []
         if left.num_rows and right.num_rows:
-            m = _joined(right.column("rows"), np.dtype([("segment", "<u8"), ("mask", "<u8")]))
-            m = m[np.argsort(m["segment"])]
+            m = _joined(right.column("rows"), kind)
+            key, m = merged(m, m["segment"])
             s = _joined(left.column("rows"), _SEEN)
             if len(m):
-                at = np.minimum(np.searchsorted(m["segment"], s["segment"]), len(m) - 1)
-                hit = np.flatnonzero(m["segment"][at] == s["segment"])
-                x = np.empty(len(hit), _MARK)
+                at = np.minimum(np.searchsorted(key, s["segment"]), len(m) - 1)
+                hit = np.flatnonzero(key[at] == s["segment"])
+                x = np.empty(len(hit), mark)
                 x["row"], x["segment"], x["mask"] = s["row"][hit], s["segment"][hit], m["mask"][at[hit]]
                 b = _dealt(_shard(text.mix(x["row"]), boxes), x, ("key", "rows"))
                 out = list(zip(b.column(0).to_pylist(), b.column(1).to_pylist()))
@@ -375,17 +448,20 @@ def row_masks(seen: DataFrame, masks: DataFrame, boxes: int) -> DataFrame:
     return seen.groupBy("key").cogroup(masks.groupBy("key")).applyInArrow(join, "key int, rows binary")
 
 
-def covered(w: text.Words, rid: np.ndarray, marks: np.ndarray, window: int, frequent: np.ndarray) -> np.ndarray:
-    """Which words of a block lie in a repeated window; marks sorted by mix(row + 3 * segment)."""
+def mark_key(row: np.ndarray, segment: np.ndarray) -> np.ndarray:
+    return text.mix(row + segment * np.uint64(3))
+
+
+def covered(w: text.Words, rid: np.ndarray, key: np.ndarray, marks: np.ndarray, window: int, frequent: np.ndarray) -> np.ndarray:
+    """Which words of a block lie in a repeated window; marks by ascending key."""
     s = segments(w, window, frequent)
-    mine = text.mix(rid[s.doc] + s.content * np.uint64(3))
-    key = text.mix(marks["row"] + marks["segment"] * np.uint64(3))
+    mine = mark_key(rid[s.doc], s.content)
     change = np.zeros(len(w.hash) + 1, np.int64)
     if len(key) and len(mine):
         at = np.minimum(np.searchsorted(key, mine), len(key) - 1)
-        mask = np.where(key[at] == mine, marks["mask"][at], np.uint64(0))
+        mask = np.where((key[at] == mine)[:, None], marks["mask"][at], np.uint64(0))
         for j in range(int((s.last - s.first).max()) + 1):
-            hit = s.first[(mask >> np.uint64(j)) & np.uint64(1) > 0] + j
+            hit = s.first[(mask[:, j >> 6] >> np.uint64(j & 63)) & np.uint64(1) > 0] + j
             np.add.at(change, hit, 1)
             np.add.at(change, hit + window, -1)
     return np.cumsum(change)[:-1] > 0
@@ -403,25 +479,28 @@ class Plan:
         self.shards = max(least, -(-size // SHARD_WORDS))
         self.boxes = max(least, -(-size // BOX_BYTES))
         self.rows = docs.select("rid", "text")
-        self.frequent = spark.sparkContext.broadcast(frequent_sequences(self.rows, size))  # at most 2 MB
+        if window < 1:
+            raise ValueError("a window has a word at least")
+        self.frequent = spark.sparkContext.broadcast(frequent_sequences(self.rows, size, anchor_length(window)))  # at most 2 MB
         anchors = cluster.saved(repeated_anchors(self.rows, window, self.shards, self.boxes, self.frequent), "anchors")
         owned, seen = anchors.filter("kind = 1"), anchors.filter("kind = 0")
         wanted = row_set(owned, _OWNED, _bits(n))
-        words = send_words(self.rows, owned, window, self.shards, self.boxes, wanted, self.frequent)
-        masks = cluster.saved(index_shards(words, window, self.shards), "masks")
-        self.marks = cluster.saved(row_masks(seen.select("key", "rows"), masks, self.boxes), "marks")
-        self.marked = row_set(self.marks, _MARK, _bits(n))
+        heavy = heavy_shards(anchors.filter("kind = 2"), window)
+        words = send_words(self.rows, owned, window, self.shards, self.boxes, wanted, self.frequent, heavy)
+        masks = cluster.saved(index_shards(words, window, self.shards + sum(heavy.values())), "masks")
+        self.marks = cluster.saved(row_masks(seen.select("key", "rows"), masks, window, self.boxes), "marks")
+        self.marked = row_set(self.marks, _mark(window), _bits(n))
 
-    def answers(self, docs: DataFrame, plain, changed, schema: str) -> DataFrame:
-        """Rows of ``schema`` for each row of docs (its columns start with rid, text).
+    def answers(self, docs: DataFrame, plain, changed, schema: str | StructType) -> DataFrame:
+        """Rows of ``schema`` for each row of docs (rid, text and any others, by position).
 
         plain(batch) answers a batch of rows without repeats, changed(batch, removed)
         one of rows that may have some, ``removed`` giving their words' flags.
         """
         shared = docs.sparkSession.sparkContext.broadcast(self.marked)  # bounded by _bits
-        names = [f"c{i}" for i in range(len(docs.columns))]  # the rows' own names may clash with each other's or ours
-        docs = docs.toDF(*names)
-        boxes, window, frequent = self.boxes, self.window, self.frequent
+        docs = cluster.by_position(docs)
+        names = docs.columns
+        boxes, window, frequent, mark = self.boxes, self.window, self.frequent, _mark(self.window)
 
         def split(marked: bool):
             def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -439,26 +518,25 @@ class Plan:
             return run
 
         def finish(left: pa.Table, right: pa.Table) -> pa.Table:
-            marks = _joined(right.column("rows"), _MARK) if right.num_rows else np.zeros(0, _MARK)
-            marks = marks[np.argsort(text.mix(marks["row"] + marks["segment"] * np.uint64(3)))]
+            marks = _joined(right.column("rows"), mark) if right.num_rows else np.zeros(0, mark)
+            key, marks = merged(marks, mark_key(marks["row"], marks["segment"]))
             out = []
             for batch in left.combine_chunks().select(names).to_batches():
                 rid = batch.column(0).to_numpy().view(np.uint64)
                 removed = []
                 for w in text.blocks(batch.column(1)):
-                    gone = covered(w, rid[w.rows], marks, window, frequent.value)
+                    gone = covered(w, rid[w.rows], key, marks, window, frequent.value)
                     removed += [gone[a:b] for a, b in zip(w.first[:-1], w.first[1:])]
                 out.append(changed(batch, removed))
             return pa.Table.from_batches(out) if out else pa.Table.from_batches([plain(pa.RecordBatch.from_pylist([], left.select(names).schema))])
 
         direct = docs.mapInArrow(split(False), schema)
-        boxed = docs.mapInArrow(split(True), ", ".join(["box int", *(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)]))
+        boxed = docs.mapInArrow(split(True), StructType([StructField("box", IntegerType()), *docs.schema.fields]))
         met = boxed.groupBy("box").cogroup(self.marks.select(F.col("key").alias("box"), "rows").groupBy("box")).applyInArrow(finish, schema)
         return direct.unionByName(met)
 
 
-def row_id(id_column: str, text_column: str) -> Column:
-    key, body = F.col(id_column), F.col(text_column)
+def row_id(key: Column, body: Column) -> Column:
     return F.xxhash64(key.isNull(), key, body.isNull(), body)
 
 
@@ -466,7 +544,8 @@ def repeats(docs: DataFrame, window: int = 50, id_column: str = "doc_id", text_c
     """(doc_id, n_words, n_removed, kept_sha256) of each row: what the removal of repeated windows leaves."""
     from hashlib import sha256
 
-    src = docs.select(row_id(id_column, text_column).alias("rid"), F.coalesce(F.col(text_column).cast("string"), F.lit("")).alias("text"), F.col(id_column).cast("long").alias("doc_id"))
+    key, body = cluster.at(docs, id_column), cluster.at(docs, text_column)
+    src = cluster.by_position(docs).select(row_id(key, body).alias("rid"), F.coalesce(body.cast("string"), F.lit("")).alias("text"), key.cast("long").alias("doc_id"))
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string()]
     names = ["doc_id", "n_words", "n_removed", "kept_sha256"]
 
@@ -489,10 +568,11 @@ def without_repeats(docs: DataFrame, window: int = 50, id_column: str = "doc_id"
 
     What stays keeps its own white space; a text without repeats is unchanged.
     """
-    fields = docs.schema
-    src = docs.select(row_id(id_column, text_column).alias("_rid"), F.coalesce(F.col(text_column), F.lit("")).alias("_body"), *docs.columns)
+    key, body = cluster.at(docs, id_column), cluster.at(docs, text_column)
+    rows = cluster.by_position(docs)
+    names = rows.columns
+    src = rows.select(row_id(key, body), F.coalesce(body.cast("string"), F.lit("")), *names).toDF("rid", "text", *names)
     at = docs.columns.index(text_column)
-    kind = pa.string()
 
     def cut(raw: bytes, removed: np.ndarray) -> str:
         w = text.words(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
@@ -503,17 +583,13 @@ def without_repeats(docs: DataFrame, window: int = 50, id_column: str = "doc_id"
             last = w.starts[b] if b < len(w.starts) else len(raw)
         return b"".join([*parts, raw[last:]]).decode()
 
-    names = docs.columns
-
     def plain(batch: pa.RecordBatch) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays(batch.columns[2:], names)
 
     def changed(batch: pa.RecordBatch, removed: list) -> pa.RecordBatch:
         texts = [None if not t.is_valid else cut(t.as_buffer().to_pybytes(), r) if r.any() else t.as_py() for t, r in zip(batch.column(2 + at), removed)]
         columns = batch.columns[2:]
-        columns[at] = pa.array(texts, kind)
+        columns[at] = pa.array(texts, columns[at].type)
         return pa.RecordBatch.from_arrays(columns, names)
 
-    plan = Plan(src.select(F.col("_rid").alias("rid"), F.col("_body").alias("text")), window)
-    return plan.answers(src, plain, changed, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields))
-
+    return Plan(src, window).answers(src, plain, changed, rows.schema).toDF(*docs.columns)

@@ -144,7 +144,7 @@ def passages(rng, window, words=30):
     return out
 
 
-@pytest.mark.parametrize("window", [12, 35, 50])
+@pytest.mark.parametrize("window", [5, 12, 35, 72, 200])
 def test_substrings_against_brute_force(spark, window):
     from lodestone.llm import substrings
 
@@ -154,12 +154,13 @@ def test_substrings_against_brute_force(spark, window):
     docs = spark.createDataFrame([(i, b, "x", 1) for i, b in rows], "doc_id long, text string, rid string, box int").repartition(3)
     got = sorted((tuple(r) for r in substrings.repeats(docs, window).collect()), key=str)
     assert got == sorted(brute_repeats(rows, window), key=str)
-    usual = substrings.frequent_sequences
-    try:  # the same where most sequences count as frequent
+    usual = substrings.frequent_sequences, substrings.INDEX_WORDS
+    try:  # the same where most sequences count as frequent and where indexes hold little
         substrings.frequent_sequences = lambda docs, size, k=8: np.full(1 << 12, 0x7D, np.uint8)
+        substrings.INDEX_WORDS = 40 * window
         assert sorted((tuple(r) for r in substrings.repeats(docs, window).collect()), key=str) == got
     finally:
-        substrings.frequent_sequences = usual
+        substrings.frequent_sequences, substrings.INDEX_WORDS = usual
     cut = substrings.without_repeats(docs, window)
     assert cut.schema.names == docs.schema.names
     want = brute_repeats(rows, window)
@@ -171,6 +172,34 @@ def test_substrings_against_brute_force(spark, window):
     assert substrings.repeats(docs.limit(0), window).count() == 0
 
 
+@pytest.mark.parametrize("window", [8, 60, 71, 90, 110])
+def test_passages_of_just_a_window(spark, window):
+    from lodestone.llm import substrings
+
+    rng = np.random.default_rng(window)
+    word = lambda n: [f"w{rng.integers(0, 10**9)}" for _ in range(n)]
+    rows = []
+    for i in range(60):
+        shared = word(window)
+        rows += [(2 * i + j, " ".join(word(int(rng.integers(0, 3 * window))) + shared + word(int(rng.integers(0, 3 * window))))) for j in range(2)]
+    got = substrings.repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), window).collect()
+    assert {r.n_removed for r in got} == {window}
+
+
+def test_columns_that_clash(spark):
+    from lodestone.llm import jaccard, substrings
+
+    shared = " ".join(f"w{i}" for i in range(60))
+    names = ["doc_id", "text", "_rid", "_body", "a.b", "rid", "c0", "TEXT", "box"]
+    rows = [(1, f"x {shared} y", 1, "k", 2.5, [1], None, "t", 9), (2, f"z {shared}", 2, None, None, None, "c", "u", None), (3, "alone", 3, "b", 1.0, [], "d", None, 0)]
+    docs = spark.createDataFrame(rows, "a long, b string, c int, d string, e double, f array<int>, g string, h string, i long").toDF(*names)
+    cut = substrings.without_repeats(docs, 50)
+    assert cut.columns == names
+    assert sorted(tuple(r) for r in cut.collect()) == [(1, "x  y".replace("  ", " "), *rows[0][2:]), (2, "z ", *rows[1][2:]), rows[2]]
+    kept = jaccard.one_of_each(docs, 5, 4, 5)
+    assert kept.columns == names and sorted(r[0] for r in kept.collect()) == [1, 3]
+
+
 def test_frequent_sequences(spark):
     from lodestone.llm import substrings, text
 
