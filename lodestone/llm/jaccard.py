@@ -1,17 +1,21 @@
 """N-gram Jaccard join with a token-group matrix.
 
-Sharding, without loss: the hash space is cut into d + 1 ranges, where d is how many
+Sharding, without loss: the hash space is cut into d + 2 ranges, where d is how many
 shingles two linked sets of a size class can differ in at most, so linked sets agree on
-the whole content of at least one range. Documents that share the content of a range
-are connected; the connected components are the shards. Equal sets are one before that.
-Below a similarity of 8/9 ranges hold so few shingles that unlike sets agree on empty
-ones; there, sets that agree on one of 44 bands of 5 minimum hashes are connected. A
-pair at 0.8 is missed by all bands with a probability of 3e-8, a closer one less.
+the whole content of two ranges at least. Sets that share the content of a range are
+connected, or, of ranges that are empty or nearly so, those of two ranges; the connected
+components are the shards. Equal sets are one before that, and what shares a content in
+one batch goes on as one set. ``exact=False``, the default below a similarity of 8/9
+where ranges hold few shingles, connects sets that agree on one of 44 bands of 5 minimum
+hashes instead: a pair at 0.8 is missed by all bands with a probability of 3e-8, a closer
+one less.
 
 In a shard, sets are ordered by similarity and cut into small groups. The token-group
 matrix holds each group's token union; a query's overlap with the union bounds its
 overlap with every member, and only groups whose bound and sizes reach the threshold
-are opened and compared exactly. Shards of any size are compared chunk by chunk.
+are opened and compared exactly. Groups that are connected to the query already are not
+opened again. Shards of any size are compared chunk by chunk. ``group_report`` counts
+what was bounded, opened and compared.
 
 Sets are held as 64-bit hashes; a set is known by the 64-bit sum of its mixed hashes.
 
@@ -24,6 +28,7 @@ an empty result; other columns play no part.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +39,7 @@ from . import cluster, text
 
 CHUNK_TOKENS = 400_000  # tokens of a chunk of a shard
 BUCKET_ENTRIES = 2_000_000  # range contents of a bucket
-GROUP = 32  # sets of a group
+GROUP = 8  # sets of a group
 _BATCH = 2000  # documents at a time
 
 
@@ -59,12 +64,17 @@ def signatures(h: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 
 def range_contents(h: np.ndarray, first: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
-    """(set, content hash) of each range of each set, in its own class's cut and the next smaller one's."""
+    """(set, content hash) of each range of each set, in its own class's cut and the next smaller one's.
+
+    Unlike sets may well agree on a range that holds next to nothing, so such ranges
+    count by twos: where linked sets agree on no other range, they agree on two of these.
+    """
+    few = 1 if num >= 8 * (den - num) else 0
     size = np.diff(first)
     if not len(h):
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
     bounds = size_classes(int(size.max()), num, den)
-    parts = differing(bounds, num, den) + 1
+    parts = differing(bounds, num, den) + 2
     total = np.zeros(len(h) + 1, np.uint64)
     np.cumsum(text.mix(h), out=total[1:])
     owner = np.repeat(np.arange(len(size)), size)
@@ -72,7 +82,7 @@ def range_contents(h: np.ndarray, first: np.ndarray, num: int, den: int) -> tupl
     for below in (0, 1):
         kind = np.searchsorted(bounds, size, side="right") - 1 - below
         m = np.where((size > 0) & (kind >= 0), parts[np.maximum(kind, 0)], 0)
-        m = np.where(m > 1, m, 0)  # one range: linked sets are equal
+        m = np.where(m > 2, m, 0)  # two ranges: linked sets are equal
         base = np.concatenate([[0], np.cumsum(m)])
         use = m[owner] > 0
         cell = base[owner[use]] + (((h[use] >> np.uint64(32)) * m[owner[use]].astype(np.uint64)) >> np.uint64(32)).astype(np.int64)
@@ -86,8 +96,17 @@ def range_contents(h: np.ndarray, first: np.ndarray, num: int, den: int) -> tupl
         of = np.repeat(np.arange(len(size)), m)
         part = np.arange(int(base[-1])) - base[of]
         salt = text.mix(part.astype(np.uint64) * np.uint64(1_000_003) + kind[of].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-        sets.append(of)
-        keys.append(text.mix(content ^ salt))
+        key = text.mix(content ^ salt)
+        sets.append(of[count > few])
+        keys.append(key[count > few])
+        bare = np.flatnonzero(count <= few)
+        for step in range(1, len(bare)):
+            a = bare[:-step][of[bare[:-step]] == of[bare[step:]]]
+            if not len(a):
+                break
+            b = bare[step:][of[bare[:-step]] == of[bare[step:]]]
+            sets.append(of[a])
+            keys.append(text.mix(key[a] * np.uint64(3) + key[b]))
     return np.concatenate(sets), np.concatenate(keys)
 
 
@@ -112,25 +131,25 @@ def band_contents(h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndar
     return np.tile(full, BANDS), np.concatenate(keys)
 
 
-def forest(n: int, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(node, smallest node of its component) where they differ, for edges among n nodes."""
-    low = np.arange(n)
-    while len(a):
-        before = low.copy()
-        m = np.minimum(low[a], low[b])
-        np.minimum.at(low, a, m)
-        np.minimum.at(low, b, m)
-        low = low[low]
-        if np.array_equal(low, before):
-            break
-    at = np.flatnonzero(low != np.arange(n))
-    return at, low[at]
+class _Joined:
+    """Which sets are connected so far."""
+
+    def __init__(self, n: int):
+        self.low = np.arange(n)
+
+    def add(self, a: np.ndarray, b: np.ndarray) -> None:
+        at, low = cluster.forest(len(self.low), self.low[a], self.low[b])
+        if len(at):
+            to = np.arange(len(self.low))
+            to[at] = low
+            self.low = to[self.low]
 
 
-def links_of(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray, dict[str, int]]:
+def links_of(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, num: int, den: int, every: bool = False) -> tuple[np.ndarray, np.ndarray, dict[str, int]]:
     """Linked pairs (one of ``left``, one of ``right``) of a shard, through its token-group matrix.
 
-    Also what the bounds did: groups bounded and opened, pairs compared.
+    As many as connect what is linked, or ``every`` pair. Also what the bounds did:
+    (query, group) pairs bounded, pairs opened, sets compared.
     """
     size = np.array([len(s) for s in sets], np.int64)
     flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
@@ -142,18 +161,21 @@ def links_of(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, num: i
     bits = np.zeros((len(sets), width), np.uint64)
     col = shared[place[use]]
     np.bitwise_or.at(bits, (owner[use], col // 64), np.uint64(1) << (col % 64).astype(np.uint64))
-    # Similar sets side by side: by size class, then by the first shared tokens.
+    # Similar sets side by side: by the first tokens, then by size.
     lead = np.array([s[0] if len(s) else 0 for s in sets], np.uint64)
     order = right[np.lexsort((size[right], lead[right]))]
     seen = {"bounded": 0, "opened": 0, "compared": 0}
     out_a, out_b = [], []
     step = max(1, (1 << 21) // width)
     both = np.array_equal(left, right)
+    joined = _Joined(len(sets))
     for lo in range(0, len(order), GROUP):
         group = order[lo : lo + GROUP]
         union = np.bitwise_or.reduce(bits[group], axis=0)
         least, most = size[group].min(), size[group].max()
-        q = left[(size[left] * den >= num * least) & (num * size[left] <= den * most)]
+        q = left[(size[left] > 0) & (size[left] * den >= num * least) & (num * size[left] <= den * most)]
+        if not every:
+            q = q[(joined.low[q][:, None] != joined.low[group][None, :]).any(1)]
         if not len(q):
             continue
         bound = np.concatenate([np.bitwise_count(bits[q[i : i + step]] & union).sum(1) for i in range(0, len(q), step)]).astype(np.int64)
@@ -167,12 +189,13 @@ def links_of(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, num: i
             part = q[i : i + rows]
             inter = np.bitwise_count(bits[part][:, None, :] & bits[group][None, :, :]).sum(2).astype(np.int64)
             seen["compared"] += inter.size
-            hit = (den + num) * inter >= num * (size[part][:, None] + size[group][None, :])
-            x, y = np.nonzero(hit & (size[part] > 0)[:, None])
+            x, y = np.nonzero((den + num) * inter >= num * (size[part][:, None] + size[group][None, :]))
             x, y = part[x], group[y]
-            keep = x < y if both else x != y
-            out_a.append(x[keep])
-            out_b.append(y[keep])
+            keep = x < y if both and every else x != y
+            x, y = np.minimum(x, y)[keep] if both else x[keep], np.maximum(x, y)[keep] if both else y[keep]
+            out_a.append(x)
+            out_b.append(y)
+            joined.add(x, y)
     empty = np.zeros(0, np.int64)
     return (np.concatenate(out_a), np.concatenate(out_b), seen) if out_a else (empty, empty, seen)
 
@@ -201,58 +224,65 @@ def document_sets(docs: DataFrame, n: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, rid long, n_shingles long, sig long")
 
 
-def _shard_edges(docs: DataFrame, n: int, num: int, den: int, buckets: int) -> DataFrame:
-    """(a, b): set signatures connected by the content of a range or band, as few edges as connect them."""
-    ranges = num >= 8 * (den - num)
+def _shard_edges(docs: DataFrame, n: int, num: int, den: int, buckets: int, exact: bool) -> DataFrame:
+    """(a, b): set signatures connected by the content of ranges or a band, as few edges as connect them."""
+
+    def connected(key: np.ndarray, sig: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """First entry of each key, by key, and edges (a, b) that connect what shares a key."""
+        order = np.lexsort((sig, key))
+        key, sig = key[order], sig[order]
+        same = key[1:] == key[:-1]
+        new = same & (sig[1:] != sig[:-1])
+        nodes, at = np.unique(np.concatenate([sig[:-1][new], sig[1:][new]]), return_inverse=True)
+        k = int(new.sum())
+        u, v = cluster.forest(len(nodes), at[:k], at[k:])
+        return order[np.concatenate([[True], ~same])] if len(order) else order, nodes[u], nodes[v]
 
     def deal(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in cluster.batches(it, _BATCH):
             keys, sigs = [], []
             for _, h, first in _sets_of(batch.column(2), n):
                 sig = signatures(h, first)
-                _, one = np.unique(sig, return_index=True)  # equal sets of a block count once
-                of, key = range_contents(h, first, num, den) if ranges else band_contents(h, first)
-                once = np.zeros(len(sig), bool)
-                once[one] = True
-                keep = once[of]
-                keys.append(key[keep])
-                sigs.append(sig[of[keep]])
+                of, key = range_contents(h, first, num, den) if exact else band_contents(h, first)
+                keys.append(key)
+                sigs.append(sig[of])
             key, sig = np.concatenate(keys), np.concatenate(sigs)
-            bucket = ((key >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
-            order = np.argsort(bucket, kind="stable")
-            edge = np.searchsorted(bucket[order], np.arange(buckets + 1, dtype=np.uint64))
-            rows = np.stack([key[order], sig[order]], 1)
-            full = np.flatnonzero(np.diff(edge))
-            yield pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), pa.array([rows[edge[i] : edge[i + 1]].tobytes() for i in full], pa.binary())], ["bucket", "rows"])
-
-    def meet(rows: list[bytes]) -> pa.RecordBatch:
-        x = np.frombuffer(b"".join(rows), np.uint64).reshape(-1, 2)
-        x = x[np.lexsort((x[:, 1], x[:, 0]))]
-        same = x[1:, 0] == x[:-1, 0]
-        new = same & (x[1:, 1] != x[:-1, 1])
-        nodes, at = np.unique(np.concatenate([x[:-1, 1][new], x[1:, 1][new]]), return_inverse=True)
-        k = int(new.sum())
-        u, v = forest(len(nodes), at[:k], at[k:])
-        return pa.RecordBatch.from_arrays([pa.array(signed(nodes[u])), pa.array(signed(nodes[v]))], ["a", "b"])
+            one, a, b = connected(key, sig)  # what shares a content in this batch goes on as one
+            rows = np.stack([np.concatenate([key[one], a]), np.concatenate([sig[one], b])], 1)
+            bucket = (np.concatenate([text.mix(key[one]), text.mix(a)]) >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
+            edge = np.concatenate([np.zeros(len(one), bool), np.ones(len(a), bool)])
+            order = np.lexsort((edge, bucket))
+            bucket, edge, rows = bucket[order], edge[order], rows[order]
+            cut = np.flatnonzero(np.concatenate([[True], (bucket[1:] != bucket[:-1]) | (edge[1:] != edge[:-1]), [True]])) if len(order) else [0]
+            yield pa.RecordBatch.from_arrays([pa.array([int(bucket[x]) for x in cut[:-1]], pa.int32()), pa.array([bool(edge[x]) for x in cut[:-1]], pa.bool_()), pa.array([rows[x:y].tobytes() for x, y in zip(cut[:-1], cut[1:])], pa.binary())], ["bucket", "edge", "rows"])
+
+    def meet(entries: list[bytes], edges: list[bytes]) -> pa.RecordBatch:
+        x = np.frombuffer(b"".join(entries), np.uint64).reshape(-1, 2)
+        _, a, b = connected(x[:, 0], x[:, 1])
+        y = np.frombuffer(b"".join(edges), np.uint64).reshape(-1, 2)
+        return pa.RecordBatch.from_arrays([pa.array(signed(np.concatenate([a, y[:, 0]]))), pa.array(signed(np.concatenate([b, y[:, 1]])))], ["a", "b"])
 
     def find(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held = None, []
+        now, held = None, ([], [])
         for batch in it:
-            for bucket, rows in zip(batch.column(0).to_pylist(), batch.column(1)):
-                if bucket != now and held:
-                    yield meet(held)
-                    held = []
+            for bucket, edge, rows in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                if bucket != now and now is not None:
+                    yield meet(*held)
+                    held = ([], [])
                 now = bucket
-                held.append(rows.as_py())
-        if held:
-            yield meet(held)
+                held[edge].append(rows.as_py())
+        if now is not None:
+            yield meet(*held)
 
-    dealt = docs.mapInArrow(deal, "bucket int, rows binary").repartition(min(buckets, 4 * cluster.partitions(docs.sparkSession)), "bucket")
+    dealt = docs.mapInArrow(deal, "bucket int, edge boolean, rows binary").repartition(min(buckets, 4 * cluster.partitions(docs.sparkSession)), "bucket")
     return dealt.sortWithinPartitions("bucket").mapInArrow(find, "a long, b long")
 
 
 def _open_shards(members: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """(a, b): links that connect what is linked in each shard; members: (shard, chunks, box, sig, text)."""
+    """(a, b): links that connect what is linked in each shard; members: (shard, chunks, box, sig, text).
+
+    Also, without a, what the bounds did: (bounded, opened, compared), a row a task's group.
+    """
 
     def fetch(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in cluster.batches(it, 200):
@@ -267,7 +297,7 @@ def _open_shards(members: DataFrame, n: int, num: int, den: int) -> DataFrame:
         tokens = table.column("tokens")
         order = np.argsort(shard, kind="stable")
         edge = np.flatnonzero(np.concatenate([[True], shard[order][1:] != shard[order][:-1], [True]]))
-        out_a, out_b = [], []
+        out_a, out_b, counts = [], [], np.zeros(3, np.int64)
         for lo, hi in zip(edge[:-1], edge[1:]):
             at = order[lo:hi]
             _, one = np.unique(sig[at], return_index=True)  # a repeated row is there twice
@@ -275,33 +305,40 @@ def _open_shards(members: DataFrame, n: int, num: int, den: int) -> DataFrame:
             sets = [np.frombuffer(tokens[int(k)].as_buffer(), np.uint64) for k in at]
             left = np.flatnonzero(mine[at] == i[at[0]])
             right = np.flatnonzero(mine[at] == j[at[0]])
-            a, b, _ = links_of(sets, left, right, num, den)
-            u, v = forest(len(at), a, b)
+            a, b, seen = links_of(sets, left, right, num, den)
+            counts += list(seen.values())
+            u, v = cluster.forest(len(at), a, b)
             out_a.append(sig[at[u]])
             out_b.append(sig[at[v]])
-        return pa.table({"a": pa.array(np.concatenate(out_a)), "b": pa.array(np.concatenate(out_b))})
+        none = [None] * sum(map(len, out_a))
+        links = {"a": [*np.concatenate(out_a).tolist(), None], "b": [*np.concatenate(out_b).tolist(), None]} | {k: [*none, int(c)] for k, c in zip(("bounded", "opened", "compared"), counts)}
+        return pa.table({k: pa.array(x, pa.int64()) for k, x in links.items()})
 
     sets = members.mapInArrow(fetch, "shard long, chunks int, box long, sig long, tokens binary")
     sets = sets.withColumn("mine", F.pmod(F.xxhash64("sig"), "chunks").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     sets = sets.select("shard", "box", "sig", "tokens", "mine", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"))
-    return sets.groupBy("box", "i", "j").applyInArrow(opened, "a long, b long")
+    return sets.groupBy("box", "i", "j").applyInArrow(opened, "a long, b long, bounded long, opened long, compared long")
 
 
-def similar(docs: DataFrame, shingle: int = 5, num: int = 4, den: int = 5, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """(doc_id, rid, n_shingles, component_id, keeper) of each row.
+@dataclass
+class _Found:
+    """Tables of a join: rows, classes of equal sets with their shards, and what opening the shards gave."""
 
-    Two rows link where their sets of ``shingle``-word shingles (A-Z in lower case) have
-    a Jaccard similarity of at least num/den. component_id: smallest doc_id reachable by
-    links; keeper: rid of one row of the component, of its smallest doc_id.
-    """
+    rows: DataFrame
+    classes: DataFrame
+    opened: DataFrame
+
+
+def _join(docs: DataFrame, shingle: int, num: int, den: int, id_column: str, text_column: str, exact: bool | None) -> _Found:
     spark = docs.sparkSession
+    exact = num >= 8 * (den - num) if exact is None else exact
     src = cluster.by_position(docs).select(cluster.at(docs, id_column).cast("long").alias("doc_id"), cluster.at(docs, text_column).cast("string").alias("text")).select("doc_id", F.xxhash64(F.col("doc_id").isNull(), "doc_id", F.col("text").isNull(), "text").alias("rid"), "text")
     rows = cluster.saved(document_sets(src, shingle), "sets")
     total = rows.agg(F.sum("n_shingles")).first()[0] or 0
-    entries = total * 5 * (den - num) // (2 * num) if num >= 8 * (den - num) else BANDS * rows.count()
+    entries = total * 5 * (den - num) // (2 * num) if exact else BANDS * rows.count()
     buckets = max(cluster.partitions(spark), -(-entries // BUCKET_ENTRIES))
     classes = rows.filter("n_shingles > 0").groupBy("sig").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "rid")).alias("first"), F.max("n_shingles").alias("n"), F.count("*").alias("weight"))
-    shards = cluster.components(_shard_edges(src, shingle, num, den, int(buckets)))
+    shards = cluster.components(_shard_edges(src, shingle, num, den, int(buckets), exact))
     classes = cluster.cut(classes.join(shards, classes.sig == shards.node, "left").select("sig", "first", "n", "weight", F.col("component").alias("shard")))
     inside = classes.filter("shard is not null")
     volume = inside.groupBy("shard").agg(F.sum("n").alias("tokens")).withColumn("chunks", F.ceil(F.col("tokens") / CHUNK_TOKENS).cast("int"))
@@ -311,7 +348,19 @@ def similar(docs: DataFrame, shingle: int = 5, num: int = 4, den: int = 5, id_co
     wanted = cluster.cut(wanted)
     some = spark.sparkContext.broadcast(cluster.key_set(wanted.select("rid"), wanted.count()))  # other texts stay where they are
     members = cluster.select_rows(src.select("rid", "text"), some, True).join(wanted, "rid").select("shard", "chunks", "box", "sig", "text")
-    comps = cluster.components(_open_shards(members, shingle, num, den))
+    return _Found(rows, classes, _open_shards(members, shingle, num, den))
+
+
+def similar(docs: DataFrame, shingle: int = 5, num: int = 4, den: int = 5, id_column: str = "doc_id", text_column: str = "text", exact: bool | None = None) -> DataFrame:
+    """(doc_id, rid, n_shingles, component_id, keeper) of each row.
+
+    Two rows link where their sets of ``shingle``-word shingles (A-Z in lower case) have
+    a Jaccard similarity of at least num/den. component_id: smallest doc_id reachable by
+    links; keeper: rid of one row of the component, of its smallest doc_id.
+    """
+    found = _join(docs, shingle, num, den, id_column, text_column, exact)
+    rows, classes = found.rows, found.classes
+    comps = cluster.components(found.opened.select("a", "b"))
     joined = classes.join(comps, classes.sig == comps.node, "left").select("sig", "first", "weight", F.coalesce("component", "sig").alias("component"), F.col("component").isNotNull().alias("linked"))
     linked = joined.filter("linked")
     best = linked.groupBy("component").agg(F.min("first").alias("best"))
@@ -320,6 +369,14 @@ def similar(docs: DataFrame, shingle: int = 5, num: int = 4, den: int = 5, id_co
     return out.select("doc_id", "rid", "n_shingles", F.when(F.col("best").isNull(), F.col("doc_id")).otherwise(F.col("best.doc_id")).alias("component_id"), F.coalesce("best.rid", "rid").alias("keeper"))
 
 
+def group_report(docs: DataFrame, shingle: int = 5, num: int = 4, den: int = 5, id_column: str = "doc_id", text_column: str = "text", exact: bool | None = None) -> DataFrame:
+    """One row: sets, sets in shards, shards, (query, group) pairs bounded and opened, and set pairs compared."""
+    found = _join(docs, shingle, num, den, id_column, text_column, exact)
+    sets = found.classes.agg(F.count("*").alias("sets"), F.count("shard").alias("in_shards"), F.count_distinct("shard").alias("shards"))
+    counts = found.opened.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("bounded", "opened", "compared")))
+    return sets.crossJoin(F.broadcast(counts))  # one row each
+
+
 def one_of_each(docs: DataFrame, shingle: int = 5, num: int = 4, den: int = 5, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """The rows of ``docs`` without those that link, directly or not, with a row that stays.
 

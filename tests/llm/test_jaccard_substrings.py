@@ -73,6 +73,10 @@ def test_jaccard_against_brute_force(spark, shingle, num, den):
         got = jaccard.similar(docs, shingle, num, den).collect()
         assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=str) == sorted(((i, n, c) for (i, _), n, c in zip(rows, sizes, want)), key=str)
     jaccard.CHUNK_TOKENS = 400_000
+    other = jaccard.similar(docs, shingle, num, den, exact=num == 4).collect()
+    assert sorted(((r.doc_id, r.component_id) for r in other), key=str) == sorted(((i, c) for (i, _), c in zip(rows, want)), key=str)
+    report = jaccard.group_report(docs, shingle, num, den).first()
+    assert 0 < report.opened < report.bounded and report.shards < report.in_shards <= report.sets
     kept = jaccard.one_of_each(docs, shingle, num, den).collect()
     groups = {c for c, n in zip(of, sizes) if n}
     assert len(kept) == len(groups) + sum(n == 0 for n in sizes) and kept[0].__fields__ == docs.columns
@@ -91,10 +95,45 @@ def test_group_bounds_skip_groups():
             s[rng.integers(0, len(s), 2)] = rng.integers(0, 2**63, 2)
             sets.append(np.unique(s))
     every = np.arange(len(sets))
-    a, b, seen = links_of(sets, every, every, 9, 10)
+    a, b, seen = links_of(sets, every, every, 9, 10, every=True)
     want = {(i, j) for i in every for j in every if i < j and 10 * len(np.intersect1d(sets[i], sets[j])) >= 9 * len(np.union1d(sets[i], sets[j]))}
     assert set(zip(a.tolist(), b.tolist())) == want
     assert seen["opened"] < seen["bounded"] / 2
+    a, b, _ = links_of(sets, every, every, 9, 10)
+    assert set(zip(a.tolist(), b.tolist())) <= want
+    assert brute_components(len(sets), zip(a.tolist(), b.tolist())) == brute_components(len(sets), want)
+    close = [np.unique(np.append(s[1:], np.uint64(i))) for i, s in enumerate([base[0]] * 300)]
+    every = np.arange(len(close))
+    a, b, fewer = links_of(close, every, every, 9, 10)
+    assert fewer["compared"] < 0.1 * 300**2 and set(brute_components(300, zip(a.tolist(), b.tolist()))) == {0}
+
+
+def brute_components(n, pairs):
+    low = list(range(n))
+
+    def root(i):
+        while low[i] != i:
+            i = low[i]
+        return i
+
+    for a, b in pairs:
+        a, b = sorted((root(a), root(b)))
+        low[b] = a
+    return [root(i) for i in range(n)]
+
+
+def test_strangers_with_bare_ranges_stay_apart():
+    """Unlike sets hardly ever share a key, however many there are."""
+    from lodestone.llm.jaccard import range_contents
+
+    rng = np.random.default_rng(3)
+    sizes = rng.integers(10, 40, 60000)
+    first = np.concatenate([[0], np.cumsum(sizes)])
+    h = rng.integers(0, 2**64 - 1, int(first[-1]), dtype=np.uint64)
+    h = np.concatenate([np.sort(h[a:b]) for a, b in zip(first[:-1], first[1:])])
+    of, key = range_contents(h, first, 9, 10)
+    _, at, n = np.unique(key, return_inverse=True, return_counts=True)
+    assert len(set(of[n[at] > 1].tolist())) < 60
 
 
 def test_ranges_agree_for_linked_sets():
