@@ -4,8 +4,9 @@ Three base patterns find assignments, access ids and long hexadecimal runs. Besi
 them, every base64 or hexadecimal candidate is decoded and parsed before it is
 reported: DER key encodings must have nested lengths that fill their parents exactly
 (RSA, EC, PKCS#8, SubjectPublicKeyInfo), OpenSSH keys length-prefixed fields, signed
-tokens a header that is a JSON object with an algorithm (the payload may be any). What does not parse is not
-reported.
+tokens a header that is a JSON object with an algorithm (the payload may be any). Keys
+are also found inside longer runs, by the length that their first bytes declare, and
+wrapped over lines. What does not parse is not reported.
 
 Defined cases: a null or empty text has no spans; rows are independent, so repeated
 rows and extra columns need nothing; texts of any length are scanned whole. Offsets
@@ -44,6 +45,11 @@ _PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*(?:PRIVATE KEY|PUBLIC KEY|CERTIFICATE)
 _OBJECT = re.compile(rb"[ \t\r\n]*+\{")
 _BREAK = re.compile(r"\\+[nr]|\s+")
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{40,}={0,2}")
+#: Lines of base64 that belong together.
+_WRAPPED = re.compile(r"(?<![A-Za-z0-9+/])(?:[A-Za-z0-9+/]{40,76}[ \t]*\r?\n[ \t]*)+[A-Za-z0-9+/]+={0,2}")
+#: How base64 of a DER sequence begins.
+_SEQUENCE = re.compile("M[A-P]")
+_JSON = json.JSONDecoder()
 _ANY_HEX = re.compile(r"[0-9A-Fa-f]{64,}")
 
 # Encoded object identifiers of key algorithms.
@@ -152,12 +158,16 @@ def signed_header(part: str) -> int | None:
         data = _b64(part[skip:])
         if not data or not data.rstrip().endswith(b"}"):
             continue
+        text = data.decode("latin-1")  # a character a byte; whether it is UTF-8 is asked of what parses
         for m in _OBJECT.finditer(data):
             at = m.start() + -m.start() % 3  # characters go with bytes by quads
             if at > m.end() - 1:
                 continue
             try:
-                h = json.loads(data[at:])
+                h, end = _JSON.raw_decode(text, m.end() - 1)
+                if text[end:].strip(" \t\r\n"):
+                    continue
+                data[at:].decode()
             except (ValueError, RecursionError):
                 continue
             if isinstance(h, dict) and isinstance(h.get("alg"), str) and h["alg"].isascii():
@@ -176,6 +186,30 @@ def signed_tokens(text: str) -> list[tuple[int, int]]:
     return out
 
 
+def keys_inside(run: str) -> list[tuple[int, int]]:
+    """(start, end) of DER keys that begin anywhere in a run of base64, as long as they declare."""
+    out, last = [], 0
+    for m in _SEQUENCE.finditer(run):
+        at = m.start()
+        if at < last or len(run) - at < 40:
+            continue
+        head = _b64(run[at : at + 8])
+        if not head or head[0] != 0x30:
+            continue
+        k = head[1] & 127 if head[1] & 128 else 0
+        if k > 4 or (head[1] & 128 and not k):
+            continue
+        n = 2 + (int.from_bytes(head[2 : 2 + k], "big") + k if k else head[1])
+        end = at + -(-8 * n // 6)
+        if n < 30 or end > len(run):
+            continue
+        data = _b64(run[at:end])
+        if data and der_key(data[:n]):
+            last = end
+            out.append((at, end))
+    return out
+
+
 def base_spans(text: str) -> list[tuple[int, int, str]]:
     """The assign, access and hex spans: leftmost, non-overlapping for each kind."""
     out = []
@@ -198,15 +232,30 @@ def confirmed_spans(text: str) -> list[tuple[int, int, str]]:
             if data and (der_key(data) or ssh_key(data)):
                 out.append((m.start(), m.end(), "pem"))
     inside = [(a, b) for a, b, k in out if k in ("pem", "jwt")]
-    for pattern, decode in ((_BASE64, _b64), (_ANY_HEX, lambda x: bytes.fromhex(x[: len(x) // 2 * 2]))):
-        for m in pattern.finditer(text):
-            if any(a <= m.start() < b for a, b in inside) or not (data := decode(m[0])):
-                continue
-            if data[0] == 0x30 and der_key(data):
-                out.append((m.start(), m.end(), "der"))
-            elif data[:3] == b"\0\0\0" or data[:15] == b"openssh-key-v1\0":
-                if ssh_key(data):
-                    out.append((m.start(), m.end(), "ssh"))
+    free = lambda m: not any(a <= m.start() < b for a, b in inside)
+    runs = [m for m in _BASE64.finditer(text) if free(m)]
+    lines = any(text[m.end() : m.end() + 1].isspace() for m in runs)
+    for m in filter(free, _WRAPPED.finditer(text) if lines else ()):
+        data = _b64("".join(m[0].split()))
+        if data and (kind := "der" if der_key(data) else "ssh" if ssh_key(data) else None):
+            out.append((m.start(), m.end(), kind))
+            inside.append((m.start(), m.end()))
+    for m in filter(free, runs):
+        data = _b64(m[0])
+        if data and data[0] == 0x30 and der_key(data):
+            out.append((m.start(), m.end(), "der"))
+        elif data and (data[:3] == b"\0\0\0" or data[:15] == b"openssh-key-v1\0") and ssh_key(data):
+            out.append((m.start(), m.end(), "ssh"))
+        else:
+            for a, b in keys_inside(m[0].rstrip("=")):
+                b += len(m[0]) - len(m[0].rstrip("=")) if b == len(m[0].rstrip("=")) else 0
+                out.append((m.start() + a, m.start() + b, "der"))
+    for m in filter(free, _ANY_HEX.finditer(text)):
+        data = bytes.fromhex(m[0][: len(m[0]) // 2 * 2])
+        if data[0] == 0x30 and der_key(data):
+            out.append((m.start(), m.end(), "der"))
+        elif (data[:3] == b"\0\0\0" or data[:15] == b"openssh-key-v1\0") and ssh_key(data):
+            out.append((m.start(), m.end(), "ssh"))
     return out
 
 
@@ -229,7 +278,8 @@ def scan(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text")
             spans = [[{"start": a, "end": b, "kind": k} for a, b, k in find(t)] for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(spans, kind)], ["doc_id", "spans"])
 
-    return docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text")).mapInArrow(run, f"doc_id long, spans {SPANS}")
+    rows = cluster.by_position(docs).select(cluster.at(docs, id_column).cast("long").alias("doc_id"), cluster.at(docs, text_column).cast("string").alias("text"))
+    return rows.mapInArrow(run, f"doc_id long, spans {SPANS}")
 
 
 def redacted(docs: DataFrame, text_column: str = "text", mask: str = "[SECRET]") -> DataFrame:

@@ -1,17 +1,24 @@
 """ARC to WARC conversion.
 
-An ARC file is a version block followed by URL records; version 1 header lines have
-five fields (URL, IP address, date, content type, length), version 2 lines ten
-(... result code, checksum, location, offset, filename, length). The line the version
-block declares tells the fields, the declared length the content: nothing is guessed
-from the content itself. Each record becomes a WARC record whose identifier is a UUID
-derived from its fields, whose date is the ARC date in ISO form and whose digests are
-SHA-256 of block and payload. Repeats of a payload become revisit records.
-
-Defined cases: a null payload is empty; null urls are written as ``-``; payloads under
-``least`` bytes are always responses; rows that share the smallest id and the payload are
-all responses; pages without id revisit the smallest id, or are responses where no page
-of their payload has one; an empty table gives an archive without files; other columns play no part.
+An ARC file is a version block, its first record, followed by URL records; version 1
+header lines have five fields (URL, IP address, date, content type, length), version 2
+lines ten (... result code, checksum, location, offset, filename, length). The line the
+version block declares tells the fields, the declared length the content: nothing is
+guessed from the content itself. The version block becomes a warcinfo record. Each other
+record becomes a WARC record whose identifier is a UUID derived from its fields, whose
+date is the ARC date in ISO form and whose digests are SHA-256 of block and payload. A
+record that holds an HTTP answer is a response and its payload what follows the head;
+others are resources. Repeats of a payload become revisits, which keep the head and name
+the record, address and date that they refer to.
+
+Tables of pages become ARC files of many records, by version, which are converted as a
+whole, an HTTP head being put before each payload.
+
+Defined cases: a null payload is empty; null urls are written as ``-``; urls may look
+like a version block's; payloads under ``least`` bytes are always responses; rows that
+share the smallest id and the payload are all responses; pages without id revisit the
+smallest id, or are responses where no page of their payload has one; an empty table
+gives an archive without files; other columns play no part.
 """
 
 from __future__ import annotations
@@ -35,6 +42,8 @@ ARC1 = ["URL", "IP-address", "Archive-date", "Content-type", "Archive-length"]
 ARC2 = ["URL", "IP-address", "Archive-date", "Content-type", "Result-code", "Checksum", "Location", "Offset", "Filename", "Archive-length"]
 _SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # the URL name space
 _PAGE_SIZE = 4 << 20
+DATE = "20240101000000"
+_HTTP = "application/http;msgtype=response"
 
 
 @dataclass
@@ -61,34 +70,46 @@ def arc_record(version: int, url: str, date: str, mime: str, content: bytes, ip:
     return " ".join([_line(url), ip, date, mime, *rest, str(len(content))]).encode() + b"\n" + content + b"\n"
 
 
-def read_arc(data: bytes) -> Iterator[ArcRecord]:
-    """Records of an ARC file; the fields are those of the version block's own line."""
-    at, names, version = 0, ARC1, 1
+def read_arc(data: bytes, block: bool = False) -> Iterator[ArcRecord]:
+    """Records of an ARC file, with ``block`` the version block first; the fields are those of its own line."""
+    at, names, version, first = 0, ARC1, 1, True
     while at < len(data):
         if data[at : at + 1] in b"\r\n":
             at += 1
             continue
         end = data.index(b"\n", at)
         parts = data[at:end].decode("utf-8", "replace").rstrip("\r").split(" ")
-        first = parts[0].startswith("filedesc://")
-        if first:
+        opens = first and parts[0].startswith("filedesc://")
+        if opens:
             names = ARC2 if len(parts) == len(ARC2) else ARC1
         if len(parts) < len(names):
             raise ValueError(f"ARC header line at byte {at} has {len(parts)} fields; version {version} has {len(names)}")
         extra = len(parts) - len(names)  # a URL or type with spaces: the fields count from both ends
-        parts = ["%20".join(parts[: extra + 1]), *parts[extra + 1 :]]
-        fields = dict(zip(names, parts))
+        fields = dict(zip(names, ["%20".join(parts[: extra + 1]), *parts[extra + 1 :]]))
         n = int(fields["Archive-length"])
         content = data[end + 1 : end + 1 + n]
         if len(content) < n:
             raise ValueError(f"ARC record at byte {at} is cut off: {len(content)} of {n} bytes")
-        at = end + 1 + n
-        if first:
+        at, first = end + 1 + n, False
+        if opens:
             lines = content.decode("utf-8", "replace").split("\n")
             version = int(lines[0].split(" ")[0])
             names = lines[1].split(" ")
-            continue
-        yield ArcRecord(fields, content, version)
+        if block or not opens:
+            yield ArcRecord(fields, content, version)
+
+
+def http_parts(content: bytes) -> tuple[bytes, bytes] | None:
+    """Head, with the blank line that ends it, and body of an HTTP answer, or None."""
+    if not content.startswith(b"HTTP/"):
+        return None
+    ends = [at + len(gap) for gap in (b"\r\n\r\n", b"\n\n") if (at := content.find(gap)) >= 0]
+    end = min(ends, default=len(content))
+    return content[:end], content[end:]
+
+
+def with_head(payload: bytes, mime: str = "text/html; charset=utf-8") -> bytes:
+    return f"HTTP/1.1 200 OK\r\nContent-Type: {mime}\r\nContent-Length: {len(payload)}\r\n\r\n".encode() + payload
 
 
 @dataclass
@@ -97,6 +118,13 @@ class WarcRecord:
     block: bytes = b""
     payload_digest: str = field(default="")
 
+    @property
+    def payload(self) -> bytes:
+        """What follows the HTTP head of a response; nothing in a revisit."""
+        if self.headers["WARC-Type"] == "revisit":
+            return b""
+        return http_parts(self.block)[1] if self.headers["Content-Type"] == _HTTP else self.block
+
     def dump(self) -> bytes:
         lines = "".join(f"{k}: {v}\r\n" for k, v in self.headers.items())
         return b"WARC/1.1\r\n" + lines.encode() + b"\r\n" + self.block + b"\r\n\r\n"
@@ -106,30 +134,56 @@ def record_id(name: str) -> str:
     return f"<urn:uuid:{uuid.uuid5(_SPACE, name)}>"
 
 
-def convert(r: ArcRecord, key: str, refers_to: str | None = None, refers_digest: str | None = None) -> WarcRecord:
+def iso_date(arc: str) -> str:
+    d = arc.ljust(14, "0")[:14]
+    return f"{d[:4]}-{d[4:6]}-{d[6:8]}T{d[8:10]}:{d[10:12]}:{d[12:14]}Z"
+
+
+def warcinfo(r: ArcRecord) -> WarcRecord:
+    """The record that stands for a version block."""
+    name = r.fields["URL"].removeprefix("filedesc://")
+    body = f"software: lodestone\r\nformat: WARC File Format 1.1\r\ndescription: converted from ARC version {r.version}\r\n".encode()
+    return WarcRecord({
+        "WARC-Type": "warcinfo",
+        "WARC-Record-ID": record_id(f"{name} {r.fields['Archive-date']}"),
+        "WARC-Date": iso_date(r.fields["Archive-date"]),
+        "WARC-Filename": name,
+        "WARC-Block-Digest": f"sha256:{sha256(body).hexdigest()}",
+        "Content-Type": "application/warc-fields",
+        "Content-Length": str(len(body)),
+    }, body)
+
+
+def convert(r: ArcRecord, key: str, refers_to: str | None = None, refers_url: str | None = None) -> WarcRecord:
     """The WARC record equivalent to an ARC record; with ``refers_to``, a revisit of that key.
 
     A revisit keeps the digest and length of its payload, not the payload.
     """
-    digest = sha256(r.content).hexdigest()
-    d = r.fields["Archive-date"].ljust(14, "0")[:14]
-    revisit = refers_to is not None
-    block = b"" if revisit else r.content
+    http = http_parts(r.content)
+    head, payload = http or (b"", r.content)
+    digest, revisit = sha256(payload).hexdigest(), refers_to is not None
+    block = head if revisit else r.content
     headers = {
-        "WARC-Type": "revisit" if revisit else "response",
+        "WARC-Type": "revisit" if revisit else "response" if http else "resource",
         "WARC-Record-ID": record_id(key),
-        "WARC-Date": f"{d[:4]}-{d[4:6]}-{d[6:8]}T{d[8:10]}:{d[10:12]}:{d[12:14]}Z",
+        "WARC-Date": iso_date(r.fields["Archive-date"]),
         "WARC-Target-URI": r.fields["URL"],
         "WARC-IP-Address": r.fields["IP-address"],
         "WARC-Payload-Digest": f"sha256:{digest}",
-        "WARC-Block-Digest": f"sha256:{digest if not revisit else sha256(block).hexdigest()}",
+        "WARC-Block-Digest": f"sha256:{sha256(block).hexdigest()}",
         "WARC-Identified-Payload-Type": r.fields["Content-type"],
-        "X-Payload-Length": str(len(r.content)),
+        "X-Payload-Length": str(len(payload)),
         "X-Key": key,
     }
     if revisit:
-        headers |= {"WARC-Profile": "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", "WARC-Refers-To": record_id(refers_to), "X-Refers-To-Key": refers_to}
-    headers |= {"Content-Type": r.fields["Content-type"], "Content-Length": str(len(block))}
+        headers |= {
+            "WARC-Profile": "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest",
+            "WARC-Refers-To": record_id(refers_to),
+            "WARC-Refers-To-Target-URI": _line(refers_url or "-"),
+            "WARC-Refers-To-Date": headers["WARC-Date"],
+            "X-Refers-To-Key": refers_to,
+        }
+    headers |= {"Content-Type": _HTTP if http else r.fields["Content-type"], "Content-Length": str(len(block))}
     return WarcRecord(headers, block)
 
 
@@ -147,36 +201,41 @@ def read_warc(stream: io.BufferedIOBase) -> Iterator[WarcRecord]:
         block = stream.read(int(headers["Content-Length"]))
         if sha256(block).hexdigest() != headers["WARC-Block-Digest"].removeprefix("sha256:"):
             raise ValueError(f"{headers['WARC-Record-ID']}: its block doesn't have its digest")
-        yield WarcRecord(headers, block, headers["WARC-Payload-Digest"].removeprefix("sha256:"))
+        digest = headers.get("WARC-Payload-Digest", "").removeprefix("sha256:")
+        r = WarcRecord(headers, block, digest)
+        if headers["WARC-Type"] in ("response", "resource") and sha256(r.payload).hexdigest() != digest:
+            raise ValueError(f"{headers['WARC-Record-ID']}: its payload doesn't have its digest")
+        yield r
 
 
-def arc_of(rows: Iterable[tuple[str, bytes]], version: int, name: str = "pages.arc", date: str = "20240101000000") -> bytes:
+def arc_of(rows: Iterable[tuple[str, bytes]], version: int, name: str = "pages.arc", date: str = DATE) -> bytes:
     """An ARC file of (url, content) rows."""
     return arc_version_block(version, name, date) + b"".join(arc_record(version, u, date, "text/html", c) for u, c in rows)
 
 
 def assign_types(pages: DataFrame, least: int = 100) -> DataFrame:
-    """(page_id, digest, refers_to) of each page that revisits another's payload.
+    """(page_id, digest, refers_to, refers_url) of each page that revisits another's payload.
 
     Small rows without payloads go through the aggregation, which combines before its
     exchange, and the join on the digest; digests that occur once leave early, and the
     pages of one digest are spread by a salt.
     """
     spread = 16
-    mine = pages.filter(F.octet_length("payload") >= least).select("page_id", "digest")
-    first = mine.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("n")).filter("n > 1 and refers_to is not null")
-    first = first.select("digest", "refers_to", F.explode(F.sequence(F.lit(0), F.lit(spread - 1))).alias("salt"))
-    salted = mine.distinct().withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(spread)).cast("int"))
-    return salted.join(first, ["digest", "salt"]).filter("page_id is null or page_id <> refers_to").select("page_id", "digest", "refers_to")
+    mine = pages.filter(F.octet_length("payload") >= least).select("page_id", "url", "digest")
+    first = mine.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.min(F.when(F.col("page_id").isNotNull(), F.struct("page_id", "url")))["url"].alias("refers_url"), F.count("*").alias("n")).filter("n > 1 and refers_to is not null")
+    first = first.select("digest", "refers_to", "refers_url", F.explode(F.sequence(F.lit(0), F.lit(spread - 1))).alias("salt"))
+    salted = mine.select("page_id", "digest").distinct().withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(spread)).cast("int"))
+    return salted.join(first, ["digest", "salt"]).filter("page_id is null or page_id <> refers_to").select("page_id", "digest", "refers_to", "refers_url")
 
 
 def write(pages: DataFrame, folder: str, least: int = 100, id_column: str = "page_id", url_column: str = "url", payload_column: str = "html") -> DataFrame:
     """Archive a table of pages through ARC records; returns (path, n_records, n_bytes) of the WARC files.
 
-    Each task writes compressed files of its own, one member a record, under a name of
-    its attempt that it renames when the file is whole.
+    Each task converts ARC files of many records and writes compressed files of its own,
+    one member a record, under a name of its attempt that it renames when the file is whole.
     """
-    src = pages.select(F.col(id_column).cast("long").alias("page_id"), F.coalesce(F.col(url_column), F.lit("-")).alias("url"), F.coalesce(F.col(payload_column).cast("string"), F.lit("")).cast("binary").alias("payload"))
+    column = lambda name: cluster.at(pages, name)
+    src = cluster.by_position(pages).select(column(id_column).cast("long").alias("page_id"), F.coalesce(column(url_column).cast("string"), F.lit("-")).alias("url"), F.coalesce(column(payload_column).cast("string"), F.lit("")).cast("binary").alias("payload"))
     src = src.withColumn("digest", F.sha2("payload", 256))
     types = assign_types(src, least).withColumnRenamed("page_id", "revisit_id").withColumnRenamed("digest", "revisit_digest")
     typed = src.join(types, (src.digest == types.revisit_digest) & src.page_id.eqNullSafe(types.revisit_id), "left")
@@ -195,33 +254,53 @@ def write(pages: DataFrame, folder: str, least: int = 100, id_column: str = "pag
             store.move(f"{name}.tmp", name)
             made.append((name, count, size))
 
-        for batch in cluster.batches(it, 500):
-            for key, url, payload, refers in zip(*(batch.column(i).to_pylist() for i in range(4))):
+        def put(r: WarcRecord, pages: int) -> None:
+            nonlocal count, size
+            data = gzip.compress(r.dump(), 1, mtime=0)
+            out.write(data)
+            count, size = count + pages, size + len(data)
+
+        def convert_all(rows: list[tuple]) -> None:
+            """One ARC file a version, of all rows given."""
+            nonlocal out, number, name, count, size
+            for version in (1, 2):
+                mine = [r for r in rows if (r[0] or 0) % 2 == version % 2]
+                if not mine:
+                    continue
                 if out is None:
                     store.create_dir(path, recursive=True)
                     name = f"{path}/part-{context.partitionId():06d}-{context.taskAttemptId()}-{number:04d}.warc.gz"
                     out, count, size = store.open_output_stream(f"{name}.tmp", compression=None), 0, 0
-                version = 1 if (key or 0) % 2 else 2
-                (r,) = read_arc(arc_of([(url, payload)], version))
-                data = gzip.compress(convert(r, "null" if key is None else str(key), None if refers is None else str(refers)).dump(), 1, mtime=0)
-                out.write(data)
-                count, size = count + 1, size + len(data)
+                block, *records = read_arc(arc_of([(url, with_head(payload)) for _, url, payload, _, _ in mine], version, name.rsplit("/", 1)[1]), block=True)
+                put(warcinfo(block), 0)
+                for r, (key, _, _, refers, refers_url) in zip(records, mine, strict=True):
+                    put(convert(r, "null" if key is None else str(key), None if refers is None else str(refers), refers_url), 1)
                 if size >= _PAGE_SIZE * 8:
                     finish()
                     out, number = None, number + 1
+
+        for batch in cluster.batches(it, 500):
+            rows, held = [], 0
+            for row in zip(*(batch.column(i).to_pylist() for i in range(5))):
+                rows.append(row)
+                held += len(row[2])
+                if held > _PAGE_SIZE:
+                    convert_all(rows)
+                    rows, held = [], 0
+            convert_all(rows)
         if out is not None:
             finish()
         yield pa.RecordBatch.from_pydict({"path": pa.array([m[0] for m in made], pa.string()), "n_records": pa.array([m[1] for m in made], pa.int64()), "n_bytes": pa.array([m[2] for m in made], pa.int64())})
 
-    return cluster.cut(typed.select("page_id", "url", "payload", "refers_to").mapInArrow(run, "path string, n_records long, n_bytes long"))
+    return cluster.cut(typed.select("page_id", "url", "payload", "refers_to", "refers_url").mapInArrow(run, "path string, n_records long, n_bytes long"))
 
 
 def read(files: DataFrame, folder: str) -> DataFrame:
-    """The records of WARC files: key, url, payload digest and length, type, revisit target and block."""
+    """The records of WARC files but their warcinfo: key, url, payload digest and length, type, revisit target and payload."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, _ = cluster.open_folder(folder)
-        columns = ["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "block"]
+        columns = ["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload"]
         number = lambda x: None if x in (None, "null") else int(x)
         for batch in it:
             for path in batch.column(0).to_pylist():
@@ -230,7 +309,9 @@ def read(files: DataFrame, folder: str) -> DataFrame:
                 with store.open_input_stream(path, compression=None) as raw, gzip.open(raw) as f:
                     for r in read_warc(f):
                         h = r.headers
-                        rows.append((number(h["X-Key"]), h["WARC-Target-URI"], int(h["X-Payload-Length"]), r.payload_digest, h["WARC-Type"], number(h.get("X-Refers-To-Key")), r.block))
+                        if h["WARC-Type"] == "warcinfo":
+                            continue
+                        rows.append((number(h["X-Key"]), h["WARC-Target-URI"], int(h["X-Payload-Length"]), r.payload_digest, h["WARC-Type"], number(h.get("X-Refers-To-Key")), r.payload))
                         held += len(r.block)
                         if held > _PAGE_SIZE:
                             yield _batch(rows, columns)
@@ -239,7 +320,7 @@ def read(files: DataFrame, folder: str) -> DataFrame:
                     yield _batch(rows, columns)
 
     n = max(1, files.count())
-    return files.select("path").repartition(n).mapInArrow(run, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, block binary")
+    return files.select("path").repartition(n).mapInArrow(run, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary")
 
 
 def _batch(rows: list[tuple], columns: list[str]) -> pa.RecordBatch:

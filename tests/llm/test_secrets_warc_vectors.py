@@ -33,19 +33,47 @@ def test_archive_odd_rows(spark):
     from lodestone.llm.warc import archive
 
     big = "é" * 60
-    rows = [(5, "http://a b/", big, 1), (3, None, big, 2), (9, "u", big, 3), (None, "u", big, 4), (7, "u", None, 5), (8, "u", "", 6), (1, "u", "x" * 99, 7), (2, "u", "x" * 99, 8), (4, "u", "\r\n\r\nWARC/1.1\r\n", 9), (6, "u", "y" * 3_000_000, 10)]
+    rows = [(5, "http://a b/", big, 1), (3, None, big, 2), (9, "u", big, 3), (None, "u", big, 4), (7, "u", None, 5), (8, "u", "", 6), (1, "u", "x" * 99, 7), (2, "u", "x" * 99, 8), (4, "u", "\r\n\r\nWARC/1.1\r\n", 9), (6, "u", "y" * 3_000_000, 10), (11, "filedesc://pages.arc", "<p>", 11), (12, "filedesc://x 0.0.0.0 2 text/plain 9", None, 12)]
     _, back, _ = archive(spark.createDataFrame(rows, "page_id long, url string, html string, digest int").repartition(3))
     got = {r.page_id: r for r in back.collect()}
     assert len(got) == len(rows)
     for page, _, html, _ in rows:
         raw = (html or "").encode()
         assert got[page].payload_bytes == len(raw) and got[page].payload_digest == hashlib.sha256(raw).hexdigest()
-        assert bytes(got[page].block) == (b"" if page in (5, 9, None) else raw)
+        assert bytes(got[page].payload) == (b"" if page in (5, 9, None) else raw)
     assert [(k, got[k].record_type, got[k].refers_to) for k in (3, 5, 9, None, 1, 2)] == [(3, "response", None), (5, "revisit", 3), (9, "revisit", 3), (None, "revisit", 3), (1, "response", None), (2, "response", None)]
     _, none, _ = archive(spark.createDataFrame([], "page_id long, url string, html string"))
     assert none.count() == 0
 
 
+def test_archive_files(spark):
+    """Files open with warcinfo, hold many records, answers with their HTTP heads, and revisits that say what they refer to."""
+    import gzip
+
+    from lodestone.llm import cluster
+    from lodestone.llm.warc import archive, read_warc, record_id
+
+    rows = [(i, f"http://h/{i}", f"<p>{i % 6}" + "x" * 120) for i in range(40)]
+    files, _, folder = archive(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1))
+    store, _ = cluster.open_folder(folder)
+    kinds = []
+    for f in files.collect():
+        with store.open_input_stream(f.path, compression=None) as raw, gzip.open(raw) as g:
+            records = list(read_warc(g))
+        assert f.n_records == sum(r.headers["WARC-Type"] != "warcinfo" for r in records) and records[0].headers["WARC-Type"] == "warcinfo"
+        assert records[0].headers["WARC-Filename"] == f.path.rsplit("/", 1)[1]
+        for r in records:
+            h = r.headers
+            kinds.append(h["WARC-Type"])
+            if h["WARC-Type"] == "response":
+                assert h["Content-Type"] == "application/http;msgtype=response" and r.block.startswith(b"HTTP/1.1 200") and r.block.endswith(r.payload) and r.payload.decode() == rows[int(h["X-Key"])][2]
+            elif h["WARC-Type"] == "revisit":
+                first = int(h["X-Key"]) % 6
+                assert h["WARC-Refers-To"] == record_id(str(first)) and h["WARC-Refers-To-Target-URI"] == f"http://h/{first}" and h["WARC-Refers-To-Date"] == "2024-01-01T00:00:00Z"
+                assert r.payload == b"" and r.block.startswith(b"HTTP/1.1")
+    assert kinds.count("response") == 6 and kinds.count("revisit") == 34 and kinds.count("warcinfo") >= 2
+
+
 @pytest.mark.parametrize("version", [1, 2])
 def test_arc_is_parsed_by_declared_lengths(version):
     from lodestone.llm.warc import arc_of, convert, read_arc, read_warc
@@ -53,7 +81,12 @@ def test_arc_is_parsed_by_declared_lengths(version):
     rows = [("http://x/ y", b"a\nhttp://z 0.0.0.0 2024 text/html 5\nhello\n"), ("u", b"")]
     records = list(read_arc(arc_of(rows, version)))
     assert [r.content for r in records] == [c for _, c in rows] and {r.version for r in records} == {version}
+    with_block = list(read_arc(arc_of(rows, version), block=True))
+    assert with_block[0].fields["URL"] == "filedesc://pages.arc" and len(with_block) == 3
+    again = list(read_arc(arc_of([("filedesc://a", b"x"), ("filedesc://b", b"")], version)))
+    assert [r.fields["URL"] for r in again] == ["filedesc://a", "filedesc://b"]
     w = convert(records[0], "k")
+    assert w.headers["WARC-Type"] == "resource" and w.headers["Content-Type"] == "text/html"
     assert w.headers["WARC-Date"] == "2024-01-01T00:00:00Z" and w.headers["WARC-Record-ID"] == convert(records[0], "k").headers["WARC-Record-ID"]
     (back,) = read_warc(io.BytesIO(w.dump()))
     assert back.headers == w.headers and back.block == rows[0][1]
@@ -257,3 +290,31 @@ def test_secrets_in_unusual_forms(spark):
         assert find(f'"{pem}"') == [(1, 1 + len(pem), "pem")], gap
     df = spark.createDataFrame([(1, f"a x{tokens[4]} b")], "doc_id long, text string")
     assert [r.text for r in redacted(df).collect()] == ["a x[SECRET] b"]
+
+
+def test_keys_inside_runs_and_over_lines():
+    from lodestone.llm.secrets import find
+
+    pkcs8 = der(0x30, num(0), der(0x30, der(6, bytes.fromhex("2b6570"))), der(4, der(4, b"k" * 32)))
+    p, q = 2**127 - 1, 2**89 - 1
+    rsa = der(0x30, num(0), num(p * q), num(65537), num(3), num(p), num(q), num(1), num(2), num(3))
+    for key in (pkcs8, rsa):
+        b64 = base64.b64encode(key).decode()
+        bare = b64.rstrip("=")
+        for before, after in (("key/", " x"), ("a+b/", "\n"), ("x", "")):
+            assert find(f"é {before}{b64}{after}") == [(2 + len(before), 2 + len(before) + len(b64), "der")], before
+        assert (4, 4 + len(bare), "der") in find(f"key/{bare}//tail")
+        wrapped = "\r\n  ".join(b64[i : i + 64] for i in range(0, len(b64), 64))
+        assert len(b64) <= 64 or find(f"data: {wrapped} end") == [(6, 6 + len(wrapped), "der")]
+    assert find("MIIB" * 50) == [] and find("/".join(["MC4" + "A" * 60] * 5)) == []
+
+
+def test_very_long_runs_take_linear_time():
+    import time
+
+    from lodestone.llm.secrets import find
+
+    began = time.perf_counter()
+    for text in ("a" * 400_000, "a." * 200_000, base64.b64encode(b'{"a":' * 60_000).decode() + ".aaaa.bbbb", base64.b64encode(b'{"a":1} ' * 40_000 + b"}").decode() + ".aaaa.bbbb", "MII" * 100_000, ("M" * 70 + "\n") * 3000, "eyJ" * 100_000 + "."):
+        assert [s for s in find(text) if s[2] not in ("hex",)] == []
+    assert time.perf_counter() - began < 30
