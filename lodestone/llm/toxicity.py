@@ -6,7 +6,9 @@ spaces or marks) become lattices of what each character may stand for; Viterbi d
 under the character model and a channel cost restores them. The restored words are then
 scored: word beginnings that the labelled sample separates, by rate, in a logistic
 regression. Labels are fitted on a bounded sample of labelled rows; the character model
-counts all rows.
+counts all rows. The sampled texts stay on the executors, which restore them, count their
+word beginnings and choose those that separate the labels; the driver gets numbers of
+the chosen ones and takes the Newton steps.
 
 Defined cases: a null or empty text scores as a text without features; tables without
 labels of both kinds give every row the share of label 1 seen (0 without labels);
@@ -45,7 +47,6 @@ NUMBER, PUNCTUATION = 4.0, 0.0  # cost of dropping a digit or a mark that ends a
 
 _SYMBOLS = re.escape("".join(LEET))
 _WORD = re.compile(r"[^\W\d_]+")
-_TAIL = re.compile(rf"(?:(?![{_SYMBOLS}])\W)\W*$|(?:(?!\d)[{_SYMBOLS}]){{3,}}\W*$")
 #: What makes a token suspect: symbols among or before letters, a letter run out, marks between letters.
 _SUSPECT = re.compile(rf"[^\W\d_][{_SYMBOLS}]+[^\W\d_]|^[{_SYMBOLS}]+[^\W\d_]|([^\W\d_])\1\1|[^\W\d_][*_~][^\W\d_]|^[^\W\d_](?:[.-][^\W\d_]){{2,}}$|[^\W\d_][{_SYMBOLS}]+$")
 _SINGLE = rf"(?:[^\W\d_]|[{_SYMBOLS}])"
@@ -165,10 +166,21 @@ def decode(piece: str, model: CharModel) -> str:
     return "".join(reversed(out))
 
 
+def trimmed(token: str) -> str:
+    """A token without what no disguise ends in: from the first mark on that is no symbol, or three symbols on."""
+    end = len(token)
+    while end and not (token[end - 1].isalnum() or token[end - 1] == "_"):
+        end -= 1
+    for i in range(end, min(len(token), end + 3)):
+        if token[i] not in LEET or (i + 3 <= len(token) and all(c in LEET for c in token[i : i + 3])):
+            return token[:i]
+    return token
+
+
 def restored_words(token: str, model: CharModel) -> list[str]:
     """The words of a lower-case token without white space, decoded where it is suspect."""
     if not token.isalpha():
-        token = _TAIL.sub("", token)
+        token = trimmed(token)
     return _WORD.findall(decode(token, model) if _SUSPECT.search(token) else token)
 
 
@@ -262,43 +274,60 @@ def _rates(body: str | None, model: CharModel) -> dict[str, float]:
     return {b: math.log1p(per * k) for b, k in n.items()}
 
 
-def fit(sample: list[tuple[str | None, int]], total: tuple[int, int], counts: np.ndarray) -> Scorer:
-    """A scorer from (text, label) rows; total: how many rows of label 0 and 1 they stand for."""
-    y = np.array([1.0 if t else 0.0 for _, t in sample])
-    if not len(y) or y.min() == y.max():
-        return Scorer(counts, constant=float(y[0]) if len(y) else 0.0)
-    model = CharModel(counts)
-    least = max(3, int(0.01 * y.sum()))
-    seen: Counter = Counter()
-    for body, label in sample:
-        if label:
-            seen.update(_rates(body, model).keys())
-    names = sorted(b for b, n in seen.items() if n >= least)
-    place = {b: i for i, b in enumerate(names)}
-    del seen
-    # Only frequent beginnings are kept of a document: a few arrays, not a table of all its words.
-    rows = []
-    for body, _ in sample:
-        r = [(place[b], x) for b, x in _rates(body, model).items() if b in place]
-        rows.append((np.array([i for i, _ in r], np.int32), np.array([x for _, x in r])))
-    n1, n0 = y.sum(), len(y) - y.sum()
-    sums = np.zeros((4, len(names)))
-    for (at, x), label in zip(rows, y):
-        k = 0 if label else 2
-        sums[k, at] += x
-        sums[k + 1, at] += x * x
-    m1, m0 = sums[0] / n1, sums[2] / n0
-    spread = np.maximum(sums[1] / n1 - m1 * m1, 0) / n1 + np.maximum(sums[3] / n0 - m0 * m0, 0) / n0
-    chosen = np.argsort(-(m1 - m0) / np.sqrt(spread + 1e-6), kind="stable")[:FEATURES]
-    features = {names[i]: k for k, i in enumerate(chosen)}
-    column = np.full(len(names), -1)
-    column[chosen] = np.arange(len(chosen))
-    x = np.zeros((len(y), len(chosen) + 1))
+UNIT = 1 << 20  # rates are whole numbers of these parts, so that their sums don't depend on their order
+
+
+def sample_rates(sample: DataFrame, counts: np.ndarray) -> DataFrame:
+    """(doc_id, y, names, rates): the word beginnings of each restored text; sample: (doc_id, y, body)."""
+    shared = sample.sparkSession.sparkContext.broadcast(counts)  # 28 ** 3 numbers
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = CharModel(shared.value)
+        for batch in cluster.batches(it, 50):
+            found = [_rates(body, model) for body in batch.column(2).to_pylist()]
+            names = pa.array([list(f) for f in found], pa.list_(pa.string()))
+            rates = pa.array([[round(x * UNIT) for x in f.values()] for f in found], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), names, rates], ["doc_id", "y", "names", "rates"])
+
+    return sample.select("doc_id", "y", "body").mapInArrow(run, "doc_id long, y int, names array<string>, rates array<long>")
+
+
+def choose_features(rates: DataFrame, n: dict[int, int], most: int = FEATURES) -> list[str]:
+    """The word beginnings whose mean rates differ most between the labels, in units of their spread."""
+    pairs = rates.select("y", F.explode(F.arrays_zip("names", "rates")).alias("p")).select("y", F.col("p.names").alias("name"), F.col("p.rates").alias("r"))
+    of = lambda y, x: F.sum(F.when(F.col("y") == y, x).otherwise(F.lit(0)))
+    r = F.col("r")
+    sums = pairs.groupBy("name").agg(of(1, F.lit(1)).alias("seen"), of(1, r).alias("s1"), of(1, r * r).alias("q1"), of(0, r).alias("s0"), of(0, r * r).alias("q0"))
+    sums = sums.filter(F.col("seen") >= max(3, int(0.01 * n[1])))
+    mean = lambda y: F.col(f"s{y}") / (UNIT * n[y])
+    spread = lambda y: F.greatest(F.col(f"q{y}") / (float(UNIT) ** 2 * n[y]) - mean(y) * mean(y), F.lit(0.0)) / n[y]
+    score = (mean(1) - mean(0)) / F.sqrt(spread(1) + spread(0) + 1e-6)
+    return [x["name"] for x in sums.select("name", score.alias("score")).orderBy(F.desc("score"), "name").limit(most).collect()]
+
+
+def fit(rates: DataFrame, n: dict[int, int], total: dict[int, int], counts: np.ndarray) -> Scorer:
+    """A scorer from the rates of n rows of each label, which stand for a total of each."""
+    if not n.get(0) or not n.get(1):
+        return Scorer(counts, constant=1.0 if n.get(1) else 0.0)
+    names = choose_features(rates, n)
+    features = {name: k for k, name in enumerate(names)}
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            at, value = [], []
+            for words, r in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+                have = [(features[w], x / UNIT) for w, x in zip(words, r) if w in features]
+                at.append([k for k, _ in have])
+                value.append([x for _, x in have])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(at, pa.list_(pa.int32())), pa.array(value, pa.list_(pa.float64()))], ["doc_id", "y", "at", "value"])
+
+    rows = sorted(rates.mapInArrow(run, "doc_id long, y int, at array<int>, value array<double>").collect(), key=lambda r: r["doc_id"])  # at most 2 * SAMPLE
+    y = np.array([float(r["y"]) for r in rows])
+    x = np.zeros((len(y), len(names) + 1))
     x[:, -1] = 1
-    for i, (at, value) in enumerate(rows):
-        use = column[at] >= 0
-        x[i, column[at[use]]] = value[use]
-    weight = np.where(y > 0, total[1] / n1, total[0] / n0)
+    for i, r in enumerate(rows):
+        x[i, r["at"]] = r["value"]
+    weight = np.where(y > 0, total[1] / n[1], total[0] / n[0])
     weight /= weight.mean()
     w = np.zeros(x.shape[1])
     ridge = np.full(len(w), 1.0)
@@ -319,18 +348,19 @@ def held_out(id_column: str = "doc_id", folds: int = 5) -> Column:
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_column: str = "doc_id", text_column: str = "text", label_column: str = "toxic") -> Scorer:
     """A scorer from the labelled documents outside the held-out fold, at most ``sample`` of each label."""
-    counts = trigram_counts(docs, text_column)
+    rows = cluster.by_position(docs).select(cluster.at(docs, id_column).alias("doc_id"), cluster.at(docs, text_column).cast("string").alias("body"))
+    counts = trigram_counts(rows, "body")
     known = labels.filter(F.col(label_column).isNotNull() & F.col(id_column).isNotNull() & ~held_out(id_column)).groupBy(F.col(id_column).alias("doc_id")).agg((F.max(label_column) > 0).cast("int").alias("y"))
     total = {r["y"]: r["count"] for r in known.groupBy("y").count().collect()}
     chosen = None
     for y in (0, 1):
         part = known.filter(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
         chosen = part if chosen is None else chosen.unionByName(part)
-    # At most 2 * sample ids are broadcast and as many texts come to the driver.
-    body = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).cast("string").alias("body"))
-    rows = body.join(F.broadcast(chosen), "doc_id").select("doc_id", "body", "y").dropDuplicates(["doc_id"]).collect()
-    rows.sort(key=lambda r: r["doc_id"])
-    return fit([(r["body"], r["y"]) for r in rows], (total.get(0, 0), total.get(1, 0)), counts)
+    # At most 2 * sample ids are broadcast; of a document that is there several times one text is fitted.
+    texts = rows.join(F.broadcast(chosen), "doc_id").groupBy(F.col("doc_id").cast("long").alias("doc_id"), "y").agg(F.min("body").alias("body"))
+    rates = cluster.saved(sample_rates(texts.repartition(cluster.partitions(docs.sparkSession)), counts), "rates")
+    n = {r["y"]: r["count"] for r in rates.groupBy("y").count().collect()}
+    return fit(rates, n, total, counts)
 
 
 def scores(docs: DataFrame, scorer: Scorer, text_column: str = "text", keep: list[str] | None = None) -> DataFrame:

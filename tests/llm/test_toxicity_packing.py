@@ -47,6 +47,41 @@ def test_symbols_at_the_end_and_wide_spacing(scorer, disguised, words):
     assert [w for t in tokens_of(f"the {disguised} of", scorer.model) for w in restored_words(t, scorer.model)] == ["the", *words.split(), "of"]
 
 
+def test_ends_of_tokens():
+    import time
+
+    from lodestone.llm.toxicity import restored_words, trimmed
+
+    for token, want in (("page.", "page"), ("kill!", "kill!"), ("kill!!!", "kill"), ("a$.", "a$"), ("a$!.x", "a$!.x"), ("x_", "x_"), ("...", ""), ("!!", "!!"), ("a!(,", "a!("), ("", "")):
+        assert trimmed(token) == want, token
+    began = time.perf_counter()
+    for token in ("!" * 200_000 + "a", "a" + "!" * 200_000, ".," * 100_000 + "a", "a" + ".," * 100_000):
+        assert len(trimmed(token)) in (1, len(token))
+    assert time.perf_counter() - began < 2
+
+
+def test_fit_against_plain_counts(spark):
+    """Features and sums made on the executors are those of a plain count over the sampled texts."""
+    from lodestone.llm import toxicity as T
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
+    counts = T.trigram_counts(docs)
+    texts = [(r.doc_id, int(labels[r.doc_id]), r.text) for r in docs.collect() if r.doc_id in labels]
+    rates = T.sample_rates(spark.createDataFrame(texts, "doc_id long, y int, body string").repartition(3), counts)
+    n = Counter(y for _, y, _ in texts)
+    got = T.choose_features(rates, n, 50)
+    model = T.CharModel(counts)
+    x = {d: {k: round(v * T.UNIT) / T.UNIT for k, v in T._rates(t, model).items()} for d, _, t in texts}
+    seen = Counter(k for d, y, _ in texts if y for k in x[d])
+    score = {}
+    for name in (k for k, c in seen.items() if c >= max(3, int(0.01 * n[1]))):
+        v = [np.array([x[d].get(name, 0.0) for d, z, _ in texts if z == y]) for y in (0, 1)]
+        score[name] = (v[1].mean() - v[0].mean()) / np.sqrt(v[1].var() / n[1] + v[0].var() / n[0] + 1e-6)
+    want = sorted(score, key=lambda k: (-score[k], k))[:50]
+    assert set(got) == set(want) and got[:10] == want[:10]
+
+
 def test_toxicity_odd_rows(spark, scorer):
     from lodestone.llm.toxicity import scores, train, without_toxic
 
