@@ -36,16 +36,71 @@ def enum_values(rows: DataFrame) -> DataFrame:
     return rows.groupBy("schema", "name").agg(F.transform(F.sort_array(F.collect_list(F.struct("sort_order", "label"))), lambda x: x["label"]).alias("values"))
 
 
+def flags(rows: DataFrame, **columns: tuple[str, str]) -> DataFrame:
+    """Add boolean columns: name=(column, the value that means true)."""
+    return rows.withColumns({name: F.coalesce(F.col(column) == value, F.lit(False)) for name, (column, value) in columns.items()})
+
+
+def indexes_of(indexes: DataFrame) -> DataFrame:
+    """(schema, table, name, definition, is_unique, columns) of index definitions (schema, table, name, definition)."""
+    inner = F.regexp_extract("definition", r"\(([^()]*)\)", 1)
+    columns = F.filter(F.transform(F.split(inner, ","), lambda c: F.trim(c)), lambda c: c != "")
+    return indexes.select("schema", "table", "name", "definition", F.upper("definition").startswith("CREATE UNIQUE INDEX").alias("is_unique"), columns.alias("columns"))
+
+
+def policies_of(tables: DataFrame, policies: DataFrame) -> DataFrame:
+    """(schema, table, rls_enabled, policies): row rules of each table in order of their names; none where there are none."""
+    rule = F.struct("name", "permissive", "roles", "command", "qualifier", "with_check")
+    held = policies.groupBy("schema", "table").agg(F.sort_array(F.collect_list(rule)).alias("policies"))
+    rows = tables.select("schema", F.col("name").alias("table"), F.coalesce("rls_enabled", F.lit(False)).alias("rls_enabled")).join(held, ["schema", "table"], "left")
+    none = F.array().cast(held.schema["policies"].dataType)
+    return rows.withColumn("policies", F.coalesce("policies", none))
+
+
+def views_of(views: DataFrame) -> DataFrame:
+    return views.filter(~F.col("schema").isin(*SYSTEM_SCHEMAS[:2])).select("schema", "name", "definition").orderBy("schema", "name")
+
+
+def extensions_of(extensions: DataFrame) -> DataFrame:
+    return extensions.select("name").distinct().orderBy("name")
+
+
+def user_schemas(schemas: DataFrame) -> DataFrame:
+    return schemas.filter(~F.col("name").isin(*SYSTEM_SCHEMAS)).select("name").distinct().orderBy("name")
+
+
 def function_parameters(routines: DataFrame, parameters: DataFrame) -> DataFrame:
-    """(function, name, type, position): parameters whose specific name contains the routine's."""
+    """(function, name, type, position): parameters whose specific name is LIKE %routine% (its _ and % are wild)."""
     p = parameters.alias("p")
-    return routines.select(F.col("name").alias("function")).join(p, F.col("p.specific_name").contains(F.col("function"))).select("function", F.col("p.name").alias("name"), F.col("p.type").alias("type"), F.col("p.position").alias("position"))
+    return routines.select(F.col("name").alias("function")).join(p, F.expr("p.specific_name LIKE concat('%', function, '%')")).select("function", F.col("p.name").alias("name"), F.col("p.type").alias("type"), F.col("p.position").alias("position"))
 
 
 def widest_tables(columns: DataFrame, k: int = 10) -> DataFrame:
     return columns.groupBy("schema", "table").agg(F.count("*").alias("column_count")).orderBy(F.desc("column_count"), "schema", "table").limit(k)
 
 
+def most_parameters(parameters: DataFrame, k: int = 10) -> DataFrame:
+    return parameters.groupBy("function").agg(F.count("*").alias("param_count")).orderBy(F.desc("param_count"), "function").limit(k)
+
+
+def table_report(tables: DataFrame, columns: DataFrame, keys: DataFrame, foreign: DataFrame, indexes: DataFrame, policies: DataFrame) -> DataFrame:
+    """(schema, table, n_columns, n_keys, n_foreign, n_indexes, n_policies, rls_enabled): each part aggregated before it is joined."""
+    out = tables.select("schema", F.col("name").alias("table"), F.coalesce("rls_enabled", F.lit(False)).alias("rls_enabled"))
+    for rows, name in ((columns, "n_columns"), (keys, "n_keys"), (foreign, "n_foreign"), (indexes, "n_indexes"), (policies, "n_policies")):
+        out = out.join(rows.groupBy("schema", "table").agg(F.count("*").alias(name)), ["schema", "table"], "left").withColumn(name, F.coalesce(name, F.lit(0).cast("long")))
+    return out
+
+
+def analysis(parts: dict[str, DataFrame], columns: DataFrame, parameters: DataFrame, k: int = 10) -> DataFrame:
+    """(section, name, n): how many of each kind there are, then the widest tables and the functions of most parameters."""
+    out = None
+    for label, df in parts.items():
+        one = df.agg(F.count("*").alias("n")).select(F.lit("counts").alias("section"), F.lit(label).alias("name"), "n")
+        out = one if out is None else out.unionByName(one)
+    wide = widest_tables(columns, k).select(F.lit("tables").alias("section"), F.concat_ws(".", "schema", "table").alias("name"), F.col("column_count").alias("n"))
+    return out.unionByName(wide).unionByName(most_parameters(parameters, k).select(F.lit("functions").alias("section"), F.col("function").alias("name"), F.col("param_count").alias("n")))
+
+
 def summary(tables: DataFrame, columns: DataFrame, functions: DataFrame, enums: DataFrame) -> DataFrame:
     """(label, n) of each kind of object."""
     out = None
@@ -74,6 +129,21 @@ def graph_of(tables: DataFrame, columns: DataFrame, fks: DataFrame, project: str
     return nodes.distinct(), edges.distinct()
 
 
+def object_graph(views: DataFrame, functions: DataFrame, enums: DataFrame, policies: DataFrame, project: str = "db") -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges of the objects beside tables: views, functions, enums (schema, name) and policies (schema, table, name)."""
+    nodes = edges = None
+    for rows, label, kind in ((views, "View", "CONTAINS_VIEW"), (functions, "DatabaseFunction", "CONTAINS_FUNCTION"), (enums, "Enum", "CONTAINS_ENUM")):
+        node = F.concat_ws(".", F.lit(project), "schema", "name")
+        n = rows.select(node.alias("id"), F.lit(label).alias("label"))
+        e = rows.select(F.lit(project).alias("src"), node.alias("dst"), F.lit(kind).alias("kind"))
+        nodes, edges = (n, e) if nodes is None else (nodes.unionByName(n), edges.unionByName(e))
+    table = F.concat_ws(".", F.lit(project), "schema", "table")
+    node = F.concat_ws(".", table, F.lit("policy"), "name")
+    nodes = nodes.unionByName(policies.select(node.alias("id"), F.lit("Policy").alias("label")))
+    edges = edges.unionByName(policies.select(table.alias("src"), node.alias("dst"), F.lit("HAS_POLICY").alias("kind")))
+    return nodes.distinct(), edges.distinct()
+
+
 def session_columns(spark: SparkSession, views: dict[str, DataFrame], schema: str = "main") -> DataFrame:
     """Catalog rows of named DataFrames; what is listed is schemas, not data."""
     rows = [(schema, t, f.name, f.dataType.simpleString(), f.nullable, None, None, i) for t, df in views.items() for i, f in enumerate(df.schema.fields, 1)]

@@ -73,8 +73,40 @@ def extract_python(files: DataFrame) -> DataFrame:
 
 def module_name(path: Column) -> Column:
     """Importable name of a file: leading source folders and the suffix dropped."""
-    parts = F.split(F.regexp_replace(path, r"(/__init__)?\.py$", ""), "/")
-    return F.array_join(F.when(F.element_at(parts, 1).isin("src", "lib", "source", "python", "pkg", "packages"), F.slice(parts, 2, F.size(parts))).otherwise(parts), ".")
+    bare = F.regexp_replace(path, r"(/__init__)?\.py$", "")
+    return F.replace(F.regexp_replace(bare, "(?i)^((src|lib|source|python|pkg|packages)/)+", ""), F.lit("/"), F.lit("."))
+
+
+def module_names(files: DataFrame) -> DataFrame:
+    """(path, module_name): from the outermost folder on that is a package (holds __init__.py), else as module_name says."""
+    parts = F.split("path", "/")
+    package = files.filter(F.col("path").rlike(r"(^|/)__init__\.py$")).select(F.regexp_replace("path", r"/?__init__\.py$", "").alias("folder")).filter("folder <> ''").distinct()
+    folders = files.select("path", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, 1, i), "/"))).alias("folder"))
+    outer = folders.join(package, "folder").groupBy("path").agg(F.min(F.size(F.split("folder", "/"))).alias("depth"))
+    rows = files.select("path").join(outer, "path", "left")
+    bare = F.regexp_replace("path", r"\.py$", "")
+    inside = F.array_join(F.slice(F.split(bare, "/"), F.col("depth"), F.size(parts)), ".")
+    return rows.select("path", F.when(F.col("depth").isNotNull(), F.regexp_replace(inside, r"\.__init__$", "")).otherwise(module_name(F.col("path"))).alias("module_name"))
+
+
+def internal_imports(facts: DataFrame, project: Column) -> DataFrame:
+    """Import facts that are likely to be of the project itself, without repeats."""
+    from lodestone.operators.signatures import is_internal_module
+
+    return facts.filter((F.col("kind") == "import") & is_internal_module(F.col("name"), project)).select("path", "name").distinct()
+
+
+def typescript_to_javascript(source: Column) -> Column:
+    """Without type annotations, interfaces, aliases, generics of calls and assertions: a chain of rewrites, for display."""
+    steps = [
+        (r"(?ms)^\s*(export\s+)?interface\s+\w+[^{]*\{[^}]*\}\s*", ""), (r"(?m)^\s*(export\s+)?type\s+\w+[^=\n]*=[^;\n]*;?\s*$", ""), (r"(?m)^import\s+type\s.*$", ""),
+        (r"\s+as\s+(const|[A-Za-z_][\w.]*(<[^<>]*>)?(\[\])*)", ""), (r"(\w)<[A-Za-z_][\w\s,\[\]|.]*>(?=\()", "$1"),
+        (r"(\w|\))\?:\s*", "$1: "), (r"([\w)\]}])\s*:\s*(string|number|boolean|any|void|unknown|never|null|undefined|object|[A-Z]\w*(<[^<>]*>)?)(\[\])*(\s*\|\s*\w+)*(?=\s*[,)=;{\n])", "$1"),
+        (r"(\w)!(?=[.\[;,)])", "$1"),
+    ]
+    for pattern, to in steps:
+        source = F.regexp_replace(source, pattern, to)
+    return source
 
 
 def extract_tsx(files: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ joined, so counts need no cross product.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -36,14 +37,23 @@ class Hierarchy:
         return top.rows.select(F.col(top.name).alias("name")).orderBy("name")
 
     def counts(self) -> DataFrame:
-        """For each root, its number of nodes at each lower level, 0 where there are none."""
+        """For each root, its number of nodes at each lower level, 0 where there are none.
+
+        Keys are unique in a level, so counts add up from below: one join and one
+        aggregation a level, whose partial sums stay small.
+        """
+        names = [f"level{i}" for i in range(1, len(self.levels))]
+        below = None  # by the key above: the counts of the levels from here down
+        for i in range(len(self.levels) - 1, 0, -1):
+            level = self.levels[i]
+            rows = level.rows.select(F.col(level.parent).alias("up"), F.col(level.key).alias("key")).dropDuplicates(["key"])
+            if below is not None:
+                rows = rows.join(below, "key", "left")
+            sums = [F.sum(F.coalesce(n, F.lit(0))).alias(n) for n in names[i:]]
+            below = rows.groupBy(F.col("up").alias("key")).agg(F.count("key").alias(names[i - 1]), *sums)
         top = self.levels[0]
-        path = top.rows.select(F.col(top.key).alias("root"), F.col(top.key).alias("key"))
-        out = top.rows.select(F.col(top.key).alias("root"), F.col(top.name).alias("name"))
-        for i, level in enumerate(self.levels[1:], 1):
-            path = path.join(level.rows.select(F.col(level.parent).alias("up"), F.col(level.key).alias("k")), F.col("key") == F.col("up")).select("root", F.col("k").alias("key"))
-            out = out.join(path.groupBy("root").agg(F.count_distinct("key").alias(f"level{i}")), "root", "left")
-        return out.select("root", "name", *(F.coalesce(f"level{i}", F.lit(0).cast("long")).alias(f"level{i}") for i in range(1, len(self.levels))))
+        out = top.rows.select(F.col(top.key).alias("key"), F.col(top.name).alias("name")).join(below, "key", "left")
+        return out.select(F.col("key").alias("root"), "name", *(F.coalesce(n, F.lit(0).cast("long")).alias(n) for n in names))
 
     def explore(self, name: str) -> DataFrame:
         """Counts below one root; its row is missing where the root is."""
@@ -89,8 +99,10 @@ def label_counts(tables: dict[str, DataFrame]) -> DataFrame:
 
 
 def first_children(rows: DataFrame, key: list[str], value: str, n: int = 5) -> DataFrame:
-    """The first n distinct values of each key, in order."""
-    return rows.groupBy(*key).agg(F.slice(F.sort_array(F.collect_set(value)), 1, n).alias("values"), F.count_distinct(value).alias("n"))
+    """The first n distinct values of each key, in order, and how many there are; no more than n of a key are gathered."""
+    once = rows.select(*key, value).filter(F.col(value).isNotNull()).distinct()
+    few = first_rows(once, key, [value], n).groupBy(*key).agg(F.sort_array(F.collect_list(value)).alias("values"))
+    return once.groupBy(*key).agg(F.count("*").alias("n")).join(few, key).select(*key, "values", "n")
 
 
 def first_rows(rows: DataFrame, key: list[str], order: list[Column | str], n: int = 10) -> DataFrame:
@@ -125,6 +137,47 @@ def merge_nodes(existing: DataFrame, incoming: DataFrame, key: list[str], order:
     return first_rows(both, key, by, 1).drop("_src")
 
 
+_WRITES = {"insert", "merge", "update", "delete", "create", "drop", "alter", "truncate", "set", "reset", "use", "cache", "uncache", "refresh", "load", "call"}
+
+
+def _over(text: str, tables: dict[str, DataFrame]) -> DataFrame:
+    """A SELECT over named tables, which are views only while it is analysed."""
+    spark = next(iter(tables.values())).sparkSession
+    had = {k for k in tables if spark.catalog.tableExists(k)}
+    if had:
+        raise ValueError(f"the session has tables of these names already: {', '.join(sorted(had))}")
+    try:
+        for k, v in tables.items():
+            v.createTempView(k)
+        return spark.sql(text)
+    finally:
+        for k in tables:
+            spark.catalog.dropTempView(k)
+
+
+def clear_file_level(tables: dict[str, DataFrame], repo: str) -> dict[str, DataFrame]:
+    """Node tables (path, ...) and ``file`` (path, repo) without what hangs below the files of a repository."""
+    gone = tables["file"].filter(F.col("repo") == repo).select("path")
+    out = {k: v.join(gone, "path", "left_anti").select(*v.columns) if "path" in v.columns else v for k, v in tables.items()}
+    if "repository" in tables:
+        out["repository"] = tables["repository"].filter(F.col("name") != repo)
+    return out
+
+
+def emptied(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """Every table without its rows."""
+    return {k: v.filter(F.lit(False)) for k, v in tables.items()}
+
+
+def file_contents(file: DataFrame, **members: DataFrame) -> DataFrame:
+    """(path, <member>s...) of each file: the distinct names of each member table (path, name), in order; gathered branch by branch."""
+    out = file.select("path").distinct()
+    for name, rows in members.items():
+        held = rows.groupBy("path").agg(F.sort_array(F.collect_set("name")).alias(f"{name}s"))  # the names in one file
+        out = out.join(held, "path", "left").withColumn(f"{name}s", F.coalesce(f"{name}s", F.array().cast("array<string>")))
+    return out
+
+
 COMMANDS = ("repos", "explore", "classes", "class", "method", "components", "component", "hooks", "hook", "functions", "function", "sql")
 
 
@@ -181,16 +234,12 @@ class CodeGraph:
         return self._of_repo(label, repo).filter(F.col("name") == name).orderBy("path").limit(LISTING)
 
     def sql(self, text: str) -> DataFrame:
-        """One SELECT over the graph's tables, 20 rows at most."""
-        if text.strip().split(None, 1)[0].lower() not in ("select", "with"):
-            raise ValueError("only SELECT statements are run")
-        spark = next(iter(self.t.values())).sparkSession
-        return spark.sql(text, **{k: v for k, v in self.t.items()}).limit(LISTING) if "{" in text else self._by_view(spark, text)
-
-    def _by_view(self, spark, text: str) -> DataFrame:
-        for k, v in self.t.items():
-            v.createOrReplaceTempView(k)
-        return spark.sql(text).limit(LISTING)
+        """One SELECT over the graph's tables, 20 rows at most; it sees no other tables by these names and leaves none behind."""
+        bare = re.sub(r"'(?:[^'\\]|\\.)*'|\"(?:[^\"\\]|\\.)*\"|--[^\n]*|/\*.*?\*/", " ", text, flags=re.S)
+        words = re.findall(r"[a-z_]+", bare.lower())
+        if not words or words[0] not in ("select", "with") or ";" in bare.strip().rstrip(";") or _WRITES & set(words):
+            raise ValueError("only one SELECT statement is run")
+        return _over(text, self.t).limit(LISTING)
 
     def command(self, line: str) -> DataFrame:
         """Dispatch a lookup command; the first word in any case."""

@@ -113,23 +113,90 @@ def frontier(starts: DataFrame, edges: DataFrame, max_depth: int) -> DataFrame:
     """(node, depth) reached from the starts within max_depth - 1 hops.
 
     starts: (node); edges: (src, dst). Each level is one join with the edges and one
-    anti-join with what is already visited; the loop is over levels, not nodes.
+    anti-join with what is already visited; the loop is over levels, not nodes. A level is
+    settled before the next one, so no plan holds those before it.
     """
-    seen = starts.select("node").distinct().withColumn("depth", F.lit(0).cast("long"))
-    level = seen
+    edges = settled(edges.select("src", "dst").filter("dst is not null"))
+    seen = level = settled(starts.select("node").distinct().withColumn("depth", F.lit(0).cast("long")))
     for depth in range(1, max_depth):
-        step = level.join(edges, level.node == edges.src).select(F.col("dst").alias("node")).filter("node is not null").distinct()
-        level = step.join(seen, "node", "left_anti").withColumn("depth", F.lit(depth).cast("long"))
+        step = level.join(edges, level.node == edges.src).select(F.col("dst").alias("node")).distinct()
+        level = settled(step.join(seen, "node", "left_anti").withColumn("depth", F.lit(depth).cast("long")))
         seen = seen.unionByName(level)
     return seen
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """A checkpoint in the session's shared folder; without one, on one machine, the plan itself."""
+    spark = df.sparkSession
+    where = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext._jsc.sc()
+    if where and not context.getCheckpointDir().isDefined():
+        spark.sparkContext.setCheckpointDir(where)
+    return df.checkpoint() if context.getCheckpointDir().isDefined() else df
+
+
 def sitemap_urls(xml: Column | str) -> Column:
     """All loc texts of a sitemap, whatever their namespace."""
     return F.transform(F.xpath(xml, F.lit("//*[local-name()='loc']/text()")), lambda x: T.strip(x))
 
 
-def crawl_summary(chunks: DataFrame, first: int = 5) -> DataFrame:
-    """Pages, chunks, sources and the first URLs of an ingest."""
-    urls = F.sort_array(F.collect_set("url"))
-    return chunks.agg(F.count_distinct("url").alias("pages"), F.count("*").alias("chunks"), F.count_distinct("source_id").alias("sources"), F.concat(F.array_join(F.slice(urls, 1, first), ","), F.when(F.count_distinct("url") > first, "...").otherwise("")).alias("urls"))
+def crawl_summary(chunks: DataFrame, first: int = 5, code: DataFrame | None = None) -> DataFrame:
+    """Pages, chunks, code examples, sources and the first URLs of an ingest: one row."""
+    counts = chunks.agg(F.count_distinct("url").alias("pages"), F.count("*").alias("chunks"), F.count_distinct("source_id").alias("sources"))
+    few = chunks.select("url").distinct().orderBy("url").limit(first).agg(F.array_join(F.sort_array(F.collect_list("url")), ",").alias("few"))  # at most ``first`` rows
+    out = counts.crossJoin(F.broadcast(few)).withColumn("urls", F.concat("few", F.when(F.col("pages") > first, "...").otherwise("")))
+    n = code.agg(F.count("*").alias("code_examples")) if code is not None else counts.select(F.lit(0).cast("long").alias("code_examples"))
+    return out.crossJoin(F.broadcast(n)).select("pages", "chunks", "code_examples", "sources", "urls")
+
+
+#: Fixed value: the summary of a code example where no model writes one.
+CODE_SUMMARY = "Code example for demonstration purposes."
+
+
+def code_store(examples: DataFrame, summary: Column | None = None, embed=None) -> DataFrame:
+    """The code table of (url, block, code, language, ...) rows: what is embedded, its summary and metadata.
+
+    ``summary``: a Column, the constant where none is given; ``embed``: a function from a
+    frame and the name of its text column to the frame with ``embedding``.
+    """
+    text = F.concat("code", F.lit("\n\nSummary: "), "summary")
+    rows = examples.withColumn("summary", F.lit(CODE_SUMMARY) if summary is None else summary).withColumn("embedded_text", text)
+    meta = F.struct("language", F.length("code").cast("long").alias("char_count"), T.word_count("code").alias("word_count"))
+    rows = rows.select("url", F.col("block").alias("chunk_number"), F.col("code").alias("content"), "summary", meta.alias("metadata"), T.source_id("url").alias("source_id"), "embedded_text")
+    return embed(rows, "embedded_text") if embed else rows
+
+
+def reached_pages(pages: DataFrame, start: DataFrame, max_depth: int = 3) -> DataFrame:
+    """(url, depth) of the pages that links of one site lead to; start: (url), pages: (url, html)."""
+    links = page_links(pages)
+    edges = links.select(T.normalize_url("url").alias("src"), absolute(F.col("url"), F.col("href")).alias("dst"))
+    edges = edges.filter(T.source_id("src") == T.source_id("dst")).distinct()
+    seen = frontier(start.select(T.normalize_url("url").alias("node")), edges, max_depth)
+    known = pages.select(T.normalize_url("url").alias("node")).distinct()
+    return seen.join(known, "node", "left_semi").select(F.col("node").alias("url"), "depth")
+
+
+def wanted_pages(pages: DataFrame, urls: DataFrame, max_depth: int = 3) -> DataFrame:
+    """(url, content, crawl_type) for the requested ``urls``, each by its route.
+
+    Text files are taken as they are; a sitemap stands for the pages that it lists; from a
+    web page, the links of its site are followed. pages: (url, html). A page that several
+    requests lead to is there once, by the first of these routes.
+    """
+    asked = urls.select("url").distinct().withColumn("route", T.crawl_route("url"))
+    body = pages.select(T.normalize_url("url").alias("page"), "html")
+    text = asked.filter("route = 'text_file'").join(body, F.col("url") == F.col("page")).select("page", "html", F.lit("text_file").alias("crawl_type"), F.lit(0).alias("turn"))
+    maps = asked.filter("route = 'sitemap'").join(body, F.col("url") == F.col("page")).select(F.explode(sitemap_urls("html")).alias("listed"))
+    listed = maps.distinct().join(body, F.col("listed") == F.col("page")).select("page", "html", F.lit("sitemap").alias("crawl_type"), F.lit(1).alias("turn"))
+    found = reached_pages(pages, asked.filter("route = 'webpage'"), max_depth)
+    linked = found.join(body, F.col("url") == F.col("page")).select("page", "html", F.lit("webpage").alias("crawl_type"), F.lit(2).alias("turn"))
+    rows = first_wins(text.unionByName(listed).unionByName(linked), ["page"], F.struct("turn", F.md5("html")))
+    return rows.filter(F.length("html") > 0).select(F.col("page").alias("url"), F.col("html").alias("content"), "crawl_type")
+
+
+def crawl(pages: DataFrame, urls: DataFrame, max_depth: int = 3, size: int = 5000, least_code: int = 1000) -> dict[str, DataFrame]:
+    """The tables that an ingest of the requested URLs stores: crawled_pages, sources, code_examples, and its report."""
+    got = wanted_pages(pages, urls, max_depth)
+    chunks = crawled_pages(got.select("url", F.col("content").alias("markdown")), size, "crawl")
+    code = code_store(code_example_table(got, "url", "content", least_code))
+    return {"crawled_pages": chunks, "sources": source_table(chunks), "code_examples": code, "report": crawl_summary(chunks, code=code)}

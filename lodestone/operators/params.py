@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Catalog type names and their checked types, in the order in which they are tested.
+# Catalog type names and their checked types.
 TYPES = [
     ("text", "STRING"), ("varchar", "STRING"), ("character varying", "STRING"), ("char", "STRING"),
     ("bigint", "INTEGER"), ("integer", "INTEGER"), ("int", "INTEGER"), ("uuid", "UUID"), ("boolean", "BOOLEAN"), ("bool", "BOOLEAN"),
-    ("jsonb", "JSON"), ("json", "JSON"), ("timestamptz", "TIMESTAMP"), ("timestamp", "TIMESTAMP"), ("date", "DATE"),
+    ("json", "JSON"), ("jsonb", "JSON"), ("timestamp", "TIMESTAMP"), ("timestamptz", "TIMESTAMP"), ("date", "DATE"),
     ("numeric", "NUMERIC"), ("decimal", "NUMERIC"), ("array", "ARRAY"),
 ]
 UUID = "(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$"
@@ -93,3 +95,25 @@ def check_calls(calls: DataFrame, provided: DataFrame, functions: DataFrame, par
     )
     bad = value.select("call_id", "name", F.explode(F.filter(errors, lambda e: e.isNotNull())).alias("error"))
     return unknown.unionByName(count).unionByName(missing).unionByName(bad)
+
+
+def extra_parameters(calls: DataFrame, provided: DataFrame, params: DataFrame) -> DataFrame:
+    """(call_id, function, name): what calls provide and their functions don't take."""
+    known = params.select("function", "name").distinct()
+    given = calls.join(provided.select("call_id", "name"), "call_id")
+    return given.join(params.select("function").distinct(), "function", "left_semi").join(known, ["function", "name"], "left_anti").select("call_id", "function", "name")
+
+
+def first_call(content: Column | str, function: str) -> Column:
+    """Map of the arguments of the first ``.rpc('function', {...})`` of a text, its object ending at the first brace.
+
+    Names stand for a nil UUID where they have id in them, else for a string; literals are
+    kept without their quotes.
+    """
+    c = F.col(content) if isinstance(content, str) else content
+    body = F.regexp_extract(c, r"(?s)\.rpc\s*\(\s*['\"]" + re.escape(function) + r"['\"],\s*\{([^}]*)\}", 1)
+    names = F.regexp_extract_all(body, F.lit(r"(\w+):\s*([^,}]+)"), F.lit(1))
+    values = F.transform(F.regexp_extract_all(body, F.lit(r"(\w+):\s*([^,}]+)"), F.lit(2)), lambda v: F.trim(F.regexp_replace(v, r"\s+", " ")))
+    name = lambda v: v.rlike(r"^[a-zA-Z_]\w*(\.[a-zA-Z_]\w*)*$") & ~v.isin("true", "false", "null")
+    stand = F.transform(values, lambda v: F.when(name(v), F.when(F.lower(v).contains("id"), "00000000-0000-0000-0000-000000000000").otherwise("string_variable")).otherwise(F.regexp_replace(v, r"^['\"]|['\"]$", "")))
+    return F.map_from_arrays(F.array_distinct(names), F.slice(stand, 1, F.size(F.array_distinct(names))))

@@ -16,6 +16,13 @@ SIGNATURE_TYPES = {
     "UNUSED_TYPE": "BAD_PRACTICE", "UNUSED_FUNCTION": "BAD_PRACTICE", "PARSE_ERROR": "INVALID_TYPE", "FILE_ERROR": "INVALID_TYPE",
 }
 
+KNOWLEDGE_TYPES = {"INVALID_IMPORT": "IMPORT_NOT_FOUND", "INVALID_METHOD_CALL": "METHOD_NOT_FOUND", "INVALID_FUNCTION_CALL": "HOOK_NOT_FOUND", "INVALID_ATTRIBUTE_ACCESS": "ATTRIBUTE_NOT_FOUND"}
+CALL_TYPES = {
+    "TYPE": "RPC_PARAMETER_TYPE_MISMATCH", "MISSING": "RPC_MISSING_REQUIRED_PARAM", "ENUM": "RPC_INVALID_ENUM_VALUE",
+    "JSON": "RPC_INVALID_JSON_STRUCTURE", "COUNT": "RPC_PARAMETER_COUNT_MISMATCH", "NOT_FOUND": "FUNCTION_NOT_FOUND",
+}
+SEVERITIES = {name: name for name, _ in WEIGHTS}
+
 
 def weight(severity: Column) -> Column:
     out = F.lit(0.6)
@@ -95,5 +102,47 @@ def verdict_rates(rows: DataFrame, *by: str) -> DataFrame:
     return rows.groupBy(*by).agg(F.count("*").alias("n"), share("VALID").alias("valid"), share("INVALID").alias("invalid"), share("UNCERTAIN").alias("uncertain"))
 
 
+def severity_of(name: Column) -> Column:
+    """A severity in any case; MEDIUM where it is none."""
+    return filed_as(F.upper(name), SEVERITIES, "MEDIUM")
+
+
+def type_buckets(findings: DataFrame) -> DataFrame:
+    """(path, bucket, n) of unified findings (path, type, message); a finding may be in several buckets."""
+    text, kind = F.lower("message"), F.col("type")
+    has = lambda *words: text.rlike("|".join(words))
+    cases = [
+        ("component_issues", kind == "COMPONENT_NOT_FOUND"), ("hook_issues", kind == "HOOK_NOT_FOUND"), ("catalog_issues", kind.isin("TABLE_NOT_FOUND", "FUNCTION_NOT_FOUND")),
+        ("signature_issues", kind == "INCORRECT_SIGNATURE"), ("type_issues", kind == "INVALID_TYPE"), ("performance_issues", (kind == "BAD_PRACTICE") & has("performance")),
+        ("security_issues", has("security", "xss")), ("accessibility_issues", has("accessibility", "alt", "aria")),
+    ]
+    names = F.array_compact(F.array(*[F.when(when, F.lit(name)) for name, when in cases]))
+    return findings.select("path", F.explode(names).alias("bucket")).groupBy("path", "bucket").agg(F.count("*").alias("n"))
+
+
+def action_items(findings: DataFrame) -> DataFrame:
+    """(path, urgency, n): immediate for CRITICAL and HIGH, soon for MEDIUM, eventually for the rest."""
+    when = F.when(F.col("severity").isin("CRITICAL", "HIGH"), "immediate").when(F.col("severity") == "MEDIUM", "soon").otherwise("eventually")
+    return findings.groupBy("path", when.alias("urgency")).agg(F.count("*").alias("n"))
+
+
+def response(rows: DataFrame, key: str, total: str, limit: int | None = None) -> DataFrame:
+    """(key, response): a JSON text of success, the row's other columns, and how many results there are and whether that is the limit."""
+    meta = F.struct(F.col(total).alias("total_results"), (F.col(total) >= limit if limit else F.lit(False)).alias("limited"))
+    body = F.struct(F.lit(True).alias("success"), *rows.columns, meta.alias("metadata"))
+    return rows.select(key, F.to_json(body, {"ignoreNullFields": "false"}).alias("response"))
+
+
+def failure(key: Column, message: Column) -> Column:
+    """The JSON text of a request that can't be answered."""
+    return F.to_json(F.struct(F.lit(False).alias("success"), key.alias("path"), message.alias("error")))
+
+
+def path_error(path: Column, suffixes: tuple[str, ...]) -> Column:
+    """What is wrong with the path of a file to check, or null."""
+    known = F.exists(F.array(*map(F.lit, suffixes)), lambda x: path.endswith(x))
+    return F.when(path.isNull() | (F.trim(path) == ""), "a path is needed").when(~known, F.concat(F.lit("only these files are checked: "), F.lit(", ".join(suffixes))))
+
+
 def with_sequence(rows: DataFrame, *order: str) -> DataFrame:
     return rows.withColumn("seq", F.row_number().over(Window.partitionBy("path").orderBy(*order)).cast("long"))

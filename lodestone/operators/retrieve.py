@@ -92,5 +92,20 @@ def rag_query(chunks: DataFrame, query: str, query_vector: list[float], k: int =
     return rerank(out, query, text_columns[0]) if reranking else out.orderBy("rank")
 
 
+def code_search(code: DataFrame, query: str, query_vector: list[float], k: int = 5, source: str | None = None, reranking: bool = False) -> DataFrame:
+    """Search of a code table (id, content, summary, embedding, source): content and summary are looked at for keywords."""
+    return rag_query(code, query, query_vector, k, source, hybrid=True, reranking=reranking, text_columns=("content", "summary"))
+
+
+def search_response(hits: DataFrame, query: str, columns: tuple[str, ...], mode: str = "vector", source: str | None = None, limit: int | None = None) -> DataFrame:
+    """(response): one JSON text of a search: query, filter, mode, results in order and how many there are."""
+    result = F.struct("rank", *columns)
+    rows = hits.agg(F.sort_array(F.collect_list(result)).alias("results"))  # k rows at most
+    n = F.size("results")
+    meta = F.struct(n.alias("total_results"), (n >= limit if limit else F.lit(False)).alias("limited"))
+    body = F.struct(F.lit(True).alias("success"), F.lit(query).alias("query"), F.lit(source).alias("source_filter"), F.lit(mode).alias("search_mode"), "results", meta.alias("metadata"))
+    return rows.select(F.to_json(body, {"ignoreNullFields": "false"}).alias("response"))
+
+
 def parameter(x: str | None) -> Column:
     return blank_to_null(F.lit(x))

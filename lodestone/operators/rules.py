@@ -67,9 +67,8 @@ def occurrences(content: Column | str, pattern: str, flags: str = "(?ms)") -> Co
     """Non-overlapping matches: array of (start, line, match), start from 0 and line from 1."""
     c = col(content)
     p = flags + pattern
-    matches = F.regexp_extract_all(c, F.lit(p), F.lit(0))
-    between = F.split(c, p, -1)
-    zero = F.struct(F.lit(0).alias("at"), F.lit(1).alias("line"), F.array().cast("array<struct<start:int,line:int,match:string>>").alias("out"))
+    none = F.array().cast("array<struct<start:int,line:int,match:string>>")
+    zero = F.struct(F.lit(0).alias("at"), F.lit(1).alias("line"), none.alias("out"))
 
     def step(acc: Column, x: Column) -> Column:
         start = acc["at"] + F.length(x["before"])
@@ -77,25 +76,28 @@ def occurrences(content: Column | str, pattern: str, flags: str = "(?ms)") -> Co
         one = F.struct(start.alias("start"), line.alias("line"), x["match"].alias("match"))
         return F.struct((start + F.length(x["match"])).alias("at"), (line + newlines(x["match"])).alias("line"), F.concat(acc["out"], F.array(one)).alias("out"))
 
-    pairs = F.zip_with(F.slice(between, 1, F.size(matches)), matches, lambda b, m: F.struct(b.alias("before"), m.alias("match")))
-    return F.when(F.size(matches) > 0, F.aggregate(pairs, zero, step, lambda acc: acc["out"])).otherwise(zero["out"])
+    def found(matches: Column) -> Column:
+        pairs = F.zip_with(F.slice(F.split(c, p, -1), 1, F.size(matches)), matches, lambda b, m: F.struct(b.alias("before"), m.alias("match")))
+        return F.aggregate(pairs, zero, step, lambda acc: acc["out"])
 
-
-def line_of(content: Column | str, line: Column) -> Column:
-    return F.trim(F.element_at(F.split(col(content), _NEWLINES), line))
+    # The text is cut only where the pattern occurs.
+    return F.when(c.rlike(p), found(F.regexp_extract_all(c, F.lit(p), F.lit(0)))).otherwise(none)
 
 
 def scan(files: DataFrame, rules: list[Rule] | None = None, key: str = "path", content: str = "content") -> DataFrame:
-    """(path, rule, kind, severity, confidence, seq, line, snippet) of every match of every rule."""
+    """(path, rule, kind, severity, confidence, seq, line, snippet) of every match of every rule.
+
+    Lines are looked up beside the content, before findings become rows, so no finding
+    carries the file with it; files without a match make no row.
+    """
     rules = RULES if rules is None else rules
+    lines = F.col("_lines")
 
     def of(r: Rule) -> Column:
-        return F.transform(occurrences(content, r.pattern), lambda o, i: F.struct(F.lit(r.name).alias("rule"), F.lit(r.kind).alias("kind"), F.lit(r.severity).alias("severity"), F.lit(r.confidence).alias("confidence"), i.alias("seq"), o["line"].alias("line")))
+        return F.transform(occurrences(content, r.pattern), lambda o, i: F.struct(F.lit(r.name).alias("rule"), F.lit(r.kind).alias("kind"), F.lit(r.severity).alias("severity"), F.lit(r.confidence).alias("confidence"), i.cast("long").alias("seq"), o["line"].cast("long").alias("line"), F.trim(F.element_at(lines, o["line"])).alias("snippet")))
 
-    found = F.flatten(F.array(*map(of, rules)))
-    any_hit = reduce(lambda a, b: a | b, [F.col(content).rlike("(?ms)" + r.pattern) for r in rules])
-    rows = files.filter(any_hit).select(key, content, F.explode(found).alias("f"))
-    return rows.select(key, "f.rule", "f.kind", "f.severity", "f.confidence", F.col("f.seq").cast("long").alias("seq"), F.col("f.line").cast("long").alias("line"), line_of(content, F.col("f.line")).alias("snippet"))
+    rows = files.select(key, content, F.split(content, _NEWLINES).alias("_lines"))
+    return rows.select(key, F.inline(F.flatten(F.array(*map(of, rules)))))
 
 
 def rule_counts(files: DataFrame, rules: list[Rule] | None = None, key: str = "path", content: str = "content") -> DataFrame:

@@ -34,6 +34,10 @@ GLOBAL_PROPERTIES = {
     "localStorage": "getItem setItem removeItem clear".split(),
     "sessionStorage": "getItem setItem removeItem clear".split(),
 }
+#: Props that any component may take.
+COMMON_PROPS = "children className style key ref dangerouslySetInnerHTML".split()
+#: Functions of a page framework and how many arguments they take.
+PAGE_FUNCTIONS = [("getServerSideProps", 1), ("getStaticProps", 1), ("getStaticPaths", 0), ("getInitialProps", 1)]
 EXTERNAL_MODULES = """react react-dom react-router react-router-dom react-query react-hook-form react-table react-select
 react-spring framer-motion next gatsby remix @remix-run nuxt vite create-react-app redux @reduxjs/toolkit mobx zustand
 jotai recoil context antd @ant-design material-ui @mui chakra-ui react-bootstrap semantic-ui-react styled-components
@@ -65,6 +69,72 @@ def split_list(x: Column) -> Column:
     return F.filter(F.transform(F.split(x, ","), lambda p: F.trim(p)), lambda p: p != "")
 
 
+def type_kind(x: Column) -> Column:
+    """primitive, union, array, generic or interface, of a type's text."""
+    t = F.trim(x)
+    return F.when(t.isin(*BUILTIN_TYPES), "primitive").when(t.contains("|"), "union").when(t.endswith("[]"), "array").when(t.contains("<") & t.contains(">"), "generic").otherwise("interface")
+
+
+def base_type(x: Column) -> Column:
+    """A type's text without generic arguments or, where it has none, without array marks."""
+    return F.when(x.contains("<"), F.substring_index(x, "<", 1)).when(x.endswith("[]"), F.substring(x, 1, 1 << 30).substr(F.lit(1), F.length(x) - 2)).otherwise(x)
+
+
+def generics(x: Column) -> Column:
+    """Names between angle brackets."""
+    return split_list(F.regexp_replace(x, "^<+|>+$", ""))
+
+
+def parameter_list(x: Column) -> Column:
+    """array of (name, type, default, optional, rest) of a parameter list; commas inside types part them too."""
+
+    def one(p: Column) -> Column:
+        rest = p.startswith("...")
+        bare = F.when(rest, F.substring(p, 4, 1 << 30)).otherwise(p)
+        typed = bare.contains(":")
+        name = F.trim(F.when(typed, F.regexp_extract(bare, r"(?s)^([^:]*):", 1)).otherwise(bare))
+        after = F.when(typed, F.regexp_extract(bare, r"(?s)^[^:]*:(.*)$", 1))
+        set_ = after.contains("=")
+        return F.struct(
+            F.regexp_replace(name, r"\?+$", "").alias("name"), F.trim(F.regexp_extract(after, r"(?s)^([^=]*)", 1)).alias("type"), F.when(set_, F.trim(F.regexp_extract(after, r"(?s)=(.*)$", 1))).alias("default"),
+            (name.endswith("?") | F.coalesce(set_, F.lit(False))).alias("optional"), rest.alias("rest"),
+        )
+
+    return F.transform(split_list(x), one)
+
+
+def signature_text(name: Column, params: Column, returns: Column) -> Column:
+    """``name(a: T, b?: U): R`` from a parameter_list."""
+    part = lambda p: F.concat(F.when(p["rest"], "...").otherwise(""), p["name"], F.when(p["optional"], "?").otherwise(""), F.lit(": "), F.coalesce(p["type"], F.lit("any")))
+    return F.concat(name, F.lit("("), F.array_join(F.transform(params, part), ", "), F.lit("): "), F.coalesce(F.nullif(F.trim(returns), F.lit("")), F.lit("void")))
+
+
+def function_signatures(lines: DataFrame) -> DataFrame:
+    """(path, line, name, signature) of the functions that are declared on one line."""
+    rows = lines.filter(F.col("text").rlike(FUNCTION))
+    part = lambda i: F.regexp_extract("text", FUNCTION, i)
+    return rows.select("path", "line", part(3).alias("name"), signature_text(part(3), parameter_list(part(5)), part(6)).alias("signature"))
+
+
+def page_function_errors(calls: DataFrame, modules: DataFrame) -> DataFrame:
+    """(path, line, name, n_args, expected): calls (path, line, name, args) of page functions with another number of arguments.
+
+    Only in files that import the framework (modules: path, name).
+    """
+    uses = modules.filter(F.lower("name").contains("next") & ~F.lower("name").contains("react")).select("path").distinct()
+    known = F.create_map(*[F.lit(x) for pair in PAGE_FUNCTIONS for x in pair])
+    rows = calls.filter(F.col("name").isin(*[n for n, _ in PAGE_FUNCTIONS])).join(uses, "path", "left_semi")
+    rows = rows.withColumns({"n_args": F.size("args").cast("long"), "expected": F.element_at(known, F.col("name")).cast("long")})
+    return rows.filter("n_args <> expected").select("path", "line", "name", "n_args", "expected")
+
+
+def unlikely_calls(calls: DataFrame) -> DataFrame:
+    """(path, line, type, description, severity) of calls (path, line, owner, name) and imports that the ladders call invalid."""
+    found = calls.withColumn("v", method_verdict(F.col("owner"), F.col("name"))).filter((F.col("v.status") == "INVALID") & F.col("owner").isNotNull())
+    text = F.concat(F.lit("method "), "name", F.lit(" may not exist on "), "owner")
+    return found.select("path", "line", F.lit("INVALID_METHOD_CALL").alias("type"), text.alias("description"), F.lit("high").alias("severity"))
+
+
 def definitions(lines: DataFrame) -> DataFrame:
     """(path, kind, name, line, n_required, n_most): interfaces, types, functions, components; the last of a name stands."""
     one = lambda kind, pattern, name, params: lines.filter(F.col("text").rlike(pattern)).select("path", F.lit(kind).alias("kind"), F.regexp_extract("text", pattern, name).alias("name"), "line", split_list(F.regexp_extract("text", pattern, params) if params else F.lit("")).alias("params"))

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.operators import extract, graph, ingest, report, rules, signatures
+from lodestone.functions.text import language_of
+from lodestone.operators import extract, graph, ingest, report, rules, signatures, tsx
 
 #: Stages in the order in which their findings are listed.
-STAGES = ("signatures", "patterns", "practice")
+STAGES = ("file", "components", "knowledge", "catalog", "calls", "signatures", "patterns", "practice")
 
 
 def findings(files: DataFrame, rule_set: list[rules.Rule] | None = None, context: bool = True) -> DataFrame:
@@ -29,6 +30,110 @@ def findings(files: DataFrame, rule_set: list[rules.Rule] | None = None, context
     return out.unionByName(patterns)
 
 
+def _row(df: DataFrame, stage: str, kind: Column | str, severity: Column | str, confidence: Column | float, message: Column, line: Column | None = None) -> DataFrame:
+    text = lambda x: F.lit(x) if isinstance(x, str) else x
+    return df.select("path", F.lit(stage).alias("stage"), text(kind).alias("type"), text(severity).alias("severity"), (F.lit(confidence) if isinstance(confidence, float) else confidence).alias("confidence"), (F.col("line") if line is None else line).cast("long").alias("line"), message.alias("message"))
+
+
+def syntax_findings(facts: DataFrame, tables: DataFrame | None = None, functions: DataFrame | None = None) -> DataFrame:
+    """Findings of what files say (tsx.syntax): files that can't be read, hooks and components, page functions, unlikely names, unknown tables and functions, practice."""
+    of = lambda kind: facts.filter(F.col("kind") == kind)
+    calls, hooks = of("call"), of("hook")
+    out = _row(of("error"), "file", report.filed_as(F.col("name"), report.SIGNATURE_TYPES, "INVALID_TYPE"), "CRITICAL", 1.0, F.lit("the file can't be read"))
+    wrong = signatures.hook_issues(hooks.select("path", "name", "line", F.size("args").cast("long").alias("n_args")))
+    out = out.unionByName(_row(wrong, "components", F.col("issue"), F.col("severity"), F.col("confidence"), F.concat(F.lit("hook "), "name")))
+    used = hooks.filter("owner is not null").groupBy("path", F.col("owner").alias("name")).agg(F.count("*").alias("n_hooks"))
+    parts = of("component").select("path", "name", "line", F.col("detail").alias("type"), F.size("args").cast("long").alias("n_props"), F.col("owner").isNotNull().alias("exported")).join(used, ["path", "name"], "left").na.fill(0, ["n_hooks"])
+    issues = signatures.component_issues(parts).join(parts.groupBy("path", "name").agg(F.min("line").alias("line")), ["path", "name"])
+    early = F.col("issue").isin("lower_case_name", "hooks_in_class")
+    for stage, rows in (("components", issues.filter(early)), ("practice", issues.filter(~early))):
+        out = out.unionByName(_row(rows, stage, "BAD_PRACTICE", F.col("severity"), F.col("confidence"), F.concat("issue", F.lit(" "), "name")))
+    pages = signatures.page_function_errors(calls, of("import"))
+    out = out.unionByName(_row(pages, "components", "INCORRECT_SIGNATURE", "HIGH", 0.9, F.concat("name", F.lit(" takes "), "expected", F.lit(" arguments, not "), "n_args")))
+    odd = signatures.unlikely_calls(calls)
+    out = out.unionByName(_row(odd, "knowledge", report.filed_as(F.col("type"), report.KNOWLEDGE_TYPES, "INVALID_TYPE"), report.severity_of(F.col("severity")), 0.8, F.col("description")))
+    first = F.element_at("args", 1)
+    for known, name, kind, use in ((tables, "from", "TABLE_NOT_FOUND", calls.filter("owner is not null")), (functions, "rpc", "FUNCTION_NOT_FOUND", calls)):
+        if known is not None:
+            asked = use.filter((F.col("name") == name) & (F.size("args") > 0)).select("path", "line", first.alias("name")).filter("name <> '' and not startswith(name, '<')")
+            gone = signatures.unknown_names(asked, known)
+            out = out.unionByName(_row(gone, "catalog", kind, "HIGH", 0.85, F.concat("name", F.lit(" is unknown; known: "), "suggestion")))
+    return out
+
+
+def full_findings(files: DataFrame, rule_set: list[rules.Rule] | None = None, tables: DataFrame | None = None, functions: DataFrame | None = None, calls: DataFrame | None = None) -> DataFrame:
+    """Every stage over (path, content), numbered in the order of STAGES.
+
+    calls: (path, line, name, error) of checked procedure calls (params.check_calls), if there are any.
+    """
+    out = syntax_findings(tsx.syntax(files), tables, functions).unionByName(findings(files.filter("content is not null"), rule_set))
+    if calls is not None:
+        kind = report.filed_as(F.col("error"), report.CALL_TYPES, "INCORRECT_SIGNATURE")
+        out = out.unionByName(_row(calls, "calls", kind, F.when(F.col("error").isin("TYPE", "MISSING", "NOT_FOUND"), "HIGH").otherwise("MEDIUM"), 0.9, F.concat("error", F.lit(" "), "name")))
+    number = F.array_position(F.array(*map(F.lit, STAGES)), F.col("stage"))
+    return out.withColumn("stage_no", number.cast("long"))
+
+
+def full_report(files: DataFrame, found: DataFrame, imports: DataFrame) -> DataFrame:
+    """One row a file: language, counts by severity, confidence, density, frameworks, buckets and recommendations as texts.
+
+    imports: (path, module).
+    """
+    out = summary(files.select("path", F.coalesce("content", F.lit("")).alias("content")), found)
+    joined = lambda rows, value, name: rows.groupBy("path").agg(F.array_join(F.sort_array(F.collect_list(value)), "; ").alias(name))  # noqa: E731  a few of a file
+    kinds = joined(report.type_buckets(found), F.concat_ws(" ", "bucket", "n"), "buckets")
+    items = joined(report.action_items(found), F.concat_ws(" ", "urgency", "n"), "actions")
+    named = report.frameworks(imports)
+    frames = joined(named, F.col("framework"), "frameworks")
+    info = files.select("path", language_of("path").alias("language")).join(named.groupBy("path").agg(F.collect_set("framework").alias("f")), "path", "left")
+    says = joined(report.recommendations(found, info.select("path", "language", F.coalesce("f", F.array().cast("array<string>")).alias("frameworks"))), F.col("recommendation"), "recommendations")
+    out = out.withColumn("language", language_of("path"))
+    for rows in (frames, kinds, items, says):
+        out = out.join(rows, "path", "left")
+    return out.na.fill("", ["frameworks", "buckets", "actions", "recommendations"])
+
+
+def analyzer_of(path: Column) -> Column:
+    """Which check a file goes to, by its language."""
+    return F.when(path.endswith(".py"), "knowledge_graph").when(language_of(path).isin("typescript", "javascript"), "pattern_validation")
+
+
+def tsx_graph(files: DataFrame, repo: str) -> graph.CodeGraph:
+    """The code graph of (path, content) TypeScript files: components with their hooks, functions as they are called, internal imports."""
+    spark = files.sparkSession
+    facts = tsx.syntax(files)
+    of = lambda kind: facts.filter(F.col("kind") == kind)
+    file = files.select("path", F.lit(repo).alias("repo"), F.element_at(F.split("path", "/"), -1).alias("name"), F.regexp_replace("path", r"\.[jt]sx?$", "").alias("module_name"), F.size(F.split("content", r"\n")).alias("line_count"))
+    component = ingest.first_wins(of("component").select("path", "name", F.col("detail").alias("type"), F.col("owner").isNotNull().alias("is_exported"), "args", "line"), ["path", "name"], F.col("line"))
+    hook = of("hook").select("path", "name", "line", "owner", F.array_join("args", ", ").alias("args"))
+    function = ingest.first_wins(of("call").select("path", "name", F.col("args").alias("params"), F.lit("any").alias("return_type"), "line"), ["path", "name"], F.col("line"))
+    none = spark.createDataFrame([], "full_name string, path string, name string, class_full_name string, params array<string>, return_type string, type string")
+    return graph.CodeGraph(repository=spark.createDataFrame([(repo,)], "name string"), file=file, component=component, hook=hook, function=function, **{"class": none.select("full_name", "path", "name")}, method=none.select("class_full_name", "name", "params", "return_type"), attribute=none.select("class_full_name", "name", "type"))
+
+
+def component_edges(facts: DataFrame) -> DataFrame:
+    """(src, dst, kind) below files: what each defines, the props of a component and the hooks it uses."""
+    node = F.concat_ws("::", "path", "name")
+    of = lambda kind: facts.filter(F.col("kind") == kind)
+    out = of("component").select(F.col("path").alias("src"), node.alias("dst"), F.lit("DEFINES").alias("kind"))
+    out = out.unionByName(of("component").filter(F.size("args") > 0).select(node.alias("src"), F.concat(node, F.lit("::props")).alias("dst"), F.lit("HAS_PROPS").alias("kind")))
+    uses = of("hook").filter("owner is not null")
+    owner = F.concat_ws("::", "path", "owner")
+    out = out.unionByName(uses.select(owner.alias("src"), F.concat_ws("::", owner, F.lit("hook"), "name").alias("dst"), F.lit("USES_HOOK").alias("kind")))
+    return out.distinct()
+
+
+def repository_stats(known: graph.CodeGraph, repo: str) -> DataFrame:
+    """One row of a repository: its files, classes, methods, functions, components and hooks, and its first five module names."""
+    files = known.t["file"].filter(F.col("repo") == repo)
+    count = lambda label, name: known._of_repo(label, repo).agg(F.count("*").alias(name))
+    few = files.select("module_name").distinct().orderBy("module_name").limit(5).agg(F.array_join(F.sort_array(F.collect_list("module_name")), ",").alias("first_modules"))
+    out = known.t["repository"].filter(F.col("name") == repo).select("name").crossJoin(F.broadcast(files.agg(F.count("*").alias("files"))))
+    for label, name in (("class", "classes"), ("function", "functions"), ("component", "components"), ("hook", "hooks")):
+        out = out.crossJoin(F.broadcast(count(label, name)))  # one row each
+    return out.crossJoin(F.broadcast(few))
+
+
 def summary(files: DataFrame, found: DataFrame) -> DataFrame:
     """(path, total, critical, high, medium, low, confidence, density): one row a file, also those without findings."""
     n = files.select("path", F.size(F.split("content", r"\n")).alias("lines"))
@@ -41,8 +146,10 @@ def python_graph(files: DataFrame, repo: str) -> graph.CodeGraph:
     """The code graph of (path, content) Python files; keys carry the repository, so repositories don't collide."""
     spark = files.sparkSession
     facts = extract.extract_python(files)
-    module = extract.module_name(F.col("path"))
-    file = files.select("path", F.lit(repo).alias("repo"), F.element_at(F.split("path", "/"), -1).alias("name"), module.alias("module_name"), F.size(F.split("content", r"\n")).alias("line_count"))
+    module = F.col("module_name")
+    named = extract.module_names(files)
+    facts = facts.join(named, "path")
+    file = files.join(named, "path").select("path", F.lit(repo).alias("repo"), F.element_at(F.split("path", "/"), -1).alias("name"), module, F.size(F.split("content", r"\n")).alias("line_count"))
     key = F.concat_ws(".", F.lit(repo), module)
     of = lambda kind: facts.filter(F.col("kind") == kind)
     cls = ingest.first_wins(of("class").select(F.concat_ws(".", key, "name").alias("full_name"), "path", "name", "line"), ["full_name"], F.col("line"))

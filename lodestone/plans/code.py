@@ -6,12 +6,20 @@ from pyspark.sql import functions as F
 
 from lodestone.functions.text import char_similarity
 from lodestone.operators import catalog, extract, params, report, rules, signatures, validate
+from lodestone.plans import expected
 from lodestone.plans.registry import ORACLES, query, table
 from lodestone.sources import fixtures as X
 
 Q = X.quoted
 
 
+def rows_sql(columns: str, rows: list, **casts: str) -> str:
+    """A SELECT of rows given by hand; casts: types of columns that literals don't tell."""
+    names = [c.strip() for c in columns.split(",")]
+    picked = ", ".join(f"CAST({c} AS {casts[c]}) AS {c}" if c in casts else c for c in names)
+    return f"WITH {X.values('given', columns, rows)} SELECT {picked} FROM given"
+
+
 def _matches(rule: rules.Rule, source: str = "files", key: str = "path") -> str:
     p = Q("(?ms)" + rule.pattern)
     return f"""SELECT {key}, '{rule.name}' AS rule, '{rule.kind}' AS kind, '{rule.severity}' AS severity, unnest(generate_series(1, len(m))) AS i, m, seg, content
@@ -35,7 +43,7 @@ def rule_counts(spark, d):
     return rules.rule_counts(X.files(spark), SAFE)
 
 
-@query()
+@query(rows_sql("path, rule, kind, severity, confidence, seq, line, snippet", expected.LOOKAHEAD, confidence="DOUBLE", seq="BIGINT", line="BIGINT"))
 def rule_scan_lookahead(spark, d):
     return rules.scan(X.files(spark), [r for r in rules.RULES if r.looks_around])
 
@@ -116,7 +124,7 @@ def this_in_components(spark, d):
     return rules.this_in_functional_component(X.files(spark)).groupBy("path").agg(F.count("*").alias("n"))
 
 
-@query()
+@query(rows_sql("path, rule, kind, severity, confidence, line, message", expected.FINDINGS, confidence="DOUBLE", line="BIGINT"))
 def all_findings(spark, d):
     return rules.detect(X.files(spark), rules.RULES + rules.EXTRA_RULES)
 
@@ -389,12 +397,12 @@ def unknown_tables(spark, d):
     return signatures.unknown_names(uses, _columns(spark).select(F.col("table").alias("name")))
 
 
-@query()
+@query(rows_sql("path, kind, owner, name, line, params, return_type", expected.PYTHON_FACTS, line="BIGINT"))
 def python_extract(spark, d):
-    return extract.extract_python(spark.createDataFrame(X.PYTHON, "path string, content string"))
+    return extract.extract_python(spark.createDataFrame(X.PYTHON, "path string, content string")).withColumn("params", F.array_join("params", "; "))
 
 
-@query()
+@query(rows_sql("path, kind, name, line, detail", expected.TSX_LINES, line="BIGINT"))
 def tsx_extract(spark, d):
     return extract.extract_tsx(X.files(spark))
 
@@ -427,18 +435,18 @@ def verdict_rates(spark, d):
     return report.verdict_rates(rows)
 
 
-@query()
+@query(rows_sql("name, files, classes, functions, methods", [("shop", 2, 1, 2, 1)], files="BIGINT", classes="BIGINT", functions="BIGINT", methods="BIGINT"))
 def python_graph_explore(spark, d):
     return validate.python_graph(spark.createDataFrame(X.PYTHON, "path string, content string"), "shop").command("explore shop")
 
 
-@query()
+@query(rows_sql("path, line, name, status", [("src/shop/model.py", 1, "os", "UNCERTAIN"), ("src/shop/model.py", 2, ".base", "VALID")], line="BIGINT"))
 def python_import_check(spark, d):
     files = spark.createDataFrame(X.PYTHON, "path string, content string")
     return validate.check_python(files, validate.python_graph(files, "shop"))
 
 
-@query()
+@query(rows_sql("path, line, procedure, name, value", [("a.ts", 1, "report_usage", "account", None), ("a.ts", 1, "report_usage", "period", '"week"'), ("a.ts", 1, "report_usage", "detailed", "true"), ("a.ts", 2, "ping", None, None)], line="BIGINT"))
 def call_arguments(spark, d):
     code = "db.rpc('report_usage', { account: user.id, period: 'week', detailed: true });\ndb.rpc('ping');\n"
     return extract.extract_calls(spark.createDataFrame([("a.ts", code)], "path string, content string"))

@@ -2,32 +2,77 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Folders and names that are not analysed.
-SKIPPED_FOLDERS = ("__pycache__", "node_modules", "dist", "build", "venv", "coverage", "tests", "test", "__tests__")
-CONFIG_FILES = ("webpack.config.js", "jest.config.js", "babel.config.js", "next.config.js", "tailwind.config.js", "vite.config.ts")
+SKIPPED_PYTHON = ("__pycache__", "test", "tests")
+SKIPPED_TYPESCRIPT = ("__pycache__", "test", "tests", "__tests__")
+SKIPPED_ANY = (".git", "node_modules", "__pycache__", ".next", "dist", "build")
+SKIPPED_SUFFIXES = (".pyc", ".pyo", ".log", ".tmp", ".cache")
+CONFIG_FILES = ("webpack.config.js", "vite.config.ts", "next.config.js", "tailwind.config.js", "jest.config.js", "babel.config.js")
 MAX_BYTES = 500_000
 
 
-def _tree(spark: SparkSession, root: str, suffixes: tuple[str, ...]) -> DataFrame:
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{" + ",".join(suffixes) + "}").load(root)
-    rows = files.filter(F.col("length") < MAX_BYTES).select(F.col("path"), F.col("length"), F.col("content").cast("string").alias("content"))
-    inside = F.filter(F.split("path", "/"), lambda p: p.isin(*SKIPPED_FOLDERS) | (p.startswith(".") & (F.length(p) > 1)))
-    return rows.filter(F.size(inside) == 0)
+def _below(path: Column, root: str) -> Column:
+    """A path from below the root on; what the root itself is called plays no part."""
+    plain = lambda x: F.regexp_replace(x, "^[a-zA-Z][a-zA-Z0-9+.-]*:(//[^/]*)?", "")
+    top = plain(F.lit(root.rstrip("/") + "/"))
+    bare = plain(path)
+    return F.when(bare.startswith(top), F.substring(bare, F.length(top) + 1, F.length(bare))).otherwise(bare)
+
+
+def _folders(path: Column) -> Column:
+    return F.slice(F.split(path, "/"), 1, F.size(F.split(path, "/")) - 1)
+
+
+def _visible(path: Column, skipped: tuple[str, ...]) -> Column:
+    """Under src/, and in no hidden or skipped folder below that."""
+    inside = F.slice(_folders(path), 2, F.greatest(F.size(_folders(path)) - 1, F.lit(0)))
+    return path.startswith("src/") & ~F.exists(inside, lambda p: p.startswith(".") | p.isin(*skipped))
+
+
+def is_python_source(path: Column, size: Column) -> Column:
+    """Whether a path below a repository's root is a Python file to analyse."""
+    name = F.element_at(F.split(path, "/"), -1)
+    test = name.startswith("test") | name.endswith("_test.py") | name.endswith("_tests.py") | name.endswith("test_.py")
+    return _visible(path, SKIPPED_PYTHON) & name.endswith(".py") & ~test & (size < MAX_BYTES)
+
+
+def is_typescript_source(path: Column, size: Column) -> Column:
+    """Whether a path below a repository's root is a TypeScript or JavaScript file to analyse."""
+    name = F.element_at(F.split(path, "/"), -1)
+    return _visible(path, SKIPPED_TYPESCRIPT) & name.rlike(r"\.[jt]sx?$") & ~name.startswith("test") & ~name.rlike(r"\.(test|spec)\.[jt]sx?$") & ~name.isin(*CONFIG_FILES) & (size < MAX_BYTES)
+
+
+def is_kept_file(path: Column) -> Column:
+    """Whether a whole-tree scan keeps a path below the root: no skipped folder, no skipped suffix."""
+    name = F.element_at(F.split(path, "/"), -1)
+    suffix = F.when(F.substring(name, 2, 1 << 30).contains("."), F.concat(F.lit("."), F.substring_index(name, ".", -1))).otherwise("")
+    return ~F.exists(_folders(path), lambda p: p.isin(*SKIPPED_ANY)) & ~suffix.isin(*SKIPPED_SUFFIXES)
+
+
+def source_tree(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
+    """(path, length, content) of the files of a tree, paths from below the root on."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(root)
+    return files.select(_below(F.col("path"), root).alias("path"), "length", F.col("content").cast("string").alias("content"))
 
 
 def python_files(spark: SparkSession, root: str) -> DataFrame:
-    """(path, content) of a tree's Python files without tests."""
-    name = F.element_at(F.split("path", "/"), -1)
-    return _tree(spark, root, ("py",)).filter(~name.startswith("test") & ~name.rlike(r"_tests?\.py$")).select("path", "content")
+    """(path, content) of the Python files under src/ of a repository, without tests."""
+    return source_tree(spark, root, "*.py").filter(is_python_source(F.col("path"), F.col("length"))).select("path", "content")
 
 
 def typescript_files(spark: SparkSession, root: str) -> DataFrame:
-    """(path, content) of a tree's TypeScript and JavaScript files without tests and configuration."""
+    """(path, content) of the TypeScript and JavaScript files under src/, without tests and configuration."""
+    return source_tree(spark, root, "*.{ts,tsx,js,jsx}").filter(is_typescript_source(F.col("path"), F.col("length"))).select("path", "content")
+
+
+def all_files(spark: SparkSession, root: str) -> DataFrame:
+    """(path, name, extension, size) of every file of a tree that a whole-tree scan keeps."""
     name = F.element_at(F.split("path", "/"), -1)
-    return _tree(spark, root, ("ts", "tsx", "js", "jsx")).filter(~name.rlike(r"\.(test|spec)\.") & ~name.isin(*CONFIG_FILES)).select("path", "content")
+    rows = source_tree(spark, root).filter(is_kept_file(F.col("path")))
+    return rows.select("path", name.alias("name"), F.regexp_extract(name, r"(?<=.)\.[^.]*$", 0).alias("extension"), F.col("length").alias("size"))
 
 
 def text_file(spark: SparkSession, path: str) -> DataFrame:

@@ -166,21 +166,30 @@ def test_source_trees_and_embedder(spark, tmp_path):
     tail = lambda df: sorted(r.path.rsplit("/", 1)[-1] for r in df.collect())
     root = str(tmp_path / "repo")
     assert tail(S.python_files(spark, root)) == ["a.py"] and tail(S.typescript_files(spark, root)) == ["W.tsx"]
+    for above in ("build", ".hidden", "tests/dist"):  # what stands above the root plays no part
+        p = tmp_path / above / "repo" / "src" / "a.py"
+        p.parent.mkdir(parents=True)
+        p.write_text("x = 1\n")
+        assert [r.path for r in S.python_files(spark, str(tmp_path / above / "repo")).collect()] == ["src/a.py"]
+        assert [tuple(r) for r in S.all_files(spark, f"file://{tmp_path / above / 'repo'}/").collect()] == [("src/a.py", "a.py", ".py", 6)]
     v = [r.embedding for r in S.embedded(spark.createDataFrame([("a b a",), ("",)], "content string"), 8).collect()]
     assert abs(sum(x * x for x in v[0]) - 1) < 1e-9 and v[1] == [0.0] * 8
 
 
 def test_streaming_ingest_replaces_by_url(spark, tmp_path):
-    from lodestone.streaming.ingest import ingest_pages
+    from lodestone.operators.ingest import crawled_pages
+    from lodestone.streaming.ingest import current_pages, ingest_pages
 
     src, out = str(tmp_path / "in"), str(tmp_path / "out")
     kind = "url string, markdown string"
-    for batch in ([("http://a/1", "one. two"), ("http://a/2", "keep")], [("http://a/1", "new")]):
+    for batch in ([("http://a/1", "one. two"), ("http://a/2", "keep"), ("http://a/3", "gone")], [("http://a/1", "new"), ("http://a/1", "newer")], [("http://a/3", "")]):
         spark.createDataFrame(batch, kind).coalesce(1).write.mode("append").parquet(src)
         q = ingest_pages(spark.readStream.schema(kind).parquet(src), out, str(tmp_path / "cp"), 100)
         q.awaitTermination(120)
-    rows = spark.read.parquet(f"{out}/version=1").select("url", "content").collect()
-    assert sorted(map(tuple, rows)) == [("http://a/1", "new"), ("http://a/2", "keep")]
+    schema = crawled_pages(spark.createDataFrame([], kind), 100).schema
+    rows = lambda n: sorted(map(tuple, current_pages(spark, out, n, schema).select("url", "content").collect()))
+    assert rows(3) == [("http://a/1", "newer"), ("http://a/2", "keep")]
+    assert rows(2) == [("http://a/1", "newer"), ("http://a/2", "keep"), ("http://a/3", "gone")] and rows(0) == []
 
 
 def test_signature_facts(spark):
