@@ -194,6 +194,7 @@ NEAREST = 12  # pivots that describe a vector
 SHARED = 2  # of them that two vectors must share to be verified
 CHUNK = 2048
 _PAIRS = 20_000  # pairs verified at a time
+_COUNTED = 2_000_000  # list entries and pairs counted at a time, about
 
 
 APART = 0.8  # cosine of two reference points at most, so that a group of near copies has one of them
@@ -263,48 +264,28 @@ def _lists(classes: DataFrame, pivots: dict[int, np.ndarray], nearest: int) -> D
 def sharing(a: np.ndarray, b: np.ndarray, pivot: int, least: int) -> tuple[np.ndarray, np.ndarray]:
     """Pairs (row of a, row of b) of permutations in the list of ``pivot`` that share ``least`` pivots, this one being the first of them.
 
-    The other pivots of a's rows are looked up in the inverted lists of b's rows, or,
-    where these are so long that most pairs come up, all counts are one product.
+    The other pivots of a's rows are looked up in the inverted lists of b's rows, and what
+    these hold is counted, for so many rows of a at a time that the counts stay small.
     """
-    names, place, n = np.unique(np.concatenate([a, b]), return_inverse=True, return_counts=True)
-    place = place.reshape(-1, a.shape[1])
-    own = int(np.searchsorted(names, pivot))
-    left, right = place[: len(a)], place[len(a) :]
-    many = np.bincount(left.ravel(), minlength=len(names)) * np.bincount(right.ravel(), minlength=len(names))
-    many[own] = 0
-    if least > 1 and many.sum() * 40 < len(a) * len(b) * int((n > 1).sum()):
-        order = np.argsort(right, axis=None, kind="stable")
-        lists, member = right.ravel()[order], order // right.shape[1]
-        q, row = left.ravel(), np.repeat(np.arange(len(left)), left.shape[1])
-        use = q != own
-        q, row = q[use], row[use]
-        lo, hi = np.searchsorted(lists, q), np.searchsorted(lists, q, side="right")
-        size = hi - lo
-        stop = np.cumsum(size)
-        at = np.arange(int(size.sum())) - np.repeat(stop - size, size) + np.repeat(lo, size)
-        key = np.repeat(row, size) * len(b) + member[at]
-        pairs, count = np.unique(key, return_counts=True)
-        pairs = np.setdiff1d(pairs[count >= least - 1], key[np.repeat(q, size) < own], assume_unique=False)
-        return pairs // len(b), pairs % len(b)
-    kept = np.flatnonzero(n > 1)
-    column = np.full(len(names), -1)
-    column[kept] = np.arange(len(kept))
-
-    def marks(rows: np.ndarray) -> np.ndarray:
-        out = np.zeros((len(rows), len(kept) + 1), np.float32)
-        np.put_along_axis(out, column[rows], 1, 1)
-        return out[:, :-1]
-
-    below = int(np.searchsorted(kept, own))
-    x, y = marks(left), marks(right)
+    order = np.argsort(b, axis=None, kind="stable")
+    lists, member = b.ravel()[order], order // b.shape[1]
+    lo = np.searchsorted(lists, a.ravel())
+    size = np.searchsorted(lists, a.ravel(), side="right") - lo
+    size[a.ravel() == pivot] = 0
+    lo, size = lo.reshape(a.shape), size.reshape(a.shape)
+    spent = np.cumsum(size.sum(1) + len(b)) // _COUNTED
+    edge = np.flatnonzero(np.concatenate([[True], spent[1:] != spent[:-1], [True]]))
     hits = []
-    for lo in range(0, len(x), 512):
-        part = x[lo : lo + 512]
-        ok = part[:, below:] @ y[:, below:].T >= least
-        if below:
-            ok &= part[:, :below] @ y[:, :below].T == 0
-        i, j = np.nonzero(ok)
-        hits.append((i + lo, j))
+    for first, last in zip(edge[:-1], edge[1:]):
+        n = size[first:last].ravel()
+        stop = np.cumsum(n)
+        at = np.arange(int(stop[-1])) + np.repeat(lo[first:last].ravel() - stop + n, n)
+        row = np.repeat(np.arange(last - first), n.reshape(last - first, -1).sum(1))
+        key = row * len(b) + member[at]
+        ok = np.bincount(key, minlength=(last - first) * len(b)) >= least - 1
+        ok[key[np.repeat(a[first:last].ravel() < pivot, n)]] = False
+        i, j = np.nonzero(ok.reshape(last - first, len(b)))
+        hits.append((i + first, j))
     return np.concatenate([h[0] for h in hits]), np.concatenate([h[1] for h in hits])
 
 
