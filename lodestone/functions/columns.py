@@ -22,3 +22,29 @@ def cosine(a: Column, b: Column) -> Column:
     norm = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x))
     n = norm(a) * norm(b)
     return F.when(n > 0, dot / n)
+
+
+def merged(*maps: Column) -> Column:
+    """One map of several: of a key that is there more than once, the last value counts."""
+    pairs = F.flatten(F.array(*[F.coalesce(F.map_entries(m), F.array().cast("array<struct<key:string,value:string>>")) for m in maps]))
+    keys = F.array_distinct(F.transform(pairs, lambda e: e["key"]))
+    last = lambda k: F.element_at(F.transform(F.filter(pairs, lambda e: e["key"] == k), lambda e: e["value"]), -1)
+    return F.map_from_arrays(keys, F.transform(keys, last))
+
+
+def value_of(m: Column, key: str, default: str | None = None) -> Column:
+    """The value of a key, or the default where it isn't there."""
+    return F.coalesce(F.try_element_at(m, F.lit(key)), F.lit(default))
+
+
+#: Fixed value: what a stamp looks like.
+STAMP = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(\.\d+)?(Z|[+-]\d{2}:\d{2})?$"
+
+
+def stamp(time: Column | None = None) -> Column:
+    """A time, or now, as an ISO text in UTC."""
+    return F.date_format(F.current_timestamp() if time is None else time, "yyyy-MM-dd'T'HH:mm:ss'Z'")
+
+
+def is_stamp(x: Column) -> Column:
+    return F.coalesce(x.rlike(STAMP), F.lit(False))

@@ -116,18 +116,20 @@ def code_blocks(markdown: Column | str, min_length: int = 1000, compat: bool = F
     """
     md = col(markdown)
     parts = F.split(md, FENCE, -1)
-    shift = F.when(strip(md).startswith(FENCE), 1).otherwise(0) if compat else F.lit(0)
     n = F.size(parts)
-    begin = lambda i: F.aggregate(F.slice(parts, 1, i), F.lit(0), lambda a, x: a + F.length(x) + 3)
-    odd = F.filter(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: (F.pmod(i + shift, F.lit(2)) == 1) & (i > shift) & (i < n - 1))
-
-    def block(i: Column) -> Column:
-        body = F.element_at(parts, i + 1)
+    shift = F.when(strip(md).startswith(FENCE), 1).otherwise(0) if compat else F.lit(0)
+    # Where each part begins is summed once, and goes with the part: what a lambda doesn't get, it would make again for each block.
+    begins = F.aggregate(parts, F.array(F.lit(0)), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + F.length(x) + 3)))
+    zipped = F.arrays_zip(parts.alias("body"), F.slice(begins, 1, n).alias("at"))
+    inner = F.slice(F.transform(zipped, lambda p, i: F.struct(p["body"].alias("body"), p["at"].alias("at"), i.alias("i"))), 1, F.greatest(n - 1, F.lit(0)))
+    odd = F.filter(inner, lambda p: (F.pmod(p["i"] + shift, F.lit(2)) == 1) & (p["i"] > shift))
+
+    def block(p: Column) -> Column:
+        body = p["body"]
         first = F.substring_index(body, "\n", 1)
         named = (F.locate("\n", body) > 0) & (strip(first) != "") & ~F.coalesce(strip(first).contains(" "), F.lit(False)) & (F.length(strip(first)) < 20)
         code = F.when(named, strip(F.substring(body, F.length(first) + 2, 1 << 30))).otherwise(strip(body))
-        lo = begin(i) - 3
-        hi = begin(i) + F.length(body) + 3
+        lo, hi = p["at"] - 3, p["at"] + F.length(body) + 3
         return F.struct(
             code.alias("code"),
             F.when(named, strip(first)).otherwise("").alias("language"),
@@ -135,8 +137,7 @@ def code_blocks(markdown: Column | str, min_length: int = 1000, compat: bool = F
             strip(F.substring(md, hi + 1, 1000)).alias("context_after"),
         )
 
-    found = F.transform(odd, block)
-    return F.when(n >= 3, F.filter(found, lambda b: F.length(b["code"]) >= min_length)).otherwise(F.filter(F.array(block(F.lit(0))), lambda b: F.lit(False)))
+    return F.filter(F.transform(odd, block), lambda b: F.length(b["code"]) >= min_length)
 
 
 def full_context(before: Column, code: Column, after: Column) -> Column:

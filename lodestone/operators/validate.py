@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import language_of
 from lodestone.operators import extract, graph, ingest, report, rules, signatures, tsx
+from lodestone.sources import files
 
 #: Stages in the order in which their findings are listed.
 STAGES = ("file", "components", "knowledge", "catalog", "calls", "signatures", "patterns", "practice")
@@ -111,6 +112,13 @@ def tsx_graph(files: DataFrame, repo: str) -> graph.CodeGraph:
     return graph.CodeGraph(repository=spark.createDataFrame([(repo,)], "name string"), file=file, component=component, hook=hook, function=function, **{"class": none.select("full_name", "path", "name")}, method=none.select("class_full_name", "name", "params", "return_type"), attribute=none.select("class_full_name", "name", "type"))
 
 
+def analyze_repository(spark: SparkSession, root: str, repo: str) -> graph.CodeGraph:
+    """The code graph of a source tree: its Python and its TypeScript files, each read once by its own reader."""
+    one, two = python_graph(files.python_files(spark, root), repo), tsx_graph(files.typescript_files(spark, root), repo)
+    both = {k: one.t[k].unionByName(two.t[k], allowMissingColumns=True) for k in one.t if k not in ("repository", "hook", "component")}
+    return graph.CodeGraph(repository=one.t["repository"], hook=two.t["hook"], component=two.t["component"], **both)
+
+
 def component_edges(facts: DataFrame) -> DataFrame:
     """(src, dst, kind) below files: what each defines, the props of a component and the hooks it uses."""
     node = F.concat_ws("::", "path", "name")

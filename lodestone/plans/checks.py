@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from lodestone.functions import columns
 from lodestone.operators import catalog, extract, graph, params, report, signatures, tsx, validate
-from lodestone.plans.code import FINDINGS_SQL, _columns, _keys, label_findings, rows_sql
+from lodestone.plans.code import FINDINGS_SQL, _columns, _keys, findings, rows_sql
 from lodestone.plans.registry import query, table
 from lodestone.sources import fixtures as X
 
@@ -117,22 +118,22 @@ def validation_full_report(spark, d):
     return validate.full_report(files, found, imports).select("path", "language", "frameworks", "critical")
 
 
-@query(FINDINGS_SQL.replace(" WHERE quality = 1)", ")") + """, m AS (SELECT path, type, severity, 'Security of ' || lower(type) AS message FROM findings)
+@query(FINDINGS_SQL + """, m AS (SELECT path, type, severity, 'Security of ' || lower(type) AS message FROM findings)
 SELECT path, 'security_issues' AS bucket, count(*) AS n FROM m GROUP BY path
 UNION ALL SELECT path, 'component_issues', count(*) FROM m WHERE type = 'COMPONENT_NOT_FOUND' GROUP BY path UNION ALL SELECT path, 'catalog_issues', count(*) FROM m WHERE type = 'TABLE_NOT_FOUND' GROUP BY path
 UNION ALL SELECT path, 'signature_issues', count(*) FROM m WHERE type = 'INCORRECT_SIGNATURE' GROUP BY path UNION ALL SELECT path, 'type_issues', count(*) FROM m WHERE type = 'INVALID_TYPE' GROUP BY path""")
 def finding_buckets(spark, d):
-    return report.type_buckets(label_findings(spark, d).withColumn("message", F.concat(F.lit("Security of "), F.lower("type"))))
+    return report.type_buckets(findings(spark, d).withColumn("message", F.concat(F.lit("Security of "), F.lower("type"))))
 
 
-@query(FINDINGS_SQL.replace(" WHERE quality = 1)", ")") + " SELECT path, CASE WHEN severity IN ('CRITICAL', 'HIGH') THEN 'immediate' WHEN severity = 'MEDIUM' THEN 'soon' ELSE 'eventually' END AS urgency, count(*) AS n FROM findings GROUP BY 1, 2")
+@query(FINDINGS_SQL + " SELECT path, CASE WHEN severity IN ('CRITICAL', 'HIGH') THEN 'immediate' WHEN severity = 'MEDIUM' THEN 'soon' ELSE 'eventually' END AS urgency, count(*) AS n FROM findings GROUP BY 1, 2")
 def finding_actions(spark, d):
-    return report.action_items(label_findings(spark, d))
+    return report.action_items(findings(spark, d))
 
 
-@query(FINDINGS_SQL.replace(" WHERE quality = 1)", ")") + """ SELECT path, '{"success":true,"path":"' || path || '","n":' || count(*) || ',"metadata":{"total_results":' || count(*) || ',"limited":' || (count(*) >= 20) || '}}' AS response FROM findings GROUP BY path""")
+@query(FINDINGS_SQL + """ SELECT path, '{"success":true,"path":"' || path || '","n":' || count(*) || ',"metadata":{"total_results":' || count(*) || ',"limited":' || (count(*) >= 20) || '}}' AS response FROM findings GROUP BY path""")
 def finding_responses(spark, d):
-    return report.response(label_findings(spark, d).groupBy("path").agg(F.count("*").alias("n")), "path", "n", 20)
+    return report.response(findings(spark, d).groupBy("path").agg(F.count("*").alias("n")), "path", "n", 20)
 
 
 CHECKED = [("a.ts", None, "pattern_validation"), ("b.py", None, "knowledge_graph"), ("c.rb", "only these files are checked: .py, .js, .jsx, .ts, .tsx", None), ("", "a path is needed", None), ("x/d.jsx", None, "pattern_validation")]
@@ -326,3 +327,18 @@ def catalog_objects(spark, d):
     return edges
 
 
+MERGED = [(1, "a", "9"), (1, "b", "2"), (1, "c", "3"), (2, "a", "1")]
+
+
+@query(rows_sql("id, name, value, missing", [(*m, "none") for m in MERGED], id="BIGINT"))
+def metadata_merge(spark, d):
+    """The later of two maps counts, a null map adds nothing, a missing key has its default."""
+    rows = spark.createDataFrame([(1, {"a": "1", "b": "2"}, {"a": "9", "c": "3"}), (2, {"a": "1"}, None)], "id long, x map<string,string>, y map<string,string>")
+    both = columns.merged(F.col("x"), F.col("y"))
+    return rows.select("id", F.explode(both).alias("name", "value"), columns.value_of(both, "zzz", "none").alias("missing"))
+
+
+@query("SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS stamp, true AS ok, false AS other FROM events")
+def event_stamps(spark, d):
+    stamp = columns.stamp(F.col("ts"))
+    return table(spark, d, "events").select("event_id", stamp.alias("stamp"), columns.is_stamp(stamp).alias("ok"), columns.is_stamp(F.col("event_type")).alias("other"))

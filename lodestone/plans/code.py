@@ -51,19 +51,22 @@ def rule_scan_lookahead(spark, d):
 TEXT_RULES = [rules.Rule("sentence_short", "STYLE", "LOW", r"\b\w{1,3}\."), rules.Rule("token_value", "SECURITY_RISK", "HIGH", r"token\s*=\s*\"[0-9a-f]+\""), rules.Rule("shouting", "STYLE", "LOW", r"!!+")]
 
 
-@query("WITH docs AS (SELECT doc_id, text AS content FROM documents), c AS (" + " UNION ALL ".join(f"SELECT doc_id, '{r.name}' AS rule, len(regexp_extract_all(content, {Q('(?ms)' + r.pattern)}, 0)) AS n FROM docs" for r in TEXT_RULES[1:]) + ") SELECT doc_id, rule, CAST(n AS BIGINT) AS n FROM c WHERE n > 0")
-def rule_scan_documents(spark, d):
-    return rules.rule_counts(table(spark, d, "documents"), TEXT_RULES[1:], "doc_id", "text")
+TEXT_SQL = "WITH docs AS (SELECT doc_id, text AS content FROM documents), c AS (" + " UNION ALL ".join(f"SELECT doc_id, '{r.name}' AS rule, len(regexp_extract_all(content, {Q('(?ms)' + r.pattern)}, 0)) AS n FROM docs" for r in TEXT_RULES) + ") SELECT doc_id, rule, CAST(n AS BIGINT) AS n FROM c WHERE n > 0"
 
 
-@query("WITH docs AS (SELECT doc_id, text AS content FROM documents), c AS (" + " UNION ALL ".join(f"SELECT doc_id, '{r.name}' AS rule, len(regexp_extract_all(content, {Q('(?ms)' + r.pattern)}, 0)) AS n FROM docs" for r in TEXT_RULES) + ") SELECT doc_id, rule, CAST(n AS BIGINT) AS n FROM c WHERE n > 0")
-def rule_scan_documents_all(spark, d):
-    """Every text rule; rule_scan_documents leaves out the first."""
+@query(TEXT_SQL)
+def rule_scan_documents(spark, d):
     # \w is ASCII in both engines, \b only in SQL's: said here by what may not stand before.
     scanned = [rules.Rule(r.name, r.kind, r.severity, r.pattern.replace(r"\b\w", r"(?<!\w)\w")) for r in TEXT_RULES]
     return rules.rule_counts(table(spark, d, "documents"), scanned, "doc_id", "text")
 
 
+@query(TEXT_SQL)
+def rule_scan_documents_all(spark, d):
+    """The same under the name that it had when the other one left out a rule."""
+    return rule_scan_documents(spark, d)
+
+
 @query("WITH pages_ AS (SELECT page_id, html AS content FROM pages), hits AS (" + _matches(rules.Rule("heading", "STRUCTURE", "INFO", r"<h[1-3]>"), "pages_", "page_id") + """),
 lined AS (SELECT page_id, rule, i, array_to_string(seg[1:i], '') || array_to_string(m[1:i - 1], '') AS before FROM hits)
 SELECT page_id, rule, CAST(i - 1 AS BIGINT) AS seq, CAST(1 + length(before) - length(replace(before, chr(10), '')) AS BIGINT) AS line FROM lined""")
@@ -249,66 +252,60 @@ _errors("param_enum", "ENUM")
 _errors("param_json", "JSON")
 
 FINDINGS_SQL = """WITH findings AS (SELECT 'f' || doc_id % 50 AS path, doc_id AS seq, ['CRITICAL', 'HIGH', 'MEDIUM', 'LOW', 'INFO'][1 + doc_id % 5] AS severity, (1 + doc_id % 9) / 10.0 AS confidence,
-  ['BAD_PRACTICE', 'INCORRECT_SIGNATURE', 'TABLE_NOT_FOUND', 'COMPONENT_NOT_FOUND', 'INVALID_TYPE', 'OTHER', 'OTHER'][1 + doc_id % 7] AS type FROM labels WHERE quality = 1)"""
+  ['BAD_PRACTICE', 'INCORRECT_SIGNATURE', 'TABLE_NOT_FOUND', 'COMPONENT_NOT_FOUND', 'INVALID_TYPE', 'OTHER', 'OTHER'][1 + doc_id % 7] AS type FROM labels)"""
 
 
 def findings(spark, d):
-    return _findings(table(spark, d, "labels").filter("quality = 1"))
-
-
-def label_findings(spark, d):
-    return _findings(table(spark, d, "labels"))
-
-
-def _findings(rows):
+    """Findings made of every row of labels."""
+    rows = table(spark, d, "labels")
     pick = lambda names, n: F.element_at(F.array(*[F.lit(x) for x in names]), (1 + F.col("doc_id") % n).cast("int"))
     return rows.select(F.concat(F.lit("f"), (F.col("doc_id") % 50).cast("string")).alias("path"), F.col("doc_id").alias("seq"), pick(["CRITICAL", "HIGH", "MEDIUM", "LOW", "INFO"], 5).alias("severity"), ((1 + F.col("doc_id") % 9) / 10.0).alias("confidence"), pick(["BAD_PRACTICE", "INCORRECT_SIGNATURE", "TABLE_NOT_FOUND", "COMPONENT_NOT_FOUND", "INVALID_TYPE", "OTHER", "OTHER"], 7).alias("type"))
 
 
 @query(FINDINGS_SQL + """ SELECT path, count(*) AS total, count(*) FILTER (severity = 'CRITICAL') AS critical, count(*) FILTER (severity = 'HIGH') AS high,
   count(*) FILTER (severity = 'MEDIUM') AS medium, count(*) FILTER (severity = 'LOW') AS low FROM findings GROUP BY path""")
-def severity_stats(spark, d, found=findings):
-    return report.statistics(found(spark, d), "path")
+def severity_stats(spark, d):
+    return report.statistics(findings(spark, d), "path")
 
 
 @query(FINDINGS_SQL + """ SELECT path, round(greatest(0.0, 1 - sum(CASE severity WHEN 'CRITICAL' THEN 1.0 WHEN 'HIGH' THEN 0.8 WHEN 'MEDIUM' THEN 0.6 WHEN 'LOW' THEN 0.4 ELSE 0.2 END * confidence) / (2 * count(*))), 6) AS confidence FROM findings GROUP BY path
 UNION ALL SELECT 'none', 1.0""")
-def confidence_score(spark, d, found=findings):
-    f = found(spark, d)
+def confidence_score(spark, d):
+    f = findings(spark, d)
     files = f.select("path").unionByName(spark.createDataFrame([("none",)], "path string"))
     return report.confidence(f, files).select("path", F.round("confidence", 6).alias("confidence"))
 
 
 @query(FINDINGS_SQL + """ SELECT seq, severity, CAST(confidence AS DOUBLE) AS confidence FROM findings ORDER BY list_position(['CRITICAL', 'HIGH', 'MEDIUM', 'LOW', 'INFO'], severity), findings.confidence DESC, seq LIMIT 10""")
-def top_detections(spark, d, found=findings):
-    return report.top(found(spark, d)).select("seq", "severity", "confidence")
+def top_detections(spark, d):
+    return report.top(findings(spark, d)).select("seq", "severity", "confidence")
 
 
 @query(FINDINGS_SQL + """, c AS (SELECT path, count(*) FILTER (type = 'COMPONENT_NOT_FOUND') AS a, count(*) FILTER (type = 'TABLE_NOT_FOUND') AS b, count(*) FILTER (type = 'INCORRECT_SIGNATURE') AS e, count(*) FILTER (type = 'BAD_PRACTICE') AS g FROM findings GROUP BY path)
 SELECT path, a || ' unknown components: check their imports' AS recommendation FROM c WHERE a > 0 UNION ALL SELECT path, b || ' unknown tables: check their names against the schema' FROM c WHERE b > 0
 UNION ALL SELECT path, e || ' calls with wrong arguments: check the signatures' FROM c WHERE e > 0 UNION ALL SELECT path, g || ' findings on practice: follow the framework''s guides' FROM c WHERE g > 0
 UNION ALL SELECT path, 'turn strict mode on' FROM c""")
-def recommendations(spark, d, found=findings):
-    f = found(spark, d)
+def recommendations(spark, d):
+    f = findings(spark, d)
     files = f.select("path", F.lit("typescript").alias("language"), F.array().cast("array<string>").alias("frameworks")).distinct()
     return report.recommendations(f, files)
 
 
 @query(FINDINGS_SQL + " SELECT severity, round(avg(confidence), 6) AS mean_confidence, round(count(*) / greatest(count(DISTINCT path), 1), 6) AS density FROM findings GROUP BY severity")
-def mean_confidence(spark, d, found=findings):
-    f = found(spark, d)
+def mean_confidence(spark, d):
+    f = findings(spark, d)
     n = f.groupBy("severity").agg(F.round(report.density(F.count("*"), F.count_distinct("path")), 6).alias("density"))
     return report.mean_confidence(f, "severity").join(n, "severity").select("severity", F.round("mean_confidence", 6).alias("mean_confidence"), "density")
 
 
 def _of_all_labels(plan, sql):
-    """The plan once more, over findings made from every row of labels."""
+    """The plan under the name that it had when the other one left rows out."""
 
     def whole(spark, d):
-        return plan(spark, d, label_findings)
+        return plan(spark, d)
 
     whole.__name__ = f"{plan.__name__}_all"
-    query(sql.replace(" FROM labels WHERE quality = 1)", " FROM labels)"))(whole)
+    query(sql)(whole)
 
 
 for _plan in (severity_stats, confidence_score, top_detections, recommendations, mean_confidence):

@@ -2,8 +2,15 @@
 
 from __future__ import annotations
 
+import re
+import zlib
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 # Folders and names that are not analysed.
 SKIPPED_PYTHON = ("__pycache__", "test", "tests")
@@ -58,9 +65,33 @@ def source_tree(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame
     return files.select(_below(F.col("path"), root).alias("path"), "length", F.col("content").cast("string").alias("content"))
 
 
+def package_files(spark: SparkSession, root: str, most: int = 16) -> DataFrame:
+    """As source_tree, the ``__init__.py`` files of a tree down to a depth, which Spark's own listing takes for hidden."""
+    from pyarrow import fs
+
+    jvm = spark._jvm.org.apache.hadoop.fs
+    found = []
+    for depth in range(most + 1):
+        pattern = jvm.Path(f"{root.rstrip('/')}/{'*/' * depth}__init__.py")
+        found += [x.getPath().toString() for x in pattern.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(pattern) or []]
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            raw = []
+            for uri in batch.column(0).to_pylist():
+                store, path = (fs.LocalFileSystem(), "/" + uri.removeprefix("file:").lstrip("/")) if uri.startswith("file:") else fs.FileSystem.from_uri(uri)
+                with store.open_input_stream(path) as f:
+                    raw.append(f.read())
+            text = [x.decode("utf-8", "replace") for x in raw]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(len, raw), pa.int64()), pa.array(text, pa.string())], ["path", "length", "content"])
+
+    rows = spark.createDataFrame([(x,) for x in found], "path string").mapInArrow(run, "path string, length long, content string")
+    return rows.withColumn("path", _below(F.col("path"), root))
+
+
 def python_files(spark: SparkSession, root: str) -> DataFrame:
     """(path, content) of the Python files under src/ of a repository, without tests."""
-    return source_tree(spark, root, "*.py").filter(is_python_source(F.col("path"), F.col("length"))).select("path", "content")
+    return source_tree(spark, root, "*.py").unionByName(package_files(spark, root)).filter(is_python_source(F.col("path"), F.col("length"))).select("path", "content")
 
 
 def typescript_files(spark: SparkSession, root: str) -> DataFrame:
@@ -85,10 +116,25 @@ def fetched(urls: DataFrame, pages: DataFrame) -> DataFrame:
     return pages.join(urls.select("url").distinct(), "url", "left_semi").filter(F.length("markdown") > 0)
 
 
-def embedded(chunks: DataFrame, dims: int = 64, text: str = "content") -> DataFrame:
-    """The offline embedder: signed hashes of words, normalised; a zero vector for no words. JVM only."""
-    words = F.filter(F.split(F.lower(text), r"\W+"), lambda w: w != "")
-    zero = F.array_repeat(F.lit(0.0), dims)
-    counts = F.aggregate(words, zero, lambda acc, w: F.transform(acc, lambda x, i: x + F.when(F.pmod(F.xxhash64(w), F.lit(dims)) == i, F.when(F.pmod(F.hash(w), F.lit(2)) == 0, 1.0).otherwise(-1.0)).otherwise(0.0)))
-    norm = F.sqrt(F.aggregate(F.col("_v"), F.lit(0.0), lambda s, x: s + x * x))
-    return chunks.withColumn("_v", counts).withColumn("embedding", F.transform("_v", lambda x: F.when(norm > 0, x / norm).otherwise(0.0))).drop("_v")
+def hashed_words(texts: list[str | None], dims: int) -> np.ndarray:
+    """The offline embedder: signed counts of word hashes, of length one; zeros for no words."""
+    out = np.zeros((len(texts), dims))
+    for row, text in zip(out, texts):
+        h = np.array([zlib.crc32(w.encode()) for w in re.findall(r"\w+", (text or "").lower())], np.int64)
+        row += np.bincount(h % dims, np.where(h // dims % 2, -1.0, 1.0), dims)
+    return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-300)
+
+
+def embedded(chunks: DataFrame, dims: int = 64, text: str = "content", model: Callable[[list[str | None], int], np.ndarray] = hashed_words) -> DataFrame:
+    """The rows with ``embedding``. ``model``: from texts and a number of components to a matrix; it runs in the tasks, batch by batch."""
+    at = chunks.columns.index(text)
+    schema = StructType([*chunks.schema.fields, StructField("embedding", ArrayType(DoubleType()))])
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            for lo in range(0, batch.num_rows, 500):
+                part = batch.slice(lo, 500)
+                vectors = pa.array(list(model(part.column(at).to_pylist(), dims)), pa.list_(pa.float64()))
+                yield pa.RecordBatch.from_arrays([*part.columns, vectors], [*part.schema.names, "embedding"])
+
+    return chunks.mapInArrow(run, schema)

@@ -150,7 +150,9 @@ def test_code_graph_commands(spark):
     assert [r.limited for r in g.command("classes shop").collect()] == [False]
     assert g.command("explore nothing").count() == 0 and g.command("hook useState").count() == 1
     assert g.command("sql SELECT name FROM repository").count() == 1
-    for bad in ("sql DROP TABLE x", "nonsense", "class"):
+    assert not spark.catalog.tableExists("repository")  # its views are gone
+    assert [r.n for r in g.command("sql WITH x AS (SELECT 'drop it; now' AS n) SELECT n FROM x").collect()] == ["drop it; now"]
+    for bad in ("sql DROP TABLE x", "sql SELECT 1; DROP TABLE x", "sql WITH x AS (SELECT 1) INSERT INTO repository SELECT * FROM x", "nonsense", "class"):
         try:
             g.command(bad)
             raise AssertionError(bad)
@@ -233,3 +235,39 @@ def test_findings_of_all_labels(spark, tmp_path):
     assert [r.seq for r in run("top_detections_all")][:3] == [35, 25, 15]
     assert sum(r.recommendation == "turn strict mode on" for r in run("recommendations_all")) == 41
     assert {r.severity: round(r.mean_confidence, 6) for r in run("mean_confidence_all")}["CRITICAL"] == round(sum((1 + i % 9) / 10 for i in range(5, 41, 5)) / 8, 6)
+
+
+def test_tsx_reader():
+    from lodestone.operators.tsx import facts
+
+    rows = lambda src, kind: [(n, o, a, d) for _, k, n, _, o, a, d in facts("p", src) if k == kind]
+    assert rows("import {\n  a as b,\n  type C\n} from 'm'; import * as n from \"k\"; // import x from 'y'\nconst s = 'import z from q';", "import") == [("m", None, ["b", "C"], "named"), ("k", None, ["n"], "namespace")]
+    assert rows("const A: FC<P<Q>> = React.memo(async ({ x, y: z, ...rest }) => { useIt(1, [a, b]); });\nexport { A };", "component") == [("A", "export", ["x", "y"], "arrow")]
+    assert rows("const A = () => { useIt<T[]>(1, f(2, 3), 'x'); };\nuseOut();", "hook") == [("useIt", "A", ["1", "<Call>", "x"], ""), ("useOut", None, [], "")]
+    assert rows("function B(props) { return 1 } class C extends PureComponent { go() { this.x.run(`t`, y.z) } }", "call") == [("run", "x", ["<TemplateLiteral>", "y.z"], "")]
+    assert [c[0] for c in rows("function B() {} class C extends PureComponent {} class D {} const e = 1; const F = 3;", "component")] == ["B", "C"]
+    for odd in ("", "(((", "'unclosed", "`open", "/* open", "import", "import {", "export default", "const A = ", "const A = (", "class A extends", "x" * 50000, "{" * 5000):
+        facts("p", odd)
+
+
+def test_stored_code_and_embedding_hook(spark):
+    import numpy as np
+
+    rows = spark.createDataFrame([("http://h/a", 0, "print(1)", "python")], "url string, block long, code string, language string")
+    out = ingest.code_store(rows, embed=lambda df, text: S.embedded(df, 3, text, lambda texts, dims: np.array([[len(t), dims, 0.0] for t in texts]))).first()
+    assert out.embedded_text == "print(1)\n\nSummary: Code example for demonstration purposes." and out.source_id == "h" and out.metadata.language == "python"
+    assert out.embedding == [len(out.embedded_text), 3.0, 0.0]
+    assert ingest.code_store(rows, F.lit("mine")).first().summary == "mine"
+
+
+def test_repository_of_two_languages(spark, tmp_path):
+    from lodestone.operators.validate import analyze_repository
+
+    for name, body in {"src/shop/__init__.py": "", "src/shop/cart.py": "class Cart:\n    def add(self, n: int) -> None: ...\n", "src/App.tsx": "export const App = () => { useState(1); return go(2); };"}.items():
+        p = tmp_path / name
+        p.parent.mkdir(parents=True, exist_ok=True)
+        p.write_text(body)
+    g = analyze_repository(spark, str(tmp_path), "r")
+    assert {(r.path, r.module_name) for r in g.t["file"].collect()} == {("src/shop/__init__.py", "shop"), ("src/shop/cart.py", "shop.cart"), ("src/App.tsx", "src/App")}
+    assert [r.full_name for r in g.command("classes r").collect()] == ["r.shop.cart.Cart"] and [r.name for r in g.command("component App").collect()] == ["App"]
+    assert {r.name for r in g.command("functions r").collect()} == {"go"} and g.command("hook useState").count() == 1
