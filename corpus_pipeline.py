@@ -2,8 +2,12 @@
 
 toxicity drops what it rejects; jaccard_join keeps one document of each group of near
 copies (five-word shingles, similarity 0.8); substring_dedup cuts passages of 50 words
-or more that repeat; secret_scan masks what it finds; packing lays the rest out in bins.
-Every stage works on all rows that the one before it kept.
+or more that repeat; secret_scan masks what it finds; packing lays the rest out in bins,
+by the tokens of a public byte-level tokenizer. Every stage works on all rows that the one
+before it kept; what it wrote to do so is removed when its own result is saved. Null and
+empty texts pass all stages (an empty text packs as its end id), repeated rows are one
+after the second stage unless they have no words, columns of any name are kept up to the
+last stage, and an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -31,7 +35,9 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(docs)
+    import public_tokenizers
+
+    return packing.pack_documents(docs, tokenizer=public_tokenizers.path("byte_bpe_50k.json"))
 
 
 STAGES = [
@@ -47,9 +53,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-        if stage is not best_fit_packing:
-            docs = cluster.saved(docs, name)
-    return docs
+    docs, since = spark.read.parquet(f"{sf_dir}/documents.parquet"), cluster.made()
+    for name, stage in STAGES[:-1]:
+        docs = cluster.released(stage(spark, docs, sf_dir), name, since)
+    return STAGES[-1][1](spark, docs, sf_dir)
