@@ -234,7 +234,7 @@ def repeated_anchors(docs: DataFrame, window: int, shards: int, boxes: int, freq
         seen["segment"], seen["row"] = e["segment"][twice], e["row"][twice]
         yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([shard], pa.int32()), pa.array([seen.tobytes()], pa.binary())], ["kind", "key", "rows"])
         to, n = np.unique(_shard(owned["anchor"], shards), return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(to), 2, np.int32)), pa.array(to.astype(np.int32)), pa.array([x.tobytes() for x in n.astype("<i8")], pa.binary())], ["kind", "key", "rows"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(to), 2, np.int32)), pa.array(to.astype(np.int32)), pa.array([int(x).to_bytes(8, "big") for x in n], pa.binary())], ["kind", "key", "rows"])
         b = _dealt(_shard(text.mix(owned["row"]), boxes), owned, ("key", "rows"))
         yield pa.RecordBatch.from_arrays([pa.array(np.ones(b.num_rows, np.int32)), *b.columns], ["kind", "key", "rows"])
 
@@ -303,7 +303,7 @@ def heavy_shards(sent: DataFrame, window: int) -> dict[int, int]:
 
     sent: (key, rows), the numbers of segments that are sent to each shard.
     """
-    n = F.conv(F.hex(F.reverse("rows")), 16, 10).cast("long")
+    n = F.conv(F.hex("rows"), 16, 10).cast("long")  # eight bytes, the highest first
     words = (F.sum(n) * (3 * window // 2)).alias("words")
     top = sent.groupBy("key").agg(words).filter(F.col("words") > INDEX_WORDS).orderBy(F.desc("words"), "key").limit(HEAVY).collect()
     return {r["key"]: -(-r["words"] // INDEX_WORDS) for r in top}

@@ -211,6 +211,16 @@ def test_substrings_against_brute_force(spark, window):
     assert substrings.repeats(docs.limit(0), window).count() == 0
 
 
+def test_heavy_shards(spark):
+    """Only shards beyond what an index holds are cut, by the numbers that are sent to them."""
+    from lodestone.llm import substrings
+
+    sent = [(3, 70_000), (3, 70_000), (4, 10), (5, 200), (200_000, 2**40)]
+    rows = spark.createDataFrame([(k, bytearray(n.to_bytes(8, "big"))) for k, n in sent], "key int, rows binary")
+    got = substrings.heavy_shards(rows, 50)
+    assert got == {3: -(-140_000 * 75 // substrings.INDEX_WORDS), 200_000: -(-(2**40) * 75 // substrings.INDEX_WORDS)}
+
+
 @pytest.mark.parametrize("window", [8, 60, 71, 90, 110])
 def test_passages_of_just_a_window(spark, window):
     from lodestone.llm import substrings
