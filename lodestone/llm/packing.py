@@ -15,8 +15,8 @@ is packed in one task; only ids and lengths are exchanged. A sequence longer tha
 largest length is split into pieces of that length and a rest.
 
 Defined cases: null lengths, and where words are counted null, empty and blank texts, have
-no tokens and get no bin (null bin and capacity, length 0); they don't take part in the
-exchange. Equal lengths go by id; repeated rows are packed each for themselves; an empty
+no tokens and get no bin (null bin and capacity, length 0); they are dealt by the
+partition that they come from. Equal lengths go by id; repeated rows are packed each for themselves; an empty
 table gives an empty result; other columns play no part.
 """
 
@@ -25,6 +25,7 @@ from __future__ import annotations
 import math
 from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -53,17 +54,17 @@ class _Openings:
 
     def __init__(self, ascending: list[int], lengths: tuple[int, ...], preferred: int | None, overhead: float, span: float):
         self.sizes, self.lengths, self.preferred = ascending, lengths, preferred
+        self.sums = list(accumulate(ascending, initial=0))
         self.cost = {c: bin_cost(c, overhead, span) for c in lengths}
 
     def held(self, space: int, left: int) -> int:
         """Tokens that a space would come to hold of the ``left`` shortest sequences, largest first."""
         total = 0
         while left and space >= self.sizes[0]:
-            left = bisect_right(self.sizes, space, 0, left)
-            if left:
-                left -= 1
-                total += self.sizes[left]
-                space -= self.sizes[left]
+            fit = bisect_right(self.sizes, space, 0, left)
+            left = bisect_left(self.sums, self.sums[fit] - space, 0, fit)  # a run of the largest that fit, at once
+            total += self.sums[fit] - self.sums[left]
+            space -= self.sums[fit] - self.sums[left]
         return total
 
     def choose(self, n: int, left: int) -> int:
@@ -155,8 +156,10 @@ def pack(sequences: DataFrame, lengths: tuple[int, ...] = LENGTHS, overhead: flo
     def run(table: pa.Table) -> pa.Table:
         shard = table.column("shard")[0].as_py()
         out: list[list] = [[] for _ in range(7)]
-        sizes, pieces = [], []
+        sizes, pieces, bare = [], [], []
         for doc, n in sorted(zip(table.column("doc_id").to_pylist(), table.column("length").to_pylist()), key=lambda r: (r[0] is None, r[0] or 0, r[1])):
+            if n <= 0:
+                bare.append(doc)
             for k, (a, m) in enumerate(pieces_of(n, largest)):
                 pieces.append((doc, k, a, m))
                 sizes.append(m)
@@ -164,14 +167,14 @@ def pack(sequences: DataFrame, lengths: tuple[int, ...] = LENGTHS, overhead: flo
         for row, (b, offset) in zip(pieces, place):
             for column, x in zip(out, (*row, (shard << 32) + b, capacity[b], offset)):
                 column.append(x)
+        for column, x in zip(out, (bare, *([v] * len(bare) for v in (0, 0, 0, None, None, None)))):
+            column += x
         names = [f.split()[0] for f in OUTPUT.split(", ")]
         return pa.table({n: pa.array(x, pa.int32() if n == "piece" else pa.int64()) for n, x in zip(names, out)})
 
     known = cluster.by_position(sequences).select(cluster.at(sequences, "doc_id").cast("long").alias("doc_id"), F.coalesce(cluster.at(sequences, "length").cast("long"), F.lit(0)).alias("length"))
-    zero, none = F.lit(0).cast("long"), F.lit(None).cast("long")
-    bare = known.filter("length <= 0").select("doc_id", F.lit(0).alias("piece"), zero.alias("start"), zero.alias("length"), none.alias("bin_id"), none.alias("capacity"), none.alias("offset"))
-    dealt = known.filter("length > 0").withColumn("shard", F.pmod(F.xxhash64("doc_id", "length"), F.lit(shards)))
-    return dealt.groupBy("shard").applyInArrow(run, OUTPUT).unionByName(bare)
+    shard = F.when(F.col("length") > 0, F.pmod(F.xxhash64("doc_id", "length"), F.lit(shards))).otherwise(F.pmod(F.spark_partition_id(), F.lit(shards)))
+    return known.withColumn("shard", shard.cast("long")).groupBy("shard").applyInArrow(run, OUTPUT)
 
 
 def pack_documents(docs: DataFrame, lengths: tuple[int, ...] = LENGTHS, tokenizer: str | None = None, overhead: float = OVERHEAD, span: float = SPAN) -> DataFrame:

@@ -8,9 +8,10 @@ Where a part begins in the whole stream is the prefix sum of the sizes of the pa
 before it; only one count a part reaches the driver. How many parts there are follows
 from the bytes of text, so a part has a bounded size whatever the table's.
 
-Encoding cuts a text at each space before a non-space character. The byte-level
-pre-tokenizer never joins across such a place, so a Python worker has the library encode
-each distinct piece once and the ids of a text are those of its pieces, joined.
+Encoding cuts a text at each space before a non-space character, and pieces of Latin
+letters as the byte-level pre-tokenizer does. It never joins across such a place, so a
+Python worker has the library encode each distinct part once and the ids of a text are
+those of its parts, joined. A tokenizer with another pre-tokenizer encodes whole texts.
 
 Defined cases: a null or empty text has the end id alone; rows without doc_id come
 first, in as many parts as their share of the rows asks for; rows with one doc_id follow
@@ -20,6 +21,7 @@ empty dataset; other columns play no part.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import struct
@@ -31,6 +33,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,33 +43,41 @@ MAGIC = b"LDSTOK1\0"
 _CUT = re.compile(r" (?=[^\s])")
 _ODD = re.compile(r" \s")
 _CACHE = 1_000_000  # pieces kept in a Python worker, about 200 MB
+#: The byte-level pre-tokenizer and its pattern.
+BYTE_LEVEL = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
+_PART = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+_LATIN = re.compile("[\x00-\x1b\x20-\x7e\xa1-\u017f]*")  # where both libraries agree on letters, digits and white space
 PART_BYTES = 32 << 20  # expected text of a part
 
 
-class _Pieces(dict):
-    """Packed ids of the pieces after a space; a missing one is encoded, and kept while there is room."""
+class _Parts(dict):
+    """What the library says of parts of texts, kept while there is room."""
 
-    def __init__(self, encoder: Encoder):
-        self.encoder = encoder
+    def __init__(self, encoder: Encoder, of):
+        self.encoder, self.of = encoder, of
 
-    def __missing__(self, piece: str) -> bytes:
-        ids = self.encoder.whole(" " + piece)
-        if len(self) < _CACHE:
-            self[piece] = ids
-        return ids
+    def __missing__(self, part: str):
+        return self.keep(part, self.of(self.encoder.ids(part)))
+
+    def keep(self, part: str, out):
+        if len(self) < _CACHE and len(part) < 40:
+            self[part] = out
+        return out
 
 
-class _Counts(dict):
-    """How many ids the pieces after a space have."""
+class _Pieces(_Parts):
+    """The same of the pieces after a space: of one part, or joined from that and others."""
 
-    def __init__(self, encoder: Encoder):
-        self.encoder = encoder
+    def __init__(self, encoder: Encoder, of, join):
+        super().__init__(encoder, of)
+        self.join, self.others = join, _Parts(encoder, of)
 
-    def __missing__(self, piece: str) -> int:
-        n = len(self.encoder.ids(" " + piece))
-        if len(self) < _CACHE:
-            self[piece] = n
-        return n
+    def __missing__(self, piece: str):
+        if not piece.isalpha() and _LATIN.fullmatch(piece):
+            first, *rest = _PART.findall(" " + piece)
+            if rest:
+                return self.keep(piece, self.join([self[first[1:]], *map(self.others.__getitem__, rest)]))
+        return self.keep(piece, self.of(self.encoder.ids(" " + piece)))
 
 
 class Encoder:
@@ -80,8 +91,9 @@ class Encoder:
         self.special = [a.content for a in self.library.get_added_tokens_decoder().values()]
         self.width = 2 if self.library.get_vocab_size() <= 1 << 16 else 4
         self.kind = np.dtype("<u2" if self.width == 2 else "<u4")
-        self.known = _Pieces(self)
-        self.sizes = _Counts(self)
+        self.by_parts = json.loads(self.library.to_str()).get("pre_tokenizer") == BYTE_LEVEL
+        self.known = _Pieces(self, self.pack, b"".join)
+        self.sizes = _Pieces(self, len, sum)
 
     def pack(self, ids: list[int]) -> bytes:
         return np.array(ids, self.kind).tobytes()
@@ -94,7 +106,7 @@ class Encoder:
 
     def cut(self, text: str) -> list[str]:
         """What stands before the first cut, and the pieces after each without their space."""
-        if any(s in text for s in self.special):
+        if not self.by_parts or any(s in text for s in self.special):
             return [text]
         return _CUT.split(text) if _ODD.search(text) else text.split(" ")
 
@@ -208,7 +220,7 @@ def write(encoded: DataFrame, folder: str, width: int, parts: int) -> DataFrame:
         if state:
             yield close(state)
 
-    seat = F.element_at(F.array(*map(F.lit, seats)), F.col("part") + 1) if parts <= 256 else F.col("part")  # one part a task
+    seat = F.element_at(F.array(*(F.lit(x).cast("long") for x in seats)), F.col("part") + 1) if parts <= 256 else F.col("part")  # one part a task
     dealt = encoded.repartition(parts, seat).sortWithinPartitions("part", F.asc_nulls_first("doc_id"), "ids")
     rows = sorted(tuple(r) for r in dealt.mapInArrow(run, "part int, name string, n_docs long, n_tokens long").collect())  # one row a part
     out, token, doc = [], 0, 0
