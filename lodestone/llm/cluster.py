@@ -137,6 +137,11 @@ def at(df: DataFrame, name: str) -> Column:
     return F.col(f"c{df.columns.index(name)}")
 
 
+def texts(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """(doc_id long, text string) of a table of documents, whatever its other columns are called."""
+    return by_position(docs).select(at(docs, id_column).cast("long").alias("doc_id"), at(docs, text_column).cast("string").alias("text"))
+
+
 def seats(spark: SparkSession, n: int) -> list[int]:
     """n keys that hash partitioning into n partitions deals to one partition each."""
     rows = spark.range(32 * n + 64).select("id", F.pmod(F.hash("id"), F.lit(n)).alias("p")).groupBy("p").agg(F.min("id").alias("id")).collect()  # n rows

@@ -117,11 +117,6 @@ def pieces_of(n: int, largest: int) -> list[tuple[int, int]]:
     return [(a, min(largest, n - a)) for a in range(0, n, largest)]
 
 
-def _texts(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
-    rows = cluster.by_position(docs)
-    return rows.select(cluster.at(docs, id_column).cast("long").alias("doc_id"), cluster.at(docs, text_column).cast("string").alias("text"))
-
-
 def word_lengths(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(doc_id, length): words of each whole text."""
 
@@ -130,7 +125,7 @@ def word_lengths(docs: DataFrame, id_column: str = "doc_id", text_column: str =
             sizes = [np.diff(w.first) for w in text.blocks(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(sizes) if sizes else [], pa.int64())], ["doc_id", "length"])
 
-    return _texts(docs, id_column, text_column).mapInArrow(run, "doc_id long, length long")
+    return cluster.texts(docs, id_column, text_column).mapInArrow(run, "doc_id long, length long")
 
 
 def token_lengths(docs: DataFrame, tokenizer: str, extra: int = 1, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -144,7 +139,7 @@ def token_lengths(docs: DataFrame, tokenizer: str, extra: int = 1, id_column: st
             sizes = [n + extra for n in encoder.counts(batch.column(1).to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64())], ["doc_id", "length"])
 
-    return _texts(docs, id_column, text_column).mapInArrow(run, "doc_id long, length long")
+    return cluster.texts(docs, id_column, text_column).mapInArrow(run, "doc_id long, length long")
 
 
 def pack(sequences: DataFrame, lengths: tuple[int, ...] = LENGTHS, overhead: float = OVERHEAD, span: float = SPAN, rows: int | None = None) -> DataFrame:

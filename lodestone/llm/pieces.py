@@ -22,7 +22,6 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from . import cluster
 
@@ -136,7 +135,7 @@ class Model:
         self.odd: dict[str, bytes] = {}  # cuts that don't decode to their own text
 
     def normalise(self, text: str) -> tuple[bytes, np.ndarray]:
-        """Normalised bytes and, for each of them and the end, the source byte offset."""
+        """Normalised bytes and, for each of them and the end, the source byte offset; of an empty text, nothing and its end."""
         source = text.encode()
         space = MARK.encode() if self.escape else b" "
         if not self.map.units and not self.squeeze:
@@ -251,10 +250,6 @@ def _encoded(it: Iterator[pa.RecordBatch], model_path: str, add_end: bool) -> It
         yield batch.column(0), out
 
 
-def _texts(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
-    return docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text"))
-
-
 def encode(docs: DataFrame, model_path: str, add_end: bool = False, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(doc_id, ids, spans, decoded) of each whole text.
 
@@ -267,7 +262,7 @@ def encode(docs: DataFrame, model_path: str, add_end: bool = False, id_column: s
         for ids, rows in _encoded(it, model_path, add_end):
             yield pa.RecordBatch.from_arrays([ids, pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1].astype("<i4").tobytes() for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], ["doc_id", "ids", "spans", "decoded"])
 
-    return _texts(docs, id_column, text_column).mapInArrow(run, "doc_id long, ids binary, spans binary, decoded binary")
+    return cluster.texts(docs, id_column, text_column).mapInArrow(run, "doc_id long, ids binary, spans binary, decoded binary")
 
 
 def digests(docs: DataFrame, model_path: str, add_end: bool = False, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -284,4 +279,4 @@ def digests(docs: DataFrame, model_path: str, add_end: bool = False, id_column:
                 ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "span_end"],
             )
 
-    return _texts(docs, id_column, text_column).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, span_end long")
+    return cluster.texts(docs, id_column, text_column).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, span_end long")

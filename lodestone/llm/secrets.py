@@ -278,16 +278,15 @@ def scan(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text")
             spans = [[{"start": a, "end": b, "kind": k} for a, b, k in find(t)] for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(spans, kind)], ["doc_id", "spans"])
 
-    rows = cluster.by_position(docs).select(cluster.at(docs, id_column).cast("long").alias("doc_id"), cluster.at(docs, text_column).cast("string").alias("text"))
-    return rows.mapInArrow(run, f"doc_id long, spans {SPANS}")
+    return cluster.texts(docs, id_column, text_column).mapInArrow(run, f"doc_id long, spans {SPANS}")
 
 
 def redacted(docs: DataFrame, text_column: str = "text", mask: str = "[SECRET]") -> DataFrame:
     """The same rows and columns with each span, overlapping ones merged, replaced by the mask.
 
-    A column that clashes with nothing is needed: only the text column is rewritten.
+    Columns may be called anything: only the text column, found by its place, is rewritten.
     """
-    fields, at = docs.schema, docs.columns.index(text_column)
+    rows, at = cluster.by_position(docs), docs.columns.index(text_column)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in cluster.batches(it, 1000):
@@ -301,4 +300,4 @@ def redacted(docs: DataFrame, text_column: str = "text", mask: str = "[SECRET]")
                 out.append("".join(parts) + text[last:] if last else text)
             yield batch.set_column(at, batch.schema.field(at), pa.array(out, batch.schema.field(at).type))
 
-    return docs.mapInArrow(run, fields)
+    return rows.mapInArrow(run, rows.schema).toDF(*docs.columns)

@@ -160,11 +160,6 @@ def plan_parts(docs: DataFrame, parts: int | None = None) -> Parts:
     return Parts(null, tuple(sorted({int(x) for x in ids.approxQuantile("doc_id", cuts, 0.1 / parts)})) if cuts else ())
 
 
-def documents_of(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    rows = cluster.by_position(docs)
-    return rows.select(cluster.at(docs, id_column).cast("long").alias("doc_id"), cluster.at(docs, text_column).cast("string").alias("text"))
-
-
 def encode(docs: DataFrame, tokenizer: str, end_id: int | None = None, parts: Parts | None = None) -> DataFrame:
     """(part, doc_id, ids): the ids of each whole text as packed little-endian integers; docs: (doc_id, text)."""
     parts = parts or Parts(0, ())
@@ -268,7 +263,7 @@ def read(parts: DataFrame, folder: str) -> DataFrame:
 def token_files(docs: DataFrame, tokenizer: str, end_id: int | None = None, folder: str | None = None, parts: int | None = None, id_column: str = "doc_id", text_column: str = "text") -> tuple[DataFrame, DataFrame, str]:
     """Encode and write a table of documents; returns the parts, the documents read back and the folder."""
     folder = folder or cluster.scratch(docs.sparkSession, "tokens")
-    rows = documents_of(docs, id_column, text_column)
+    rows = cluster.texts(docs, id_column, text_column)
     plan = plan_parts(rows, parts)
     written = write(encode(rows, tokenizer, end_id, plan), folder, encoder_of(tokenizer).width, len(plan))
     return written, read(written, folder), folder

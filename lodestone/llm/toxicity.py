@@ -29,6 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from . import cluster, text
 
@@ -367,16 +368,16 @@ def scores(docs: DataFrame, scorer: Scorer, text_column: str = "text", keep: lis
     """The columns ``keep`` and ``score`` of each row."""
     keep = ["doc_id"] if keep is None else keep
     shared = docs.sparkSession.sparkContext.broadcast(scorer)  # 28 ** 3 counts and FEATURES weights
-    fields = docs.select(*keep).schema
+    rows = cluster.by_position(docs).select(cluster.at(docs, text_column).cast("string").alias("body"), *(cluster.at(docs, k).alias(f"k{i}") for i, k in enumerate(keep)))
+    fields = rows.schema.fields[1:]
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in cluster.batches(it, _BATCH):
             out = [model.score(t) for t in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(out, pa.float64())], [*keep, "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(out, pa.float64())], [*(f.name for f in fields), "score"])
 
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), "score double"])
-    return docs.select(F.col(text_column).cast("string").alias("_body"), *keep).mapInArrow(run, schema)
+    return rows.mapInArrow(run, StructType([*fields, StructField("score", DoubleType())])).toDF(*keep, "score")
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, text_column: str = "text") -> DataFrame:

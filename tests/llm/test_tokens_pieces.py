@@ -140,3 +140,34 @@ def test_parts_of_rows_without_id_and_wide_ids(spark):
     back = tokens.read(tokens.write(wide, folder, 4, 2), folder)
     got = {(r.start, r.doc_id, *np.frombuffer(r.ids, "<u4").tolist()) for r in back.collect()}
     assert got == {(0, None), (0, 5, 70000, 3), (2, 9, 2**31)}
+
+
+def test_columns_that_clash(spark):
+    """Columns of the same name in another case, with dots, or named as ours play no part."""
+    from lodestone.llm import packing, pieces, secrets, tokens, toxicity
+
+    names = ["doc_id", "text", "TEXT", "Doc_Id", "a.b", "ids", "part", "score", "body", "c0"]
+    rows = [(1, "token = abcdefgh12", "x", 5, 1, "y", 2, 0.5, "z", None), (2, None, None, None, None, None, None, None, None, None)]
+    docs = spark.createDataFrame(rows, "a long, b string, c string, d int, e int, f string, g int, h double, i string, j string").toDF(*names)
+    assert {(r.doc_id, len(r.spans)) for r in secrets.scan(docs).collect()} == {(1, 1), (2, 0)}
+    assert [r[1] for r in sorted(secrets.redacted(docs).collect())] == ["[SECRET]", None]
+    assert {r.doc_id for r in pieces.digests(docs, P.path("piece_bpe_32k.model")).collect()} == {1, 2}
+    assert {r.doc_id for r in tokens.token_files(docs, P.path("byte_bpe_50k.json"), parts=2)[1].collect()} == {1, 2}
+    assert {(r.doc_id, r.length) for r in packing.pack_documents(docs).collect()} == {(1, 3), (2, 0)}
+    labels = spark.createDataFrame([], "doc_id long, toxic int")
+    assert toxicity.without_toxic(docs, labels).columns == names
+    scored = toxicity.scores(docs, toxicity.train(docs, labels), keep=["doc_id", "a.b"])
+    assert scored.columns == ["doc_id", "a.b", "score"] and scored.count() == 2
+
+
+def test_no_folder_that_is_not_shared():
+    """On a cluster a folder of one machine is never taken for a shared one."""
+    from types import SimpleNamespace as N
+
+    from lodestone.llm.cluster import shared_folder
+
+    none = N(isDefined=lambda: False)
+    context = N(master="spark://host:7077", _jsc=N(sc=lambda: N(getCheckpointDir=lambda: none)), setCheckpointDir=lambda x: None)
+    with pytest.raises(RuntimeError):
+        shared_folder(N(conf=N(get=lambda *a: None), sparkContext=context))
+    assert shared_folder(N(conf=N(get=lambda *a: "hdfs://x/y"), sparkContext=context)) == "hdfs://x/y"
