@@ -15,7 +15,7 @@ APP = """import React, {
   useMemo as memoize,
 } from 'react';
 import next from 'next';
-import { createClient } from '@supabase/supabase-js';
+import { createClient } from '@scope/client';
 
 export default function Shop({ a, b, c, d, e, f, g, h, i, j, k }: Props) {
   const [v, setV] = useState<number>(1, 2);
@@ -47,7 +47,7 @@ def sources(spark):
 FACTS = [
     ("src/App.tsx", "import", "react", 1, None, "React,useState,memoize", "named"),
     ("src/App.tsx", "import", "next", 5, None, "next", "default"),
-    ("src/App.tsx", "import", "@supabase/supabase-js", 6, None, "createClient", "named"),
+    ("src/App.tsx", "import", "@scope/client", 6, None, "createClient", "named"),
     ("src/App.tsx", "export", "Shop", 8, None, "", "default"),
     ("src/App.tsx", "component", "Shop", 8, "export", "a,b,c,d,e,f,g,h,i,j,k", "function"),
     ("src/App.tsx", "hook", "useState", 9, "Shop", "1,2", ""),
