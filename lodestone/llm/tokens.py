@@ -42,7 +42,7 @@ from . import cluster
 MAGIC = b"LDSTOK1\0"
 _CUT = re.compile(r" (?=[^\s])")
 _ODD = re.compile(r" \s")
-_CACHE = 1_000_000  # pieces kept in a Python worker, about 200 MB
+_CACHE = 1_000_000  # pieces kept in a Python worker, about 200 MB; for their numbers alone fewer
 #: The byte-level pre-tokenizer and its pattern.
 BYTE_LEVEL = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
 _PART = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
@@ -51,26 +51,31 @@ PART_BYTES = 32 << 20  # expected text of a part
 
 
 class _Parts(dict):
-    """What the library says of parts of texts, kept while there is room."""
+    """What the library says of parts of texts, kept while there is room; ``sparing``, from the second time on, as most come up once."""
 
-    def __init__(self, encoder: Encoder, of):
-        self.encoder, self.of = encoder, of
+    def __init__(self, encoder: Encoder, of, most: int, sparing: bool):
+        self.encoder, self.of, self.most = encoder, of, most
+        self.seen = bytearray(1 << 22) if sparing else None
 
     def __missing__(self, part: str):
         return self.keep(part, self.of(self.encoder.ids(part)))
 
     def keep(self, part: str, out):
-        if len(self) < _CACHE and len(part) < 40:
-            self[part] = out
+        if len(self) < self.most and len(part) < 40:
+            at = hash(part) & 0x3FFFFF
+            if self.seen is None or self.seen[at]:
+                self[part] = out
+            else:
+                self.seen[at] = 1
         return out
 
 
 class _Pieces(_Parts):
     """The same of the pieces after a space: of one part, or joined from that and others."""
 
-    def __init__(self, encoder: Encoder, of, join):
-        super().__init__(encoder, of)
-        self.join, self.others = join, _Parts(encoder, of)
+    def __init__(self, encoder: Encoder, of, join, most: int = _CACHE, sparing: bool = False):
+        super().__init__(encoder, of, most, sparing)
+        self.join, self.others = join, _Parts(encoder, of, most, sparing)
 
     def __missing__(self, piece: str):
         if not piece.isalpha() and _LATIN.fullmatch(piece):
@@ -93,7 +98,7 @@ class Encoder:
         self.kind = np.dtype("<u2" if self.width == 2 else "<u4")
         self.by_parts = json.loads(self.library.to_str()).get("pre_tokenizer") == BYTE_LEVEL
         self.known = _Pieces(self, self.pack, b"".join)
-        self.sizes = _Pieces(self, len, sum)
+        self.sizes = _Pieces(self, len, sum, 6 * _CACHE // 10, True)
 
     def pack(self, ids: list[int]) -> bytes:
         return np.array(ids, self.kind).tobytes()

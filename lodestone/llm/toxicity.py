@@ -213,16 +213,21 @@ def beginnings(word: str) -> list[str]:
 
 
 class _Features(dict):
-    """Word count and features of tokens, found once a token while there is room."""
+    """Word count and features of tokens, kept from the second time on while there is room: most come up once."""
 
     def __init__(self, features: dict[str, int], model: CharModel):
         self.features, self.model = features, model
+        self.seen = bytearray(1 << 22)
 
     def __missing__(self, token: str) -> tuple[int, tuple[int, ...]]:
         words, get = restored_words(token, self.model), self.features.get
         out = len(words), tuple([k for w in words for k in map(get, beginnings(w)) if k is not None])
-        if len(self) < 600_000:
-            self[token] = out
+        if len(self) < 300_000:
+            at = hash(token) & 0x3FFFFF
+            if self.seen[at]:
+                self[token] = out
+            else:
+                self.seen[at] = 1
         return out
 
 
