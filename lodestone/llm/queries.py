@@ -165,3 +165,26 @@ k AS (SELECT w.doc_id, t, list_distinct(flatten(list_transform(coalesce(s, []),
 m AS (SELECT doc_id, t, gone, list_transform(list_filter(list_transform(t, lambda x, j: {'x': x, 'j': j}), lambda e: NOT list_contains(gone, e.j)), lambda e: e.x) AS kept FROM k)
 SELECT doc_id, CAST(len(t) AS BIGINT) AS n_words, CAST(len(gone) AS BIGINT) AS n_removed, sha256(array_to_string(kept, ' ')) AS kept_sha256 FROM m
 """
+
+
+@query
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .infill import restored, transform
+
+    rows = transform(table(spark, sf_dir, "documents"))
+    digest = lambda x: F.sha2(x.cast("binary"), 256)
+    sizes = [F.col(f"{c}_units").alias(f"{c}_chars") for c in ("prefix", "middle")]
+    return rows.select("doc_id", "n", "form", *sizes, digest(F.col("output")).alias("output_sha256"), digest(restored(F.col("output"), F.col("form"))).alias("restored_sha256"))
+
+
+ORACLE_SQL["op12_fill_in_middle"] = """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, CAST(length(coalesce(text, '')) AS BIGINT) AS n, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+c AS (SELECT *, CAST('0x' || h[1:8] AS BIGINT) % (n + 1) AS x, CAST('0x' || h[9:16] AS BIGINT) % (n + 1) AS y,
+  CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR CAST('0x' || h[17:24] AS BIGINT) % 100 >= 90 THEN 'plain'
+    WHEN CAST('0x' || h[25:32] AS BIGINT) % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM d),
+p AS (SELECT *, least(x, y) AS a, greatest(x, y) AS b FROM c),
+q AS (SELECT *, substr(t, 1, a) AS pre, substr(t, a + 1, b - a) AS mid, substr(t, b + 1) AS suf FROM p)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256,
+  sha256(t) AS restored_sha256 FROM q
+"""
