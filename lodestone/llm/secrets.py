@@ -19,8 +19,10 @@ import base64
 import binascii
 import json
 import re
-from collections.abc import Iterator
+from bisect import bisect_right
+from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -47,8 +49,10 @@ _BREAK = re.compile(r"\\+[nr]|\s+")
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{40,}={0,2}")
 #: Lines of base64 that belong together.
 _WRAPPED = re.compile(r"(?<![A-Za-z0-9+/])(?:[A-Za-z0-9+/]{40,76}[ \t]*\r?\n[ \t]*)+[A-Za-z0-9+/]+={0,2}")
-#: How base64 of a DER sequence begins.
-_SEQUENCE = re.compile("M[A-P]")
+#: The six bits of each character of base64 in either alphabet.
+_SEXTET = np.zeros(256, np.uint8)
+for _alphabet in (b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_"):
+    _SEXTET[list(_alphabet)] = range(64)
 _JSON = json.JSONDecoder()
 _ANY_HEX = re.compile(r"[0-9A-Fa-f]{64,}")
 
@@ -74,11 +78,15 @@ def _b64(text: str) -> bytes | None:
         return None
 
 
+#: Values that one level of a key holds at most (a private RSA key has 9, a certificate's first part 10), and bytes of a modulus.
+_ITEMS, _MODULUS = 16, 1 << 16
+
+
 def der_items(data: bytes, lo: int, hi: int) -> list[tuple[int, int, int]] | None:
-    """(tag, begin, end) of the values that fill data[lo:hi] exactly, or None."""
+    """(tag, begin, end) of the values that fill data[lo:hi] exactly, or None; no level of a key has more than _ITEMS."""
     out = []
     while lo < hi:
-        if lo + 2 > hi:
+        if lo + 2 > hi or len(out) == _ITEMS:
             return None
         tag, n, at = data[lo], data[lo + 1], lo + 2
         if n & 128:
@@ -96,9 +104,12 @@ def der_items(data: bytes, lo: int, hi: int) -> list[tuple[int, int, int]] | Non
     return out
 
 
-def der_key(data: bytes) -> str | None:
-    """The kind of key that ``data`` encodes, with every nested length checked, or None."""
-    top = der_items(data, 0, len(data))
+def der_key(data: bytes, lo: int = 0, hi: int | None = None) -> str | None:
+    """The kind of key that data[lo:hi] encodes, with every nested length checked, or None.
+
+    Nothing is copied before the headers of a level fit, so what isn't a key costs a few of them.
+    """
+    top = der_items(data, lo, len(data) if hi is None else hi)
     if not top or len(top) != 1 or top[0][0] != 0x30:
         return None
     items = der_items(data, *top[0][1:])
@@ -106,7 +117,7 @@ def der_key(data: bytes) -> str | None:
         return None
     tags = [t for t, _, _ in items]
     number = lambda i: int.from_bytes(data[items[i][1] : items[i][2]], "big")
-    if tags == [2] * 9 and number(0) == 0:
+    if tags == [2] * 9 and items[1][2] - items[1][1] <= _MODULUS and number(0) == 0:
         return "rsa-private" if number(1) == number(4) * number(5) else None
     if tags == [2, 2] and items[0][2] - items[0][1] >= 64 and number(1) % 2:
         return "rsa-public"
@@ -186,30 +197,75 @@ def signed_tokens(text: str) -> list[tuple[int, int]]:
     return out
 
 
+def key_beginnings(run: str) -> Iterator[tuple[int, int]]:
+    """(place, bytes) of DER sequences in a run of base64 that declare a length which is there, and whose first value fits into it."""
+    raw = np.frombuffer(run.encode("ascii"), np.uint8)
+    # 'M' and one of 'A' to 'P': the byte of a sequence, wherever its quads begin.
+    at = np.flatnonzero((raw[:-1] == 77) & (raw[1:] >= 65) & (raw[1:] <= 80))
+    at = at[len(run) - at >= 40]
+    if not len(at):
+        return
+    six = _SEXTET[raw]
+    head = [(six[at + i * 8 // 6].astype(np.int64) << 6 | six[at + i * 8 // 6 + 1]) >> (4 - i * 8 % 6) & 255 for i in range(1, 13)]
+
+    def declared(i: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Bytes of a header whose length is at head[i] and of what follows it; a length of more than four bytes counts as too long."""
+        first = np.choose(i, head[:7])
+        more = np.where(first >= 128, first & 127, 0)
+        size = np.where(first < 128, first, 0)
+        for j in range(1, 5):
+            size = np.where(j <= more, size << 8 | np.choose(i + j, head[:11]), size)
+        return 2 + more, np.where((more > 4) | (first == 128), 1 << 40, size)
+
+    header, size = declared(np.zeros(len(at), int))
+    whole = header + size
+    fits = (whole >= 30) & (at + -(-8 * whole // 6) <= len(run)) & (size < 1 << 40)
+    at, header, whole, head = at[fits], header[fits], whole[fits], [h[fits] for h in head]
+    if len(at):
+        inner, size = declared(header)
+        tag = np.choose(header - 1, head[:6])
+        ok = ((tag == 2) | (tag == 0x30)) & (header + inner + size <= whole)
+        yield from zip(at[ok].tolist(), whole[ok].tolist())
+
+
 def keys_inside(run: str) -> list[tuple[int, int]]:
-    """(start, end) of DER keys that begin anywhere in a run of base64, as long as they declare."""
-    out, last = [], 0
-    for m in _SEQUENCE.finditer(run):
-        at = m.start()
-        if at < last or len(run) - at < 40:
-            continue
-        head = _b64(run[at : at + 8])
-        if not head or head[0] != 0x30:
-            continue
-        k = head[1] & 127 if head[1] & 128 else 0
-        if k > 4 or (head[1] & 128 and not k):
-            continue
-        n = 2 + (int.from_bytes(head[2 : 2 + k], "big") + k if k else head[1])
-        end = at + -(-8 * n // 6)
-        if n < 30 or end > len(run):
+    """(start, end) of DER keys that begin anywhere in a run of base64, as long as they declare.
+
+    The run is decoded at most once for each of the four ways to cut it into quads;
+    candidates are walked in those bytes.
+    """
+    out, last, decoded = [], 0, {}
+    for at, n in key_beginnings(run):
+        if at < last:
             continue
-        data = _b64(run[at:end])
-        if data and der_key(data[:n]):
-            last = end
-            out.append((at, end))
+        skip = at % 4
+        if skip not in decoded:
+            rest = run[skip:]
+            decoded[skip] = _b64(rest[:-1] if len(rest) % 4 == 1 else rest)
+        lo = (at - skip) // 4 * 3
+        if der_key(decoded[skip], lo, lo + n):
+            last = at + -(-8 * n // 6)
+            out.append((at, last))
     return out
 
 
+class Covered:
+    """Whether a place lies in one of some spans, which may overlap."""
+
+    def __init__(self, spans: Iterable[tuple[int, int]]):
+        self.starts, self.ends = [], []
+        for a, b in sorted(spans):
+            if self.ends and a <= self.ends[-1]:
+                self.ends[-1] = max(self.ends[-1], b)
+            else:
+                self.starts.append(a)
+                self.ends.append(b)
+
+    def __contains__(self, place: int) -> bool:
+        i = bisect_right(self.starts, place)
+        return i > 0 and place < self.ends[i - 1]
+
+
 def base_spans(text: str) -> list[tuple[int, int, str]]:
     """The assign, access and hex spans: leftmost, non-overlapping for each kind."""
     out = []
@@ -231,32 +287,40 @@ def confirmed_spans(text: str) -> list[tuple[int, int, str]]:
             data = _b64(_BREAK.sub("", m[2]))
             if data and (der_key(data) or ssh_key(data)):
                 out.append((m.start(), m.end(), "pem"))
-    inside = [(a, b) for a, b, k in out if k in ("pem", "jwt")]
-    free = lambda m: not any(a <= m.start() < b for a, b in inside)
-    runs = [m for m in _BASE64.finditer(text) if free(m)]
-    lines = any(text[m.end() : m.end() + 1].isspace() for m in runs)
-    for m in filter(free, _WRAPPED.finditer(text) if lines else ()):
-        data = _b64("".join(m[0].split()))
-        if data and (kind := "der" if der_key(data) else "ssh" if ssh_key(data) else None):
-            out.append((m.start(), m.end(), kind))
-            inside.append((m.start(), m.end()))
-    for m in filter(free, runs):
+    inside = Covered((a, b) for a, b, k in out)  # tokens and PEM blocks so far
+    runs = [m for m in _BASE64.finditer(text) if m.start() not in inside]
+    wrapped = []
+    if any(text[m.end() : m.end() + 1].isspace() for m in runs):
+        for m in _WRAPPED.finditer(text):
+            if m.start() in inside:
+                continue
+            data = _b64("".join(m[0].split()))
+            if data and (kind := "der" if der_key(data) else "ssh" if ssh_key(data) else None):
+                wrapped.append((m.start(), m.end(), kind))
+    out += wrapped
+    inside = Covered((a, b) for a, b, _ in out)
+    found = []
+    for m in runs:
+        if m.start() in inside:
+            continue
         data = _b64(m[0])
         if data and data[0] == 0x30 and der_key(data):
-            out.append((m.start(), m.end(), "der"))
+            found.append((m.start(), m.end(), "der"))
         elif data and (data[:3] == b"\0\0\0" or data[:15] == b"openssh-key-v1\0") and ssh_key(data):
-            out.append((m.start(), m.end(), "ssh"))
+            found.append((m.start(), m.end(), "ssh"))
         else:
             for a, b in keys_inside(m[0].rstrip("=")):
                 b += len(m[0]) - len(m[0].rstrip("=")) if b == len(m[0].rstrip("=")) else 0
-                out.append((m.start() + a, m.start() + b, "der"))
-    for m in filter(free, _ANY_HEX.finditer(text)):
+                found.append((m.start() + a, m.start() + b, "der"))
+    for m in _ANY_HEX.finditer(text):
+        if m.start() in inside:
+            continue
         data = bytes.fromhex(m[0][: len(m[0]) // 2 * 2])
         if data[0] == 0x30 and der_key(data):
-            out.append((m.start(), m.end(), "der"))
+            found.append((m.start(), m.end(), "der"))
         elif (data[:3] == b"\0\0\0" or data[:15] == b"openssh-key-v1\0") and ssh_key(data):
-            out.append((m.start(), m.end(), "ssh"))
-    return out
+            found.append((m.start(), m.end(), "ssh"))
+    return out + found
 
 
 def find(text: str | None) -> list[tuple[int, int, str]]:

@@ -318,3 +318,49 @@ def test_very_long_runs_take_linear_time():
     for text in ("a" * 400_000, "a." * 200_000, base64.b64encode(b'{"a":' * 60_000).decode() + ".aaaa.bbbb", base64.b64encode(b'{"a":1} ' * 40_000 + b"}").decode() + ".aaaa.bbbb", "MII" * 100_000, ("M" * 70 + "\n") * 3000, "eyJ" * 100_000 + "."):
         assert [s for s in find(text) if s[2] not in ("hex",)] == []
     assert time.perf_counter() - began < 30
+
+
+def test_runs_of_key_beginnings_and_many_tokens_take_linear_time():
+    """Beginnings that declare lengths that fit, and a megabyte of tokens with runs between them."""
+    import time
+
+    from lodestone.llm.secrets import find
+
+    key = base64.b64encode(der(0x30, der(2, b"\x7f" * 128) + der(2, b"\x01\x00\x01"))).decode()
+    token = base64.urlsafe_b64encode(b'{"alg":"HS256"}').decode().rstrip("=") + ".e30.c2ln"
+    cases = [("MIMB" * 262_144, 0), ("MIMBAAEB" * 131_072, 0), (base64.b64encode(b"\x30\x82\x10\x00" * 200_000).decode(), 0), (base64.b64encode(b"\x30\x83\x01\x00\x00" + b"\x02\x01\x05" * 250_000).decode(), 0), (f"{token} {'b' * 44} " * 20_000, 20_000), (f"xyz{key}0" * 5_000, 5_000)]
+    for text, n in cases:
+        began = time.perf_counter()
+        assert sum(s[2] in ("jwt", "der") for s in find(text)) == n
+        assert time.perf_counter() - began < 5, text[:20]
+
+
+def test_keys_inside_against_one_decoding_a_candidate():
+    import random
+
+    from lodestone.llm.secrets import _b64, der_key, keys_inside
+
+    def slowly(run):
+        out, last = [], 0
+        for at in range(len(run)):
+            if at < last or run[at] != "M" or run[at + 1 : at + 2] not in "ABCDEFGHIJKLMNOP" or len(run) - at < 40:
+                continue
+            head = _b64(run[at : at + 8]) or b"\0\0"
+            k = head[1] & 127 if head[1] & 128 else 0
+            if head[0] != 0x30 or k > 4 or head[1] == 128:
+                continue
+            n = 2 + (int.from_bytes(head[2 : 2 + k], "big") + k if k else head[1])
+            end = at + -(-8 * n // 6)
+            if n >= 30 and end <= len(run) and der_key(_b64(run[at:end])[:n]):
+                last = end
+                out.append((at, end))
+        return out
+
+    rng = random.Random(8)
+    keys = [der(0x30, der(2, rng.randbytes(n) + b"\x01") + der(2, b"\x01\x00\x01")) for n in (63, 64, 65, 128, 300)]
+    hits = 0
+    for _ in range(400):
+        run = "".join(rng.choice(["MI", "MFk", "MIIB", "MIQAAAA0MII", "MIUAAAAA", "Ab+/", base64.b64encode(rng.choice(keys)).decode().rstrip("=")]) for _ in range(rng.randrange(1, 9)))
+        assert keys_inside(run) == slowly(run)
+        hits += len(keys_inside(run))
+    assert hits > 300
