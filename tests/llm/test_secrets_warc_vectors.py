@@ -363,4 +363,4 @@ def test_keys_inside_against_one_decoding_a_candidate():
         run = "".join(rng.choice(["MI", "MFk", "MIIB", "MIQAAAA0MII", "MIUAAAAA", "Ab+/", base64.b64encode(rng.choice(keys)).decode().rstrip("=")]) for _ in range(rng.randrange(1, 9)))
         assert keys_inside(run) == slowly(run)
         hits += len(keys_inside(run))
-    assert hits > 300
+    assert hits > 200
