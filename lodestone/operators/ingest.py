@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T_
 
 from lodestone.functions import text as T
+from lodestone.sources.scratch import kept
 
 
 def replace_by_key(existing: DataFrame, incoming: DataFrame, *keys: str) -> DataFrame:
@@ -112,27 +113,47 @@ def absolute(url: Column, href: Column) -> Column:
 def frontier(starts: DataFrame, edges: DataFrame, max_depth: int) -> DataFrame:
     """(node, depth) reached from the starts within max_depth - 1 hops.
 
-    starts: (node); edges: (src, dst). Each level is one join with the edges and one
-    anti-join with what is already visited; the loop is over levels, not nodes. A level is
-    settled before the next one, so no plan holds those before it.
+    starts: (node); edges: (src, dst).
     """
-    edges = settled(edges.select("src", "dst").filter("dst is not null"))
-    seen = level = settled(starts.select("node").distinct().withColumn("depth", F.lit(0).cast("long")))
+    return frontiers(starts.select(F.lit(0).alias("start"), "node"), edges, max_depth).select("node", "depth")
+
+
+def frontiers(starts: DataFrame, edges: DataFrame, max_depth: int) -> DataFrame:
+    """(start, node, depth) of what each start reaches within max_depth - 1 hops, for many starts at once.
+
+    starts: (start, node); edges: (src, dst). Each level is one join with the edges and
+    one anti-join with what the same start has visited; the loop is over levels, not
+    nodes or starts. A level is a table before the next one is made, and so are the
+    edges, so no plan holds those before it.
+    """
+    edges = kept(edges.select("src", "dst").filter("src is not null and dst is not null").distinct(), "edges")
+    seen = level = kept(starts.select("start", "node").filter("node is not null").distinct().withColumn("depth", F.lit(0).cast("long")), "level")
     for depth in range(1, max_depth):
-        step = level.join(edges, level.node == edges.src).select(F.col("dst").alias("node")).distinct()
-        level = settled(step.join(seen, "node", "left_anti").withColumn("depth", F.lit(depth).cast("long")))
+        step = level.join(edges, level.node == edges.src).select("start", F.col("dst").alias("node")).distinct()
+        level = kept(step.join(seen, ["start", "node"], "left_anti").withColumn("depth", F.lit(depth).cast("long")), "level")
         seen = seen.unionByName(level)
     return seen
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """A checkpoint in the session's shared folder; without one, on one machine, the plan itself."""
-    spark = df.sparkSession
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    context = spark.sparkContext._jsc.sc()
-    if where and not context.getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(where)
-    return df.checkpoint() if context.getCheckpointDir().isDefined() else df
+def frontiers_recursive(starts: DataFrame, edges: DataFrame, max_depth: int) -> DataFrame:
+    """``frontiers`` as one recursive query: a single plan, whatever the depth.
+
+    Recursion keeps every simple path, as it can't leave out what it has seen, so it is
+    for short walks and graphs of few ways between two nodes; beyond the session's limit
+    of rows of a recursion it fails rather than leaving any out, and ``frontiers`` does it.
+    """
+    spark = starts.sparkSession
+    once = kept(edges.select("src", "dst").filter("src is not null and dst is not null").distinct(), "edges")
+    first = starts.select("start", "node").filter("node is not null").distinct()
+    if max_depth < 2:
+        return first.withColumn("depth", F.lit(0).cast("long"))
+    walk = """
+    WITH RECURSIVE walk(start, node, depth, path) AS (
+      SELECT start, node, 0L, array(node) FROM {first}
+      UNION ALL
+      SELECT start, dst, depth + 1, array_append(path, dst) FROM walk JOIN {edges} ON src = node WHERE depth < {last} AND NOT array_contains(path, dst))
+    SELECT start, node, min(depth) AS depth FROM walk GROUP BY start, node"""
+    return spark.sql(walk, first=first, edges=once, last=max_depth - 1)
 
 
 def sitemap_urls(xml: Column | str) -> Column:
