@@ -82,16 +82,14 @@ def frontier_bfs_all(spark, d):
     return frontier_bfs(spark, d)
 
 
-SITEMAP = '<?xml version="1.0"?><urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9"><url><loc> https://a.org/x </loc></url><url><loc>https://a.org/y</loc></url></urlset>'
-PLAINMAP = "<urlset><url><loc>https://b.org/1</loc></url></urlset>"
-
-
-@query(f"""
-WITH m AS (SELECT 1 AS id, '{SITEMAP}' AS xml UNION ALL SELECT 2, '{PLAINMAP}')
-SELECT CAST(id AS BIGINT) AS id, trim(unnest(regexp_extract_all(xml, '<loc>([^<]*)</loc>', 1))) AS url FROM m""")
+@query("SELECT page_id AS id, unnest([url, url || '/next']) AS url FROM pages")
 def sitemap_locs(spark, d):
-    maps = spark.createDataFrame([(1, SITEMAP), (2, PLAINMAP)], "id long, xml string")
-    return maps.select("id", F.explode(ingest.sitemap_urls("xml")).alias("url"))
+    """A sitemap of each page, in a namespace or in none, with two addresses."""
+    loc = lambda x: F.concat(F.lit("<url><loc> "), F.replace(x, F.lit("&"), F.lit("&amp;")), F.lit(" </loc></url>"))
+    space = F.when(F.col("page_id") % 2 == 0, " xmlns='http://www.sitemaps.org/schemas/sitemap/0.9'").otherwise("")
+    url = F.col("url")
+    xml = F.concat(F.lit("<urlset"), space, F.lit(">"), loc(url), loc(F.concat(url, F.lit("/next"))), F.lit("</urlset>"))
+    return table(spark, d, "pages").select(F.col("page_id").alias("id"), F.explode(ingest.sitemap_urls(xml)).alias("url"))
 
 
 def chunk_sql(size: int) -> str:

@@ -66,11 +66,12 @@ SITE = [
 ROUTED = [("http://a.org/notes.txt", "text_file"), ("http://a.org/one", "sitemap"), ("http://a.org/two", "sitemap"), ("http://b.org/", "webpage")]
 
 
-@query(f"WITH {X.values('w', 'url, crawl_type', ROUTED)} SELECT url, crawl_type FROM w")
+@query(f"WITH {X.values_over('w', 'p, url, crawl_type', [(0, *r) for r in ROUTED], 'p')} SELECT replace(url, 'http://', 'http://p' || p || '.') AS url, crawl_type FROM w")
 def crawl_routes(spark, d):
     """A text file, a sitemap and a web page are asked for; what links leave a site is not followed, empty pages are not kept."""
-    pages = spark.createDataFrame(SITE, "url string, html string")
-    asked = spark.createDataFrame([("http://a.org/notes.txt",), ("http://a.org/sitemap.xml",), ("http://b.org/",)], "url string")
+    own = lambda c: F.replace(c, F.lit("http://"), F.concat(F.lit("http://p"), "p", F.lit("."))).alias(c)  # noqa: E731  the hosts of each project
+    pages = X.over(spark, d, [(0, *p) for p in SITE], "p long, url string, html string", "p").select(own("url"), own("html"))
+    asked = X.over(spark, d, [(0, u) for u in ("http://a.org/notes.txt", "http://a.org/sitemap.xml", "http://b.org/")], "p long, url string", "p").select(own("url"))
     return ingest.wanted_pages(pages, asked).select("url", "crawl_type")
 
 
@@ -83,10 +84,10 @@ PATHS = [  # path, size, python, typescript, kept by a whole-tree scan
 ]
 
 
-@query(f"WITH {X.values('p', 'path, size, python, typescript, kept', PATHS)} SELECT path, python, typescript, kept FROM p")
+@query(f"WITH {X.values_over('p', 'id, path, size, python, typescript, kept', [(i, *p) for i, p in enumerate(PATHS)], 'id')} SELECT id, path, python, typescript, kept FROM p")
 def source_tree(spark, d):
-    rows = spark.createDataFrame([p[:2] for p in PATHS], "path string, size long")
-    return rows.select("path", S.is_python_source(F.col("path"), F.col("size")).alias("python"), S.is_typescript_source(F.col("path"), F.col("size")).alias("typescript"), S.is_kept_file(F.col("path")).alias("kept"))
+    rows = X.over(spark, d, [(i, *p[:2]) for i, p in enumerate(PATHS)], "id long, path string, size long", "id")
+    return rows.select("id", "path", S.is_python_source(F.col("path"), F.col("size")).alias("python"), S.is_typescript_source(F.col("path"), F.col("size")).alias("typescript"), S.is_kept_file(F.col("path")).alias("kept"))
 
 
 def code_table(spark, d):

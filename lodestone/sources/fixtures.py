@@ -1,8 +1,15 @@
-"""Small source files, catalogs and calls, as rows that both Spark and SQL can be given."""
+"""Source files, catalogs and calls of many projects, as rows that both Spark and SQL can be given.
+
+Every supplier of the given tables is a project: it has each of these rows once, under
+its own paths, schemas or numbers (``tagged`` columns), and source files end in a comment
+with its name. So what queries read grows with the table.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, MapType, StructType
 
 CART = """import { useState, useEffect } from 'react';
 import { formatPrice } from '../../../../lib/money';
@@ -117,8 +124,67 @@ def values(name: str, columns: str, rows: list) -> str:
     return f"{name}({columns}) AS (VALUES {', '.join('(' + ', '.join(map(quoted, r)) + ')' for r in rows)})"
 
 
-def files(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(FILES, "path string, language string, content string")
+def _literal(x: object, kind) -> Column:
+    if x is None:
+        return F.lit(None).cast(kind)
+    if isinstance(kind, ArrayType):
+        return F.array(*(_literal(v, kind.elementType) for v in x)).cast(kind)
+    if isinstance(kind, MapType):
+        return F.create_map(*(c for k, v in x.items() for c in (F.lit(k), F.lit(v)))).cast(kind)
+    return F.lit(x).cast(kind)
+
+
+def over(spark: SparkSession, d: str, rows: list, schema: str, *tagged: str) -> DataFrame:
+    """The rows once for each supplier: its texts in tagged columns begin with s<key>/, its numbers with thousands of the key."""
+    fields = StructType.fromDDL(schema).fields
+    rows = [r if isinstance(r, tuple) else (r,) for r in rows]
+    each = F.array(*(F.struct(*(_literal(x, f.dataType).alias(f.name) for x, f in zip(r, fields))) for r in rows))
+    out = spark.read.parquet(f"{d}/supplier.parquet").select(F.col("s_suppkey").alias("_key"), F.col("s_name").alias("_name"), F.explode(each).alias("_row")).select("_key", "_name", "_row.*")
+    for f in fields:
+        if f.name in tagged:
+            text = f.dataType.simpleString() == "string"
+            tag = F.concat(F.lit("s"), "_key", F.lit("/"), f.name) if text else (F.col(f.name) + 1000 * F.col("_key")).cast(f.dataType)
+            out = out.withColumn(f.name, tag)
+    if "content" in tagged_texts(fields):
+        out = out.withColumn("content", F.concat("content", F.lit("// "), "_name", F.lit("\n")))
+    return out.select(*(f.name for f in fields))
+
+
+def tagged_texts(fields: list) -> list[str]:
+    return [f.name for f in fields if f.name == "content" and f.dataType.simpleString() == "string"]
+
+
+def picked(columns: str, rows: list, *tagged: str) -> str:
+    """The columns of ``over`` in SQL, from rows beside the supplier."""
+    out = []
+    for i, c in enumerate(c.strip() for c in columns.split(",")):
+        value = next((r[i] if isinstance(r, tuple) else r for r in rows if (r[i] if isinstance(r, tuple) else r) is not None), "")
+        if c in tagged:
+            out.append(f"'s' || s_suppkey || '/' || {c}" if isinstance(value, str) else f"{c} + 1000 * s_suppkey")
+        elif c == "content":
+            out.append("content || '// ' || s_name || chr(10)")
+        else:
+            out.append(c)
+    return ", ".join(out)
+
+
+def values_over(name: str, columns: str, rows: list, *tagged: str) -> str:
+    """``over`` for a WITH clause."""
+    rows = [r if isinstance(r, tuple) else (r,) for r in rows]
+    return f"{name}({columns}) AS (SELECT {picked(columns, rows, *tagged)} FROM supplier, (VALUES {', '.join('(' + ', '.join(map(quoted, r)) + ')' for r in rows)}) AS v({columns}))"
+
+
+FILE = "path string, language string, content string"
+
+
+def files(spark: SparkSession, d: str) -> DataFrame:
+    return over(spark, d, FILES, FILE, "path")
+
+
+FILES_SQL = values_over("files", "path, language, content", FILES, "path")
 
 
-FILES_SQL = values("files", "path, language, content", FILES)
+def python_files(spark: SparkSession, d: str) -> DataFrame:
+    """PYTHON, where a comment begins with another character."""
+    rows = over(spark, d, PYTHON, "path string, content string", "path")
+    return rows.withColumn("content", F.regexp_replace("content", "// ([^\n]*)\n$", "# $1\n"))
