@@ -30,12 +30,12 @@ def test_archive_matches_sql(spark):
 
 
 def test_archive_odd_rows(spark):
-    from lodestone.llm.warc import archive
+    from lodestone.llm.warc import archive, read
 
     big = "é" * 60
     rows = [(5, "http://a b/", big, 1), (3, None, big, 2), (9, "u", big, 3), (None, "u", big, 4), (7, "u", None, 5), (8, "u", "", 6), (1, "u", "x" * 99, 7), (2, "u", "x" * 99, 8), (4, "u", "\r\n\r\nWARC/1.1\r\n", 9), (6, "u", "y" * 3_000_000, 10), (11, "filedesc://pages.arc", "<p>", 11), (12, "filedesc://x 0.0.0.0 2 text/plain 9", None, 12)]
-    _, back, _ = archive(spark.createDataFrame(rows, "page_id long, url string, html string, digest int").repartition(3))
-    got = {r.page_id: r for r in back.collect()}
+    files, back, folder = archive(spark.createDataFrame(rows, "page_id long, url string, html string, digest int").repartition(3))
+    got = {r.page_id: r for r in back.join(read(files, folder).select("record_id", "payload"), "record_id").collect()}
     assert len(got) == len(rows)
     for page, _, html, _ in rows:
         raw = (html or "").encode()
@@ -61,19 +61,49 @@ def test_archive_files(spark):
         with store.open_input_stream(f.path, compression=None) as raw, gzip.open(raw) as g:
             records = list(read_warc(g))
         assert f.n_records == sum(r.headers["WARC-Type"] != "warcinfo" for r in records) and records[0].headers["WARC-Type"] == "warcinfo"
-        assert records[0].headers["WARC-Filename"] == f.path.rsplit("/", 1)[1]
+        assert records[0].headers["WARC-Filename"].startswith(f.path.rsplit("/", 1)[1].removesuffix(".warc.gz"))
+        by_id = {r.headers["WARC-Record-ID"]: r for r in records}
+        assert len(by_id) == len(records) and not any(k.startswith("X-") for r in records for k in r.headers)
         for r in records:
             h = r.headers
             kinds.append(h["WARC-Type"])
+            page = int(h["WARC-Target-URI"].rsplit("/", 1)[1]) if "WARC-Target-URI" in h else None
             if h["WARC-Type"] == "response":
-                assert h["Content-Type"] == "application/http;msgtype=response" and r.block.startswith(b"HTTP/1.1 200") and r.block.endswith(r.payload) and r.payload.decode() == rows[int(h["X-Key"])][2]
+                assert h["Content-Type"] == "application/http;msgtype=response" and r.block.startswith(b"HTTP/1.1 200") and r.block.endswith(r.payload) and r.payload.decode() == rows[page][2]
             elif h["WARC-Type"] == "revisit":
-                first = int(h["X-Key"]) % 6
-                assert h["WARC-Refers-To"] == record_id(str(first)) and h["WARC-Refers-To-Target-URI"] == f"http://h/{first}" and h["WARC-Refers-To-Date"] == "2024-01-01T00:00:00Z"
-                assert r.payload == b"" and r.block.startswith(b"HTTP/1.1")
+                first = by_id[h["WARC-Refers-To"]]
+                assert first.headers["WARC-Target-URI"] == h["WARC-Refers-To-Target-URI"] == f"http://h/{page % 6}" and h["WARC-Refers-To-Date"] == first.headers["WARC-Date"] == "2024-01-01T00:00:00Z"
+                assert r.payload == b"" and r.block.startswith(b"HTTP/1.1") and first.payload_digest == r.payload_digest
     assert kinds.count("response") == 6 and kinds.count("revisit") == 34 and kinds.count("warcinfo") >= 2
 
 
+def test_identifiers_and_dates_of_shared_pages(spark):
+    """Rows of one page id, rows without id and equal rows have records of their own; a revisit has the date of what it refers to."""
+    from lodestone.llm.warc import archive
+
+    big = "z" * 300
+    rows = [(5, "http://a/", big, "20230405060708"), (5, "http://b/", big, "20240101000000"), (5, "http://c/", "other" * 50, "20240101000000"), (7, "http://d/", big, "20250102030405"), (None, "http://e/", big, None), (None, "http://e/", "q" * 200, None), (None, "http://e/", "q" * 200, None), (5, "http://a/", big, "20230405060708"), (9, "http://d/", "short", "20250102030405"), (9, "http://d/", "short", "20250102030405")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, seen string")
+    files, records, folder = archive(df.coalesce(1), date_column="seen")
+    got = records.collect()
+    assert len(got) == len(rows) == len({r.record_id for r in got})
+    assert sorted((r.page_id or 0, r.url, r.payload_bytes, r.record_type, r.refers_to or 0) for r in got) == sorted((k or 0, u, len(h), "revisit" if h == big and k != 5 else "response", 5 if h == big and k != 5 else 0) for k, u, h, _ in rows)
+    import gzip
+
+    from lodestone.llm import cluster
+    from lodestone.llm.warc import read_warc
+
+    store, _ = cluster.open_folder(folder)
+    dates = set()
+    for f in files.collect():
+        with store.open_input_stream(f.path, compression=None) as raw, gzip.open(raw) as g:
+            dates |= {(r.headers["WARC-Target-URI"], r.headers["WARC-Date"], r.headers["WARC-Refers-To-Target-URI"], r.headers["WARC-Refers-To-Date"]) for r in read_warc(g) if r.headers["WARC-Type"] == "revisit"}
+    assert dates == {("http://d/", "2025-01-02T03:04:05Z", "http://a/", "2023-04-05T06:07:08Z"), ("http://e/", "2024-01-01T00:00:00Z", "http://a/", "2023-04-05T06:07:08Z")}
+    _, other, _ = archive(df.coalesce(1), date_column="seen")
+    # Another archive's records are others, but for those that are known by page, address, date and digest.
+    assert len({r.record_id for r in other.collect()} & {r.record_id for r in got}) == 1
+
+
 @pytest.mark.parametrize("version", [1, 2])
 def test_arc_is_parsed_by_declared_lengths(version):
     from lodestone.llm.warc import arc_of, convert, read_arc, read_warc
