@@ -99,10 +99,10 @@ def test_frontier_stops_at_depth(spark):
 
 
 def test_rules_give_lines_and_snippets(spark):
-    got = {(r.rule, r.line): r.snippet for r in rules.scan(X.files(spark).filter("path = 'src/legacy.js'")).collect()}
+    got = {(r.rule, r.line): r.snippet for r in rules.scan(spark.createDataFrame(X.FILES, X.FILE).filter("path = 'src/legacy.js'")).collect()}
     assert got["eval_usage", 1].startswith("// eval") and ("eval_usage", 6) in got and got["document_write", 5] == 'document.write("<p>");'
     assert ("event_listener_leak", 8) in got
-    assert {r.message for r in rules.unused_variables(X.files(spark)).collect()} >= {"unusedThing"}
+    assert {r.message for r in rules.unused_variables(spark.createDataFrame(X.FILES, X.FILE)).collect()} >= {"unusedThing"}
 
 
 def test_parameter_checks(spark):
@@ -195,7 +195,7 @@ def test_streaming_ingest_replaces_by_url(spark, tmp_path):
 
 
 def test_signature_facts(spark):
-    lines = signatures.source_lines(X.files(spark))
+    lines = signatures.source_lines(spark.createDataFrame(X.FILES, X.FILE))
     names = {(r.kind, r.name) for r in signatures.definitions(lines).collect()}
     assert {("interface", "Empty"), ("interface", "LineProps"), ("type", "Discount"), ("function", "subtotal"), ("component", "Cart")} <= names
     assert signatures.component_issues(spark.createDataFrame([("p", "cart", "class", 11, 1, False), ("p", "Cart", "class", 1, 0, False)], "path string, name string, type string, n_props int, n_hooks int, exported boolean")).count() == 4
