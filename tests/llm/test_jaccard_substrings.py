@@ -297,3 +297,23 @@ def test_queries_match_sql(spark, name):
     got = QUERIES[name](spark, SF)
     assert sorted(got.columns) == columns
     assert sorted(tuple(r) for r in got.select(columns).collect()) == sorted(tuple(r[i] for i in place) for r in want.fetchall())
+
+
+def test_bands_miss_no_pair_near_the_threshold(spark):
+    """At 4/5, 600 pairs of similarity 0.815, each of texts of their own: bands find what the exact way finds, which is all."""
+    import random
+
+    from lodestone.llm import jaccard
+
+    rng = random.Random(21)
+    rows = []
+    for i in range(600):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(200)]
+        other = list(words)
+        for at in (20, 70, 120, 170):
+            other[at] = f"x{rng.randrange(10**6)}"
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(other))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    for exact in (False, True):
+        got = {r.doc_id: r.component_id for r in jaccard.similar(docs, 5, 4, 5, exact=exact).collect()}
+        assert got == {d: d - d % 2 for d in got} and len(got) == 1200
