@@ -24,12 +24,6 @@ def strip(x: Column | str) -> Column:
     return F.regexp_replace(col(x), r"(?U)^\s+|\s+$", "")
 
 
-def rfind(x: Column, needle: str) -> Column:
-    """0-based offset of the last occurrence, -1 if there is none."""
-    at = F.locate(needle[::-1], F.reverse(x))
-    return F.when(at == 0, F.lit(-1)).otherwise(F.length(x) - at - len(needle) + 1)
-
-
 def source_id(url: Column | str) -> Column:
     """Authority (user and port included) of a URL, else its path."""
     u = col(url)
@@ -55,42 +49,6 @@ def crawl_route(url: Column | str) -> Column:
     return F.when(is_txt(url), "text_file").when(is_sitemap(url), "sitemap").otherwise("webpage")
 
 
-def chunks(text: Column | str, size: int = 5000) -> Column:
-    """Boundary-aware chunks: array of stripped strings.
-
-    A cut prefers the last fence, else the last blank line, else the last sentence end
-    of the window, where it lies beyond 30 % of it. A window with a blank line is never
-    cut at a sentence. Null and empty texts have no chunks; a remainder that strips to
-    nothing is kept as an empty chunk.
-    """
-    t = col(text)
-    least = 0.3 * size
-
-    def step(acc: Column, _: Column) -> Column:
-        start = acc["start"]
-        window = F.substring(t, start + 1, size)
-        fence, blank, stop = rfind(window, FENCE), rfind(window, "\n\n"), rfind(window, ". ")
-        cut = (
-            F.when(fence > least, fence)
-            .when(blank >= 0, F.when(blank > least, blank).otherwise(size))
-            .when(stop > least, stop + 1)
-            .otherwise(size)
-        )
-        last = start + size >= F.length(t)
-        piece = strip(window)
-        short = strip(F.substring(t, start + 1, cut))
-        return (
-            F.when(start < 0, acc)
-            .when(last, F.struct(F.lit(-1).alias("start"), F.concat(acc["out"], F.array(piece)).alias("out")))
-            .otherwise(F.struct((start + cut).cast("int").alias("start"), F.when(short != "", F.concat(acc["out"], F.array(short))).otherwise(acc["out"]).alias("out")))
-        )
-
-    steps = F.sequence(F.lit(1), F.ceil(F.length(t) / least).cast("int") + 1)
-    zero = F.struct(F.lit(0).alias("start"), F.array().cast("array<string>").alias("out"))
-    folded = F.aggregate(steps, zero, step, lambda acc: acc["out"])
-    return F.when(F.length(t) > 0, folded).otherwise(F.array().cast("array<string>"))
-
-
 def section_headers(chunk: Column | str) -> Column:
     """Markdown headers of a chunk, as "## Title" joined by "; "."""
     c = col(chunk)

@@ -3,8 +3,8 @@
 Rows of tf * idf weights, of unit length, are a sparse matrix A of texts and words. Its
 k leading factors are found by block power iteration: the products A V and A' U are one
 join and one aggregation each, with the k components as columns, so they stay in
-generated code; between them the block is made orthonormal by the inverse of a k by k
-triangle, which with the k by k products is all that the driver ever holds. The start is
+generated code; between them the block is made orthonormal by a k by k matrix, which with
+the k by k products is all that the driver ever holds. The start is
 a hash of each word, so a fit is reproduced exactly in law and up to rounding in numbers.
 
 A text's embedding is its row times the factors, of unit length; new texts are embedded
@@ -13,9 +13,11 @@ by the words that the fit knows.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -62,20 +64,31 @@ def _times(matrix: DataFrame, block: DataFrame, on: str, by: str, k: int) -> Dat
 
 
 def _gram(block: DataFrame, k: int) -> np.ndarray:
-    """The k by k products of a block's columns."""
-    pairs = [(i, j) for i in range(k) for j in range(i, k)]
-    row = block.agg(*(F.sum(F.col(f"v{i}") * F.col(f"v{j}")).alias(f"g{i}_{j}") for i, j in pairs)).first()
-    out = np.zeros((k, k))
-    for i, j in pairs:
-        out[i, j] = out[j, i] = row[f"g{i}_{j}"] or 0.0
-    return out
+    """The k by k products of a block's columns: a task's rows are multiplied at once, and the products added up."""
+
+    def products(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((k, k))
+        for batch in it:
+            x = np.stack([batch.column(i).to_numpy() for i in range(k)], 1)
+            total += x.T @ x
+        yield pa.RecordBatch.from_pydict({"at": pa.array(range(k * k), pa.int32()), "x": total.ravel()})
+
+    out = np.zeros(k * k)
+    for r in block.select(*(f"v{i}" for i in range(k))).mapInArrow(products, "at int, x double").groupBy("at").agg(F.sum("x").alias("x")).collect():  # k * k rows
+        out[r["at"]] = r["x"]
+    return out.reshape(k, k)
 
 
 def _mixed(block: DataFrame, key: str, by: np.ndarray) -> DataFrame:
-    """The block times a small matrix."""
+    """The block times a small matrix, batch by batch."""
     k, m = by.shape
-    column = lambda j: sum((F.col(f"v{i}") * float(by[i, j]) for i in range(k) if by[i, j]), F.lit(0.0))
-    return block.select(key, *(column(j).alias(f"v{j}") for j in range(m)))
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            x = np.stack([batch.column(1 + i).to_numpy() for i in range(k)], 1) @ by
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x[:, j]) for j in range(m))], [key, *(f"v{j}" for j in range(m))])
+
+    return block.select(key, *(f"v{i}" for i in range(k))).mapInArrow(run, f"{key} long, " + ", ".join(f"v{j} double" for j in range(m)))
 
 
 def fit(rows: DataFrame, text: str, k: int = 16, rounds: int = 6, id_column: str = "id", least_rows: int = 2) -> Latent:

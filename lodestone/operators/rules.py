@@ -112,7 +112,7 @@ def _findings(rows: DataFrame, rule: str, kind: str, severity: str, confidence:
 
 
 def _at(files: DataFrame, pattern: str, flags: str = "") -> DataFrame:
-    return files.select("path", "content", F.explode(occurrences("content", pattern, flags)).alias("o")).select("path", "content", "o.*")
+    return files.select("path", F.explode(occurrences("content", pattern, flags)).alias("o")).select("path", "o.*")
 
 
 def _group(pattern: str, i: int) -> Column:
@@ -128,12 +128,16 @@ def this_in_functional_component(files: DataFrame) -> DataFrame:
 
 
 def complex_state_mutation(files: DataFrame) -> DataFrame:
-    """Assignments to members of what looks like component state in the same file."""
-    pattern = r"(\w+)\.([\w\[\]\.]+)\s*=\s*[^=]"
-    rows = _at(files, pattern).withColumn("v", _group(pattern, 1))
-    forms = [F.concat("v", F.lit(r"\s*=\s*useState\(")), F.concat(F.lit(r"const\s+\["), "v", F.lit(",")), F.concat(F.lit(r"this\.state\."), "v"), F.concat("v", F.lit(r"\s*=\s*this\.state"))]
-    state = reduce(lambda a, b: a | b, [F.regexp_like("content", f) for f in forms])
-    return _findings(rows.filter(state), "complex_state_mutation", "ANTI_PATTERN", "HIGH", 0.7, F.concat(F.lit("mutates "), "v"), F.col("line"))
+    """Assignments to members of what looks like component state in the same file, judged before they become rows of their own."""
+    pattern = r"(\w+)\.([\w\[\]\.]+)\s*=\s*[^=]"  # fixed value, as are the forms of state below
+
+    def is_state(v: Column) -> Column:
+        forms = [F.concat(v, F.lit(r"\s*=\s*useState\(")), F.concat(F.lit(r"const\s+\["), v, F.lit(",")), F.concat(F.lit(r"this\.state\."), v), F.concat(v, F.lit(r"\s*=\s*this\.state"))]
+        return reduce(lambda a, b: a | b, [F.regexp_like("content", f) for f in forms])
+
+    found = F.transform(occurrences("content", pattern, ""), lambda o: F.struct(o["line"].alias("line"), F.regexp_extract(o["match"], pattern, 1).alias("v")))
+    rows = files.select("path", "content", found.alias("found")).select("path", F.explode(F.filter("found", lambda o: is_state(o["v"]))).alias("o"))
+    return _findings(rows, "complex_state_mutation", "ANTI_PATTERN", "HIGH", 0.7, F.concat(F.lit("mutates "), "o.v"), F.col("o.line"))
 
 
 def missing_effect_dependencies(files: DataFrame) -> DataFrame:
@@ -154,11 +158,12 @@ def prop_drilling(files: DataFrame, least: int = 4) -> DataFrame:
 
 
 def unused_variables(files: DataFrame) -> DataFrame:
-    """Declared names that occur nowhere else in the file; names in _ are meant to be unused."""
-    pattern = r"(?:const|let|var)\s+(\w+)"
-    rows = _at(files, pattern).withColumn("name", _group(pattern, 1)).groupBy("path", "name").agg(F.max("line").alias("line"), F.first("content").alias("content"))
-    once = F.regexp_count("content", F.concat(F.lit(r"\b"), "name", F.lit(r"\b"))) == 1
-    return _findings(rows.filter(~F.col("name").startswith("_") & once), "unused_variable", "IMPORT_INCONSISTENCY", "LOW", 0.8, F.col("name"), F.col("line"))
+    """Declared names that occur nowhere else in the file; names in _ are meant to be unused. A name that occurs once is declared once, so no rows meet."""
+    pattern = r"(?:const|let|var)\s+(\w+)"  # fixed value
+    found = F.transform(occurrences("content", pattern, ""), lambda o: F.struct(o["line"].alias("line"), F.regexp_extract(o["match"], pattern, 1).alias("name")))
+    once = lambda o: ~o["name"].startswith("_") & (F.regexp_count("content", F.concat(F.lit(r"\b"), o["name"], F.lit(r"\b"))) == 1)
+    rows = files.select("path", "content", found.alias("found")).select("path", F.explode(F.filter("found", once)).alias("o"))
+    return _findings(rows, "unused_variable", "IMPORT_INCONSISTENCY", "LOW", 0.8, F.col("o.name"), F.col("o.line"))
 
 
 def cyclic_dependencies(files: DataFrame, most: int = 5) -> DataFrame:
