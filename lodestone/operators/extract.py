@@ -208,3 +208,34 @@ def table_uses(files: DataFrame) -> DataFrame:
     """(path, line, name): tables named in ``.from('name')``."""
     lines = source_lines(files)
     return lines.select("path", "line", F.explode(F.regexp_extract_all("text", F.lit(r"\.from\(\s*['\"](\w+)['\"]"), F.lit(1))).alias("name"))
+
+
+#: An interface or an alias of an object type, with what it extends and its body (no braces inside).
+_DECLARED = r"(?s)(?:export\s+)?(?:interface\s+(\w+)[^{=]*?(?:extends\s+([\w\s,.<>]+?))?\s*\{([^{}]*)\}|type\s+(\w+)[^=;{}]*=\s*\{([^{}]*)\})"
+_ALIAS = r"(?m)^\s*(?:export\s+)?type\s+(\w+)[^=;{}\n]*=\s*([^{};\n]+);?\s*$"
+_PROPERTY = r"(?m)(?:^|[;,])\s*(?:readonly\s+)?(\w+)(\??)\s*:\s*([^;,\n]+)"
+
+
+def declared_types(files: DataFrame) -> DataFrame:
+    """(path, label, name, extends, definition, properties): a node for each interface and type alias of (path, content) files.
+
+    properties: array of (name, type, optional) of object types, in order; of other
+    aliases, ``definition`` is what they stand for.
+    """
+    every = lambda p, i, c="content": F.regexp_extract_all(c, F.lit(p), F.lit(i))
+    props = F.zip_with(F.arrays_zip(every(_PROPERTY, 1, "body").alias("n"), every(_PROPERTY, 2, "body").alias("q")), every(_PROPERTY, 3, "body"), lambda a, t: F.struct(a["n"].alias("name"), F.trim(t).alias("type"), (a["q"] == "?").alias("optional")))
+    shapes = F.arrays_zip(every(_DECLARED, 1).alias("interface"), every(_DECLARED, 2).alias("extends"), every(_DECLARED, 3).alias("inside"), every(_DECLARED, 4).alias("alias"), every(_DECLARED, 5).alias("members"))
+    one = files.select("path", F.explode(shapes).alias("d")).select("path", F.when(F.col("d.interface") != "", "interface").otherwise("type").alias("label"), F.concat("d.interface", "d.alias").alias("name"), F.nullif(F.trim("d.extends"), F.lit("")).alias("extends"), F.concat("d.inside", "d.members").alias("body"))
+    one = one.select("path", "label", "name", "extends", F.lit(None).cast("string").alias("definition"), props.alias("properties"))
+    aliases = files.select("path", F.explode(F.arrays_zip(every(_ALIAS, 1).alias("name"), every(_ALIAS, 2).alias("is"))).alias("d"))
+    two = aliases.select("path", F.lit("type").alias("label"), "d.name", F.lit(None).cast("string").alias("extends"), F.trim("d.is").alias("definition"), F.array().cast(one.schema["properties"].dataType).alias("properties"))
+    return one.unionByName(two)
+
+
+def type_edges(types: DataFrame) -> DataFrame:
+    """(src, dst, kind): files define types, types have properties, interfaces extend others."""
+    node = F.concat_ws("::", "path", "name")
+    out = types.select(F.col("path").alias("src"), node.alias("dst"), F.when(F.col("label") == "interface", "DEFINES_INTERFACE").otherwise("DEFINES_TYPE").alias("kind"))
+    out = out.unionByName(types.select(node.alias("src"), F.explode("properties.name").alias("p")).select("src", F.concat_ws("::", "src", "p").alias("dst"), F.lit("HAS_PROPERTY").alias("kind")))
+    bases = types.filter("extends is not null").select(node.alias("src"), "path", F.explode(F.split("extends", r"\s*,\s*")).alias("base"))
+    return out.unionByName(bases.select("src", F.concat_ws("::", "path", F.regexp_replace("base", "<.*$", "")).alias("dst"), F.lit("EXTENDS").alias("kind"))).distinct()

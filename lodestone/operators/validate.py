@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lodestone.functions.text import language_of
 from lodestone.operators import extract, graph, ingest, report, rules, signatures, tsx
@@ -119,6 +120,43 @@ def analyze_repository(spark: SparkSession, root: str, repo: str) -> graph.CodeG
     return graph.CodeGraph(repository=one.t["repository"], hook=two.t["hook"], component=two.t["component"], **both)
 
 
+def store_repository(known: graph.CodeGraph, repo: str, target: str) -> None:
+    """Clear a repository in the tables under ``target``, then store it anew; other repositories are not touched.
+
+    Each node table is cut by repository, so clearing is removing a folder and storing is
+    adding one. Tables of a run that stops between the two lack the repository until it is
+    repeated, which gives the same tables.
+    """
+    spark = known.t["repository"].sparkSession
+    # Paths begin with the repository, so that those of two repositories differ.
+    own = lambda df: df.withColumn("path", F.concat(F.lit(f"{repo}/"), "path")) if "path" in df.columns else df
+    made = {label: own(df.drop("repo")).withColumn("repo", F.lit(repo)) for label, df in known.t.items()}
+    for label, df in made.items():
+        folder = spark._jvm.org.apache.hadoop.fs.Path(f"{target}/{label}")
+        store = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+        old = spark._jvm.org.apache.hadoop.fs.Path(folder, "repo=" + spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName(repo))
+        store.delete(old, True)
+        df.write.mode("append").partitionBy("repo").parquet(f"{target}/{label}")
+
+
+def stored_graph(like: graph.CodeGraph, target: str) -> graph.CodeGraph:
+    """The graph of all repositories stored under ``target``; like: any graph of the same kinds of tables."""
+    spark = like.t["repository"].sparkSession
+    tables = {}
+    for label, df in like.t.items():
+        schema = T.StructType([*(f for f in df.schema.fields if f.name != "repo"), T.StructField("repo", T.StringType())])
+        rows = spark.read.schema(schema).parquet(f"{target}/{label}")
+        tables[label] = rows if label == "file" else rows.drop("repo")
+    return graph.CodeGraph(**tables)
+
+
+def refresh_repository(spark: SparkSession, root: str, repo: str, target: str) -> DataFrame:
+    """Clear, collect and store a source tree as one call; returns the statistics of what is stored of it."""
+    known = analyze_repository(spark, root, repo)
+    store_repository(known, repo, target)
+    return repository_stats(stored_graph(known, target), repo)
+
+
 def component_edges(facts: DataFrame) -> DataFrame:
     """(src, dst, kind) below files: what each defines, the props of a component and the hooks it uses."""
     node = F.concat_ws("::", "path", "name")

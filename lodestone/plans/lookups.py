@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
-from lodestone.operators import graph, rules
+from lodestone.operators import extract, graph, rules
 from lodestone.plans.registry import query, table
 
 
@@ -97,3 +97,24 @@ def missing_memo_components(spark, d):
     content = F.when(F.col("p_size") % 3 == 0, F.concat(head, F.lit("export default memo(Part);\n"))).otherwise(head)
     files = table(spark, d, "part").select(F.concat(F.lit("p"), "p_partkey", F.lit(".tsx")).alias("path"), content.alias("content"))
     return rules.missing_memo(files).select("path", F.col("message").alias("name"))
+
+
+SHAPE = """'export interface Part' || p_partkey || ' extends Base, Sized<' || p_brand || '> {' || chr(10) || '  name: string;' || chr(10) || '  size' || CASE WHEN p_size % 2 = 0 THEN '?' ELSE '' END || ': number;' || chr(10) || '  readonly tags: string[]' || chr(10) || '}' || chr(10) || 'type Kind = ' || p_type || ' | null;' || chr(10) || 'type Box = { w: number, h?: number }' || chr(10)"""
+
+
+@query("""
+SELECT 'p' || p_partkey || '.ts' AS path, label, name, extends, definition, properties FROM part, (VALUES ('interface', 1), ('type', 2), ('type', 3)) v(label, i),
+  LATERAL (SELECT CASE i WHEN 1 THEN 'Part' || p_partkey WHEN 2 THEN 'Box' ELSE 'Kind' END AS name, CASE i WHEN 1 THEN 'Base, Sized<' || replace(p_brand, '#', '') || '>' END AS extends, CASE i WHEN 3 THEN p_type || ' | null' END AS definition,
+  CASE i WHEN 1 THEN 'name:string size' || CASE WHEN p_size % 2 = 0 THEN '?' ELSE '' END || ':number tags:string[]' WHEN 2 THEN 'w:number h?:number' ELSE '' END AS properties) x""")
+def declared_type_nodes(spark, d):
+    """Interfaces, object types and aliases of a source file for each part."""
+    files = table(spark, d, "part").withColumn("p_brand", F.replace("p_brand", F.lit("#"), F.lit(""))).select(F.expr("'p' || p_partkey || '.ts'").alias("path"), F.expr(SHAPE).alias("content"))
+    shown = F.transform("properties", lambda p: F.concat(p["name"], F.when(p["optional"], "?").otherwise(""), F.lit(":"), p["type"]))
+    return extract.declared_types(files).select("path", "label", "name", "extends", "definition", F.array_join(shown, " ").alias("properties"))
+
+
+@query("""
+SELECT kind, count(*) AS n FROM part, (SELECT unnest(['DEFINES_INTERFACE', 'DEFINES_TYPE', 'DEFINES_TYPE', 'HAS_PROPERTY', 'HAS_PROPERTY', 'HAS_PROPERTY', 'HAS_PROPERTY', 'HAS_PROPERTY', 'EXTENDS', 'EXTENDS']) AS kind) k GROUP BY kind""")
+def declared_type_edges(spark, d):
+    files = table(spark, d, "part").withColumn("p_brand", F.replace("p_brand", F.lit("#"), F.lit(""))).select(F.expr("'p' || p_partkey || '.ts'").alias("path"), F.expr(SHAPE).alias("content"))
+    return extract.type_edges(extract.declared_types(files)).groupBy("kind").agg(F.count("*").alias("n"))

@@ -5,7 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
-from lodestone.operators import extract, graph, ingest, params, report, retrieve, rules, signatures
+from lodestone.operators import extract, graph, ingest, params, report, retrieve, rules, signatures, validate
 from lodestone.sources import files as S
 from lodestone.sources import fixtures as X
 
@@ -269,3 +269,32 @@ def test_repository_of_two_languages(spark, tmp_path):
     assert {(r.path, r.module_name) for r in g.t["file"].collect()} == {("src/shop/__init__.py", "shop"), ("src/shop/cart.py", "shop.cart"), ("src/App.tsx", "src/App")}
     assert [r.full_name for r in g.command("classes r").collect()] == ["r.shop.cart.Cart"] and [r.name for r in g.command("component App").collect()] == ["App"]
     assert {r.name for r in g.command("functions r").collect()} == {"go"} and g.command("hook useState").count() == 1
+
+
+def test_repository_is_cleared_collected_and_stored(spark, tmp_path):
+    """One call refreshes one repository; others stay, and what is gone from the tree is gone from the tables."""
+    for repo, name in (("one", "A"), ("two", "B")):
+        (tmp_path / repo / "src").mkdir(parents=True)
+        (tmp_path / repo / "src" / "m.py").write_text(f"class {name}:\n    def go(self):\n        pass\n\n\ndef f():\n    pass\n")
+        (tmp_path / repo / "src" / f"{name}.tsx").write_text(f"export const {name}x = (props) => <p>{{props.t}}</p>;\n")
+    target = f"{tmp_path}/graph"
+    stats = [validate.refresh_repository(spark, f"{tmp_path}/{r}", r, target).first() for r in ("one", "two")]
+    assert [(s.name, s.files, s.classes, s.functions, s.components) for s in stats] == [("one", 2, 1, 1, 1), ("two", 2, 1, 1, 1)]
+    (tmp_path / "one" / "src" / "m.py").write_text("def g():\n    pass\n\n\ndef h():\n    pass\n")
+    for _ in range(2):  # a repeated run gives the same tables
+        again = validate.refresh_repository(spark, f"{tmp_path}/one", "one", target).first()
+        assert (again.files, again.classes, again.functions, again.components) == (2, 0, 2, 1)
+    known = validate.stored_graph(validate.analyze_repository(spark, f"{tmp_path}/one", "one"), target)
+    assert [r.name for r in known.command("repos").collect()] == ["one", "two"]
+    assert [r.name for r in known.t["class"].collect()] == ["B"] and known.t["method"].count() == 1
+
+
+def test_declared_types_and_their_edges(spark):
+    code = "export interface A<T> extends B, C<T> {\n  x: number;\n  readonly y?: Map<string, T>\n  call(): void;\n}\ninterface Empty {}\ntype U = 'a' | 'b';\ntype O = { p: string; q?: number };\nconst z = { not: 1 };\n"
+    types = extract.declared_types(spark.createDataFrame([("t.ts", code), ("none.ts", None)], "path string, content string"))
+    got = {r.name: (r.label, r.extends, r.definition, [tuple(p) for p in r.properties]) for r in types.collect()}
+    assert got["Empty"] == ("interface", None, None, []) and got["U"] == ("type", None, "'a' | 'b'", [])
+    assert got["O"] == ("type", None, None, [("p", "string", False), ("q", "number", True)])
+    assert got["A"][:2] == ("interface", "B, C<T>") and [p[0] for p in got["A"][3]] == ["x", "y"]
+    edges = {(r.src, r.dst, r.kind) for r in extract.type_edges(types).collect()}
+    assert ("t.ts", "t.ts::A", "DEFINES_INTERFACE") in edges and ("t.ts::A", "t.ts::C", "EXTENDS") in edges and ("t.ts::O", "t.ts::O::q", "HAS_PROPERTY") in edges and ("t.ts", "t.ts::U", "DEFINES_TYPE") in edges
