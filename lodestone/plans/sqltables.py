@@ -24,9 +24,9 @@ def code_block_table_function(spark, d):
 
 
 @query("""
-WITH o AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER w + INTERVAL 12 HOUR THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+WITH o AS (SELECT user_id, ts, CASE WHEN ts <= lag(ts) OVER w + INTERVAL 12 HOUR THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
 g AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS run FROM o)
 SELECT user_id AS key, min(ts) AS start, max(ts) + INTERVAL 12 HOUR AS "end", count(*) AS n FROM g GROUP BY user_id, run""")
 def event_sessions(spark, d):
-    """Runs of a user's events with less than twelve hours between them."""
+    """Runs of a user's events with at most twelve hours between them."""
     return sessions(table(spark, d, "events"), "ts", "user_id", "12 hours").select("key", "start", "end", F.col("n"))

@@ -75,6 +75,6 @@ def current(log: DataFrame) -> DataFrame:
 
 
 def sessions(events: DataFrame, time: str, key: str, gap: str = "30 minutes", late: str | None = None) -> DataFrame:
-    """(key, start, end, n) of runs of events with no gap as long as ``gap``; of a stream where ``late`` is given."""
+    """(key, start, end, n) of runs of events with no gap longer than ``gap``; of a stream where ``late`` is given."""
     rows = events if late is None else events.withWatermark(time, late)
     return rows.groupBy(F.col(key).alias("key"), F.session_window(time, gap).alias("w")).agg(F.count("*").alias("n")).select("key", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
