@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone.operators.text_index import literal_parts
+
 # Schemas that hold no user tables.
 SYSTEM_SCHEMAS = ("information_schema", "pg_catalog", "pg_toast")
 TABLE = "schema string, name string, rls_enabled boolean, estimated_rows long"
@@ -69,10 +71,38 @@ def user_schemas(schemas: DataFrame) -> DataFrame:
     return schemas.filter(~F.col("name").isin(*SYSTEM_SCHEMAS)).select("name").distinct().orderBy("name")
 
 
+#: Lengths of the pieces by which names are looked up; a text is looked up by the longest that it has.
+PIECES = (32, 16, 8, 4, 2, 1)
+
+
+def _pieces(x: Column, size: Column) -> Column:
+    """The different texts of so many characters in a text."""
+    return F.when(F.length(x) >= size, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(x) - size + 1), lambda i: F.substring(x, i, size))))
+
+
 def function_parameters(routines: DataFrame, parameters: DataFrame) -> DataFrame:
-    """(function, name, type, position): parameters whose specific name is LIKE %routine% (its _ and % are wild)."""
-    p = parameters.alias("p")
-    return routines.select(F.col("name").alias("function")).join(p, F.expr("p.specific_name LIKE concat('%', function, '%')")).select("function", F.col("p.name").alias("name"), F.col("p.type").alias("type"), F.col("p.position").alias("position"))
+    """(function, name, type, position): parameters whose specific name is LIKE %routine% (its _ and % are wild).
+
+    Of a routine's longest text between wildcards, the piece that the fewest names have is
+    looked up by equality, and what it meets is verified by LIKE. A routine of nothing but
+    wildcards is held against every name.
+    """
+    asked = routines.select(F.col("name").alias("function")).filter("function is not null").distinct()
+    longest = F.array_max(F.transform(literal_parts(F.col("function"), fold=False, least=1), lambda x: F.struct(F.length(x).alias("n"), x.alias("text"))))
+    size = F.coalesce(*(F.when(F.col("longest.n") >= n, n) for n in PIECES))
+    asked = asked.withColumn("longest", longest).withColumn("size", size)
+    sizes = F.broadcast(asked.select("size").filter("size is not null").distinct())  # a row for each of PIECES at most
+    known = parameters.select("specific_name", "name", "type", "position")
+    held = known.join(sizes).select(*known.columns, F.explode(_pieces(F.col("specific_name"), F.col("size"))).alias("piece"))
+    often = held.groupBy("piece").agg(F.count("*").alias("n"))
+    # A piece that no name has: no hits.
+    tried = asked.select("function", F.explode(_pieces(F.col("longest.text"), F.col("size"))).alias("piece")).join(often.hint("merge"), "piece", "left")
+    rarest = tried.groupBy("function").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "piece")).alias("x")).filter("x.n > 0").select("function", F.col("x.piece").alias("piece"))
+    like = F.expr("specific_name LIKE concat('%', function, '%')")
+    # Sizes of what is exploded are estimated far too small to be broadcast.
+    found = held.join(rarest.hint("merge"), "piece").filter(like).drop("piece")
+    found = found.unionByName(known.join(asked.filter("size is null").select("function"), like))
+    return routines.select(F.col("name").alias("function")).join(found.hint("merge"), "function").select("function", "name", "type", "position")
 
 
 def widest_tables(columns: DataFrame, k: int = 10) -> DataFrame:
