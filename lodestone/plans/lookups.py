@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from lodestone.functions import text as T
 from lodestone.operators import extract, graph, rules
 from lodestone.plans.registry import query, table
+from lodestone.sources.fixtures import dealt
 
 
 def code_graph(spark, d) -> graph.CodeGraph:
@@ -95,10 +96,16 @@ def missing_memo_components(spark, d):
     props = F.concat_ws(", ", "p_name", "p_brand", "p_type", F.concat(F.lit("size = "), "p_size"), F.lit("price = 0"), F.lit("stock = 1"), F.lit("seller = 2"))
     head = F.concat(F.lit("const Part"), "p_partkey", F.lit(" = ("), props, F.lit(") => null;\n"))
     content = F.when(F.col("p_size") % 3 == 0, F.concat(head, F.lit("export default memo(Part);\n"))).otherwise(head)
-    files = table(spark, d, "part").select(F.concat(F.lit("p"), "p_partkey", F.lit(".tsx")).alias("path"), content.alias("content"))
+    files = dealt(table(spark, d, "part"), "p_partkey").select(F.concat(F.lit("p"), "p_partkey", F.lit(".tsx")).alias("path"), content.alias("content"))
     return rules.missing_memo(files).select("path", F.col("message").alias("name"))
 
 
+def shapes(spark, d):
+    """A source file for each part; parts are dealt out first, as a small table may be read by one task."""
+    part = dealt(table(spark, d, "part"), "p_partkey").withColumn("p_brand", F.replace("p_brand", F.lit("#"), F.lit("")))
+    return part.select(F.expr("'p' || p_partkey || '.ts'").alias("path"), F.expr(SHAPE).alias("content"))
+
+
 SHAPE = """'export interface Part' || p_partkey || ' extends Base, Sized<' || p_brand || '> {' || chr(10) || '  name: string;' || chr(10) || '  size' || CASE WHEN p_size % 2 = 0 THEN '?' ELSE '' END || ': number;' || chr(10) || '  readonly tags: string[]' || chr(10) || '}' || chr(10) || 'type Kind = ' || p_type || ' | null;' || chr(10) || 'type Box = { w: number, h?: number }' || chr(10)"""
 
 
@@ -108,7 +115,7 @@ SELECT 'p' || p_partkey || '.ts' AS path, label, name, extends, definition, prop
   CASE i WHEN 1 THEN 'name:string size' || CASE WHEN p_size % 2 = 0 THEN '?' ELSE '' END || ':number tags:string[]' WHEN 2 THEN 'w:number h?:number' ELSE '' END AS properties) x""")
 def declared_type_nodes(spark, d):
     """Interfaces, object types and aliases of a source file for each part."""
-    files = table(spark, d, "part").withColumn("p_brand", F.replace("p_brand", F.lit("#"), F.lit(""))).select(F.expr("'p' || p_partkey || '.ts'").alias("path"), F.expr(SHAPE).alias("content"))
+    files = shapes(spark, d)
     shown = F.transform("properties", lambda p: F.concat(p["name"], F.when(p["optional"], "?").otherwise(""), F.lit(":"), p["type"]))
     return extract.declared_types(files).select("path", "label", "name", "extends", "definition", F.array_join(shown, " ").alias("properties"))
 
@@ -116,5 +123,5 @@ def declared_type_nodes(spark, d):
 @query("""
 SELECT kind, count(*) AS n FROM part, (SELECT unnest(['DEFINES_INTERFACE', 'DEFINES_TYPE', 'DEFINES_TYPE', 'HAS_PROPERTY', 'HAS_PROPERTY', 'HAS_PROPERTY', 'HAS_PROPERTY', 'HAS_PROPERTY', 'EXTENDS', 'EXTENDS']) AS kind) k GROUP BY kind""")
 def declared_type_edges(spark, d):
-    files = table(spark, d, "part").withColumn("p_brand", F.replace("p_brand", F.lit("#"), F.lit(""))).select(F.expr("'p' || p_partkey || '.ts'").alias("path"), F.expr(SHAPE).alias("content"))
+    files = shapes(spark, d)
     return extract.type_edges(extract.declared_types(files)).groupBy("kind").agg(F.count("*").alias("n"))
