@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from lodestone.operators import catalog, ingest
+from lodestone.operators import catalog, ingest, text_index
 from lodestone.plans import lookups
 from lodestone.sources import fixtures
 
@@ -39,3 +39,27 @@ def test_files_of_a_small_table_lie_in_many_tasks(spark):
 
 def test_parts_lie_in_many_tasks(spark):
     assert lookups.shapes(spark, SF).rdd.getNumPartitions() == 4
+
+
+def broadcast_columns(df):
+    """The columns of the files below each broadcast of a plan."""
+    found, depth = set(), None
+    for line in df._jdf.queryExecution().executedPlan().toString().splitlines():
+        at = len(line) - len(line.lstrip(" :+-"))
+        depth = at if "BroadcastExchange" in line and depth is None else None if depth is not None and at <= depth else depth
+        if depth is not None and "FileScan" in line:
+            found |= {c.split("#")[0] for c in line.split("[", 1)[1].split("]")[0].split(",")}
+    return found
+
+
+def test_postings_and_counts_are_not_broadcast(spark):
+    """As files they look small, whatever they hold."""
+    docs = spark.range(200).select("id", F.concat_ws(" ", F.lit("same words"), F.md5(F.col("id").cast("string"))).alias("text"))
+    asked = spark.createDataFrame([(1, "same"), (2, "words 0"), (3, "or")], "pattern_id long, pattern string")
+    hits = text_index.keyword_hits(text_index.build_keyword_index(docs, ["text"]), asked)
+    assert hits.count() >= 400 and not broadcast_columns(hits) & {"ids", "segment", "n", "text"}
+    stats = text_index.corpus_statistics(docs, "text")
+    queries = asked.select(F.col("pattern_id").alias("query_id"), F.col("pattern").alias("query"))
+    found = queries.select("query_id").crossJoin(docs.select("id")).withColumn("rank", F.lit(1))
+    scored = text_index.bm25_rerank(stats, queries, found)
+    assert scored.count() == 600 and "tf" not in broadcast_columns(scored)
