@@ -18,49 +18,58 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.operators.text_index import words_of
+from lodestone.operators.text_index import counted, words_of
 from lodestone.sources.scratch import kept
 
 
 @dataclass
 class Latent:
-    """words: (word, idf, v0, ..., v<k-1>); strength: the leading singular values, largest first."""
+    """words: (word, idf, v0, ..., v<k-1>); strength: the leading singular values, largest first; matrix: (id, word, x) of the texts fitted on."""
 
     words: DataFrame
     k: int
     strength: list[float]
+    matrix: DataFrame
 
     def embed(self, rows: DataFrame, text: str, id_column: str = "id") -> DataFrame:
         """(id, embedding array<double>) of each row; null where it has no known word."""
-        t = _counted(rows, text, id_column).join(self.words, "word").withColumn("x", F.col("tf") * F.col("idf"))
+        t = _counted(rows, text, id_column).join(self.words.hint("merge"), "word").withColumn("x", F.col("tf") * F.col("idf"))
+        return rows.select(F.col(id_column).alias("id")).join(self._unit(t).hint("merge"), "id", "left")
+
+    def fitted(self) -> DataFrame:
+        """(id, embedding) of the texts fitted on that have a known word, without counting their words again."""
+        return self._unit(self.matrix.join(self.words.hint("merge"), "word"))
+
+    def _unit(self, t: DataFrame) -> DataFrame:
         sums = t.groupBy("id").agg(*(F.sum(F.col("x") * F.col(f"v{i}")).alias(f"v{i}") for i in range(self.k)))
         length = F.sqrt(sum((F.col(f"v{i}") * F.col(f"v{i}") for i in range(self.k)), F.lit(0.0)))
-        made = sums.select("id", F.when(length > 0, F.array(*(F.col(f"v{i}") / length for i in range(self.k)))).alias("embedding"))
-        return rows.select(F.col(id_column).alias("id")).join(made, "id", "left")
+        return sums.select("id", F.when(length > 0, F.array(*(F.col(f"v{i}") / length for i in range(self.k)))).alias("embedding"))
 
 
 def _counted(rows: DataFrame, text: str, id_column: str) -> DataFrame:
     """(id, word, tf): a word is a 64-bit hash, counted within its row."""
-    split = rows.select(F.col(id_column).alias("id"), F.transform(words_of(F.coalesce(F.col(text), F.lit(""))), lambda w: F.xxhash64(w)).alias("w"))
-    return split.select("id", F.explode("w").alias("word")).groupBy("id", "word").agg(F.count("*").alias("tf"))
+    split = rows.select(F.col(id_column).cast("long").alias("id"), F.transform(words_of(F.coalesce(F.col(text), F.lit(""))), lambda w: F.xxhash64(w)).alias("w"))
+    return counted(split).select("id", F.inline("terms"))
 
 
 def weights(rows: DataFrame, text: str, id_column: str = "id", least_rows: int = 2) -> tuple[DataFrame, DataFrame]:
     """(id, word, x), the matrix with rows of unit length, and (word, idf); words of fewer than ``least_rows`` rows are left out."""
-    tf = kept(_counted(rows, text, id_column), "counts")
+    tf = _counted(rows, text, id_column)
     n = tf.select("id").distinct().count()
     idf = kept(tf.groupBy("word").agg(F.count("*").alias("df")).filter(F.col("df") >= least_rows).select("word", F.log((F.lit(n) + 1) / (F.col("df") + 1)).alias("idf")).filter("idf > 0"), "idf")
-    raw = tf.join(idf, "word").select("id", "word", (F.col("tf") * F.col("idf")).alias("x"))
-    length = raw.groupBy("id").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("length"))
-    return kept(raw.join(length, "id").select("id", "word", (F.col("x") / F.col("length")).alias("x")), "weights"), idf
+    # Neither counts nor lengths are broadcast: as files they look small.
+    raw = tf.join(idf.hint("merge"), "word").select("id", "word", (F.col("tf") * F.col("idf")).alias("x"))
+    # Terms are dealt by text once, which serves the lengths too.
+    length = F.sqrt(F.sum(F.col("x") * F.col("x")).over(Window.partitionBy("id")))
+    return kept(raw.select("id", "word", (F.col("x") / length).alias("x")), "weights"), idf
 
 
 def _times(matrix: DataFrame, block: DataFrame, on: str, by: str, k: int) -> DataFrame:
     """The product of the matrix, or its transpose, and a block of k columns."""
-    return matrix.join(block, on).groupBy(by).agg(*(F.sum(F.col("x") * F.col(f"v{i}")).alias(f"v{i}") for i in range(k)))
+    return matrix.join(block.hint("merge"), on).groupBy(by).agg(*(F.sum(F.col("x") * F.col(f"v{i}")).alias(f"v{i}") for i in range(k)))
 
 
 def _gram(block: DataFrame, k: int) -> np.ndarray:
@@ -108,8 +117,8 @@ def fit(rows: DataFrame, text: str, k: int = 16, rounds: int = 6, id_column: str
     turn = vectors[:, ::-1]
     sign = _mixed(block, "word", turn).agg(*(F.sum(F.pow(f"v{i}", 3)).alias(f"s{i}") for i in range(k))).first()
     turn = turn * np.array([-1.0 if (sign[f"s{i}"] or 0) < 0 else 1.0 for i in range(k)])
-    words = kept(_mixed(block, "word", turn).join(idf, "word"), "words")
-    return Latent(words, k, np.sqrt(np.maximum(values[::-1], 0)).tolist())
+    words = kept(_mixed(block, "word", turn).join(idf.hint("merge"), "word"), "words")
+    return Latent(words, k, np.sqrt(np.maximum(values[::-1], 0)).tolist(), matrix)
 
 
 def embedder(model: Latent):

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from lodestone.operators import catalog, ingest, text_index
+from lodestone.operators import catalog, ingest, latent, text_index
 from lodestone.plans import lookups
 from lodestone.sources import fixtures
 
@@ -63,3 +63,13 @@ def test_postings_and_counts_are_not_broadcast(spark):
     found = queries.select("query_id").crossJoin(docs.select("id")).withColumn("rank", F.lit(1))
     scored = text_index.bm25_rerank(stats, queries, found)
     assert scored.count() == 600 and "tf" not in broadcast_columns(scored)
+
+
+def test_factors_are_not_broadcast(spark):
+    docs = spark.range(90).select("id", F.concat_ws(" ", F.lit("a b"), (F.col("id") % 7).cast("string"), (F.col("id") % 11).cast("string")).alias("text"))
+    docs = docs.unionByName(docs.filter("id = 3")).unionByName(spark.createDataFrame([(500, None)], "id long, text string"))
+    model = latent.fit(docs, "text", k=2, rounds=1)
+    embedded = model.embed(docs.distinct(), "text")
+    want, got = ({r.id: r.embedding for r in d.collect()} for d in (embedded, model.fitted()))
+    assert got.keys() == want.keys() - {500} and all(abs(x - y) < 1e-9 for i in got for x, y in zip(got[i], want[i]))
+    assert not broadcast_columns(embedded) & {"idf", "v0"} and not broadcast_columns(model.fitted())
