@@ -4,16 +4,19 @@ Sentences and words of a source are the two sides of a sparse graph; a sentence'
 have weights tf * idf of unit length, so the product of the two steps sentence -> word ->
 sentence is the similarity of sentences without any pair of them being made. Power
 iteration over it gives each sentence its centrality; a summary is the first sentences by
-it. Each step is one join and one aggregation whose partial sums are small; a source that
-has a third of all sentences is dealt by its words and sentences like any other.
+it. Most terms are of few words: what these hear is broadcast, so only the terms of rarer
+words are dealt by word, and a word of one sentence is a number of that sentence; a source
+that has a third of all sentences is dealt by its words and sentences like any other.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.sources.scratch import kept
+from lodestone.sources.scratch import FEW, kept
 
 
 def sentences_of(rows: DataFrame, source: str, text: str) -> DataFrame:
@@ -22,8 +25,25 @@ def sentences_of(rows: DataFrame, source: str, text: str) -> DataFrame:
     return rows.select(F.col(source).alias("source"), found).select("source", F.trim(F.regexp_replace("s", r"\s+", " ")).alias("sentence")).filter("source is not null").distinct().withColumn("id", F.xxhash64("source", "sentence"))
 
 
-def terms_of(sentences: DataFrame, least_words: int) -> DataFrame:
-    """(source, id, word, weight) of sentences (source, id, sentence) of enough different words; weights of a sentence have unit length.
+@dataclass
+class Graph:
+    """Sentences and words of sources, by how many sentences have a word.
+
+    words: (source, id, words array<struct<word, tf>>); heavy: (source, word, idf) of the
+    words of most sentences, few enough to be broadcast, so that their terms never leave
+    their rows; light: (source, id, word, x) of the other words of two sentences or more;
+    lengths: (source, id, square, own), the square of a sentence's length and the part of
+    it that its own words have, which no other sentence hears.
+    """
+
+    words: DataFrame
+    heavy: DataFrame
+    light: DataFrame
+    lengths: DataFrame
+
+
+def graph_of(sentences: DataFrame, least_words: int, heavy_words: int = FEW) -> Graph:
+    """The graph of sentences (source, id, sentence) of enough different words.
 
     Words are 64-bit hashes, so that what is joined is narrow.
     """
@@ -33,33 +53,49 @@ def terms_of(sentences: DataFrame, least_words: int) -> DataFrame:
     count = F.transform(F.array_distinct("w"), lambda x: F.struct(x.alias("word"), F.size(F.filter("w", lambda y: y == x)).alias("tf")))
     tf = kept(split.select("source", "id", count.alias("words")), "sentence-words")
     n = tf.groupBy("source").agg(F.count("*").alias("n"))
-    flat = tf.select("source", "id", F.explode("words").alias("t")).select("source", "id", "t.word", "t.tf")
-    df = flat.groupBy("source", "word").agg(F.count("*").alias("df")).join(n, "source")
-    raw = flat.join(df, ["source", "word"]).select("source", "id", "word", (F.col("tf") * (1 + F.log(F.col("n") / F.col("df")))).alias("x"))
-    one = Window.partitionBy("source", "id")
-    return raw.withColumn("weight", F.col("x") / F.sqrt(F.sum(F.col("x") * F.col("x")).over(one))).drop("x")
+    df = tf.select("source", F.explode("words.word").alias("word")).groupBy("source", "word").agg(F.count("*").alias("df"))
+    df = kept(df.join(n, "source").select("source", "word", "df", (1 + F.log(F.col("n") / F.col("df"))).alias("idf")), "sentence-word-counts")
+    heavy = kept(df.filter("df > 1").orderBy(F.desc("df"), "source", "word").limit(heavy_words).select("source", "word", "idf"), "heavy-words")
+    flat = tf.select("source", "id", F.inline("words"))
+    rest = flat.join(F.broadcast(heavy), ["source", "word"], "left_anti").join(df.hint("merge"), ["source", "word"])
+    rest = kept(rest.select("source", "id", "word", "df", (F.col("tf") * F.col("idf")).alias("x")), "light-terms")
+    x = F.col("tf") * F.col("idf")
+    squares = flat.join(F.broadcast(heavy), ["source", "word"]).groupBy("source", "id").agg(F.sum(x * x).alias("square")).withColumn("own", F.lit(0.0))
+    others = rest.groupBy("source", "id").agg(F.sum(F.col("x") * F.col("x")).alias("square"), F.sum(F.when(F.col("df") == 1, F.col("x") * F.col("x")).otherwise(0.0)).alias("own"))
+    lengths = kept(squares.unionByName(others).groupBy("source", "id").agg(F.sum("square").alias("square"), F.sum("own").alias("own")), "lengths")
+    return Graph(tf, heavy, rest.filter("df > 1").drop("df"), lengths)
 
 
-def centrality(terms: DataFrame, rounds: int = 3) -> DataFrame:
+def centrality(graph: Graph, rounds: int = 3) -> DataFrame:
     """(source, id, score) after ``rounds`` steps from equal scores, the largest of a source being 1."""
-    score = terms.groupBy("source", "id").agg(F.lit(1.0).alias("score"))
+    sentence, word = ["source", "id"], ["source", "word"]
+    flat = lambda rows, *more: rows.select("source", "id", *more, F.inline("words")).join(F.broadcast(graph.heavy), word)
+    x = F.col("tf") * F.col("idf")
+    state = graph.lengths.withColumn("score", F.lit(1.0))
     for _ in range(rounds):
-        by_word = terms.join(score, ["source", "id"]).groupBy("source", "word").agg(F.sum(F.col("weight") * F.col("score")).alias("heard"))
-        raw = terms.join(by_word, ["source", "word"]).groupBy("source", "id").agg(F.sum(F.col("weight") * F.col("heard")).alias("raw"))
-        raw = kept(raw, "scores")
+        said = state.select("source", "id", (F.col("score") / F.sqrt("square")).alias("said"))
+        heard = flat(graph.words.join(said.hint("shuffle_hash"), sentence), "said").groupBy(word).agg(F.sum(x * F.col("said")).alias("heard"))
+        heard = kept(heard, "heard")  # of heavy words
+        raw = graph.words.select("source", "id", F.inline("words")).join(F.broadcast(heard.join(F.broadcast(graph.heavy), word)), word).groupBy(sentence).agg(F.sum(x * F.col("heard")).alias("raw"))
+        by_word = graph.light.join(said.hint("merge"), sentence).groupBy(word).agg(F.sum(F.col("x") * F.col("said")).alias("heard"))
+        light = graph.light.join(by_word.hint("merge"), word).groupBy(sentence).agg(F.sum(F.col("x") * F.col("heard")).alias("raw"))
+        raw = raw.unionByName(light).groupBy(sentence).agg(F.sum("raw").alias("raw"))
+        # A sentence may have nothing but words of its own.
+        raw = state.join(raw.hint("merge"), sentence, "left").withColumn("raw", (F.coalesce("raw", F.lit(0.0)) + F.col("own") * F.col("score") / F.sqrt("square")) / F.sqrt("square"))
+        raw = kept(raw.drop("score"), "scores")
         top = raw.groupBy("source").agg(F.max("raw").alias("top"))
-        score = raw.join(top, "source").select("source", "id", (F.col("raw") / F.col("top")).alias("score"))
-    return score
+        state = raw.join(top, "source").select("source", "id", "square", "own", (F.col("raw") / F.col("top")).alias("score"))
+    return state.select("source", "id", "score")
 
 
-def summaries(rows: DataFrame, source: str, text: str, k: int = 3, rounds: int = 3, least_words: int = 4) -> DataFrame:
+def summaries(rows: DataFrame, source: str, text: str, k: int = 3, rounds: int = 3, least_words: int = 4, heavy_words: int = FEW) -> DataFrame:
     """(source, rank, sentence, score) of the k most central sentences of each source, ties to the smaller text; scores to six places."""
     sentences = kept(sentences_of(rows, source, text), "sentences")
-    scored = centrality(kept(terms_of(sentences, least_words), "terms"), rounds).withColumn("score", F.round("score", 6))
+    scored = centrality(graph_of(sentences, least_words, heavy_words), rounds).withColumn("score", F.round("score", 6))
     # Only sentences that can be among the first, ties included, need their texts.
     place = Window.partitionBy("source").orderBy(F.desc("score"))
     scored = scored.withColumn("_r", F.rank().over(place)).filter(F.col("_r") <= k).drop("_r")
-    named = scored.join(sentences, ["source", "id"])
+    named = sentences.join(scored.hint("shuffle_hash"), ["source", "id"])
     order = Window.partitionBy("source").orderBy(F.desc("score"), F.asc("sentence"))
     return named.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("source", "rank", "sentence", "score")
 

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from lodestone.operators import catalog, ingest, latent, text_index
+from lodestone.operators import catalog, ingest, latent, summaries, text_index
 from lodestone.plans import lookups
 from lodestone.sources import fixtures
 
@@ -73,3 +73,12 @@ def test_factors_are_not_broadcast(spark):
     want, got = ({r.id: r.embedding for r in d.collect()} for d in (embedded, model.fitted()))
     assert got.keys() == want.keys() - {500} and all(abs(x - y) < 1e-9 for i in got for x, y in zip(got[i], want[i]))
     assert not broadcast_columns(embedded) & {"idf", "v0"} and not broadcast_columns(model.fitted())
+
+
+def test_terms_of_common_words_stay_in_their_rows(spark):
+    text = [f"alpha beta w{i % 5} w{i % 3} only{i} gamma alpha. one{i} two{i} three{i} four{i}." for i in range(40)]
+    docs = spark.createDataFrame([("ab"[i % 2], t) for i, t in enumerate(text)], "source string, text string")
+    got = [[tuple(r) for r in summaries.summaries(docs, "source", "text", 5, heavy_words=n).orderBy("source", "rank").collect()] for n in (0, 3, 1000)]
+    assert got[0] == got[1] == got[2] and len(got[0]) == 10
+    graph = summaries.graph_of(summaries.sentences_of(docs, "source", "text"), 4)
+    assert graph.light.count() == 0 and graph.lengths.filter("own = square").count() == 40
