@@ -23,6 +23,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lodestone.sources.scratch import kept, looked_up
+
 LEAVES = "key long, path string, value string"
 _LOADS = json.JSONDecoder(parse_float=Decimal, parse_int=Decimal).decode
 
@@ -117,9 +119,9 @@ def contained(rows: DataFrame, document: Column | str, filters: DataFrame, wante
     docs = rows.select(F.col(key).cast("long").alias("key"), _json(document, rows).alias("json")).filter("key is not null")
     asked = filters.select(F.col(filter_key).cast("long").alias("key"), _json(wanted, filters).alias("json")).filter("key is not null")
     have = _rows(docs, True)
-    want = _rows(asked, False).withColumnRenamed("key", "filter_key")
-    # An empty filter object or array still has a row, so every filter is divided by.
-    hits = have.join(want, ["path", "value"]).groupBy("filter_key", "key").agg(F.count("*").alias("got"), F.first("need").alias("need"), F.first("hard").alias("hard")).filter("got = need")
+    want = kept(_rows(asked, False).withColumnRenamed("key", "filter_key"), "wanted")
+    # An empty filter object or array still has a row, so every filter is divided by. Rows of documents are dealt out only if filters have very many.
+    hits = have.join(looked_up(want), ["path", "value"]).groupBy("filter_key", "key").agg(F.count("*").alias("got"), F.first("need").alias("need"), F.first("hard").alias("hard")).filter("got = need")
     easy = hits.filter("not hard").select("filter_key", "key")
     hard = hits.filter("hard").select("filter_key", "key").join(docs, "key").join(asked.select(F.col("key").alias("filter_key"), F.col("json").alias("wanted")), "filter_key")
 

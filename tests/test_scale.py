@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from lodestone.operators import catalog, ingest, latent, summaries, text_index
+from lodestone.operators import catalog, containment, ingest, latent, summaries, text_index
 from lodestone.plans import lookups
 from lodestone.sources import fixtures
 
@@ -82,3 +82,11 @@ def test_terms_of_common_words_stay_in_their_rows(spark):
     assert got[0] == got[1] == got[2] and len(got[0]) == 10
     graph = summaries.graph_of(summaries.sentences_of(docs, "source", "text"), 4)
     assert graph.light.count() == 0 and graph.lengths.filter("own = square").count() == 40
+
+
+def test_rows_of_documents_are_not_dealt_out_for_few_filters(spark):
+    docs = spark.range(50).select("id", F.to_json(F.struct((F.col("id") % 5).alias("k"), F.lit("x").alias("t"))).alias("doc"))
+    asked = docs.select("doc").distinct().withColumn("filter_id", F.xxhash64("doc"))
+    hits = containment.contained(docs, "doc", asked, "doc")
+    assert hits.count() == 50
+    assert not [x for x in hits._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange hashpartitioning(path" in x]
