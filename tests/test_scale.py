@@ -90,3 +90,13 @@ def test_rows_of_documents_are_not_dealt_out_for_few_filters(spark):
     hits = containment.contained(docs, "doc", asked, "doc")
     assert hits.count() == 50
     assert not [x for x in hits._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange hashpartitioning(path" in x]
+
+
+def test_lists_are_made_once(spark, tmp_path):
+    """Dealing by ranges ran the making of all lists a first time for the bounds; a file for each task that made some tells."""
+    rows = spark.range(40).select("id", F.concat(F.lit("same text "), F.col("id").cast("string")).alias("text")).repartition(3)
+    index = text_index.build_keyword_index(rows, ["text"])
+    assert len(index.postings.inputFiles()) == 3
+    asked = spark.createDataFrame([(1, "sa"), (2, "SA"), (3, "%"), (4, "1")], "pattern_id long, pattern string")
+    found = {r.pattern_id: r.n for r in text_index.keyword_hits(index, asked).groupBy("pattern_id").agg(F.count("*").alias("n")).collect()}
+    assert found == {1: 40, 2: 40, 3: 40, 4: 13}
