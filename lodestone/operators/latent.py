@@ -1,11 +1,11 @@
 """An offline embedder: latent factors of the term-document matrix.
 
-Rows of tf * idf weights, of unit length, are a sparse matrix A of texts and words. Its
-k leading factors are found by block power iteration: the products A V and A' U are one
-join and one aggregation each, with the k components as columns, so they stay in
-generated code; between them the block is made orthonormal by a k by k matrix, which with
-the k by k products is all that the driver ever holds. The start is
-a hash of each word, so a fit is reproduced exactly in law and up to rounding in numbers.
+Rows of tf * idf weights, of unit length, are a sparse matrix A of texts and words, which
+lies in tiles (``sparse``). Its k leading factors are found by block power iteration: the
+products A V and A' U are a pass over the tiles each; between them the block is made
+orthonormal by a k by k matrix, which with the k by k products is all that the driver ever
+holds, and which is applied where the block is read. The start is a hash of each word, so
+a fit is reproduced exactly in law and up to rounding in numbers.
 
 A text's embedding is its row times the factors, of unit length; new texts are embedded
 by the words that the fit knows.
@@ -13,26 +13,26 @@ by the words that the fit knows.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.operators import sparse
 from lodestone.operators.text_index import counted, words_of
-from lodestone.sources.scratch import kept
+from lodestone.sources.scratch import dropped, kept
 
 
 @dataclass
 class Latent:
-    """words: (word, idf, v0, ..., v<k-1>); strength: the leading singular values, largest first; matrix: (id, word, x) of the texts fitted on."""
+    """words: (word, idf, v0, ..., v<k-1>); strength: the leading singular values, largest first; texts: (id, embedding) of the texts fitted on."""
 
     words: DataFrame
     k: int
     strength: list[float]
-    matrix: DataFrame
+    texts: DataFrame
 
     def embed(self, rows: DataFrame, text: str, id_column: str = "id") -> DataFrame:
         """(id, embedding array<double>) of each row; null where it has no known word."""
@@ -41,7 +41,7 @@ class Latent:
 
     def fitted(self) -> DataFrame:
         """(id, embedding) of the texts fitted on that have a known word, without counting their words again."""
-        return self._unit(self.matrix.join(self.words.hint("merge"), "word"))
+        return self.texts
 
     def _unit(self, t: DataFrame) -> DataFrame:
         sums = t.groupBy("id").agg(*(F.sum(F.col("x") * F.col(f"v{i}")).alias(f"v{i}") for i in range(self.k)))
@@ -49,76 +49,92 @@ class Latent:
         return sums.select("id", F.when(length > 0, F.array(*(F.col(f"v{i}") / length for i in range(self.k)))).alias("embedding"))
 
 
-def _counted(rows: DataFrame, text: str, id_column: str) -> DataFrame:
-    """(id, word, tf): a word is a 64-bit hash, counted within its row."""
-    split = rows.select(F.col(id_column).cast("long").alias("id"), F.transform(words_of(F.coalesce(F.col(text), F.lit(""))), lambda w: F.xxhash64(w)).alias("w"))
-    return counted(split).select("id", F.inline("terms"))
-
-
-def weights(rows: DataFrame, text: str, id_column: str = "id", least_rows: int = 2) -> tuple[DataFrame, DataFrame]:
-    """(id, word, x), the matrix with rows of unit length, and (word, idf); words of fewer than ``least_rows`` rows are left out."""
-    tf = _counted(rows, text, id_column)
-    n = tf.select("id").distinct().count()
-    idf = kept(tf.groupBy("word").agg(F.count("*").alias("df")).filter(F.col("df") >= least_rows).select("word", F.log((F.lit(n) + 1) / (F.col("df") + 1)).alias("idf")).filter("idf > 0"), "idf")
-    # Neither counts nor lengths are broadcast: as files they look small.
-    raw = tf.join(idf.hint("merge"), "word").select("id", "word", (F.col("tf") * F.col("idf")).alias("x"))
-    # Terms are dealt by text once, which serves the lengths too.
-    length = F.sqrt(F.sum(F.col("x") * F.col("x")).over(Window.partitionBy("id")))
-    return kept(raw.select("id", "word", (F.col("x") / length).alias("x")), "weights"), idf
-
+def _split(rows: DataFrame, text: str, id_column: str) -> DataFrame:
+    """(id, w): a word is a 64-bit hash."""
+    return rows.select(F.col(id_column).cast("long").alias("id"), F.transform(words_of(F.coalesce(F.col(text), F.lit(""))), lambda w: F.xxhash64(w)).alias("w"))
 
-def _times(matrix: DataFrame, block: DataFrame, on: str, by: str, k: int) -> DataFrame:
-    """The product of the matrix, or its transpose, and a block of k columns."""
-    return matrix.join(block.hint("merge"), on).groupBy(by).agg(*(F.sum(F.col("x") * F.col(f"v{i}")).alias(f"v{i}") for i in range(k)))
 
+def _counted(rows: DataFrame, text: str, id_column: str) -> DataFrame:
+    """(id, word, tf), counted within rows."""
+    return counted(_split(rows, text, id_column)).select("id", F.inline("terms"))
 
-def _gram(block: DataFrame, k: int) -> np.ndarray:
-    """The k by k products of a block's columns: a task's rows are multiplied at once, and the products added up."""
-
-    def products(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((k, k))
-        for batch in it:
-            x = np.stack([batch.column(i).to_numpy() for i in range(k)], 1)
-            total += x.T @ x
-        yield pa.RecordBatch.from_pydict({"at": pa.array(range(k * k), pa.int32()), "x": total.ravel()})
 
-    out = np.zeros(k * k)
-    for r in block.select(*(f"v{i}" for i in range(k))).mapInArrow(products, "at int, x double").groupBy("at").agg(F.sum("x").alias("x")).collect():  # k * k rows
-        out[r["at"]] = r["x"]
-    return out.reshape(k, k)
+def weights(rows: DataFrame, text: str, k: int, id_column: str = "id", least_rows: int = 2) -> sparse.Matrix:
+    """The matrix with rows of unit length, for blocks of k columns; words of fewer than ``least_rows`` rows are left out."""
+    terms = counted(_split(rows, text, id_column))
+    n = terms.filter(F.size("terms") > 0).count()
+    df = terms.select(F.explode("terms.word").alias("word")).groupBy("word").agg(F.count("*").alias("df")).filter(F.col("df") >= least_rows)
+    idf = kept(df.select("word", F.log((F.lit(n) + 1) / (F.col("df") + 1)).alias("weight")).filter("weight > 0"), "idf")
+    made = sparse.built(terms, idf, k)
+    for used in (terms, idf):
+        dropped(used)
+    return made
 
 
-def _mixed(block: DataFrame, key: str, by: np.ndarray) -> DataFrame:
-    """The block times a small matrix, batch by batch."""
-    k, m = by.shape
+def _start(word: np.ndarray, i: int) -> np.ndarray:
+    """Numbers from -1 to 1: ``xxhash64(word, i)`` of Spark."""
+    p1, p2, p3, p4, p5 = (np.uint64(p) for p in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+    turned = lambda x, n: (x << np.uint64(n)) | (x >> np.uint64(64 - n))
 
-    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in it:
-            x = np.stack([batch.column(1 + i).to_numpy() for i in range(k)], 1) @ by
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x[:, j]) for j in range(m))], [key, *(f"v{j}" for j in range(m))])
+    def mixed(h: np.ndarray) -> np.ndarray:
+        h = (h ^ (h >> np.uint64(33))) * p2
+        h = (h ^ (h >> np.uint64(29))) * p3
+        return h ^ (h >> np.uint64(32))
 
-    return block.select(key, *(f"v{i}" for i in range(k))).mapInArrow(run, f"{key} long, " + ", ".join(f"v{j} double" for j in range(m)))
+    with np.errstate(over="ignore"):
+        h = (np.uint64(42) + p5 + np.uint64(8)) ^ (turned(word.view(np.uint64) * p2, 31) * p1)
+        h = mixed(turned(h, 27) * p1 + p4)
+        h = (h + p5 + np.uint64(4)) ^ (np.uint64(i) * p1)
+        h = mixed(turned(h, 23) * p2 + p3)
+    return h.view(np.int64) % 2_000_003 / 1_000_001.0 - 1.0
 
 
 def fit(rows: DataFrame, text: str, k: int = 16, rounds: int = 6, id_column: str = "id", least_rows: int = 2) -> Latent:
     """The k leading factors of a table of texts."""
-    matrix, idf = weights(rows, text, id_column, least_rows)
-    start = lambda i: F.pmod(F.xxhash64("word", F.lit(i)), F.lit(2_000_003)) / 1_000_001.0 - 1.0
-    block = kept(idf.select("word", *(start(i).alias(f"v{i}") for i in range(k))), "block")
+    a = weights(rows, text, k, id_column, least_rows)
+    block, mix = None, np.eye(k)
+
+    def said(s: int, words: np.ndarray) -> np.ndarray:
+        return np.stack([_start(words, i) for i in range(k)], 1) if block is None else block.block(s) @ mix
+
     for _ in range(rounds):
-        texts = _times(matrix, block, "word", "id", k)
-        block = kept(_times(matrix, texts, "id", "word", k), "block")
-        values, vectors = np.linalg.eigh(_gram(block, k))
+        texts = a.by_rows(said, k)
+        before, block = block, a.by_words(lambda b, n: texts.block(b), k)  # noqa: B023
+        for used in (texts, *([before] if before else [])):
+            dropped(used.uri)
+        values, vectors = np.linalg.eigh(block.gram())
         # Columns of no length beside the largest are left at nothing: the matrix has fewer factors.
         scale = np.where(values > 1e-12 * max(values.max(initial=0.0), 1e-300), 1 / np.sqrt(np.maximum(values, 1e-300)), 0.0)
-        block = kept(_mixed(block, "word", (vectors * scale)[:, ::-1]), "block")
+        mix = (vectors * scale)[:, ::-1]
     # Turned within the space that was found, so that the columns are the factors, strongest first, with a sign that does not depend on the way.
-    values, vectors = np.linalg.eigh(_gram(_times(matrix, block, "word", "id", k), k))
+    texts = a.by_rows(said, k)
+    values, vectors = np.linalg.eigh(texts.gram())
     turn = vectors[:, ::-1]
-    sign = _mixed(block, "word", turn).agg(*(F.sum(F.pow(f"v{i}", 3)).alias(f"s{i}") for i in range(k))).first()
-    turn = turn * np.array([-1.0 if (sign[f"s{i}"] or 0) < 0 else 1.0 for i in range(k)])
-    words = kept(_mixed(block, "word", turn).join(idf.hint("merge"), "word"), "words")
-    return Latent(words, k, np.sqrt(np.maximum(values[::-1], 0)).tolist(), matrix)
+    slabs = list(range(a.slabs))
+
+    def cubes(s: int) -> pa.RecordBatch:
+        return pa.RecordBatch.from_pydict({"x": pa.array([(said(s, sparse.words_in(a.words, s)[0]) @ turn).__pow__(3).sum(0).tolist()], pa.list_(pa.float64()))})
+
+    sign = sum((np.array(r["x"]) for r in sparse.over(a.spark, slabs, cubes, "x array<double>").collect()), np.zeros(k))  # k numbers a slab
+    turn = turn * np.where(sign < 0, -1.0, 1.0)
+
+    def words(s: int) -> pa.RecordBatch:
+        word, idf = sparse.words_in(a.words, s)
+        x = said(s, word) @ turn
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in (word, idf, *x.T)], ["word", "idf", *(f"v{i}" for i in range(k))])
+
+    def embedded(b: int) -> pa.RecordBatch:
+        ids, _, square, _ = a.rows(b)
+        x = texts.block(b) @ turn
+        length = np.sqrt((x * x).sum(1))
+        there = np.flatnonzero(square > 0)
+        unit = (x / np.where(length > 0, length, 1.0)[:, None])[there]
+        made = pa.ListArray.from_arrays(pa.array(np.arange(len(there) + 1) * k, pa.int32()), pa.array(unit.ravel()), mask=pa.array(length[there] == 0))
+        return pa.RecordBatch.from_arrays([ids.take(pa.array(there)), made], ["id", "embedding"])
+
+    columns = ", ".join(f"v{i} double" for i in range(k))
+    factors = sparse.over(a.spark, slabs, words, f"word long, idf double, {columns}")
+    return Latent(factors, k, np.sqrt(np.maximum(values[::-1], 0)).tolist(), sparse.over(a.spark, a.blocks, embedded, "id long, embedding array<double>"))
 
 
 def embedder(model: Latent):
