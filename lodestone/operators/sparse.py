@@ -24,8 +24,8 @@ from lodestone.sources.scratch import columns_of, parted, rows_of
 
 LIMIT = 1 << 20  # numbers of a dense block, about
 TERMS = 1 << 20  # terms of a tile that are taken at once
-PLACED = 1 << 22  # terms that are looked up at once
-CACHED = 1 << 22  # words that a task holds while it looks terms up, at least a slab
+PLACED = 1 << 21  # terms that are looked up at once
+CACHED = 1 << 21  # words that a task holds while it looks terms up, at least a slab
 
 _WORDS = pa.schema([("word", pa.int64()), ("weight", pa.float64())])
 _TILE = "b long, s int, ids array<long>, groups array<long>, at binary, word binary, tf binary"
@@ -120,10 +120,11 @@ class Matrix:
 
         return Dense(parted(over(self.spark, keys, row, "key long, data binary, gram binary"), name, "key"), width, self.spark)
 
-    def by_rows(self, block: Callable[[int, np.ndarray], np.ndarray], width: int, plus: Dense | None = None) -> Dense:
+    def by_rows(self, block: Callable[[int, np.ndarray], np.ndarray], width: int, plus: Callable[[int, int], np.ndarray] | None = None) -> Dense:
         """The matrix times a dense block, given by slab and words.
 
-        ``plus``: numbers of the rows, which words of one row only say to that row again.
+        ``plus``: numbers of the rows, by block and number of rows, which words outside of
+        the matrix, each of one row, say to that row again.
         """
 
         def made(b: int) -> np.ndarray:
@@ -139,7 +140,7 @@ class Matrix:
                     for i in range(width):
                         total[i] += np.bincount(at, tf * x[i][word], len(square))
             if plus is not None:
-                total += own * scale * plus.block(b).T
+                total += own * scale * plus(b, len(square)).T
             return (total * scale).T
 
         return self._written(self.blocks, made, width, "of-rows")
@@ -194,6 +195,7 @@ def built(terms: DataFrame, words: DataFrame, width: int) -> Matrix:
         def placed() -> list[tuple]:
             made = []
             word, tf, at = map(np.concatenate, zip(*held))
+            held.clear()
             s = _slab(word, slabs).astype(np.uint16 if slabs < 1 << 16 else np.int64)
             order = np.argsort(s, kind="stable")
             edge = np.searchsorted(s[order], np.arange(slabs + 1))
@@ -201,7 +203,7 @@ def built(terms: DataFrame, words: DataFrame, width: int) -> Matrix:
                 here = order[edge[i] : edge[i + 1]]
                 if not len(here):
                     continue
-                w, t, r = word[here], tf[here], at[here]
+                w, t, r = word[here], tf[here].astype(np.float64), at[here].astype(np.int64)
                 k, weight = known(i)
                 place = np.minimum(np.searchsorted(k, w), max(len(k) - 1, 0))
                 hit = k[place] == w if len(k) else np.zeros(len(w), bool)
@@ -212,7 +214,6 @@ def built(terms: DataFrame, words: DataFrame, width: int) -> Matrix:
                     r, place, t = r[hit], place[hit], t[hit]
                     square[:] += np.bincount(r, (t * weight[place]) ** 2, size)
                     made.append((b, i, None, None, np.diff(r, prepend=0).astype("<u4").tobytes(), place.astype("<u4").tobytes(), t.astype("<u4").tobytes()))
-            held.clear()
             return made
 
         def ended() -> tuple:
@@ -228,7 +229,8 @@ def built(terms: DataFrame, words: DataFrame, width: int) -> Matrix:
             while lo < batch.num_rows:
                 hi = min(batch.num_rows, lo + size - n, max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + PLACED - waiting, "right")) - 1))
                 part = values.slice(offsets[lo], offsets[hi] - offsets[lo])
-                held.append((part.field(0).to_numpy(), part.field(1).to_numpy(), n + np.repeat(np.arange(hi - lo), np.diff(offsets[lo : hi + 1]))))
+                at = np.repeat(np.arange(n, n + hi - lo, dtype=np.uint32), np.diff(offsets[lo : hi + 1]))
+                held.append((part.field(0).to_numpy().copy(), part.field(1).to_numpy().astype(np.uint32), at))
                 for column, to in ((0, ids), (3, groups)):
                     to.append(batch.column(column).take(pa.array(np.arange(lo, hi))))  # a copy: a slice holds its batch
                 alone[n : n + hi - lo] = batch.column(2).slice(lo, hi - lo).to_numpy()

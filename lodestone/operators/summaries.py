@@ -4,19 +4,30 @@ Sentences and words of a source are the two sides of a sparse graph; a sentence'
 have weights tf * idf of unit length, so the product of the two steps sentence -> word ->
 sentence is the similarity of sentences without any pair of them being made. Power
 iteration over it gives each sentence its centrality; a summary is the first sentences by
-it. Most terms are of few words: what these hear is broadcast, so only the terms of rarer
-words are dealt by word, and a word of one sentence is a number of that sentence; a source
-that has a third of all sentences is dealt by its words and sentences like any other.
+it. The graph lies in tiles (``sparse``), its words being those of each source: a step is
+a pass over the tiles and writes a number for each word or sentence; a word of one
+sentence is a number of that sentence. A source that has a third of all sentences lies in
+blocks and slabs like any other.
+
+``graph_of`` and ``centrality`` are the same by joins: most terms are of few words, what
+these hear is broadcast, only the terms of rarer words are dealt by word. They are slower,
+and stand for any number of rounds.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.sources.scratch import FEW, kept
+from lodestone.operators import sparse
+from lodestone.operators.text_index import term_counts, words_of
+from lodestone.sources.scratch import FEW, dropped, kept, looked_up
+
+ROUNDS = 16  # after which scores that are not made smaller between could be too large for a number
 
 
 def sentences_of(rows: DataFrame, source: str, text: str) -> DataFrame:
@@ -88,14 +99,61 @@ def centrality(graph: Graph, rounds: int = 3) -> DataFrame:
     return state.select("source", "id", "score")
 
 
-def summaries(rows: DataFrame, source: str, text: str, k: int = 3, rounds: int = 3, least_words: int = 4, heavy_words: int = FEW) -> DataFrame:
-    """(source, rank, sentence, score) of the k most central sentences of each source, ties to the smaller text; scores to six places."""
+def matrix_of(sentences: DataFrame, least_words: int) -> sparse.Matrix:
+    """The matrix of sentences (source, id, sentence) of enough different words; a row's group is the hash of its source."""
+    split = sentences.select("id", F.xxhash64("source").alias("group"), F.transform(words_of(F.col("sentence")), lambda w: F.xxhash64("source", w)).alias("w"))
+    made = term_counts(split)
+    terms = made.filter(F.size("terms") >= least_words)
+    n = kept(terms.groupBy("group").agg(F.count("*").alias("n")), "sources")
+    terms = terms.join(looked_up(n), "group")
+    df = terms.select("n", F.explode("terms.word").alias("word")).groupBy("word").agg(F.count("*").alias("df"), F.max("n").alias("n")).filter("df > 1")
+    words = kept(df.select("word", (1 + F.log(F.col("n") / F.col("df"))).alias("weight")), "sentence-words")
+    matrix = sparse.built(terms.select("id", "group", "terms", (1 + F.log("n")).alias("alone")), words, 1)
+    for used in (made, n, words):
+        dropped(used)
+    return matrix
+
+
+def tiled_centrality(sentences: DataFrame, least_words: int, rounds: int) -> DataFrame:
+    """(id, score) after ``rounds`` steps from equal scores, the largest of a source being 1.
+
+    A source is connected to no other, so its scores are divided by the largest once, at the end.
+    """
+    a = matrix_of(sentences, least_words)
+    score = None
+
+    def said(b: int, n: int) -> np.ndarray:
+        return np.ones((n, 1)) if score is None else score.block(b)
+
+    for _ in range(rounds):
+        heard = a.by_words(said, 1)
+        before, score = score, a.by_rows(lambda s, words: heard.block(s), 1, said)  # noqa: B023
+        for used in (heard, *([before] if before else [])):
+            dropped(used.uri)
+
+    def scores(b: int) -> pa.RecordBatch:
+        ids, groups, _, _ = a.rows(b)
+        return pa.RecordBatch.from_arrays([ids, groups, pa.array(said(b, len(ids))[:, 0])], ["id", "group", "raw"])
+
+    raw = sparse.over(a.spark, a.blocks, scores, "id long, group long, raw double")
+    top = looked_up(kept(raw.groupBy("group").agg(F.max("raw").alias("top")), "tops"))
+    return raw.join(top, "group").select("id", "group", (F.col("raw") / F.col("top")).alias("score"))
+
+
+def summaries(rows: DataFrame, source: str, text: str, k: int = 3, rounds: int = 3, least_words: int = 4, heavy_words: int | None = None) -> DataFrame:
+    """(source, rank, sentence, score) of the k most central sentences of each source, ties to the smaller text; scores to six places.
+
+    ``heavy_words``: by joins, with so many words broadcast, in place of tiles.
+    """
     sentences = kept(sentences_of(rows, source, text), "sentences")
-    scored = centrality(graph_of(sentences, least_words, heavy_words), rounds).withColumn("score", F.round("score", 6))
+    if heavy_words is None and rounds <= ROUNDS:
+        scored, by = tiled_centrality(sentences, least_words, rounds), "group"
+    else:
+        scored, by = centrality(graph_of(sentences, least_words, FEW if heavy_words is None else heavy_words), rounds), "source"
     # Only sentences that can be among the first, ties included, need their texts.
-    place = Window.partitionBy("source").orderBy(F.desc("score"))
-    scored = scored.withColumn("_r", F.rank().over(place)).filter(F.col("_r") <= k).drop("_r")
-    named = sentences.join(scored.hint("shuffle_hash"), ["source", "id"])
+    scored = scored.withColumn("score", F.round("score", 6)).withColumn("_r", F.rank().over(Window.partitionBy(by).orderBy(F.desc("score"))))
+    scored = kept(scored.filter(F.col("_r") <= k).select("id", "score"), "best")
+    named = sentences.join(looked_up(scored), "id")
     order = Window.partitionBy("source").orderBy(F.desc("score"), F.asc("sentence"))
     return named.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("source", "rank", "sentence", "score")
 

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lodestone.operators import latent, sparse
+from lodestone.operators import latent, sparse, summaries
 from lodestone.sources import scratch
 
 
@@ -31,3 +31,17 @@ def test_start_is_the_hash_of_spark(spark):
     hashes = spark.createDataFrame([(w,) for w in words], "w long").select(*(F.pmod(F.xxhash64("w", F.lit(i)), F.lit(2_000_003)).alias(f"h{i}") for i in range(3))).collect()
     got = np.stack([latent._start(np.array(words), i) for i in range(3)], 1)
     assert np.array_equal(got, np.array(hashes) / 1_000_001.0 - 1.0)
+
+
+def test_steps_between_sentences_and_words_shuffle_nothing(spark, monkeypatch):
+    """Each step dealt the terms of rarer words out by sentence and by word, and sums back; words were counted by comparing all with all."""
+    text = [f"alpha beta w{i % 5} w{i % 3} only{i} gamma alpha. one{i} two{i} three{i} four{i}! w{i % 3} w{i % 4} w{i % 5} beta" for i in range(40)]
+    text.append(" ".join(f"x{i % 700} y{i} w1" for i in range(2000)))
+    docs = spark.createDataFrame([("ab"[i % 2], t) for i, t in enumerate(text)] + [("c", "too short"), ("d", None)], "source string, text string").repartition(3)
+    want = [tuple(r) for r in summaries.summaries(docs, "source", "text", 5, heavy_words=3).orderBy("source", "rank").collect()]
+    assert len(want) == 10
+    for limit in (sparse.LIMIT, 16):
+        monkeypatch.setattr(sparse, "LIMIT", limit)
+        assert [tuple(r) for r in summaries.summaries(docs, "source", "text", 5).orderBy("source", "rank").collect()] == want
+    scored = summaries.tiled_centrality(scratch.kept(summaries.sentences_of(docs, "source", "text"), "sentences"), 4, 3)
+    assert "Exchange hash" not in scored._jdf.queryExecution().executedPlan().toString()
